@@ -23,18 +23,29 @@ def drop_symbols(text: Column | str, symbols: str = settings.GRAM_SYMBOLS) -> Co
 def ngrams(text: Column | str, n: int) -> Column:
     """Overlapping character n-grams in text order; none if the text is short.
 
-    The text is cut into characters once, so the cost stays linear in its
+    The text is cut into short chunks first, so the cost stays linear in its
     length.  Counting goes through ``operators.mine.gram_counts`` instead.
     """
 
-    def grams(chars: Column) -> Column:
-        cut = lambda i: F.array_join(F.slice(chars, i, n), "")
+    def of_body(body: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.length(body) - (n - 1))
         return F.when(
-            F.size(chars) >= n, F.transform(F.sequence(F.lit(1), F.size(chars) - (n - 1)), cut)
+            F.length(body) >= n, F.transform(starts, lambda i: F.substring(body, i, F.lit(n)))
         ).otherwise(F.array().cast("array<string>"))
 
-    letters = F.when(_col(text) != "", F.split(text, "")).otherwise(F.array().cast("array<string>"))
-    return F.transform(F.array(letters), grams)[0]
+    def of_chunks(chunks: Column) -> Column:
+        def of_chunk(chunk: Column, i: Column) -> Column:
+            ahead = F.coalesce(F.left(F.get(chunks, i + 1), F.lit(n - 1)), F.lit(""))
+            return _with(F.concat(chunk, ahead), of_body)
+
+        return F.flatten(F.transform(chunks, of_chunk))
+
+    return _with(F.regexp_extract_all(text, F.lit("(?s).{1,64}"), F.lit(0)), of_chunks)
+
+
+def _with(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, also inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def compounds(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import settings
 from ..functions.words import _col
+from ..session import checkpointed
 from .mine import text_windows
 from .scale import lookup_join
 
@@ -52,20 +53,30 @@ def first_hit_join(
 ) -> DataFrame:
     """List-order first hit for long lists: adds ``hit`` (NULL if none).
 
-    ``words`` is <ord, word>.  Titles become grams of the word lengths that
-    occur and meet the list in an equi join; the lowest ordinal per title
-    wins.  Only hits are shuffled.
+    ``words`` is <ord, word>, ``ord`` unique.  Every start in a title looks up
+    the beginnings of the words, and only for lengths of words that begin so
+    the gram itself is looked up; both are equi joins.  The lowest ordinal per
+    title wins.  With a list small enough to broadcast only hits are shuffled.
     """
-    unique = words.where(F.col("word") != "").groupBy("word").agg(F.min("ord").alias("_word_ord"))
-    sizes = [r.n for r in unique.select(F.length("word").alias("n")).distinct().collect()]  # lengths only
-    if not sizes:
+    stored = checkpointed(words.where(F.col("word") != "").select("ord", "word"))
+    unique = stored.groupBy("word").agg(F.min("ord").alias("_word_ord"))
+    size = F.length("word")
+    shortest, longest = stored.agg(F.min(size), F.max(size)).first()
+    if shortest is None:
         return titles.withColumn(hit, F.lit(None).cast("string"))
-    wins = text_windows(titles, max(sizes), title, [id_col], symbols=None)
-    heads = [F.struct(F.lit(n).alias("n"), F.left("win", F.lit(n)).alias("word")) for n in sorted(sizes)]
-    grams = wins.select(id_col, F.inline(F.array(*heads))).where(F.length("word") == F.col("n"))
-    found = lookup_join(grams.select(id_col, "word"), unique, ["word"], "inner")
+    # Which word lengths may follow a start: at most as many as there are lengths.
+    anchors = unique.groupBy(F.left("word", F.lit(shortest)).alias("_anchor")).agg(
+        F.collect_set(size).alias("_sizes")
+    )
+    wins = text_windows(titles, longest, title, [id_col], symbols=None)
+    starts = wins.select(id_col, "win", F.left("win", F.lit(shortest)).alias("_anchor"))
+    tries = lookup_join(starts, anchors, ["_anchor"], "inner").select(
+        id_col, "win", F.explode("_sizes").alias("_n")
+    )
+    grams = tries.where(F.length("win") >= F.col("_n")).select(id_col, F.left("win", F.col("_n")).alias("word"))
+    found = lookup_join(grams, unique, ["word"], "inner")
     best = found.groupBy(id_col).agg(F.min("_word_ord").alias("ord"))
-    named = lookup_join(best, words.select("ord", F.col("word").alias(hit)), ["ord"], "inner")
+    named = lookup_join(best, stored.withColumnRenamed("word", hit), ["ord"], "inner", derived=False)
     return titles.join(named.select(id_col, hit), id_col, "left")
 
 
@@ -215,13 +226,13 @@ def covering_parent(
     inside it (``substring``).  The longest such word is given, then the
     lowest.  Equi join on the parts of a word.
     """
-    chosen = chosen.select("word").distinct()
+    chosen = checkpointed(chosen.select("word").distinct())
     sizes = [r.n for r in chosen.select(F.length("word").alias("n")).distinct().collect()]  # lengths only
     open_words = words.select("word").distinct().join(chosen, "word", "left_anti")
     if not sizes:
         return open_words.where(F.lit(False)).withColumn(parent, F.lit(None).cast("string"))
     parts = open_words.select("word", F.explode(_parts(F.col("word"), sorted(sizes), how)).alias(parent))
-    hits = lookup_join(parts, chosen.withColumnRenamed("word", parent), [parent], "inner")
+    hits = lookup_join(parts, chosen.withColumnRenamed("word", parent), [parent], "inner", derived=False)
     best = F.min(F.struct((-F.length(parent)).alias("size"), F.col(parent).alias("name")))
     return hits.groupBy("word").agg(best.alias("_b")).select("word", F.col("_b.name").alias(parent))
 

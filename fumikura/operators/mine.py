@@ -99,7 +99,7 @@ def _first_titles(
     )
     wins = text_windows(keyed, max(sizes), title, [ord_col, "_key"], symbols)
     heads = wins.select(ord_col, "_key", _heads(sizes)).where(F.length("gram") == F.col("n"))
-    hits = lookup_join(heads, grams.select("n", "gram"), ["n", "gram"], "left_semi")
+    hits = lookup_join(heads, grams.select("n", "gram"), ["n", "gram"], "left_semi", derived=False)
     firsts = hits.groupBy("n", "gram", "_key").agg(F.min(ord_col).alias(ord_col))
     return top_per_group(firsts, ["n", "gram"], [F.asc(ord_col)], limit, "place").drop("_key")
 
@@ -248,10 +248,11 @@ def rollup_with_orphans(
 
     Adds ``orphan``; order by ``orphan, total desc`` gives the stored layout.
     """
+    counts = checkpointed(counts)  # read several times below
     heads = counts.where(F.length("word") == size).select(F.col("word").alias("root"))
     roots = vocabulary_rollup(counts, size, examples).join(heads, "root", "left_semi")
     tails = counts.where(F.col("cnt") >= least).withColumn("root", F.right("word", F.lit(size)))
-    orphans = lookup_join(tails, heads, ["root"], "left_anti").select(
+    orphans = lookup_join(tails, heads, ["root"], "left_anti", derived=False).select(
         F.col("word").alias("root"),
         F.col("cnt").alias("total"),
         F.lit(1).cast("bigint").alias("variations"),

@@ -14,6 +14,16 @@ _SALTS = 32
 BROADCAST_ROWS = 200_000
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Give every core a share of an input that comes in too few partitions.
+
+    Meant for the frame of a file scan, such as one unsplittable file.  Inputs
+    with at least one partition per core stay as they are, unshuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def pinned(df: DataFrame, **columns: Column) -> DataFrame:
     """Add costly columns that must be computed once per row.
 
@@ -29,26 +39,28 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Broadcast hint behind a row count; the flag says whether it was given."""
-    small = is_small(df, rows)
-    return (F.broadcast(df) if small else df), small
-
-
 def lookup_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", rows: int = BROADCAST_ROWS
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    how: str = "left",
+    derived: bool = True,
+    rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Equi join with one right row per key, safe against hot keys on the left.
 
     A right side counted as small is broadcast.  Otherwise the left rows of a
     key are spread over salts and the right side is repeated once per salt.
+    A derived right side is written first, so that counting it and joining it
+    do not compute it twice; pass ``derived=False`` for a stored table.
     """
-    hinted, small = broadcast_if_small(right, rows)
-    if small:
-        return left.join(hinted, list(on), how)
+    if derived:
+        right = checkpointed(right)
+    if is_small(right, rows):
+        return left.join(F.broadcast(right), list(on), how)
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in _hashable(left)]), F.lit(_SALTS)).cast("int")
-    spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    joined = left.withColumn("_salt", salt).join(spread, [*on, "_salt"], how)
+    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    joined = left.withColumn("_salt", salt).join(repeated, [*on, "_salt"], how)
     return joined.drop("_salt")
 
 

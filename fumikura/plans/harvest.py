@@ -28,13 +28,12 @@ def harvest_patterns(
     text_regex: str = settings.HARVEST_TEXT_REGEX,
 ) -> Harvest:
     """Subjects of a type found by code, label, name or description."""
-    kind = _RDF + "type"
     title_test, text_test = graph.regex_test(title_regex), graph.regex_test(text_regex)
-    parts = [
-        graph.pattern_hits(triples, kind, type_uri, _SCHEMA + "about", graph.code_test(codes, code_prefix)),
-        graph.pattern_hits(triples, kind, type_uri, _RDFS + "label", title_test),
-        graph.pattern_hits(triples, kind, type_uri, _SCHEMA + "name", title_test),
-        graph.pattern_hits(triples, kind, type_uri, _SCHEMA + "description", text_test),
+    patterns = [
+        (_SCHEMA + "about", graph.code_test(codes, code_prefix)),
+        (_RDFS + "label", title_test),
+        (_SCHEMA + "name", title_test),
+        (_SCHEMA + "description", text_test),
     ]
-    hits = graph.harvest(parts)
+    hits = graph.pattern_hits(triples, _RDF + "type", type_uri, patterns)
     return Harvest(hits, graph.harvest_stats(hits), graph.harvested_uris(hits))

@@ -22,6 +22,7 @@ def build_session(cores: int | str = "*", memory: str = "20g", shuffle_partition
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-from ..operators.scale import pinned, with_dense_rank
+from ..operators.scale import lookup_join, pinned
+from ..session import checkpointed
 
 LINE_ORDER = ("file", "block", "seq")
 
@@ -45,10 +44,21 @@ def scan_counts(lines: DataFrame, raw: str = "raw") -> DataFrame:
     )
 
 
-def numbered(lines: DataFrame, order: Sequence[str] = LINE_ORDER, ord_col: str = "ord") -> DataFrame:
-    """Adds the line number, from 0, of every row along the input order."""
-    ranked = with_dense_rank(lines, [F.col(c) for c in order], ord_col)
-    return ranked.withColumn(ord_col, F.col(ord_col) - 1)
+def numbered(lines: DataFrame, ord_col: str = "ord") -> DataFrame:
+    """Adds the line number, from 0, to the lines of :func:`read_lines`.
+
+    Lines are written once to pin their places; then the sizes of the file
+    blocks, one row each, give the offset of every block.  Nothing is sorted.
+    """
+    rows = checkpointed(lines)
+    blocks = rows.groupBy("file", "block").agg(F.min("seq").alias("_first"), F.count("*").alias("_size"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select(
+        "file", "block", "_first", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
+    )
+    placed = lookup_join(rows, offsets, ["file", "block"], "inner")
+    number = F.col("_offset") + F.col("seq") - F.col("_first")
+    return placed.withColumn(ord_col, number).drop("_first", "_offset")
 
 
 def write_lines(rows: DataFrame, path: str, raw: str | Column = "raw", mode: str = "error") -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.words import strip
 from ..operators.scale import is_small, with_dense_rank
+from ..session import checkpointed
 from .records import LINE_ORDER, read_lines
 
 LIST_ROWS = 100_000  # longest list taken to the driver as literals, or written as one file
@@ -61,12 +62,12 @@ def write_word_list(words: DataFrame, path: str, mode: str = "error") -> int:
     Short lists are one file; longer ones keep one file per sorted range,
     whose names follow the order.
     """
-    unique = words.select("word").distinct()
+    unique = checkpointed(words.select("word").distinct())
     out = unique.orderBy("word")
     if is_small(unique, LIST_ROWS):
         out = out.coalesce(1)
     out.write.mode(mode).text(path)
-    return words.sparkSession.read.text(path).count()
+    return unique.count()
 
 
 def list_as_code(words: DataFrame, name: str, page_size: int = LIST_ROWS) -> DataFrame:

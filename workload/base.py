@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fumikura.functions.variants import json_string
 from fumikura.operators import mine
+from fumikura.operators.scale import spread
 from fumikura.sources import records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,7 +28,8 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(rows, "doc_id") if name == "documents" else rows
 
 
 # -- word lists used by the filters; order is deliberate ------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fumikura.operators import graph, match, mine, review
 from fumikura.operators.scale import with_dense_rank
 from fumikura.plans import harvest as harvesting
+from fumikura.session import checkpointed
 
 from . import base
 from .base import DECIDED, GRAMS, HOME, JUDGED, RDF_TYPE, ROOTS, SCHEMA, SUBJECTS, SUFFIX, TRIPLES, VOCAB, query, table
@@ -51,6 +52,7 @@ _CHOSEN = "SELECT word FROM vocab WHERE cnt >= 100"
 )
 def cover_suffix(spark, sf):
     words = base.vocabulary(spark, sf).select("word", "cnt")
+    words = checkpointed(words)
     return match.cover_state(words, words.where("cnt >= 100"), "suffix")
 
 
@@ -68,6 +70,7 @@ def cover_sub(spark, sf):
     top = base.top_grams(spark, sf).withColumnRenamed("gram", "word").select(
         F.col("n").cast("bigint").alias("n"), "rank", "word", "cnt"
     )
+    top = checkpointed(top)
     chosen = top.where("n in (2, 3) and rank between 21 and 60")
     return match.cover_state(top.drop("rank"), chosen, "substring")
 
@@ -91,6 +94,7 @@ def dual_lists(spark, sf):
     top = base.top_grams(spark, sf).withColumnRenamed("gram", "word").select(
         F.col("n").cast("bigint").alias("n"), "rank", "word", "cnt"
     )
+    top = checkpointed(top)
     return top, top.where("n = 2 and rank between 11 and 40"), top.where("n = 3 and rank between 11 and 60")
 
 
@@ -125,7 +129,7 @@ def protect(spark, sf):
 )
 def sample_lookup(spark, sf):
     """Ranked grams with examples; only the first 20 of each size have any."""
-    top = base.top_grams(spark, sf)
+    top = checkpointed(base.top_grams(spark, sf))
     titles = base.titles(spark, sf)
     shown = mine.gram_examples(titles, top.where("rank <= 20"))
     digests = shown.withColumn("title", F.md5("title"))
@@ -153,7 +157,8 @@ def override(spark, sf):
 )
 def bgp(spark, sf):
     test = graph.code_test(CODES, CODE_PREFIX)
-    return graph.pattern_hits(base.triples(spark, sf), RDF_TYPE, HOME + "type/customer", SCHEMA + "about", test)
+    hits = graph.pattern_hits(base.triples(spark, sf), RDF_TYPE, HOME + "type/customer", [(SCHEMA + "about", test)])
+    return hits.select("s", "hits")
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fumikura.functions import titles as t
 from fumikura.operators import judge, match, mine, review
 from fumikura.plans import curation
+from fumikura.session import checkpointed
 
 from . import base, joins
 from .base import DECIDED, FOLDED, GRAMS, JUDGED, REC, SUBJECTS, SUFFIX, VOCAB, query, table
@@ -99,7 +100,7 @@ def dual_queue(spark, sf):
     FROM stop LEFT JOIN best USING (word)""",
 )
 def word_queue(spark, sf):
-    ranked = base.suffix_top(spark, sf).withColumn("n", F.col("n").cast("bigint"))
+    ranked = checkpointed(base.suffix_top(spark, sf).withColumn("n", F.col("n").cast("bigint")))
     return review.word_queue(ranked, ranked.where("n in (5, 6) and rank <= 10"))
 
 
