@@ -41,5 +41,5 @@ def as_list(value: Column) -> Column:
 
 def json_string(text: Column | str) -> Column:
     """JSON string literal, quotes included, of a text."""
-    packed = F.to_json(F.array(text))
-    return F.substring(packed, F.lit(2), F.length(packed) - 2)
+    # The array text is ["..."]: only its brackets can be trimmed, the quotes stop it.
+    return F.btrim(F.to_json(F.array(text)), F.lit("[]"))

@@ -203,35 +203,34 @@ def nested_documents(
 
     rows = rows.withColumn("value", _value(depth, boundary))
     for d in range(depth, 0, -1):
-        outer = ["root", "part"] + [f"{c}{i}" for i in range(1, d) for c in ("p", "o", "ord")]
+        # A path is named by its ordinals; the texts above level d ride along.
+        outer = ["root", "part"] + [f"ord{i}" for i in range(1, d)]
+        above = [f"{c}{i}" for i in range(1, d) for c in ("p", "o")]
+        riding = [F.first(c).alias(c) for c in above]
         values = F.array_sort(F.collect_list(F.struct(F.col(f"ord{d}").alias("ord"), "value")))
         texts = F.transform("_values", lambda x: x["value"])
         json_value = F.when(F.size("_values") == 1, F.get(texts, F.lit(0))).otherwise(
             F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
         )
-        prop = F.when(
-            F.col(f"p{d}").isNotNull(),
-            F.concat(json_string(shorten(f"p{d}", prefixes)), F.lit(":"), json_value),
-        )
+        prop = F.concat(json_string(shorten(f"p{d}", prefixes)), F.lit(":"), json_value)
         props = (
             rows.groupBy(*outer, f"p{d}")
-            .agg(F.min(f"ord{d}").alias("_first"), values.alias("_values"))
-            .select(*outer, "_first", prop.alias("_prop"))
+            .agg(F.min(f"ord{d}").alias("_first"), values.alias("_values"), *riding)
+            .select(*outer, *above, F.when(F.col("_first").isNotNull(), F.struct("_first", prop.alias("text"))).alias("_p"))
         )
-        listed = F.array_sort(F.collect_list(F.when(F.col("_prop").isNotNull(), F.struct("_first", "_prop"))))
-        nodes = props.groupBy(*outer).agg(listed.alias("_props"))
+        nodes = props.groupBy(*outer).agg(F.array_sort(F.collect_list("_p")).alias("_props"), *riding)
         node = F.col(f"o{d - 1}") if d > 1 else F.col("root")
         tail = F.lit("}") if d > 1 else F.lit(',"status":"success"}')
         body = F.concat(
             F.lit('{"@id":'),
             json_string(node),
             F.lit(","),
-            F.array_join(F.transform("_props", lambda x: x["_prop"]), ","),
+            F.array_join(F.transform("_props", lambda x: x["text"]), ","),
             tail,
         )
         if d > 1:
             body = F.when(F.size("_props") > 0, body).otherwise(_value(d - 1, boundary))
-        rows = nodes.select(*outer, body.alias("value"))
+        rows = nodes.select(*outer, *above, body.alias("value"))
 
     failed = failed_roots(triples, roots).select(
         F.col("uri").alias("root"), F.lit("").alias("part"), F.to_json(F.struct("uri", "status")).alias("doc")

@@ -219,12 +219,19 @@ def vocabulary_rollup(
 ) -> DataFrame:
     """Per ending of ``size`` letters: <root, total, variations, examples>.
 
-    Totals and the examples are aggregated apart: sums combine before the
-    shuffle, and the examples are limited per root before it.
+    The vocabulary is written once, since totals and examples are aggregated
+    apart: sums combine before the shuffle, and the examples are limited per
+    root before it.
     """
+    return _rollup(checkpointed(counts), size, examples).drop("is_word")
+
+
+def _rollup(counts: DataFrame, size: int, examples: int) -> DataFrame:
     rooted = counts.where(F.length("word") >= size).withColumn("root", F.right("word", F.lit(size)))
     totals = rooted.groupBy("root").agg(
-        F.sum("cnt").alias("total"), F.count("*").alias("variations")
+        F.sum("cnt").alias("total"),
+        F.count("*").alias("variations"),
+        F.max(F.length("word") == size).alias("is_word"),
     )
     order = [F.desc("cnt"), F.asc("first_pos"), F.asc("word")]
     best = top_per_group(rooted, ["root"], order, examples)
@@ -233,7 +240,7 @@ def vocabulary_rollup(
     listed = best.groupBy("root").agg(F.array_join(F.transform(shown, lambda x: x["item"]), ", ").alias("shown"))
     more = F.when(F.col("variations") > examples, F.lit("...")).otherwise(F.lit(""))
     return totals.join(listed, "root").select(
-        "root", "total", "variations", F.concat("shown", more).alias("examples")
+        "root", "total", "variations", F.concat("shown", more).alias("examples"), "is_word"
     )
 
 
@@ -248,9 +255,9 @@ def rollup_with_orphans(
 
     Adds ``orphan``; order by ``orphan, total desc`` gives the stored layout.
     """
-    counts = checkpointed(counts)  # read several times below
+    counts = checkpointed(counts)
+    roots = _rollup(counts, size, examples).where("is_word").drop("is_word")
     heads = counts.where(F.length("word") == size).select(F.col("word").alias("root"))
-    roots = vocabulary_rollup(counts, size, examples).join(heads, "root", "left_semi")
     tails = counts.where(F.col("cnt") >= least).withColumn("root", F.right("word", F.lit(size)))
     orphans = lookup_join(tails, heads, ["root"], "left_anti", derived=False).select(
         F.col("word").alias("root"),

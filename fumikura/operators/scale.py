@@ -34,8 +34,9 @@ def pinned(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(made))
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+def is_small(df: DataFrame, rows: int | None = None) -> bool:
     """Whether a frame has at most ``rows`` rows; reads no more than needed."""
+    rows = BROADCAST_ROWS if rows is None else rows
     return df.limit(rows + 1).count() <= rows
 
 
@@ -45,7 +46,7 @@ def lookup_join(
     on: Sequence[str],
     how: str = "left",
     derived: bool = True,
-    rows: int = BROADCAST_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Equi join with one right row per key, safe against hot keys on the left.
 

@@ -20,7 +20,7 @@ def flat_samples(texts: DataFrame, text: str = "value") -> DataFrame:
 
 def read_samples(spark: SparkSession, path: str, flat: bool = False) -> DataFrame:
     """One JSON document per file; its size is set by the length of the top lists."""
-    texts = spark.read.option("wholetext", True).text(path)
+    texts = spark.read.text(path, wholetext=True)
     return flat_samples(texts) if flat else nested_samples(texts)
 
 

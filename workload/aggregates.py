@@ -161,8 +161,10 @@ def wide(spark, sf):
 @query(
     "f3_examples",
     f"""WITH {GRAMS},
-    firsts AS (SELECT CAST(g.n AS BIGINT) AS n, g.gram, md5(d.text) AS title, min(g.doc_id) AS doc_id
-      FROM grams g JOIN gtop t ON g.n = t.n AND g.gram = t.gram JOIN documents d USING (doc_id) GROUP BY g.n, g.gram, d.text)
+    held AS (SELECT DISTINCT g.n, g.gram, g.doc_id FROM grams g JOIN gtop t ON g.n = t.n AND g.gram = t.gram),
+    digest AS (SELECT doc_id, md5(text) AS title FROM documents),
+    firsts AS (SELECT CAST(n AS BIGINT) AS n, gram, title, min(doc_id) AS doc_id
+      FROM held JOIN digest USING (doc_id) GROUP BY n, gram, title)
     SELECT n, gram, place, title FROM (
       SELECT *, row_number() OVER (PARTITION BY n, gram ORDER BY doc_id) AS place FROM firsts) WHERE place <= 10""",
 )

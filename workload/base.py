@@ -310,11 +310,11 @@ def triples(spark, sf) -> DataFrame:
     """All facts, one scan per table: <s, p, o, ord>."""
     out = None
     for name, key, no, facts in FACTS:
-        rows = [
-            F.struct(F.expr(s).alias("s"), F.lit(p).alias("p"), F.expr(o).alias("o"), F.expr(_ord(key, no, k)).alias("ord"))
+        rows = ", ".join(
+            f"named_struct('s', {s}, 'p', '{p}', 'o', {o}, 'ord', {_ord(key, no, k)})"
             for k, (s, p, o) in enumerate(facts)
-        ]
-        part = table(spark, sf, name).select(F.inline(F.array(*rows)))
+        )
+        part = table(spark, sf, name).selectExpr(f"inline(array({rows}))")
         out = part if out is None else out.unionAll(part)
     return out
 
