@@ -99,6 +99,21 @@ def failed_roots(triples: DataFrame, roots: DataFrame) -> DataFrame:
     )
 
 
+def _paged(triples: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
+    """Adds ``page``: 0, or a range of ``ord`` for keys with more than ``most`` rows.
+
+    ``ord`` is unique, so no key has more than ``most`` rows on one page; the
+    pages of a large key start at 1.
+    """
+    sizes = triples.groupBy(*keys).agg(F.count("*").alias("_size"))
+    large = sizes.where(F.col("_size") > most)
+    tagged = lookup_join(triples, large, keys, "left")
+    page = F.call_function("div", F.col("ord"), F.lit(most)) + 1
+    return tagged.withColumn(
+        "page", F.when(F.col("_size").isNotNull(), page).otherwise(F.lit(0).cast("bigint"))
+    ).drop("_size")
+
+
 def grouped_objects(triples: DataFrame, most: int = GROUP_ROWS) -> DataFrame:
     """Objects per subject and property in arrival order: <s, p, page, objects>.
 
@@ -106,15 +121,9 @@ def grouped_objects(triples: DataFrame, most: int = GROUP_ROWS) -> DataFrame:
     cut into pages by ranges of ``ord``, so that no task has to hold it; its
     pages in order give the whole list.
     """
-    sizes = triples.groupBy("s", "p").agg(F.count("*").alias("_size"))
-    large = sizes.where(F.col("_size") > most)
-    tagged = lookup_join(triples, large, ["s", "p"], "left")
-    page = F.when(
-        F.col("_size").isNotNull(), F.call_function("div", F.col("ord"), F.lit(most))
-    ).otherwise(F.lit(0).cast("bigint"))
     listed = F.array_sort(F.collect_list(F.struct("ord", "o")))
     return (
-        tagged.withColumn("page", page)
+        _paged(triples, ["s", "p"], most)
         .groupBy("s", "p", "page")
         .agg(F.transform(listed, lambda x: x["o"]).alias("objects"))
     )
@@ -126,10 +135,8 @@ def collapsed(values: Column | str) -> Column:
     return F.when(F.size(col) == 1, json_string(F.get(col, F.lit(0)))).otherwise(F.to_json(col))
 
 
-def _level(triples: DataFrame, d: int) -> DataFrame:
-    return triples.select(
-        F.col("s").alias(f"s{d}"), F.col("p").alias(f"p{d}"), F.col("o").alias(f"o{d}"), F.col("ord").alias(f"ord{d}")
-    )
+def _level(triples: DataFrame, d: int, *also: str) -> DataFrame:
+    return triples.select(*[F.col(c).alias(f"{c}{d}") for c in ("s", "p", "o", "ord")], *also)
 
 
 def _path(d: int) -> list[Column]:
@@ -138,17 +145,29 @@ def _path(d: int) -> list[Column]:
 
 
 def expand(
-    triples: DataFrame, roots: DataFrame, depth: int = 3, boundary: str | None = None
+    triples: DataFrame,
+    roots: DataFrame,
+    depth: int = 3,
+    boundary: str | None = None,
+    most: int = GROUP_ROWS,
 ) -> DataFrame:
     """One row per path from a root: root, then p, o, ord of every level.
 
     Level 1 holds the triples of the root.  An object that is a sub-node and
     not on its own path is followed if it has triples; columns of levels that
-    do not exist are NULL.  Objects that cannot be followed join on a key of
-    their own, which keeps them spread evenly over the tasks.
+    do not exist are NULL.
+
+    Objects that cannot be followed join on a key of their own, which keeps
+    them spread evenly.  A node with more than ``most`` triples is joined page
+    by page, so its triples never meet in one task.
     """
-    first = _level(of_roots(triples, roots), 1).withColumnRenamed("s1", "root")
-    rows = first
+    rows = _level(of_roots(triples, roots), 1).withColumnRenamed("s1", "root")
+    if depth < 2:
+        return rows
+    paged = _paged(triples, ["s"], most)
+    pages = checkpointed(
+        paged.where(F.col("page") > 0).groupBy("s").agg(F.collect_set("page").alias("_pages"))
+    ).withColumnRenamed("s", "_key")
     for d in range(2, depth + 1):
         node = F.col(f"o{d - 1}")
         on_path = F.lit(False)
@@ -157,8 +176,12 @@ def expand(
         follow = F.coalesce(is_subnode(node, "root", boundary) & ~on_path, F.lit(False))
         own = F.concat(F.lit("\u0000"), *[F.coalesce(F.col(f"ord{i}").cast("string"), F.lit("")) for i in range(1, d)])
         keyed = rows.withColumn("_key", F.when(follow, node).otherwise(own))
-        child = _level(triples, d).withColumnRenamed(f"s{d}", "_key")
-        rows = keyed.join(child, "_key", "left").drop("_key")
+        single = F.array(F.lit(0).cast("bigint"))
+        keyed = lookup_join(keyed, pages, ["_key"], "left", derived=False).withColumn(
+            "_page", F.explode(F.coalesce("_pages", single))
+        )
+        child = _level(paged, d, "page").withColumnRenamed(f"s{d}", "_key").withColumnRenamed("page", "_page")
+        rows = keyed.join(child, ["_key", "_page"], "left").drop("_key", "_page", "_pages")
     return rows
 
 
@@ -191,7 +214,7 @@ def nested_documents(
 
     All levels are folded inside one partitioning by root and part.
     """
-    rows = checkpointed(expand(triples, roots, depth, boundary))
+    rows = checkpointed(expand(triples, roots, depth, boundary, most))
     sizes = rows.groupBy("root").agg(F.count("*").alias("_size"))
     rows = lookup_join(rows, sizes.where(F.col("_size") > most), ["root"], "left")
     slices = [

@@ -134,7 +134,10 @@ def gram_examples(
     rest = checkpointed(top.join(settled, ["n", "gram"], "left_anti"))
     if not rest.isEmpty():
         found = found.unionByName(_first_titles(titles, rest, *args))
-    return lookup_join(titles.select(ord_col, title), found, [ord_col], "inner").select(
+    found = checkpointed(found)  # at most sizes x top words x limit rows
+    last = found.agg(F.max(ord_col)).first()[0]
+    texts = titles.select(ord_col, title).where(F.col(ord_col) <= F.lit(last))
+    return lookup_join(texts, found, [ord_col], "inner", derived=False).select(
         "n", "gram", "place", F.col(title).alias("title")
     )
 

@@ -59,14 +59,19 @@ def lookup_join(
         right = checkpointed(right)
     if is_small(right, rows):
         return left.join(F.broadcast(right), list(on), how)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in _hashable(left)]), F.lit(_SALTS)).cast("int")
     repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    joined = left.withColumn("_salt", salt).join(repeated, [*on, "_salt"], how)
+    joined = left.withColumn("_salt", _salt(left)).join(repeated, [*on, "_salt"], how)
     return joined.drop("_salt")
 
 
-def _hashable(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if f.dataType.typeName() not in ("variant", "map")]
+def _salt(df: DataFrame) -> Column:
+    """Salt of a row, the same when a lost task runs again.
+
+    The partition number takes part, so that equal rows are spread as well.
+    """
+    plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("variant", "map")]
+    mixed = F.xxhash64(*[F.col(c) for c in plain], F.spark_partition_id())
+    return F.pmod(mixed, F.lit(_SALTS)).cast("int")
 
 
 def top_rows(df: DataFrame, order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -88,8 +93,7 @@ def top_per_group(
     hot group.
     """
     if k > _PRESHUFFLE_LIMIT:
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in _hashable(df)]), F.lit(_SALTS)).cast("int")
-        salted = df.withColumn("_salt", salt)
+        salted = df.withColumn("_salt", _salt(df))
         first = F.row_number().over(Window.partitionBy(*group, "_salt").orderBy(*order))
         df = salted.withColumn("_first", first).where(F.col("_first") <= k).drop("_first", "_salt")
     number = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
@@ -102,10 +106,12 @@ def with_dense_rank(df: DataFrame, order: Sequence[Column], rank: str = "rank")
     """Number all rows 1..N along a total order without one task seeing them all.
 
     The rows are range-sorted and written once with their partition and place
-    in it; the partition sizes, one row each, give the offsets.
+    in it; the partition sizes, one row each, give the offsets.  The number of
+    the partition a row comes from breaks ties, which spreads equal rows.
     """
     place = F.monotonically_increasing_id()
-    rows = checkpointed(df.orderBy(*order).withColumn("_place", place))
+    sourced = df.withColumn("_source", F.spark_partition_id())
+    rows = checkpointed(sourced.orderBy(*order, "_source").drop("_source").withColumn("_place", place))
     part = F.shiftright(F.col("_place"), 33)
     sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -101,6 +101,11 @@ def test_frontier(spark, rows, limit):
     assert rows(got, "depth", "node") == [x for x in want if limit is None or x[0] <= limit]
 
 
+def test_large_inner_nodes_join_page_by_page(spark, rows):
+    want = rows(graph.expand(triples(spark), roots(spark, "http://x1", "http://x10"), 4))
+    assert rows(graph.expand(triples(spark), roots(spark, "http://x1", "http://x10"), 4, most=1)) == want
+
+
 def test_groups_keep_order_and_duplicates_and_page(spark):
     got = {(r.s, r.p): r.objects for r in graph.grouped_objects(triples(spark)).collect()}
     assert got["http://x1", S + "part"] == ["http://x1#a", "http://x1#a"]
