@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -32,16 +33,42 @@ def first_hit(text: Column | str, words: Sequence[str]) -> Column:
     return cases
 
 
-def _literal(word: str) -> str:
-    return "\\Q" + word.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+_META = frozenset("\\.[]{}()*+-?^$|&#")
+
+
+def _literal(text: str) -> str:
+    return "".join("\\" + c if c in _META else c for c in text)
+
+
+def alternation(words: Sequence[str]) -> str:
+    """Pattern that matches like ``a|b|c``, with common beginnings factored out.
+
+    Words with different first letters never match at the same place, so they
+    may be grouped by it as long as a group keeps its order.  A word that ends
+    inside a group hides all later words of that group.
+    """
+    groups: dict[str, list[str]] = {}
+    ends = None
+    for at, word in enumerate(words):
+        if not word:
+            ends = at
+            break
+        groups.setdefault(word[0], []).append(word)
+    branches = []
+    for members in groups.values():
+        shared = os.path.commonprefix(members)
+        rest = [m[len(shared):] for m in members]
+        branches.append(_literal(shared) + (alternation(rest) if any(rest) else ""))
+    if ends is not None:
+        branches.append("")
+    return branches[0] if len(branches) == 1 and not any("|" in b for b in branches) else "(?:" + "|".join(branches) + ")"
 
 
 def leftmost_hit(text: Column | str, words: Sequence[str]) -> Column:
     """Word found earliest *in the text*, ties by list order, else NULL."""
     if not words:
         return F.lit(None).cast("string")
-    pattern = "|".join(_literal(word) for word in words)
-    return F.nullif(F.regexp_extract(text, pattern, 0), F.lit(""))
+    return F.nullif(F.regexp_extract(text, alternation(words), 0), F.lit(""))
 
 
 def first_hit_join(
@@ -156,6 +183,12 @@ def annotate(raw: Column | str, **fields: Column) -> Column:
     return F.concat(F.lit("{"), body, joint, inner, F.lit("}"))
 
 
+def verdict_line(raw: Column | str, reason: Column | str, is_score: Column | str) -> Column:
+    """Line to write after a split: undecided rows as they came, others with their reason."""
+    marked = annotate(raw, _filter_reason=_col(reason), is_score=_col(is_score))
+    return F.when(_col(reason).isNull(), _col(raw)).otherwise(marked)
+
+
 def reason_counts(rows: DataFrame, verdict: str = "verdict", word: str = "word") -> DataFrame:
     """Hits per verdict and word: <verdict, word, cnt>."""
     hits = rows.where(F.col(word).isNotNull())

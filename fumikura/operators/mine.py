@@ -111,7 +111,7 @@ def gram_examples(
     ord_col: str = "ord",
     title: str = "title",
     symbols: str | None = settings.GRAM_SYMBOLS,
-    head: int = 2_000,
+    head: int = 500,
 ) -> DataFrame:
     """Up to ``limit`` distinct example titles per top gram, in input order.
 

@@ -10,6 +10,7 @@ from .. import settings
 from ..functions import words as w
 from .match import cover_state, dual_cover_state, protection
 from .scale import lookup_join, top_rows, with_dense_rank
+from .search import holds_pattern
 
 NO_SAMPLE = "no sample"
 
@@ -78,8 +79,9 @@ def verified(judged: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def verdict_summary(judged: DataFrame) -> DataFrame:
-    """<is_score, cnt>, unknown as NULL."""
-    return judged.groupBy("is_score").agg(F.count("*").alias("cnt"))
+    """<is_score, cnt, overrides>, unknown as NULL; counts ``overridden`` if it is there."""
+    flag = F.col("overridden") if "overridden" in judged.columns else F.lit(False)
+    return judged.groupBy("is_score").agg(F.count("*").alias("cnt"), F.count_if(flag).alias("overrides"))
 
 
 # -- decision logs -------------------------------------------------------------
@@ -193,17 +195,30 @@ def subject_queue(
 
 
 def word_queue(
-    ranked: DataFrame, selected: DataFrame, samples: DataFrame | None = None, how: str = "suffix"
+    ranked: DataFrame,
+    selected: DataFrame,
+    samples: DataFrame | None = None,
+    how: str = "suffix",
+    limit: int = settings.TOP_SUFFIXES,
 ) -> DataFrame:
-    """Ranked words <n, rank, word, cnt> against one list, with examples."""
-    rows = cover_state(ranked, selected, how)
+    """First ``limit`` ranked words <n, rank, word, cnt> per size against one list."""
+    rows = cover_state(ranked.where(F.col("rank") <= limit), selected, how)
     rows = rows.withColumn("link", w.lookup_link("word"))
     return rows if samples is None else with_samples(rows, samples)
 
 
 def dual_queue(
-    ranked: DataFrame, drop: DataFrame, keep: DataFrame, samples: DataFrame | None = None
+    ranked: DataFrame,
+    drop: DataFrame,
+    keep: DataFrame,
+    samples: DataFrame | None = None,
+    pattern: str | None = None,
+    limit: int = settings.TOP_GRAMS,
 ) -> DataFrame:
-    """Ranked words <n, rank, word, cnt> against drop and keep list."""
-    rows = dual_cover_state(ranked, drop, keep).withColumn("link", w.lookup_link("word"))
+    """Ranked words <n, rank, word, cnt> against drop and keep list.
+
+    With a search pattern all matching words are shown, else the first ``limit``.
+    """
+    shown = ranked.where(F.col("rank") <= limit) if pattern is None else ranked.where(holds_pattern("word", pattern))
+    rows = dual_cover_state(shown, drop, keep).withColumn("link", w.lookup_link("word"))
     return rows if samples is None else with_samples(rows, samples)

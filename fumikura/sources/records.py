@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..functions.variants import field
 from ..operators.scale import lookup_join, pinned
 from ..session import checkpointed
 
@@ -61,6 +64,20 @@ def numbered(lines: DataFrame, ord_col: str = "ord") -> DataFrame:
     return placed.withColumn(ord_col, number).drop("_first", "_offset")
 
 
+def field_names(records: DataFrame, raw: str = "raw", most: int = 10_000) -> list[str]:
+    """All top-level keys, sorted; a corpus with more than ``most`` is refused."""
+    keys = records.select(F.explode(F.json_object_keys(raw)).alias("key")).distinct().orderBy("key")
+    names = [r.key for r in keys.limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} keys; name the columns you need")
+    return names
+
+
+def as_columns(records: DataFrame, keys: Sequence[str], rec: str = "rec", kept: Sequence[str] = ()) -> DataFrame:
+    """One text column per key, lists and objects as JSON text; for CSV output."""
+    return records.select(*kept, *[field(rec, key, "string").alias(key) for key in keys])
+
+
 def write_lines(rows: DataFrame, path: str, raw: str | Column = "raw", mode: str = "error") -> None:
     """The text column as it is, one row per line."""
     rows.select(F.col(raw) if isinstance(raw, str) else raw).write.mode(mode).text(path)

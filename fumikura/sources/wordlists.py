@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.variants import json_string
 from ..functions.words import strip
 from ..operators.scale import is_small, with_dense_rank
 from ..session import checkpointed
@@ -71,11 +72,12 @@ def write_word_list(words: DataFrame, path: str, mode: str = "error") -> int:
 
 
 def list_as_code(words: DataFrame, name: str, page_size: int = LIST_ROWS) -> DataFrame:
-    """``NAME = ["a", "b"]`` with sorted unique words: <page, code>.
+    """``NAME = ["a", "b"]`` with sorted unique words, one per line: <page, code>.
 
     One row per ``page_size`` words, so one row for a list of usual length.
     """
     ranked = with_dense_rank(words.select("word").distinct(), [F.asc("word")], "_no")
     page = F.call_function("div", F.col("_no") - 1, F.lit(page_size))
-    body = F.to_json(F.array_sort(F.collect_list("word")))
-    return ranked.groupBy(page.alias("page")).agg(F.concat(F.lit(f"{name} = "), body).alias("code"))
+    words = F.transform(F.array_sort(F.collect_list("word")), json_string)
+    body = F.concat(F.lit(f"{name} = ["), F.array_join(words, ",\n    "), F.lit("]"))
+    return ranked.groupBy(page.alias("page")).agg(body.alias("code"))

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,6 +25,28 @@ def test_list_order_beats_text_order(spark):
     assert hits(df.withColumn("hit", found)) == ["伝記", "人名録", None]
 
 
+def test_factored_pattern_matches_like_the_plain_one(spark):
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("ab.譜|") for _ in range(12)) for _ in range(150)]
+    df = titles(spark, *texts)
+    for _ in range(6):
+        words = list(dict.fromkeys("".join(rnd.choice("ab.譜|") for _ in range(rnd.randint(1, 4))) for _ in range(9)))
+        plain = re.compile("|".join(map(re.escape, words)))
+        want = [m.group() if (m := plain.search(x)) else None for x in texts]
+        assert hits(df.withColumn("hit", match.leftmost_hit("title", words))) == want
+    stock = [f"https://k.example/term/{x}" for x in ("伝記", "伝記--人名録類", "俳諧", "俳文")]
+    assert match.alternation(stock).count("https") == 1
+
+
+def test_verdict_lines(spark):
+    df = titles(spark, "目録", "楽譜", "x").withColumn("raw", F.concat(F.lit('{"t":"'), "title", F.lit('"}')))
+    split = match.split_three_ways(df, ["目録"], ["楽譜"])
+    got = split.orderBy("id").select(match.verdict_line("raw", "reason", "is_score").alias("x")).collect()
+    assert [r.x for r in got] == [
+        '{"t":"目録", "_filter_reason":"NG: 目録"}', '{"t":"楽譜", "_filter_reason":"OK: 楽譜","is_score":true}', '{"t":"x"}'
+    ]
+
+
 def test_words_are_literal(spark):
     df = titles(spark, "a.b", "axb", "c\\Ed", "(x)*")
     found = match.leftmost_hit("title", ["a.b", "c\\Ed", "(x)*"])

@@ -58,6 +58,8 @@ def test_verified(spark, rows):
     assert rows(got) == [
         ("1", "one", False, "r", True), ("2", "two", False, "", False), ("3", "three", True, "", True), ("4", "four", False, "x", False)
     ]
+    marked = review.with_override(review.unify_columns(judged(spark)), review.last_decisions(log))
+    assert {r.is_score: r.overrides for r in review.verdict_summary(marked).collect()} == {True: 1, False: 0, None: 1}
     summary = {r.is_score: r.cnt for r in review.verdict_summary(review.unify_columns(judged(spark))).collect()}
     assert summary == {True: 1, False: 1, None: 2}
 

@@ -87,6 +87,22 @@ def test_csv_sink(spark, tmp_path):
         rankings.write_csv(df, str(tmp_path / "c"), bom=True, quote_all=True)
 
 
+def test_discarded_records_as_table(spark, tmp_path):
+    raw = ['{"b":["x",1],"rdfs:label":"l"}', '{"a":{"k":null},"rdfs:label":null}']
+    recs = records.parse_records(spark.createDataFrame([(r,) for r in raw], "raw string"))
+    names = records.field_names(recs)
+    assert names == ["a", "b", "rdfs:label"]
+    table = records.as_columns(recs.withColumn("exclusion_reason", F.lit("NG Hit: x")), names, kept=["exclusion_reason"])
+    assert sorted((tuple(r) for r in table.collect()), key=repr) == sorted(
+        [("NG Hit: x", None, '["x",1]', "l"), ("NG Hit: x", '{"k":null}', None, None)], key=repr
+    )
+    rankings.write_csv(table, str(tmp_path / "d"), ["exclusion_reason", "rdfs:label"], quote_all=True)
+    back = rankings.read_table(spark, str(tmp_path / "d"))
+    assert back.columns == ["exclusion_reason", "rdfs:label", "a", "b"] and back.count() == 2
+    with pytest.raises(ValueError):
+        records.field_names(recs, most=2)
+
+
 def test_packed_ranking_file(spark, tmp_path):
     path = put(tmp_path / "p.csv", "﻿Rank,Last2 (例:家譜),Last3 (例)\n1,曲譜 (186),平曲譜 (79)\n2,琴 (x) (3),\n3,plain,\n")
     assert sorted(tuple(r) for r in rankings.read_packed_ranking(spark, path).collect()) == [
@@ -109,9 +125,9 @@ def test_word_lists(spark, tmp_path):
 
 def test_list_as_code(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("楽",)], "word string")
-    assert [r.code for r in wordlists.list_as_code(df, "STRONG_KEYWORDS").collect()] == ['STRONG_KEYWORDS = ["a","b","楽"]']
+    assert [r.code for r in wordlists.list_as_code(df, "STRONG_KEYWORDS").collect()] == ['STRONG_KEYWORDS = ["a",\n    "b",\n    "楽"]']
     pages = wordlists.list_as_code(df, "X", 2).orderBy("page").collect()
-    assert [r.code for r in pages] == ['X = ["a","b"]', 'X = ["楽"]']
+    assert [r.code for r in pages] == ['X = ["a",\n    "b"]', 'X = ["楽"]']
 
 
 def test_samples(spark, tmp_path, rows):

@@ -9,7 +9,7 @@ from fumikura.operators import graph, match, mine, review, search
 from fumikura.operators.scale import top_per_group
 
 from . import base, filters, joins
-from .base import GRAMS, JUDGED, REC, SUBJECTS, SUFFIX, TRIPLES, VOCAB, query, table
+from .base import DECIDED, GRAMS, JUDGED, REC, SUBJECTS, SUFFIX, TRIPLES, VOCAB, query, table
 from .filters import SPLIT
 from .joins import HARVEST
 
@@ -137,9 +137,14 @@ def new_ids(spark, sf):
     return joins.harvested(spark, sf).stats.withColumn("pattern", F.col("pattern").cast("bigint"))
 
 
-@query("e13_dist", f"WITH {JUDGED} SELECT is_score, count(*) AS cnt FROM judged GROUP BY is_score")
+@query(
+    "e13_dist",
+    f"""WITH {JUDGED}, {DECIDED} SELECT is_score, count(*) AS cnt, count(decision) AS overrides
+    FROM judged LEFT JOIN decided USING (id) GROUP BY is_score""",
+)
 def dist(spark, sf):
-    return review.verdict_summary(review.unify_columns(base.judged(spark, sf)))
+    decided = review.last_decisions(base.decision_log(spark, sf))
+    return review.verdict_summary(review.with_override(review.unify_columns(base.judged(spark, sf)), decided))
 
 
 @query("f1_topn", f"WITH {GRAMS} SELECT n, rank, gram, cnt FROM gtop")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fumikura.functions import titles as t, words as w
+from fumikura.functions.variants import field
 from fumikura.operators import match, mine
 from fumikura.operators.scale import pinned
 from fumikura.session import scratch_path
@@ -133,21 +134,30 @@ def list_out(spark, sf):
     "a13_verdict_parts",
     f"""WITH hit AS (SELECT 'doc/' || doc_id AS id, {base.sql_first_hit('text', base.DROP)} AS ng,
       {base.sql_first_hit('text', base.KEEP)} AS ok FROM documents)
-    SELECT id, CASE WHEN ng IS NOT NULL THEN 'ng' WHEN ok IS NOT NULL THEN 'ok' ELSE 'gray' END AS verdict FROM hit""",
+    SELECT id, CASE WHEN ng IS NOT NULL THEN 'ng' WHEN ok IS NOT NULL THEN 'ok' ELSE 'gray' END AS verdict,
+      coalesce('NG: ' || ng, 'OK: ' || ok) AS reason, CASE WHEN ng IS NULL AND ok IS NOT NULL THEN TRUE END AS is_score
+    FROM hit""",
 )
 def verdict_parts(spark, sf):
     rows = pinned(base.parsed(spark, sf), title=t.title_of_list("rec"))
     split = match.split_three_ways(rows, base.DROP, base.KEEP, "doc_id")
     path = scratch_path(spark, "split")
-    records.write_by_verdict(split, path)
+    line = match.verdict_line("raw", "reason", "is_score")
+    records.write_by_verdict(split.withColumn("line", line), path, "line")
     back = records.parse_records(spark.read.text(path).withColumnRenamed("value", "raw"))
-    return back.select(t.record_id("rec").alias("id"), "verdict")
+    return back.select(
+        t.record_id("rec").alias("id"),
+        "verdict",
+        field("rec", "_filter_reason", "string").alias("reason"),
+        field("rec", "is_score", "boolean").alias("is_score"),
+    )
 
 
 @query(
     "a15_list_json",
     f"""WITH {VOCAB} SELECT CAST(0 AS BIGINT) AS page,
-      'NOISE_PATTERNS = ' || CAST(to_json(list(word ORDER BY word)) AS VARCHAR) AS code FROM vocab""",
+      'NOISE_PATTERNS = ' || replace(CAST(to_json(list(word ORDER BY word)) AS VARCHAR), ',', ',' || chr(10) || '    ') AS code
+    FROM vocab""",
 )
 def list_json(spark, sf):
     return wordlists.list_as_code(base.vocabulary(spark, sf), "NOISE_PATTERNS")
