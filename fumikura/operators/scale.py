@@ -12,6 +12,7 @@ from ..session import checkpointed
 _PRESHUFFLE_LIMIT = 1000
 _SALTS = 32
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
@@ -34,10 +35,26 @@ def pinned(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(made))
 
 
-def is_small(df: DataFrame, rows: int | None = None) -> bool:
-    """Whether a frame has at most ``rows`` rows; reads no more than needed."""
+def _weight(df: DataFrame) -> Column:
+    """Rough bytes of a row: texts by length, lists by entries, the rest flat."""
+    parts = []
+    for column in df.schema.fields:
+        kind, value = column.dataType.typeName(), F.col(f"`{column.name}`")
+        if kind in ("string", "binary"):
+            parts.append(F.coalesce(F.octet_length(value), F.lit(0)))
+        elif kind == "array":
+            parts.append(F.when(value.isNotNull(), F.size(value)).otherwise(0) * 8)
+    return sum(parts, F.lit(16 * len(df.columns))).cast("bigint")
+
+
+def is_small(df: DataFrame, rows: int | None = None, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a frame has at most ``rows`` rows and about ``size`` bytes.
+
+    Reads no more rows than needed to tell.
+    """
     rows = BROADCAST_ROWS if rows is None else rows
-    return df.limit(rows + 1).count() <= rows
+    seen = df.limit(rows + 1).agg(F.count("*"), F.sum(_weight(df))).first()
+    return seen[0] <= rows and (seen[1] or 0) <= size
 
 
 def lookup_join(
@@ -50,7 +67,7 @@ def lookup_join(
 ) -> DataFrame:
     """Equi join with one right row per key, safe against hot keys on the left.
 
-    A right side counted as small is broadcast.  Otherwise the left rows of a
+    A right side measured as small, in rows and bytes, is broadcast.  Otherwise the left rows of a
     key are spread over salts and the right side is repeated once per salt.
     A derived right side is written first, so that counting it and joining it
     do not compute it twice; pass ``derived=False`` for a stored table.

@@ -141,6 +141,7 @@ def new_ids(spark, sf):
     "e13_dist",
     f"""WITH {JUDGED}, {DECIDED} SELECT is_score, count(*) AS cnt, count(decision) AS overrides
     FROM judged LEFT JOIN decided USING (id) GROUP BY is_score""",
+    text=("is_score",),
 )
 def dist(spark, sf):
     decided = review.last_decisions(base.decision_log(spark, sf))
@@ -206,7 +207,7 @@ def page(spark, sf):
     return graph.page_after(joins.harvested(spark, sf).hits.groupBy("s").agg(F.sum("hits").alias("hits")), _LAST)
 
 
-@query("f7_sample", f"WITH {JUDGED} SELECT id, is_score FROM judged ORDER BY md5(id || '#7'), id LIMIT 300")
+@query("f7_sample", f"WITH {JUDGED} SELECT id, is_score FROM judged ORDER BY md5(id || '#7'), id LIMIT 300", text=("is_score",))
 def sample(spark, sf):
     rows = review.unify_columns(base.judged(spark, sf))
     return review.sample_rows(rows, seed="7").select("id", "is_score")

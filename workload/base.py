@@ -15,13 +15,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query and, if SQL can say it, its expected result."""
+def query(name: str, sql: str | None = None, text: tuple[str, ...] = ()):
+    """Register a query and, if SQL can say it, its expected result.
+
+    Columns named in ``text``, true, false or unknown, are given as text.
+    """
 
     def register(fn):
         QUERIES[name] = fn
+        if text:
+            QUERIES[name] = lambda spark, sf: fn(spark, sf).withColumns({c: F.col(c).cast("string") for c in text})
         if sql is not None:
-            ORACLES[name] = sql
+            casts = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in text)
+            ORACLES[name] = f"SELECT * REPLACE ({casts}) FROM ({sql})" if text else sql
         return fn
 
     return register

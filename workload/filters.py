@@ -76,7 +76,7 @@ def split(spark, sf):
     return match.split_three_ways(base.ids_titles(spark, sf), base.DROP, base.KEEP).drop("title")
 
 
-@query("c6_split", f"WITH {SPLIT} SELECT id, verdict, word, reason, is_score FROM split")
+@query("c6_split", f"WITH {SPLIT} SELECT id, verdict, word, reason, is_score FROM split", text=("is_score",))
 def three_ways(spark, sf):
     return split(spark, sf)
 

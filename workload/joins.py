@@ -142,6 +142,7 @@ def sample_lookup(spark, sf):
     "d7_override",
     f"""WITH {JUDGED}, {DECIDED} SELECT id, is_score, coalesce(decision, is_score) AS final,
       decision IS NOT NULL AS overridden FROM judged LEFT JOIN decided USING (id)""",
+    text=("is_score", "final",),
 )
 def override(spark, sf):
     rows = review.unify_columns(base.judged(spark, sf))

@@ -24,7 +24,7 @@ def _asked_sql(text: str) -> str:
         ELSE 'no known word' END AS reason"""
 
 
-@query("h4_judge", f"WITH {REC} SELECT id, title AS label, {_asked_sql('text')} FROM rec")
+@query("h4_judge", f"WITH {REC} SELECT id, title AS label, {_asked_sql('text')} FROM rec", text=("judgment",))
 def judged(spark, sf):
     return judge.judge(base.parsed(spark, sf), judge.keyword_scorer(YES, NO), parallelism=8)
 

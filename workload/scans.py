@@ -137,6 +137,7 @@ def list_out(spark, sf):
     SELECT id, CASE WHEN ng IS NOT NULL THEN 'ng' WHEN ok IS NOT NULL THEN 'ok' ELSE 'gray' END AS verdict,
       coalesce('NG: ' || ng, 'OK: ' || ok) AS reason, CASE WHEN ng IS NULL AND ok IS NOT NULL THEN TRUE END AS is_score
     FROM hit""",
+    text=("is_score",),
 )
 def verdict_parts(spark, sf):
     rows = pinned(base.parsed(spark, sf), title=t.title_of_list("rec"))

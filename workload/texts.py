@@ -150,6 +150,7 @@ def _replies(spark, sf):
     f"""WITH {REC} SELECT id, source AS label, CASE WHEN lang IN ('en', 'fr') THEN quality = 1 END AS judgment,
       CASE WHEN lang IN ('en', 'fr') THEN 'from ' || source WHEN lang = 'de'
         THEN 'API Error: braced block is not JSON' ELSE 'JSON Parse Error' END AS reason FROM rec""",
+    text=("judgment",),
 )
 def reply_parse(spark, sf):
     return judge.judgments(_replies(spark, sf))
@@ -173,7 +174,7 @@ def reply_cols(spark, sf):
     )
 
 
-@query("b16_rename", f"WITH {JUDGED} SELECT id, label, is_score, reason FROM judged")
+@query("b16_rename", f"WITH {JUDGED} SELECT id, label, is_score, reason FROM judged", text=("is_score",))
 def rename(spark, sf):
     return review.unify_columns(base.judged(spark, sf).withColumnRenamed("reason", "thought"))
 
