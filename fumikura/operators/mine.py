@@ -10,9 +10,10 @@ from .. import settings
 from ..functions import words as w
 from ..functions.variants import as_list, field, is_kind
 from ..session import checkpointed
-from .scale import lookup_join, top_per_group, top_rows, with_dense_rank
+from .scale import lookup_join, pinned, top_per_group, top_rows, with_dense_rank
 
 _CHUNK = 64
+INLINE_GRAMS = 2_000  # grams tested one by one inside an expression
 SPACING = 1 << 24  # room for character positions between two record ordinals
 
 
@@ -90,16 +91,28 @@ def top_grams(counts: DataFrame, k: int = settings.TOP_GRAMS) -> DataFrame:
 
 
 def _first_titles(
-    titles: DataFrame, grams: DataFrame, sizes: Sequence[int], limit: int, ord_col: str, title: str,
-    symbols: str | None,
+    titles: DataFrame, grams: DataFrame, limit: int, ord_col: str, title: str, symbols: str | None
 ) -> DataFrame:
-    """<n, gram, place, ord> of the first distinct titles; equal titles meet by digest."""
-    keyed = titles.where(F.col(title) != "").select(
-        ord_col, title, F.unhex(F.sha2(title, 256)).alias("_key")
-    )
-    wins = text_windows(keyed, max(sizes), title, [ord_col, "_key"], symbols)
-    heads = wins.select(ord_col, "_key", _heads(sizes)).where(F.length("gram") == F.col("n"))
-    hits = lookup_join(heads, grams.select("n", "gram"), ["n", "gram"], "left_semi", derived=False)
+    """<n, gram, place, ord> of the first distinct titles; equal titles meet by digest.
+
+    A list of usual length is tested gram by gram inside one expression, which
+    gives every gram once per title.  A longer one is joined to the windows.
+    """
+    text = F.col(title) if symbols is None else w.drop_symbols(title, symbols)
+    keyed = titles.where(F.col(title) != "")
+    digest = F.unhex(F.sha2(title, 256))
+    few = grams.limit(INLINE_GRAMS + 1).collect()
+    if len(few) <= INLINE_GRAMS:
+        listed = F.array(*[F.lit(r.gram) for r in few])
+        ready = pinned(keyed.select(ord_col, title), _text=text, _key=digest)
+        held = F.filter(listed, lambda gram: F.contains(F.col("_text"), gram))
+        hits = ready.select(ord_col, "_key", F.explode(held).alias("gram")).withColumn("n", F.length("gram"))
+    else:
+        sizes = [r.n for r in grams.select("n").distinct().collect()]  # one row per gram size
+        ready = keyed.select(ord_col, title, digest.alias("_key"))
+        wins = text_windows(ready, max(sizes), title, [ord_col, "_key"], symbols)
+        heads = wins.select(ord_col, "_key", _heads(sizes)).where(F.length("gram") == F.col("n"))
+        hits = lookup_join(heads, grams.select("n", "gram"), ["n", "gram"], "left_semi", derived=False)
     firsts = hits.groupBy("n", "gram", "_key").agg(F.min(ord_col).alias(ord_col))
     return top_per_group(firsts, ["n", "gram"], [F.asc(ord_col)], limit, "place").drop("_key")
 
@@ -121,11 +134,10 @@ def gram_examples(
     input.  The result is the same as that of one pass over everything.
     """
     top = checkpointed(top.select("n", "gram"))
-    sizes = [r.n for r in top.select("n").distinct().collect()]  # one row per gram size
-    if not sizes:
+    if top.isEmpty():
         empty = "n int, gram string, place bigint, title string"
         return titles.sparkSession.createDataFrame([], empty)
-    args = (sizes, limit, ord_col, title, symbols)
+    args = (limit, ord_col, title, symbols)
     end = titles.select(ord_col).orderBy(ord_col).limit(head).agg(F.max(ord_col)).first()[0]
     early = checkpointed(_first_titles(titles.where(F.col(ord_col) <= F.lit(end)), top, *args))
     settled = early.groupBy("n", "gram").count().where(F.col("count") >= limit)

@@ -38,9 +38,10 @@ def test_gram_counts_and_tie_order(spark):
     ]
 
 
-@pytest.mark.parametrize("head, broadcast_rows", [(1, 200_000), (7, 200_000), (10_000, 0)])
-def test_examples(spark, monkeypatch, head, broadcast_rows):
+@pytest.mark.parametrize("head, broadcast_rows, inline", [(1, 200_000, 99), (7, 200_000, 0), (10_000, 0, 0), (7, 0, 99)])
+def test_examples(spark, monkeypatch, head, broadcast_rows, inline):
     monkeypatch.setattr(scale, "BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr(mine, "INLINE_GRAMS", inline)
     want = defaultdict(list)
     for text in TEXTS:
         for n in (2, 3):
