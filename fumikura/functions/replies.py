@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import settings
-from .variants import field, is_kind
+from .variants import field, is_json, is_kind
 from .words import _col
 
 PARSE_ERROR = "JSON Parse Error"
@@ -40,7 +40,9 @@ def prompt(title: Column, label: Column, description: Column, template: str = PR
 def parsed_reply(reply: Column | str) -> Column:
     """The reply as JSON, else its braced block as JSON, else NULL."""
     block = F.nullif(F.regexp_extract(reply, settings.BRACED_BLOCK, 0), F.lit(""))
-    return F.coalesce(F.try_parse_json(reply), F.try_parse_json(block))
+    return F.coalesce(
+        F.when(is_json(reply), F.try_parse_json(reply)), F.when(is_json(block), F.try_parse_json(block))
+    )
 
 
 def reply_failure(reply: Column | str, parsed: Column) -> Column:

@@ -8,6 +8,22 @@ from pyspark.sql import Column, functions as F
 _EMPTY_TEXTS = ("0", "0.0", "-0.0", "-0", "false", "[]", "{}")
 
 
+def is_json(raw: Column | str) -> Column:
+    """Whether the whole text is one JSON value.
+
+    Spark's parsers stop after the first value, so the text is put between two
+    keys: anything left over breaks the object or adds a key.
+    """
+    raw = F.col(raw) if isinstance(raw, str) else raw
+    framed = F.concat(F.lit('{"r":'), raw, F.lit(',"e":0}'))
+    return F.coalesce(F.json_object_keys(framed) == F.array(F.lit("r"), F.lit("e")), F.lit(False))
+
+
+def is_json_object(raw: Column | str) -> Column:
+    raw = F.col(raw) if isinstance(raw, str) else raw
+    return raw.rlike(r"^\s*\{") & is_json(raw)
+
+
 def field(rec: Column | str, key: str, kind: str = "variant") -> Column:
     """Value of a top-level key, any characters allowed in the key."""
     return F.try_variant_get(rec, f'$["{key}"]', kind)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import settings
 from ..functions import words as w
-from ..functions.variants import as_list, field, is_kind
+from ..functions.variants import as_list, field, is_json_object, is_kind
 from ..session import checkpointed
 from .scale import lookup_join, pinned, top_per_group, top_rows, with_dense_rank
 
@@ -286,7 +286,7 @@ def rollup_with_orphans(
 
 def field_presence(records: DataFrame, raw: str = "raw") -> DataFrame:
     """Records per top-level key and their share: <field, cnt, percent>."""
-    whole = records.where(F.json_object_keys(raw).isNotNull())
+    whole = records.where(is_json_object(raw))
     total = whole.select(F.count("*")).scalar()
     keys = whole.select(F.explode(F.array_distinct(F.json_object_keys(raw))).alias("field"))
     counts = keys.groupBy("field").agg(F.count("*").alias("cnt"))

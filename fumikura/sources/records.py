@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.variants import field
+from ..functions.variants import field, is_json, is_json_object
 from ..operators.scale import lookup_join, pinned
 from ..session import checkpointed
 
@@ -28,8 +28,7 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def parse_records(lines: DataFrame, raw: str = "raw") -> DataFrame:
     """Adds ``rec``; lines that are blank, broken or no JSON object are dropped."""
-    is_object = F.json_object_keys(raw).isNotNull()
-    return pinned(lines, rec=F.when(is_object, F.try_parse_json(raw))).where(F.col("rec").isNotNull())
+    return pinned(lines, rec=F.when(is_json_object(raw), F.try_parse_json(raw))).where(F.col("rec").isNotNull())
 
 
 def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -39,11 +38,10 @@ def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def scan_counts(lines: DataFrame, raw: str = "raw") -> DataFrame:
     """One row <lines, parsed, objects>."""
-    ok = F.try_parse_json(raw).isNotNull()
     return lines.agg(
         F.count("*").alias("lines"),
-        F.count_if(ok).alias("parsed"),
-        F.count_if(ok & F.json_object_keys(raw).isNotNull()).alias("objects"),
+        F.count_if(is_json(raw)).alias("parsed"),
+        F.count_if(is_json_object(raw)).alias("objects"),
     )
 
 

@@ -88,6 +88,8 @@ REPLIES = {
     "json": ('{"is_score": true, "reason": "楽"}', True, "楽"),
     "prose": ('Sure:\n{"is_score": false,\n "reason": "n"} bye', False, "n"),
     "null": ('{"is_score": null}', None, ""),
+    "trailing": ('{"is_score": true, "reason": "r"} thanks', True, "r"),
+    "two": ('{"is_score": true} and {"is_score": false}', None, replies.CALL_ERROR + "braced block is not JSON"),
     "text": ("no braces here", None, replies.PARSE_ERROR),
     "broken": ("{not json}", None, replies.CALL_ERROR + "braced block is not JSON"),
     "list": ("[1]", None, replies.CALL_ERROR + "reply is not an object"),

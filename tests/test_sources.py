@@ -24,6 +24,15 @@ def test_tolerant_scan_and_counts(spark, tmp_path):
     assert (counts.lines, counts.parsed, counts.objects) == (8, 5, 2)
 
 
+def test_leftovers_after_a_value_spoil_the_line(spark):
+    bad = ['{"a":1} x', '{"a":1}]', '{"a":1}}', '{"a":1},"q":2', '{"a":1}{"b":2}', '1,"e":5', "", "  ", "{"]
+    good = ['{"a":1}', ' {"a":{"r":[1]}}\t', '{"r":1,"e":0}', '{}']
+    lines = spark.createDataFrame([(x,) for x in bad + good], "raw string")
+    assert sorted(r.raw for r in records.parse_records(lines).collect()) == sorted(good)
+    counts = records.scan_counts(lines).first()
+    assert (counts.parsed, counts.objects) == (4, 4)
+
+
 def test_line_numbers_across_files_and_blocks(spark, tmp_path):
     lines = [f"line {i} " + "x" * (i % 37) for i in range(2000)]
     folder = tmp_path / "in"

@@ -9,7 +9,7 @@ from fumikura.operators import graph, match, mine, review, search
 from fumikura.operators.scale import top_per_group
 
 from . import base, filters, joins
-from .base import DECIDED, GRAMS, JUDGED, REC, SUBJECTS, SUFFIX, TRIPLES, VOCAB, query, table
+from .base import DECIDED, GRAMS, JUDGED, REC, SUBJECTS, SUFFIX, TRIPLES, VOCAB, query
 from .filters import SPLIT
 from .joins import HARVEST
 

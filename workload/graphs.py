@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fumikura.operators import graph
 
 from . import base, joins
-from .base import HOME, LABEL, RDF_TYPE, ROOTS, SCHEMA, TRIPLES, query
+from .base import HOME, ROOTS, TRIPLES, query
 from .joins import HARVEST
 
 

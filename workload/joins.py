@@ -10,7 +10,7 @@ from fumikura.plans import harvest as harvesting
 from fumikura.session import checkpointed
 
 from . import base
-from .base import DECIDED, GRAMS, HOME, JUDGED, RDF_TYPE, ROOTS, SCHEMA, SUBJECTS, SUFFIX, TRIPLES, VOCAB, query, table
+from .base import DECIDED, GRAMS, HOME, JUDGED, RDF_TYPE, ROOTS, SCHEMA, SUBJECTS, TRIPLES, VOCAB, query, table
 from .filters import CODES, CODE_PREFIX
 
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fumikura.functions import titles as t
-from fumikura.operators import judge, match, mine, review
+from fumikura.operators import judge, mine, review
 from fumikura.plans import curation
 from fumikura.session import checkpointed
 
 from . import base, joins
-from .base import DECIDED, FOLDED, GRAMS, JUDGED, REC, SUBJECTS, SUFFIX, VOCAB, query, table
+from .base import DECIDED, FOLDED, JUDGED, REC, SUBJECTS, SUFFIX, VOCAB, query, table
 from .joins import DUAL
 
 YES, NO = ["thernt", "éêe", "keit"], ["ouble", "ción"]

@@ -8,7 +8,7 @@ from fumikura.functions import replies, titles as t, uris, words as w
 from fumikura.operators import graph, judge, match, mine, review
 
 from . import base
-from .base import GRAMS, JUDGED, REC, SUBJECTS, TRIPLES, VOCAB, query, table
+from .base import GRAMS, JUDGED, REC, TRIPLES, VOCAB, query, table
 
 
 @query("b1_title", f"WITH {REC} SELECT doc_id, title FROM rec")
