@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import settings
 from ..functions.uris import is_subnode, shorten
 from ..functions.variants import json_string
-from ..session import checkpointed
+from ..session import checkpointed, stored
 from .scale import lookup_join
 
 GROUP_ROWS = 100_000  # most values that go into one array or document
@@ -214,7 +214,7 @@ def nested_documents(
 
     All levels are folded inside one partitioning by root and part.
     """
-    rows = checkpointed(expand(triples, roots, depth, boundary, most))
+    rows = stored(expand(triples, roots, depth, boundary, most))
     sizes = rows.groupBy("root").agg(F.count("*").alias("_size"))
     rows = lookup_join(rows, sizes.where(F.col("_size") > most), ["root"], "left")
     slices = [
@@ -276,7 +276,7 @@ def frontier(
     """
     subjects = triples.select(F.col("s").alias("node")).distinct()
     inner = triples.join(subjects.withColumnRenamed("node", "o"), "o", "left_semi")
-    links = checkpointed(inner.select(F.col("s").alias("node"), F.col("o").alias("next")).distinct())
+    links = stored(inner.select(F.col("s").alias("node"), F.col("o").alias("next")).distinct())
     level = checkpointed(
         roots.select(F.col("uri").alias("node")).distinct().join(subjects, "node", "left_semi").select(
             F.col("node").alias("root"), F.lit(1).alias("depth"), "node", F.array("node").alias("path")
@@ -287,7 +287,7 @@ def frontier(
         step = level.join(links, "node").where(
             is_subnode("next", "root", boundary) & ~F.array_contains("path", F.col("next"))
         )
-        level = checkpointed(
+        level = stored(
             step.select(
                 "root",
                 F.lit(len(levels) + 1).alias("depth"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import settings
 from ..functions import words as w
 from ..functions.variants import as_list, field, is_json_object, is_kind
-from ..session import checkpointed
+from ..session import checkpointed, stored
 from .scale import lookup_join, pinned, top_per_group, top_rows, with_dense_rank
 
 _CHUNK = 64
@@ -238,7 +238,7 @@ def vocabulary_rollup(
     apart: sums combine before the shuffle, and the examples are limited per
     root before it.
     """
-    return _rollup(checkpointed(counts), size, examples).drop("is_word")
+    return _rollup(stored(counts), size, examples).drop("is_word")
 
 
 def _rollup(counts: DataFrame, size: int, examples: int) -> DataFrame:
@@ -270,7 +270,7 @@ def rollup_with_orphans(
 
     Adds ``orphan``; order by ``orphan, total desc`` gives the stored layout.
     """
-    counts = checkpointed(counts)
+    counts = stored(counts)
     roots = _rollup(counts, size, examples).where("is_word").drop("is_word")
     heads = counts.where(F.length("word") == size).select(F.col("word").alias("root"))
     tails = counts.where(F.col("cnt") >= least).withColumn("root", F.right("word", F.lit(size)))

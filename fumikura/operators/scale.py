@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, stored
 
 # Spark limits rows per group before the shuffle up to this many (its own default).
 _PRESHUFFLE_LIMIT = 1000
@@ -128,7 +128,7 @@ def with_dense_rank(df: DataFrame, order: Sequence[Column], rank: str = "rank")
     """
     place = F.monotonically_increasing_id()
     sourced = df.withColumn("_source", F.spark_partition_id())
-    rows = checkpointed(sourced.orderBy(*order, "_source").drop("_source").withColumn("_place", place))
+    rows = stored(sourced.orderBy(*order, "_source").drop("_source").withColumn("_place", place))
     part = F.shiftright(F.col("_place"), 33)
     sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

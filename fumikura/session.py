@@ -51,6 +51,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and go on from there."""
+    """Write a short frame to the shared folder and go on from there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a frame that grows with the corpus to a table in the shared folder.
+
+    Columnar files keep what is read again small: columns are pruned and
+    filters pushed, and the planner knows the size.
+    """
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

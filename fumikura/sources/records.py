@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.variants import field, is_json, is_json_object
 from ..operators.scale import lookup_join, pinned
-from ..session import checkpointed
+from ..session import stored
 
 LINE_ORDER = ("file", "block", "seq")
 
@@ -51,7 +51,7 @@ def numbered(lines: DataFrame, ord_col: str = "ord") -> DataFrame:
     Lines are written once to pin their places; then the sizes of the file
     blocks, one row each, give the offset of every block.  Nothing is sorted.
     """
-    rows = checkpointed(lines)
+    rows = stored(lines)
     blocks = rows.groupBy("file", "block").agg(F.min("seq").alias("_first"), F.count("*").alias("_size"))
     before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select(
