@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import checkpointed, stored
+from ..session import stored
 
 # Spark limits rows per group before the shuffle up to this many (its own default).
 _PRESHUFFLE_LIMIT = 1000
@@ -36,25 +36,24 @@ def pinned(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def _weight(df: DataFrame) -> Column:
-    """Rough bytes of a row: texts by length, lists by entries, the rest flat."""
+    """Rough bytes of a row: texts by length, nested values as their JSON text."""
     parts = []
     for column in df.schema.fields:
         kind, value = column.dataType.typeName(), F.col(f"`{column.name}`")
         if kind in ("string", "binary"):
             parts.append(F.coalesce(F.octet_length(value), F.lit(0)))
-        elif kind == "array":
-            parts.append(F.when(value.isNotNull(), F.size(value)).otherwise(0) * 8)
+        elif kind in ("array", "map", "struct", "variant"):
+            parts.append(F.coalesce(F.octet_length(F.to_json(F.struct(value))), F.lit(0)))
     return sum(parts, F.lit(16 * len(df.columns))).cast("bigint")
 
 
 def is_small(df: DataFrame, rows: int | None = None, size: int = BROADCAST_BYTES) -> bool:
     """Whether a frame has at most ``rows`` rows and about ``size`` bytes.
 
-    Reads no more rows than needed to tell.
+    Rows are counted first, over all partitions; bytes only if they are few.
     """
     rows = BROADCAST_ROWS if rows is None else rows
-    seen = df.limit(rows + 1).agg(F.count("*"), F.sum(_weight(df))).first()
-    return seen[0] <= rows and (seen[1] or 0) <= size
+    return df.count() <= rows and (df.agg(F.sum(_weight(df))).first()[0] or 0) <= size
 
 
 def lookup_join(
@@ -67,18 +66,15 @@ def lookup_join(
 ) -> DataFrame:
     """Equi join with one right row per key, safe against hot keys on the left.
 
-    A right side measured as small, in rows and bytes, is broadcast.  Otherwise the left rows of a
-    key are spread over salts and the right side is repeated once per salt.
-    A derived right side is written first, so that counting it and joining it
-    do not compute it twice; pass ``derived=False`` for a stored table.
+    A right side measured as small, in rows and bytes, is broadcast.  Any
+    other is joined as it is, each row once; adaptive execution measures the
+    shuffled partitions and splits those that a hot key makes large.  A
+    derived right side is written first, so that counting it and joining it do
+    not compute it twice; pass ``derived=False`` for a stored table.
     """
     if derived:
-        right = checkpointed(right)
-    if is_small(right, rows):
-        return left.join(F.broadcast(right), list(on), how)
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    joined = left.withColumn("_salt", _salt(left)).join(repeated, [*on, "_salt"], how)
-    return joined.drop("_salt")
+        right = stored(right)
+    return left.join(F.broadcast(right) if is_small(right, rows) else right, list(on), how)
 
 
 def _salt(df: DataFrame) -> Column:
