@@ -65,3 +65,26 @@ def op10_bpe_codec(spark: SparkSession, sf: str) -> DataFrame:
     from .bpe import encode_documents
 
     return encode_documents(table(spark, sf, "documents"), vocabulary(), ids=False)
+
+
+@query("op2_license_scan")
+def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf, "documents")).drop("spans")
+
+
+@query("op7_secret_scan")
+def op7_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    from .secrets import scan_secrets, spelled
+
+    found = scan_secrets(table(spark, sf, "documents"))
+    count = lambda kind: F.size(F.filter("strong", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(spelled("strong"), 256).alias("base_sha256"),
+        spelled("found").alias("spans"),
+    )
