@@ -14,9 +14,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..operators.scale import lookup_join
-
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# Words are runs of letters and digits of ASCII and of any other character; what parts them:
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Longest k-gram; shorter templates take all their words as one k-gram.
 GRAM = 3
@@ -25,6 +24,9 @@ DRIFT = 4
 #: Share of a template's k-grams that must vote for a span.
 SHARE = 0.75
 
+#: Characters of all templates up to which their k-grams are broadcast.
+BROADCAST_CHARS = 1 << 20
+
 # Phrases with their labels (fixed values).
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 # Opening or key sentences of common license notices.
@@ -44,11 +46,7 @@ NOTICES = (
 def words(text: Column | str) -> Column:
     """Words of a text, ASCII letters in lower case; a null text has none."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(WORD), F.lit(0))
-
-
-def _gram(array: str, at: str, k: int) -> list[Column]:
-    return [F.get(F.col(array), F.col(at) + i) for i in range(k)]
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), BETWEEN, -1), "")
 
 
 def template_grams(spark, templates: Sequence[tuple[str, str]], base: int) -> DataFrame:
@@ -91,18 +89,21 @@ def scan_licenses(
     sizes = sorted({min(GRAM, len(text.split())) for text, _ in templates})
 
     read = docs.select("doc_id", F.xxhash64("text").alias("_text"), words("text").alias("_w"))
-    read = read.select("doc_id", "_text", F.size("_w").cast("bigint").alias("n_words"), "_w", F.posexplode_outer("_w").alias("_pos", "_word"))
-    read = read.select("doc_id", "_text", "n_words", F.col("_pos"), *[F.xxhash64(*_gram("_w", "_pos", k)).alias(f"_h{k}") for k in sizes], *[F.concat_ws(" ", *_gram("_w", "_pos", k)).alias(f"_g{k}") for k in sizes])
-    # Templates are the caller's list; the join weighs them before it broadcasts.
+    # One small struct per word: a generator copies every other column it hands on.
+    rolled = F.transform("_w", lambda w, i: F.struct(F.size("_w").cast("bigint").alias("n_words"), i.alias("_pos"), *[_rolled(w, i, k).alias(f"_h{k}") for k in sizes], F.slice("_w", i + 1, sizes[-1]).alias("_near")))
+    start = F.array(F.struct(F.size("_w").cast("bigint").alias("n_words"), F.lit(-1).alias("_pos"), *[F.lit(None).cast("bigint").alias(f"_h{k}") for k in sizes], F.array().cast("array<string>").alias("_near")))
+    read = read.select("doc_id", "_text", F.inline(F.concat(start, rolled)))
+    # Templates are the caller's list, so their size is known here.
+    near = F.broadcast if sum(len(text) for text, _ in templates) <= BROADCAST_CHARS else (lambda frame: frame)
     votes = []
     for k in sizes:
         side = grams.where(F.col("k") == k).select(F.col("hash").alias(f"_h{k}"), F.struct("gram", "template", "at").alias(f"_t{k}"))
         same = side.groupBy(f"_h{k}").agg(F.collect_list(f"_t{k}").alias(f"_t{k}"))
-        read = lookup_join(read, same, [f"_h{k}"], "left")
+        read = read.join(near(same), f"_h{k}", "left")
         # Equal hashes are verified on the words themselves.
-        votes.append(_verified(f"_t{k}", f"_g{k}", k))
+        votes.append(_verified(f"_t{k}", k))
     head = F.array(F.struct(F.lit(None).cast("int").alias("template"), F.lit(None).cast("int").alias("diagonal"), F.lit(0).alias("pos"), F.lit(0).alias("k")))
-    first = F.col("_pos").isNull() | (F.col("_pos") == 0)
+    first = F.col("_pos") < 0
     hit = reduce(lambda a, b: a | b, [F.col(f"_t{k}").isNotNull() for k in sizes])
     none = F.slice(head, 1, 0)
     found = read.where(first | hit).select(
@@ -114,7 +115,7 @@ def scan_licenses(
     key = ["doc_id", "_text", "n_words"]
     by = Window.partitionBy(*key, "template").orderBy("diagonal")
     names = grams.select("template", "label", "base", F.col("votes").alias("full")).distinct()
-    lines = lookup_join(lines, names, ["template"], "left")
+    lines = lines.join(near(names), "template", "left")
     # Phrases stand by themselves; notices share a span with neighbouring diagonals.
     apart = F.col("base") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > DRIFT, F.lit(True))
     chained = lines.withColumn("_new", F.when(apart, 1).otherwise(0)).withColumn("_span", F.sum("_new").over(by))
@@ -146,7 +147,14 @@ def scan_licenses(
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_rows")))).select(*names_out)
 
 
-def _verified(places: str, gram: str, k: int) -> Column:
+def _rolled(word: Column, at: Column, k: int) -> Column:
+    """Hash of the k words from one on; null where the text ends before."""
+    hashed = F.xxhash64(word, *[F.get("_w", at + i) for i in range(1, k)])
+    return hashed if k == 1 else F.when(F.size("_w") >= at + k, hashed)
+
+
+def _verified(places: str, k: int) -> Column:
     """Votes of one word: the template places whose k-gram has the same words."""
-    same = F.filter(places, lambda t: t["gram"] == F.col(gram))
+    gram = F.array_join(F.slice("_near", 1, k), " ")
+    same = F.filter(places, lambda t: t["gram"] == gram)
     return F.transform(same, lambda t: F.struct(t["template"].alias("template"), (F.col("_pos") - t["at"]).alias("diagonal"), F.col("_pos").alias("pos"), F.lit(k).alias("k")))
