@@ -19,7 +19,7 @@ _BACK = pow(_RADIX, -1, 1 << 64)
 _STEP = 1 << 20
 
 #: Bytes treated at a time; a longer text is taken in pieces that end between words.
-PIECE = 8 << 20
+PIECE = 4 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -88,3 +88,11 @@ def op7_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(spelled("strong"), 256).alias("base_sha256"),
         spelled("found").alias("spans"),
     )
+
+
+@query("op4_jaccard_join")
+def op4_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    from .jaccard import similarity_join
+
+    members, _ = similarity_join(table(spark, sf, "documents"), 3, 90)
+    return members.select("doc_id", "n_shingles", "component_id")
