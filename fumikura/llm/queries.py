@@ -96,3 +96,11 @@ def op4_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 
     members, _ = similarity_join(table(spark, sf, "documents"), 3, 90)
     return members.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op6_nearest_neighbours")
+def op6_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    from .neighbours import nearest
+
+    vectors = table(spark, sf, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
