@@ -116,6 +116,7 @@ class Codec:
         pattern = SPLIT.replace(r"[^\s\p{L}\p{N}]", rf"[^{_SPACE}\p{{L}}\p{{N}}]")
         pattern = pattern.replace(r"(?!\S)", rf"(?![^{_SPACE}])").replace(r"\s+", rf"[{_SPACE}]+")
         self.split = regex.compile(pattern).findall
+        self.find = regex.compile(pattern).finditer
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.cache = _Memory(self)
         self.decimal = [str(i) for i in range(self.size)]
@@ -200,6 +201,24 @@ class Codec:
                 out.extend(chain.from_iterable(map(tokens, self.split(part))))
         return out
 
+    def spans(self, text: str, begin: int = 0) -> Iterator[tuple[int, int]]:
+        """Places of the pre-tokens from a place on where one begins; special tokens count as one."""
+        if self.cut is None or not any(s in text for s in self.special):
+            for match in self.find(text, begin):
+                yield match.span()
+            return
+        for part in self.cut(text[begin:]):
+            if part in self.special:
+                yield begin, begin + len(part)
+            else:
+                for match in self.find(part):
+                    yield begin + match.start(), begin + match.end()
+            begin += len(part)
+
+    def n_tokens(self, word: str) -> int:
+        """Tokens of one pre-token or special token."""
+        return 1 if word in self.special else len(self.cache[word])
+
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """Bytes of tokens, gathered through the offset table piece by piece."""
         parts = []

@@ -104,3 +104,19 @@ def op6_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 
     vectors = table(spark, sf, "embeddings")
     return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+
+
+@query("op9_line_dedup")
+def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    from .lines import find_repeats
+
+    found = find_repeats(table(spark, sf, "documents"))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"], s["kept_in"])), ",")
+    return found.select("doc_id", "n_units", "n_removed", "removed_words", spans.alias("removed_spans"))
+
+
+@query("op3_token_counts")
+def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    from .token_counts import edited_counts
+
+    return edited_counts(table(spark, sf, "documents"), vocabulary())
