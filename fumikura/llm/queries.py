@@ -120,3 +120,10 @@ def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     from .token_counts import edited_counts
 
     return edited_counts(table(spark, sf, "documents"), vocabulary())
+
+
+@query("op8_quality_classifier")
+def op8_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(table(spark, sf, "documents"))[0]
