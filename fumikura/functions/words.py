@@ -20,6 +20,10 @@ def drop_symbols(text: Column | str, symbols: str = settings.GRAM_SYMBOLS) -> Co
     return F.regexp_replace(text, symbols, "")
 
 
+#: Characters per chunk of a long text, if nothing longer is looked for.
+CHUNK = 64
+
+
 def ngrams(text: Column | str, n: int) -> Column:
     """Overlapping character n-grams in text order; none if the text is short.
 
@@ -40,7 +44,8 @@ def ngrams(text: Column | str, n: int) -> Column:
 
         return F.flatten(F.transform(chunks, of_chunk))
 
-    return _with(F.regexp_extract_all(text, F.lit("(?s).{1,64}"), F.lit(0)), of_chunks)
+    # A chunk is at least as long as a gram, so the next chunk holds all that is looked ahead to.
+    return _with(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{max(CHUNK, n)}}}"), F.lit(0)), of_chunks)
 
 
 def _with(value: Column, use) -> Column:

@@ -14,9 +14,10 @@ from .. import settings
 from ..functions.uris import is_subnode, shorten
 from ..functions.variants import json_string
 from ..session import checkpointed, stored
-from .scale import lookup_join
+from .scale import lookup_join, with_dense_rank
 
 GROUP_ROWS = 100_000  # most values that go into one array or document
+_HEAD = 64  # most characters of a root by which objects are told apart roughly
 
 
 def code_test(codes: Sequence[str], prefix: str) -> Callable[[Column], Column]:
@@ -66,11 +67,14 @@ def page_after(hits: DataFrame, last: str | None, limit: int = settings.PAGE_SIZ
     return page.select("s", F.explode(times).alias("copy")).orderBy("s", "copy").limit(limit).select("s")
 
 
-def harvest_stats(hits: DataFrame) -> DataFrame:
-    """Per pattern: all solutions, and subjects no earlier pattern had found."""
+def harvest_stats(hits: DataFrame, patterns: int | None = None) -> DataFrame:
+    """Per pattern: all solutions, and subjects no earlier pattern had found.
+
+    With the number of ``patterns`` those without a solution have a row of zeros.
+    """
     # A subject has at most one row per pattern here, so its window is tiny.
     first = F.min("pattern").over(Window.partitionBy("s"))
-    return (
+    found = (
         hits.withColumn("_first", first)
         .groupBy("pattern")
         .agg(
@@ -78,6 +82,11 @@ def harvest_stats(hits: DataFrame) -> DataFrame:
             F.count_if(F.col("_first") == F.col("pattern")).alias("new_ids"),
         )
     )
+    if patterns is None:
+        return found
+    every = hits.sparkSession.range(1, patterns + 1).select(F.col("id").cast("int").alias("pattern"))
+    zero = F.lit(0).cast("bigint")
+    return every.join(found, "pattern", "left").select("pattern", F.coalesce("hits", zero).alias("hits"), F.coalesce("new_ids", zero).alias("new_ids"))
 
 
 def harvested_uris(hits: DataFrame) -> DataFrame:
@@ -100,39 +109,50 @@ def failed_roots(triples: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _paged(triples: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
-    """Adds ``page``: 0, or a range of ``ord`` for keys with more than ``most`` rows.
+    """Adds <page, total>: the size of the key's group, and 0 or the page of a key with more than ``most`` rows.
 
-    ``ord`` is unique, so no key has more than ``most`` rows on one page; the
-    pages of a large key start at 1.
+    Pages count positions in the order of ``ord``, so a page holds ``most``
+    rows whatever the gaps in ``ord``; those of a large key start at 1.  Only
+    rows of large keys are ranked: a range sort and one offset per key.
     """
-    sizes = triples.groupBy(*keys).agg(F.count("*").alias("_size"))
-    large = sizes.where(F.col("_size") > most)
-    tagged = lookup_join(triples, large, keys, "left")
-    page = F.call_function("div", F.col("ord"), F.lit(most)) + 1
-    return tagged.withColumn(
-        "page", F.when(F.col("_size").isNotNull(), page).otherwise(F.lit(0).cast("bigint"))
-    ).drop("_size")
+    sizes = stored(triples.groupBy(*keys).agg(F.count("*").alias("total")))
+    tagged = lookup_join(triples, sizes, keys, "inner", derived=False)
+    large = tagged.where(F.col("total") > most)
+    small = tagged.where(F.col("total") <= most).withColumn("page", F.lit(0).cast("bigint"))
+    if sizes.where(F.col("total") > most).isEmpty():
+        return small
+    ranked = stored(with_dense_rank(large, [*[F.asc(k) for k in keys], F.asc("ord")], "_rank"))
+    first = ranked.groupBy(*keys).agg(F.min("_rank").alias("_first"))
+    placed = lookup_join(ranked, first, keys, "inner")
+    page = F.call_function("div", F.col("_rank") - F.col("_first"), F.lit(most)) + 1
+    return small.unionByName(placed.withColumn("page", page).drop("_rank", "_first"))
 
 
 def grouped_objects(triples: DataFrame, most: int = GROUP_ROWS) -> DataFrame:
-    """Objects per subject and property in arrival order: <s, p, page, objects>.
+    """Objects per subject and property in arrival order: <s, p, page, total, objects>.
 
-    A group of up to ``most`` values is one array on page 0.  A larger one is
-    cut into pages by ranges of ``ord``, so that no task has to hold it; its
-    pages in order give the whole list.
+    ``total`` is the number of values of the whole group.  A group of up to
+    ``most`` values is one array on page 0.  A larger one is cut into pages of
+    ``most`` values, so that no task has to hold it; its pages in order give
+    the whole list.
     """
     listed = F.array_sort(F.collect_list(F.struct("ord", "o")))
     return (
         _paged(triples, ["s", "p"], most)
-        .groupBy("s", "p", "page")
+        .groupBy("s", "p", "page", "total")
         .agg(F.transform(listed, lambda x: x["o"]).alias("objects"))
     )
 
 
-def collapsed(values: Column | str) -> Column:
-    """JSON text of a string list: the value itself if single, else the list."""
+def collapsed(values: Column | str, total: Column | str | None = None) -> Column:
+    """JSON text of a string list: the value itself if single, else the list.
+
+    ``total`` is the size of the whole group where ``values`` is one page of
+    it: a page with one value of many is still a list.
+    """
     col = F.col(values) if isinstance(values, str) else values
-    return F.when(F.size(col) == 1, json_string(F.get(col, F.lit(0)))).otherwise(F.to_json(col))
+    size = F.size(col) if total is None else F.col(total) if isinstance(total, str) else total
+    return F.when(size == 1, json_string(F.get(col, F.lit(0)))).otherwise(F.to_json(col))
 
 
 def _level(triples: DataFrame, d: int, *also: str) -> DataFrame:
@@ -165,9 +185,8 @@ def expand(
     if depth < 2:
         return rows
     paged = _paged(triples, ["s"], most)
-    pages = checkpointed(
-        paged.where(F.col("page") > 0).groupBy("s").agg(F.collect_set("page").alias("_pages"))
-    ).withColumnRenamed("s", "_key")
+    # One number per large node, its count of pages.
+    pages = stored(paged.where(F.col("page") > 0).groupBy("s").agg(F.max("page").alias("_pages"))).withColumnRenamed("s", "_key")
     for d in range(2, depth + 1):
         node = F.col(f"o{d - 1}")
         on_path = F.lit(False)
@@ -176,9 +195,9 @@ def expand(
         follow = F.coalesce(is_subnode(node, "root", boundary) & ~on_path, F.lit(False))
         own = F.concat(F.lit("\u0000"), *[F.coalesce(F.col(f"ord{i}").cast("string"), F.lit("")) for i in range(1, d)])
         keyed = rows.withColumn("_key", F.when(follow, node).otherwise(own))
-        single = F.array(F.lit(0).cast("bigint"))
+        single, one = F.array(F.lit(0).cast("bigint")), F.lit(1).cast("bigint")
         keyed = lookup_join(keyed, pages, ["_key"], "left", derived=False).withColumn(
-            "_page", F.explode(F.coalesce("_pages", single))
+            "_page", F.explode(F.when(F.col("_pages").isNull(), single).otherwise(F.sequence(one, "_pages")))
         )
         child = _level(paged, d, "page").withColumnRenamed(f"s{d}", "_key").withColumnRenamed("page", "_page")
         rows = keyed.join(child, ["_key", "_page"], "left").drop("_key", "_page", "_pages")
@@ -208,46 +227,65 @@ def nested_documents(
 
     Properties are shortened and keep their arrival order, a single value
     stands bare, several form a list.  Roots without triples give a document
-    with status ``failed``.  A root with more than ``most`` paths is cut into
-    parts by ranges of ``ord``; each part is a document of the same ``@id``
-    and the lists of all parts together are whole.  Other roots have part ''.
+    with status ``failed``.  Other roots have part ''.
+
+    A root with more than ``most`` paths is given in fragments: part '1' on
+    holds a range of the root's own values, each with all that is below it, so
+    no value and no inner node stands in two of them.  Whether a property is a
+    list is decided by all its values, so the lists of the fragments in order
+    are the whole list; a fragment tells its place as ``"part":k``.  Levels
+    beyond ``depth`` stay references.
 
     All levels are folded inside one partitioning by root and part.
     """
     rows = stored(expand(triples, roots, depth, boundary, most))
-    sizes = rows.groupBy("root").agg(F.count("*").alias("_size"))
-    rows = lookup_join(rows, sizes.where(F.col("_size") > most), ["root"], "left")
-    slices = [
-        F.coalesce(F.call_function("div", F.col(f"ord{i}"), F.lit(most)).cast("string"), F.lit(""))
-        for i in range(1, depth + 1)
-    ]
-    part = F.when(F.col("_size").isNotNull(), F.concat_ws("-", *slices)).otherwise(F.lit(""))
-    rows = rows.withColumn("part", part).drop("_size").repartition("root", "part")
+    sizes = rows.groupBy("root").agg(F.count("*").alias("_size"), F.countDistinct("ord1").alias("_values"))
+    large = stored(sizes.where(F.col("_size") > most))
+    rows = rows.withColumn("part", F.lit(""))
+    if not large.isEmpty():
+        own = lookup_join(rows.select("root", "p1", "ord1"), large, ["root"], "inner", derived=False).distinct()
+        # As many of the root's values as have about ``most`` paths between them.
+        ranked = stored(with_dense_rank(own, [F.asc("root"), F.asc("ord1")], "_rank"))
+        first = ranked.groupBy("root").agg(F.min("_rank").alias("_first"))
+        each = F.greatest(F.lit(1), F.call_function("div", F.lit(most) * F.col("_values"), F.col("_size")))
+        number = F.call_function("div", F.col("_rank") - F.col("_first"), each) + 1
+        parts = lookup_join(ranked, first, ["root"], "inner").select("root", "ord1", number.cast("string").alias("_part"))
+        rows = lookup_join(rows, parts, ["root", "ord1"], "left").withColumn("part", F.coalesce("_part", "part")).drop("_part")
+        totals = ranked.groupBy("root", "p1").agg(F.count("*").alias("_total"))
+        rows = lookup_join(rows, totals, ["root", "p1"], "left")
+    else:
+        rows = rows.withColumn("_total", F.lit(None).cast("bigint"))
+    rows = rows.repartition("root", "part")
 
     rows = rows.withColumn("value", _value(depth, boundary))
     for d in range(depth, 0, -1):
         # A path is named by its ordinals; the texts above level d ride along.
         outer = ["root", "part"] + [f"ord{i}" for i in range(1, d)]
         above = [f"{c}{i}" for i in range(1, d) for c in ("p", "o")]
+        if d > 1:
+            above.append("_total")
         riding = [F.first(c).alias(c) for c in above]
         values = F.array_sort(F.collect_list(F.struct(F.col(f"ord{d}").alias("ord"), "value")))
         texts = F.transform("_values", lambda x: x["value"])
-        json_value = F.when(F.size("_values") == 1, F.get(texts, F.lit(0))).otherwise(
+        many = F.coalesce(F.col("_whole"), F.size("_values").cast("bigint")) if d == 1 else F.size("_values")
+        json_value = F.when(many == 1, F.get(texts, F.lit(0))).otherwise(
             F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
         )
         prop = F.concat(json_string(shorten(f"p{d}", prefixes)), F.lit(":"), json_value)
         props = (
             rows.groupBy(*outer, f"p{d}")
-            .agg(F.min(f"ord{d}").alias("_first"), values.alias("_values"), *riding)
+            .agg(F.min(f"ord{d}").alias("_first"), values.alias("_values"), *riding, *([F.max("_total").alias("_whole")] if d == 1 else []))
             .select(*outer, *above, F.when(F.col("_first").isNotNull(), F.struct("_first", prop.alias("text"))).alias("_p"))
         )
         nodes = props.groupBy(*outer).agg(F.array_sort(F.collect_list("_p")).alias("_props"), *riding)
         node = F.col(f"o{d - 1}") if d > 1 else F.col("root")
         tail = F.lit("}") if d > 1 else F.lit(',"status":"success"}')
+        place = F.when(F.col("part") == "", F.lit("")).otherwise(F.concat(F.lit('"part":'), "part", F.lit(",")))
         body = F.concat(
             F.lit('{"@id":'),
             json_string(node),
             F.lit(","),
+            place if d == 1 else F.lit(""),
             F.array_join(F.transform("_props", lambda x: x["text"]), ","),
             tail,
         )
@@ -275,8 +313,16 @@ def frontier(
     plan of a round never holds the rounds before it.
     """
     subjects = triples.select(F.col("s").alias("node")).distinct()
-    inner = triples.join(subjects.withColumnRenamed("node", "o"), "o", "left_semi")
-    links = stored(inner.select(F.col("s").alias("node"), F.col("o").alias("next")).distinct())
+    # Only blank nodes and objects that begin like some root can be followed; the test against
+    # the very root comes later.  That keeps types and other hot objects out of the join.
+    size = min(_HEAD, roots.agg(F.min(F.length("uri"))).first()[0] or 0)
+    begins = stored(roots.select(F.left("uri", F.lit(size)).alias("_head")).distinct())
+    maybe = triples.select("s", "o").withColumn("_head", F.left("o", F.lit(size)))
+    is_blank = F.startswith("o", F.lit("_:"))
+    blank = maybe.where(is_blank).select("s", "o")
+    named = lookup_join(maybe.where(~is_blank), begins, ["_head"], "left_semi", derived=False)
+    inner = blank.unionByName(named.select("s", "o")).distinct().join(subjects.withColumnRenamed("node", "o"), "o", "left_semi")
+    links = stored(inner.select(F.col("s").alias("node"), F.col("o").alias("next")))
     level = checkpointed(
         roots.select(F.col("uri").alias("node")).distinct().join(subjects, "node", "left_semi").select(
             F.col("node").alias("root"), F.lit(1).alias("depth"), "node", F.array("node").alias("path")

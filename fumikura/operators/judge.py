@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -23,25 +23,57 @@ def judge_input(records: DataFrame, rec: str = "rec") -> DataFrame:
     return rows.select("id", "label", text.alias("prompt"))
 
 
-def ask(rows: DataFrame, scorer: Callable[[str], str], prompt: str = "prompt") -> DataFrame:
-    """Adds <reply, error>: the scorer's text, or the error it raised.
+Reply = str | Exception
+Scorer = Callable[[Sequence[str]], Sequence[Reply]]
 
-    The scorer runs inside the tasks, batch by batch; a failing call spoils
-    its own row only.
+
+def one_by_one(score: Callable[[str], str]) -> Scorer:
+    """Batch scorer from one that takes a single prompt; an error spoils its own row only."""
+
+    def batch(prompts: Sequence[str]) -> list[Reply]:
+        out: list[Reply] = []
+        for prompt in prompts:
+            try:
+                out.append(score(prompt))
+            except Exception as problem:  # any scorer error becomes a row
+                out.append(problem)
+        return out
+
+    return batch
+
+
+def ask(rows: DataFrame, scorer: Scorer, prompt: str = "prompt", setup: Callable[[], object] | None = None, batch_rows: int = 256) -> DataFrame:
+    """Adds <reply, error>: the scorer's text, or the error it gave.
+
+    The scorer runs inside the tasks on batches of at most ``batch_rows``
+    prompts and gives a reply or an error for each; ``setup`` runs once per
+    task before it, say to open a connection.  A batch that fails as a whole
+    is asked again row by row, so one bad prompt spoils its own row only.
     """
     kept = [c for c in rows.columns if c != prompt]
     out_type = rows.select(*kept).schema.simpleString()[len("struct<"):-1]
 
+    def answers(prompts: list[str]) -> list[Reply]:
+        try:
+            found = list(scorer(prompts))
+            if len(found) != len(prompts):
+                raise ValueError(f"{len(found)} replies to {len(prompts)} prompts")
+            return found
+        except Exception as problem:
+            if len(prompts) == 1:
+                return [problem]
+            return [answers([one])[0] for one in prompts]
+
     def run(batches):
+        if setup is not None:
+            setup()
         for batch in batches:
-            reply, error = [], []
-            for text in batch[prompt]:
-                try:
-                    reply.append(scorer(text))
-                    error.append(None)
-                except Exception as problem:  # any scorer error becomes a row
-                    reply.append(None)
-                    error.append(str(problem))
+            prompts = batch[prompt].tolist()
+            found: list[Reply] = []
+            for at in range(0, len(prompts), batch_rows):
+                found += answers(prompts[at:at + batch_rows])
+            reply = [None if isinstance(x, Exception) else x for x in found]
+            error = [str(x) if isinstance(x, Exception) else None for x in found]
             yield batch[kept].assign(reply=reply, error=error)
 
     return rows.mapInPandas(run, f"{out_type},reply:string,error:string")
@@ -62,15 +94,12 @@ def judgments(replied: DataFrame) -> DataFrame:
     )
 
 
-def judge(records: DataFrame, scorer: Callable[[str], str], parallelism: int | None = None) -> DataFrame:
-    """Prompt, ask, parse.  ``parallelism`` spreads few rows over more tasks."""
-    rows = judge_input(records)
-    if parallelism:
-        rows = rows.repartition(parallelism)
-    return judgments(ask(rows, scorer))
+def judge(records: DataFrame, scorer: Scorer, setup: Callable[[], object] | None = None, batch_rows: int = 256) -> DataFrame:
+    """Prompt, ask, parse; as many tasks as the records have partitions."""
+    return judgments(ask(judge_input(records), scorer, setup=setup, batch_rows=batch_rows))
 
 
-def keyword_scorer(yes: list[str], no: list[str]) -> Callable[[str], str]:
+def keyword_scorer(yes: list[str], no: list[str]) -> Scorer:
     """Deterministic stand-in for a model: looks for words in the prompt."""
 
     def score(prompt: str) -> str:
@@ -82,7 +111,7 @@ def keyword_scorer(yes: list[str], no: list[str]) -> Callable[[str], str]:
                     return json.dumps({"is_score": verdict, "reason": f"holds {word}"}, ensure_ascii=False)
         return json.dumps({"is_score": None, "reason": "no known word"})
 
-    return score
+    return one_by_one(score)
 
 
 def first_lines(lines: DataFrame, limit: int = settings.JUDGE_LIMIT, order: tuple[str, ...] = ("file", "block", "seq")) -> DataFrame:

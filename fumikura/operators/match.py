@@ -74,11 +74,17 @@ def leftmost_hit(text: Column | str, words: Sequence[str]) -> Column:
 def first_hit_join(
     titles: DataFrame,
     words: DataFrame,
-    id_col: str = "id",
     title: str = "title",
     hit: str = "hit",
+    leftmost: bool = False,
 ) -> DataFrame:
-    """List-order first hit for long lists: adds ``hit`` (NULL if none).
+    """First hit for long lists: adds ``hit`` (NULL if none).
+
+    The word that comes first in the list wins or, with ``leftmost``, the one
+    found earliest in the text, ties by list order.
+
+    The hit of a row depends on its title alone, so titles meet their hits by
+    a digest; ids may repeat or be missing.
 
     ``words`` is <ord, word>, ``ord`` unique.  Every start in a title looks up
     the beginnings of the words, and only for lengths of words that begin so
@@ -95,22 +101,26 @@ def first_hit_join(
     anchors = unique.groupBy(F.left("word", F.lit(shortest)).alias("_anchor")).agg(
         F.collect_set(size).alias("_sizes")
     )
-    wins = text_windows(titles, longest, title, [id_col], symbols=None)
-    starts = wins.select(id_col, "win", F.left("win", F.lit(shortest)).alias("_anchor"))
+    keyed = titles.withColumn("_title_key", F.unhex(F.sha2(F.col(title), 256)))
+    texts = keyed.where(F.col(title) != "").select("_title_key", F.col(title).alias("_title"))
+    wins = text_windows(texts, longest, "_title", ["_title_key"], symbols=None)
+    starts = wins.select("_title_key", "pos", "win", F.left("win", F.lit(shortest)).alias("_anchor"))
     tries = lookup_join(starts, anchors, ["_anchor"], "inner").select(
-        id_col, "win", F.explode("_sizes").alias("_n")
+        "_title_key", "pos", "win", F.explode("_sizes").alias("_n")
     )
-    grams = tries.where(F.length("win") >= F.col("_n")).select(id_col, F.left("win", F.col("_n")).alias("word"))
+    grams = tries.where(F.length("win") >= F.col("_n")).select("_title_key", "pos", F.left("win", F.col("_n")).alias("word"))
     found = lookup_join(grams, unique, ["word"], "inner")
-    best = found.groupBy(id_col).agg(F.min("_word_ord").alias("ord"))
+    if leftmost:
+        best = found.groupBy("_title_key").agg(F.min(F.struct("pos", "_word_ord"))["_word_ord"].alias("ord"))
+    else:
+        best = found.groupBy("_title_key").agg(F.min("_word_ord").alias("ord"))
     named = lookup_join(best, stored.withColumnRenamed("word", hit), ["ord"], "inner", derived=False)
-    return titles.join(named.select(id_col, hit), id_col, "left")
+    return lookup_join(keyed, named.select("_title_key", hit), ["_title_key"], "left").drop("_title_key")
 
 
 def with_first_hit(
     titles: DataFrame,
     words: Sequence[str],
-    id_col: str = "id",
     title: str = "title",
     hit: str = "hit",
     inline: int = INLINE_WORDS,
@@ -120,12 +130,35 @@ def with_first_hit(
     if len(words) <= inline:
         return titles.withColumn(hit, first_hit(title, words))
     rows = titles.sparkSession.createDataFrame(list(enumerate(words)), "ord bigint, word string")
-    return first_hit_join(titles, rows, id_col, title, hit)
+    return first_hit_join(titles, rows, title, hit)
+
+
+def with_leftmost_hit(
+    titles: DataFrame, words: Sequence[str], title: str = "title", hit: str = "hit", inline: int = INLINE_WORDS
+) -> DataFrame:
+    """Word found earliest in the text, in the form that suits the length of the list."""
+    words = [word for word in words if word]
+    if len(words) <= inline:
+        return titles.withColumn(hit, leftmost_hit(title, words))
+    rows = titles.sparkSession.createDataFrame(list(enumerate(words)), "ord bigint, word string")
+    return first_hit_join(titles, rows, title, hit, leftmost=True)
+
+
+def with_keep_first(
+    titles: DataFrame, keep: Sequence[str], drop: Sequence[str], title: str = "title", inline: int = INLINE_WORDS
+) -> DataFrame:
+    """Adds <verdict, reason, rescued> for lists of any length; the keep list wins."""
+    tagged = with_leftmost_hit(with_leftmost_hit(titles, keep, title, "_kept", inline), drop, title, "_dropped", inline)
+    verdict = _keep_first(F.col("_kept"), F.col("_dropped"))
+    return tagged.select(*titles.columns, verdict.alias("_v")).select(*titles.columns, "_v.*")
 
 
 def keep_first_verdict(text: Column | str, keep: Sequence[str], drop: Sequence[str]) -> Column:
-    """Keep list wins: struct <verdict 'keep'|'drop', reason, rescued>."""
-    kept, dropped = leftmost_hit(text, keep), leftmost_hit(text, drop)
+    """Keep list wins: struct <verdict 'keep'|'drop', reason, rescued>; for short lists."""
+    return _keep_first(leftmost_hit(text, keep), leftmost_hit(text, drop))
+
+
+def _keep_first(kept: Column, dropped: Column) -> Column:
     goes = kept.isNull() & dropped.isNotNull()
     return F.struct(
         F.when(goes, F.lit("drop")).otherwise(F.lit("keep")).alias("verdict"),
@@ -158,12 +191,11 @@ def split_three_ways(
     titles: DataFrame,
     drop: Sequence[str],
     keep: Sequence[str],
-    id_col: str = "id",
     title: str = "title",
 ) -> DataFrame:
     """Every row with its verdict, word, reason and flag; no row is lost."""
-    tagged = with_first_hit(titles, drop, id_col, title, "_ng")
-    tagged = with_first_hit(tagged, keep, id_col, title, "_ok")
+    tagged = with_first_hit(titles, drop, title, "_ng")
+    tagged = with_first_hit(tagged, keep, title, "_ok")
     verdict = three_way_verdict("_ng", "_ok")
     return tagged.withColumn("_v", verdict).select(
         *[c for c in titles.columns], "_v.verdict", "_v.word", "_v.reason", "_v.is_score"
@@ -173,9 +205,15 @@ def split_three_ways(
 def annotate(raw: Column | str, **fields: Column) -> Column:
     """JSON object text with keys set at its end; NULL values are left out.
 
-    ``raw`` must be the text of a JSON object.  A key it already holds is kept
-    in front, so a reader that lets the last key win sees the new value.
+    ``raw`` must be the text of a JSON object.  Its bytes stay as they are,
+    unless it already holds one of the keys: then that key is taken out first,
+    which writes the rest of the object anew.
     """
+    raw = _col(raw)
+    names = F.array(*[F.lit(key) for key in fields])
+    old = F.try_variant_get(F.try_parse_json(raw), "$", "map<string,variant>")
+    rest = F.to_json(F.map_filter(old, lambda key, _: ~F.array_contains(names, key)))
+    raw = F.when(F.arrays_overlap(F.json_object_keys(raw), names), rest).otherwise(raw)
     body = F.regexp_replace(raw, r"^\s*\{|\}\s*$", "")
     added = F.to_json(F.struct(*[value.alias(key) for key, value in fields.items()]))
     inner = F.substring(added, F.lit(2), F.length(added) - 2)

@@ -12,11 +12,18 @@ from ..functions.variants import as_list, field, is_json_object, is_kind
 from ..session import checkpointed, stored
 from .scale import lookup_join, pinned, top_per_group, top_rows, with_dense_rank
 
-_CHUNK = 64
 INLINE_GRAMS = 2_000  # grams tested one by one inside an expression
 SPACING = 1 << 24  # room for character positions between two record ordinals
 
 
+def _place(ord_col: str, pos: Column, spacing: int) -> Column:
+    """Record ordinal and position in one number, wide enough for every ordinal.
+
+    A single number keeps the aggregation for its minimum a hash aggregation.
+    """
+    return (F.col(ord_col).cast("decimal(20,0)") * F.lit(spacing).cast("decimal(12,0)") + pos.cast("decimal(20,0)")).cast("decimal(38,0)")
+
+
 def text_windows(
     titles: DataFrame,
     width: int,
@@ -32,8 +39,10 @@ def text_windows(
     length of a title and lets one huge title stream through.
     """
     text = F.col(title) if symbols is None else w.drop_symbols(title, symbols)
+    # A chunk is at least as long as the window, so the next chunk holds all it looks ahead to.
+    chunk_size = max(w.CHUNK, width)
     cut = titles.select(
-        *keep, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0)).alias("_chunks")
+        *keep, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{chunk_size}}}"), F.lit(0)).alias("_chunks")
     )
     chunks = F.col("_chunks")
 
@@ -47,7 +56,7 @@ def text_windows(
     )
     return starts.select(
         *keep,
-        (F.col("_no").cast("bigint") * _CHUNK + F.col("_at")).alias("pos"),
+        (F.col("_no").cast("bigint") * chunk_size + F.col("_at")).alias("pos"),
         F.substring("body", F.col("_at") + 1, F.lit(width)).alias("win"),
     )
 
@@ -73,7 +82,7 @@ def gram_counts(
     windows instead of from the text.
     """
     wins = text_windows(titles, max(sizes), title, [ord_col], symbols).select(
-        "win", (F.col(ord_col) * F.lit(spacing).cast("bigint") + F.col("pos")).alias("at")
+        "win", _place(ord_col, F.col("pos"), spacing).alias("at")
     )
     counted = wins.groupBy("win").agg(F.count("*").alias("c"), F.min("at").alias("at"))
     return (
@@ -170,7 +179,7 @@ def compound_counts(
 ) -> DataFrame:
     """Occurrences and first position of every compound: <word, cnt, first_pos>."""
     found = titles.select(ord_col, F.posexplode(w.compounds(title, run, end)).alias("_i", "word"))
-    at = F.col(ord_col) * F.lit(spacing).cast("bigint") + F.col("_i")
+    at = _place(ord_col, F.col("_i"), spacing)
     return found.groupBy("word").agg(F.count("*").alias("cnt"), F.min(at).alias("first_pos"))
 
 
@@ -287,10 +296,12 @@ def rollup_with_orphans(
 def field_presence(records: DataFrame, raw: str = "raw") -> DataFrame:
     """Records per top-level key and their share: <field, cnt, percent>."""
     whole = records.where(is_json_object(raw))
-    total = whole.select(F.count("*")).scalar()
-    keys = whole.select(F.explode(F.array_distinct(F.json_object_keys(raw))).alias("field"))
-    counts = keys.groupBy("field").agg(F.count("*").alias("cnt"))
-    return counts.withColumn("percent", w.percent("cnt", total))
+    # Records are counted with the fields, under a key of their own, so the input is parsed once.
+    keys = F.array_distinct(F.json_object_keys(raw))
+    marked = F.concat(F.transform(keys, lambda k: F.struct(k.alias("field"))), F.array(F.struct(F.lit(None).cast("string").alias("field"))))
+    counts = stored(whole.select(F.inline(marked)).groupBy("field").agg(F.count("*").alias("cnt")))
+    total = counts.where(F.col("field").isNull()).select("cnt").scalar()
+    return counts.where(F.col("field").isNotNull()).withColumn("percent", w.percent("cnt", total))
 
 
 def subject_keywords(records: DataFrame, rec: str = "rec", key: str = settings.ABOUT_KEY) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.words import _col, is_uri
+from ..session import stored
 
 
 def holds_text(word: Column | str, query: str) -> Column:
@@ -39,6 +40,10 @@ def by_verdict(rows: DataFrame, wanted: bool | str | None, verdict: str = "is_sc
 
 
 def head_of(rows: DataFrame, order: list[Column], limit: int) -> tuple[DataFrame, Column]:
-    """First ``limit`` rows of an order, and whether more rows exist."""
-    more = rows.select((F.count("*") > limit).alias("truncated")).scalar()
-    return rows.orderBy(*order).limit(limit), more
+    """First ``limit`` rows of an order, and whether more rows exist.
+
+    One row more than asked for tells; the input is evaluated once.
+    """
+    head = stored(rows.orderBy(*order).limit(limit + 1))
+    more = head.select((F.count("*") > limit).alias("truncated")).scalar()
+    return head.orderBy(*order).limit(limit), more

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import settings
 from ..functions import titles
 from ..operators import judge as judging, match, review
 from ..operators.scale import pinned
+from ..session import stored
 
 
 @dataclass(frozen=True)
@@ -21,10 +22,10 @@ class Curation:
     final: DataFrame
 
 
-def clean(records: DataFrame, noise: Sequence[str], id_col: str = "id") -> DataFrame:
+def clean(records: DataFrame, noise: Sequence[str]) -> DataFrame:
     """Records <id, raw, rec> whose title holds no noise word, columns unchanged."""
     titled = pinned(records, _title=titles.title("rec"))
-    tagged = match.with_first_hit(titled, noise, id_col, "_title", "_hit")
+    tagged = match.with_first_hit(titled, noise, "_title", "_hit")
     return tagged.where(F.col("_hit").isNull()).select(*records.columns)
 
 
@@ -33,17 +34,36 @@ def curate(
     noise: Sequence[str],
     drop: Sequence[str],
     keep: Sequence[str],
-    scorer: Callable[[str], str],
+    scorer: judging.Scorer,
     decisions: DataFrame,
     sample_size: int = settings.REVIEW_SAMPLE,
+    wanted: Column | None = None,
 ) -> Curation:
-    """Clean, split, judge the undecided, sample them, apply human decisions.
+    """Class filter, clean, split, judge the undecided, sample them, apply human decisions.
 
-    ``records`` is <id, raw, rec>, ``decisions`` is <id, decision>.
+    ``records`` is <id, raw, rec>, ``decisions`` is <id, decision>; ``wanted``
+    is a test of the class.  Split and judgments are written to the shared
+    folder, so every record is split and judged once whatever is read of the
+    result, and the sample agrees with the final table.
     """
+    if wanted is not None:
+        records = records.where(wanted)
     titled = pinned(clean(records, noise), title=titles.title("rec"))
     split = match.split_three_ways(titled, drop, keep)
-    gray = split.where(F.col("verdict") == "gray")
-    judged = judging.judge(gray, scorer)
+    split = stored(split.select("id", "raw", "title", "verdict", "word", "reason", "is_score"))
+    gray = pinned(split.where(F.col("verdict") == "gray").select("raw"), rec=F.try_parse_json("raw"))
+    judged = stored(judging.judge(gray, scorer))
     sample = review.sample_rows(judged, sample_size)
     return Curation(split, judged, sample, review.verified(judged, decisions))
+
+
+def keep_by_subject(
+    records: DataFrame, keep: Sequence[str], drop: Sequence[str], rec: str = "rec"
+) -> DataFrame:
+    """Keep-first filter over title and subjects together: adds <text, verdict, reason, rescued>.
+
+    Both lists are searched in the searchable text (title and subject
+    values); a keep word wins over any drop word.
+    """
+    texts = pinned(records, text=titles.search_text(rec, titles.title_of_list(rec)))
+    return match.with_keep_first(texts, keep, drop, "text")

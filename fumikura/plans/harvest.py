@@ -36,4 +36,4 @@ def harvest_patterns(
         (_SCHEMA + "description", text_test),
     ]
     hits = graph.pattern_hits(triples, _RDF + "type", type_uri, patterns)
-    return Harvest(hits, graph.harvest_stats(hits), graph.harvested_uris(hits))
+    return Harvest(hits, graph.harvest_stats(hits, len(patterns)), graph.harvested_uris(hits))

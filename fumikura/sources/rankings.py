@@ -84,14 +84,17 @@ def write_csv(
 ) -> None:
     """CSV with a header; named columns that exist come first.
 
-    ``bom`` puts the UTF-8 mark in front of the header, for spreadsheets; it
-    needs plain quoting, because the mark must stand before any quote.
+    ``bom`` puts the UTF-8 mark in front of the header, for spreadsheets.
+    With ``quote_all`` the mark must stand before the first quote, which the
+    CSV writer does not do: the lines are then written as text, every value
+    quoted and quotes doubled, each file with the mark and a header of its own.
     """
-    if bom and quote_all:
-        raise ValueError("bom cannot be combined with quote_all")
     head = [c for c in first if c in rows.columns]
     order = head + [c for c in rows.columns if c not in head]
     out = rows.select(*[F.col(f"`{c}`") for c in order])
+    if bom and quote_all:
+        _write_quoted(out, path, mode)
+        return
     if bom:
         out = out.withColumnRenamed(order[0], "﻿" + order[0])
     (
@@ -102,3 +105,14 @@ def write_csv(
         .option("emptyValue", "")
         .csv(path)
     )
+
+
+def _write_quoted(rows: DataFrame, path: str, mode: str) -> None:
+    """All values quoted, NULL as "", the byte order mark first in each file."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", *[quoted(F.col(f"`{c}`").cast("string")) for c in rows.columns])
+    header = "\ufeff" + ",".join('"' + c.replace('"', '""') + '"' for c in rows.columns)
+    # One header line per task, in front of its rows.
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    lines = rows.select(F.explode(F.when(first, F.array(F.lit(header), line)).otherwise(F.array(line))).alias("value"))
+    lines.write.mode(mode).text(path)

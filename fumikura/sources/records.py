@@ -27,7 +27,12 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def parse_records(lines: DataFrame, raw: str = "raw") -> DataFrame:
-    """Adds ``rec``; lines that are blank, broken or no JSON object are dropped."""
+    """Adds ``rec``; lines that are blank, broken or no JSON object are dropped.
+
+    Where an object repeats a key, the last one counts; Spark refuses such
+    objects unless the session is told otherwise, so it is told here.
+    """
+    lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return pinned(lines, rec=F.when(is_json_object(raw), F.try_parse_json(raw))).where(F.col("rec").isNotNull())
 
 
@@ -62,13 +67,14 @@ def numbered(lines: DataFrame, ord_col: str = "ord") -> DataFrame:
     return placed.withColumn(ord_col, number).drop("_first", "_offset")
 
 
-def field_names(records: DataFrame, raw: str = "raw", most: int = 10_000) -> list[str]:
-    """All top-level keys, sorted; a corpus with more than ``most`` is refused."""
-    keys = records.select(F.explode(F.json_object_keys(raw)).alias("key")).distinct().orderBy("key")
-    names = [r.key for r in keys.limit(most + 1).collect()]
-    if len(names) > most:
-        raise ValueError(f"more than {most} keys; name the columns you need")
-    return names
+def field_keys(records: DataFrame, raw: str = "raw") -> DataFrame:
+    """All top-level keys, sorted: <key>."""
+    return records.select(F.explode(F.json_object_keys(raw)).alias("key")).distinct().orderBy("key")
+
+
+def field_names(records: DataFrame, raw: str = "raw") -> list[str]:
+    """All top-level keys as column names for the driver; see :func:`field_keys`."""
+    return [r.key for r in field_keys(records, raw).toLocalIterator()]
 
 
 def as_columns(records: DataFrame, keys: Sequence[str], rec: str = "rec", kept: Sequence[str] = ()) -> DataFrame:

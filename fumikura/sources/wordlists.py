@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.variants import json_string
 from ..functions.words import strip
-from ..operators.scale import is_small, with_dense_rank
-from ..session import checkpointed
+from ..operators.scale import with_dense_rank
+from ..session import stored
 from .records import LINE_ORDER, read_lines
 
-LIST_ROWS = 100_000  # longest list taken to the driver as literals, or written as one file
+LIST_ROWS = 100_000  # words on one page of code
 
 
 def _missing(spark: SparkSession, path: str) -> bool:
@@ -42,30 +42,28 @@ def read_word_set(spark: SparkSession, path: str) -> DataFrame:
     return read_word_lines(spark, path).select("word").distinct()
 
 
-def as_literals(words: DataFrame, most: int = LIST_ROWS) -> list[str]:
+def as_literals(words: DataFrame) -> list[str]:
     """Words of <ord, word> in order, for use inside expressions.
 
-    A longer list must stay a DataFrame: ``match.first_hit_join``.
+    They all come to the driver; a list that should not stays a DataFrame
+    (``match.first_hit_join``).
     """
-    rows = words.orderBy("ord").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} words; use first_hit_join")
-    return [r.word for r in rows]
+    return [r.word for r in words.orderBy("ord").toLocalIterator()]
 
 
 def sorted_words(words: DataFrame) -> DataFrame:
     return words.select("word").distinct().orderBy("word")
 
 
-def write_word_list(words: DataFrame, path: str, mode: str = "error") -> int:
+def write_word_list(words: DataFrame, path: str, mode: str = "error", one_file: bool = True) -> int:
     """Sorted unique words, one per line; returns their number.
 
-    Short lists are one file; longer ones keep one file per sorted range,
-    whose names follow the order.
+    ``one_file=False`` writes one file per sorted range, whose names follow
+    the order; that is for lists too long to go through one task.
     """
-    unique = checkpointed(words.select("word").distinct())
+    unique = stored(words.select("word").distinct())
     out = unique.orderBy("word")
-    if is_small(unique, LIST_ROWS):
+    if one_file:
         out = out.coalesce(1)
     out.write.mode(mode).text(path)
     return unique.count()
@@ -74,10 +72,12 @@ def write_word_list(words: DataFrame, path: str, mode: str = "error") -> int:
 def list_as_code(words: DataFrame, name: str, page_size: int = LIST_ROWS) -> DataFrame:
     """``NAME = ["a", "b"]`` with sorted unique words, one per line: <page, code>.
 
-    One row per ``page_size`` words, so one row for a list of usual length.
+    One row per ``page_size`` words, so one row for a list of usual length;
+    later pages extend the list (``NAME += [...]``), so the pages in order are the whole code.
     """
     ranked = with_dense_rank(words.select("word").distinct(), [F.asc("word")], "_no")
     page = F.call_function("div", F.col("_no") - 1, F.lit(page_size))
     words = F.transform(F.array_sort(F.collect_list("word")), json_string)
-    body = F.concat(F.lit(f"{name} = ["), F.array_join(words, ",\n    "), F.lit("]"))
+    sign = F.when(page == 0, F.lit(" = [")).otherwise(F.lit(" += ["))
+    body = F.concat(F.lit(name), F.first(sign), F.array_join(words, ",\n    "), F.lit("]"))
     return ranked.groupBy(page.alias("page")).agg(body.alias("code"))

@@ -84,12 +84,17 @@ def test_escapes_in_documents(spark):
 
 def test_large_roots_are_cut_into_parts_that_are_whole_together(spark):
     facts = [("http://r", S + "name", f"n{i}") for i in range(25)] + [("http://q", S + "name", "q")]
-    docs = graph.nested_documents(triples(spark, facts), roots(spark, "http://r", "http://q"), most=10).collect()
-    parts = [json.loads(r.doc) for r in docs if r.root == "http://r"]
-    assert len(parts) == 3 and all(p["@id"] == "http://r" for p in parts)
-    values = [v for p in parts for v in (p["schema:name"] if isinstance(p["schema:name"], list) else [p["schema:name"]])]
-    assert sorted(values) == sorted(f"n{i}" for i in range(25))
-    assert [r.part for r in docs if r.root == "http://q"] == [""]
+    facts += [("http://r", S + "loc", "http://r#a")] + [("http://r#a", S + "k", str(i)) for i in range(4)]
+    for stride in (1, 1000):  # also with gaps in the order
+        spaced = triples(spark, facts).withColumn("ord", F.col("ord") * stride)
+        docs = graph.nested_documents(spaced, roots(spark, "http://r", "http://q"), most=10).collect()
+        parts = [json.loads(r.doc) for r in sorted(docs, key=lambda r: int(r.part or 0)) if r.root == "http://r"]
+        assert len(parts) >= 3 and all(p["@id"] == "http://r" and p["part"] == i for i, p in enumerate(parts, 1))
+        names = [p["schema:name"] for p in parts if "schema:name" in p]
+        assert all(isinstance(v, list) for v in names) and [v for x in names for v in x] == [f"n{i}" for i in range(25)]
+        inner = [p["schema:loc"] for p in parts if "schema:loc" in p]
+        assert inner == [{"@id": "http://r#a", "schema:k": ["0", "1", "2", "3"]}]
+        assert [r.part for r in docs if r.root == "http://q"] == [""]
 
 
 @pytest.mark.parametrize("limit", [None, 2])
@@ -115,6 +120,10 @@ def test_groups_keep_order_and_duplicates_and_page(spark):
     assert [r.objects for r in paged if r.s == "cold"] == [["x"]]
     hot = [r.objects for r in paged if r.s == "hot"]
     assert max(map(len, hot)) <= 5 and [o for page in hot for o in page] == [f"o{i}" for i in range(23)]
+    sparse = triples(spark, facts).withColumn("ord", F.col("ord") * 50)
+    assert [r.objects for r in graph.grouped_objects(sparse, most=5).orderBy("s", "page").collect() if r.s == "hot"] == hot
+    ones = graph.grouped_objects(triples(spark, facts), most=2).where("s = 'hot'").orderBy("page")
+    assert [r.j for r in ones.select(graph.collapsed("objects", "total").alias("j")).collect()][-1] == '["o22"]'
 
 
 def test_collapse(spark):
@@ -132,7 +141,7 @@ def test_harvest_counts_hits_and_new_ids(spark, rows):
         facts.append((f"u{i}", label, "音楽" if i < 3 else "絵"))
         facts.append((f"u{i}", label, "楽譜") if i == 1 else (f"u{i}", S + "description", "樂譜" if i == 6 else "-"))
     done = harvest_patterns(triples(spark, facts), "T")
-    assert rows(done.stats, "pattern", "hits", "new_ids") == [(1, 3, 3), (2, 4, 2), (4, 1, 1)]
+    assert rows(done.stats, "pattern", "hits", "new_ids") == [(1, 3, 3), (2, 4, 2), (3, 0, 0), (4, 1, 1)]
     assert [r.uri for r in done.uris.collect()] == ["u0", "u1", "u2", "u3", "u5", "u6"]
     per_subject = done.hits.where("pattern = 2")
     page = lambda last, n: [r.s for r in graph.page_after(per_subject, last, n).collect()]

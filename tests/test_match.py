@@ -89,6 +89,30 @@ def test_long_list_join_equals_brute_force(spark, monkeypatch, broadcast_rows):
     df = titles(spark, *texts)
     assert hits(match.with_first_hit(df, words, inline=0)) == want
     assert hits(match.with_first_hit(df, words)) == want
+    earliest = [min(((text.find(x), i) for i, x in enumerate(words) if x in text), default=None) for text in texts]
+    early = [None if e is None else words[e[1]] for e in earliest]
+    assert hits(match.with_leftmost_hit(df, words, inline=0)) == early
+    assert hits(match.with_leftmost_hit(df, words)) == early
+
+
+@pytest.mark.parametrize("inline", [0, 10_000])
+def test_long_words_and_ids_that_repeat_or_miss(spark, inline):
+    long = "".join(chr(97 + i % 23) for i in range(90))
+    rows = [(None, "x" * at + long + "y") for at in (0, 30, 60, 63, 64, 65, 127)] + [(1, "short"), (1, "ab"), (None, None), (1, long[:89])]
+    words = [long, "zz", "ab" * 40, "short"]
+    want = [next((w for w in words if t and w in t), None) for _, t in rows]
+    df = spark.createDataFrame([(i, n, t) for n, (i, t) in enumerate(rows)], "id bigint, n int, title string")
+    got = match.with_first_hit(df, words, inline=inline).orderBy("n").collect()
+    assert [r.hit for r in got] == want
+    kept = match.with_keep_first(df, ["short"], words, inline=inline).orderBy("n").collect()
+    assert [r.verdict for r in kept] == ["keep" if w in (None, "short") else "drop" for w in want]
+    assert [r.rescued for r in kept] == [w == "short" for w in want]
+
+
+def test_annotation_replaces_a_key_it_finds(spark):
+    df = spark.createDataFrame([('{"a":1, "is_score":false}',), ('{ "a" : 2 }',), ("{}",)], "raw string")
+    got = [r.x for r in df.select(match.annotate("raw", is_score=F.lit(True)).alias("x")).collect()]
+    assert got == ['{"a":1, "is_score":true}', '{ "a" : 2 , "is_score":true}', '{"is_score":true}']
 
 
 def test_noise_rules(spark):

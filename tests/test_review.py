@@ -112,7 +112,7 @@ def test_judge_survives_failing_calls(spark):
         return '{"is_score": true, "reason": "ok"}'
 
     raw = ['{"@id":"1","rdfs:label":"good"}', '{"@id":"2","rdfs:label":"bad"}', '{"rdfs:label":"no id"}', '{"@id":""}', '{"uri":"5"}']
-    got = judge.judge(parse_records(spark.createDataFrame([(r,) for r in raw], "raw string")), scorer, 3)
+    got = judge.judge(parse_records(spark.createDataFrame([(r,) for r in raw], "raw string")), judge.one_by_one(scorer))
     assert {r.id: (r.label, r.judgment, r.reason) for r in got.collect()} == {
         "1": ("good", True, "ok"), "2": ("bad", None, "API Error: no answer"), "5": ("No Title", True, "ok")
     }
@@ -141,3 +141,34 @@ def test_queues(spark, rows):
     rows_ = {r.word: r for r in review.word_queue(words, words.where("n = 2"), samples).collect()}
     assert rows_["諸家譜"].parent == "家譜" and rows_["諸家譜"].examples == "・t1\n・t2"
     assert rows_["家譜"].checked and rows_["家譜"].examples == review.NO_SAMPLE
+
+
+def test_batches_are_asked_again_row_by_row(spark):
+    def scorer(prompts):
+        if len(prompts) > 1 and any("bad" in p for p in prompts):
+            raise RuntimeError("batch")
+        return [ValueError("no") if "bad" in p else p.upper() for p in prompts]
+
+    rows = spark.createDataFrame([(i, "bad" if i == 7 else f"p{i}") for i in range(20)], "id bigint, prompt string").coalesce(1)
+    got = {r.id: (r.reply, r.error) for r in judge.ask(rows, scorer, batch_rows=8).collect()}
+    assert got == {i: (None, "no") if i == 7 else (f"P{i}", None) for i in range(20)}
+
+
+def test_each_record_is_judged_once(spark, tmp_path):
+    path = str(tmp_path / "calls")
+
+    def scorer(prompts):
+        with open(path, "a") as file:
+            file.write("x" * len(prompts))
+        return ['{"is_score": true}' for _ in prompts]
+
+    raw = [f'{{"@id":"{i}","rdfs:label":"別の譜{i}"}}' for i in range(30)]
+    recs = parse_records(spark.createDataFrame([(r,) for r in raw], "raw string"))
+    from fumikura.functions import titles as t
+
+    records = recs.select(t.record_id("rec").alias("id"), "raw", "rec")
+    decisions = spark.createDataFrame([("3", False)], "id string, decision boolean")
+    done = curate(records, [], [], [], scorer, decisions)
+    assert done.final.count() == 30 and done.sample.count() == 30 and done.judged.count() == 30
+    assert len(open(path).read()) == 30
+    assert done.final.where("not is_score").count() == 1

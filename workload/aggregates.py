@@ -16,7 +16,14 @@ from .joins import HARVEST
 
 @query("e1_gram_counts", f"WITH {GRAMS} SELECT n, gram, cnt, first_pos FROM gcount")
 def gram_counts(spark, sf):
-    return base.gram_counts(spark, sf).withColumn("n", F.col("n").cast("bigint"))
+    return base.gram_counts(spark, sf).withColumns({c: F.col(c).cast("bigint") for c in ("n", "first_pos")})
+
+
+@query("e1_large_ord", f"WITH {GRAMS} SELECT n, gram, cnt, CAST(first_pos + (CAST(1 AS HUGEINT) << 70) AS VARCHAR) AS first_pos FROM gcount")
+def large_ord(spark, sf):
+    """Record ordinals far beyond what fits into one BIGINT together with a position."""
+    far = base.titles(spark, sf).withColumn("ord", F.col("ord") + (1 << 46))
+    return mine.gram_counts(far).select(F.col("n").cast("bigint").alias("n"), "gram", "cnt", F.col("first_pos").cast("string"))
 
 
 @query(
@@ -113,7 +120,7 @@ def orphans(spark, sf):
 
 @query("e10_vocab", f"WITH {VOCAB} SELECT word, cnt, first_pos FROM vocab ORDER BY cnt DESC, first_pos, word")
 def vocab(spark, sf):
-    return mine.ranked_vocabulary(base.vocabulary(spark, sf))
+    return mine.ranked_vocabulary(base.vocabulary(spark, sf)).withColumn("first_pos", F.col("first_pos").cast("bigint"))
 
 
 @query(
@@ -123,14 +130,31 @@ def vocab(spark, sf):
 )
 def group(spark, sf):
     rows = graph.grouped_objects(base.triples(spark, sf))
-    return rows.withColumn("objects", F.array_join("objects", "|"))
+    return rows.select("s", "p", "page", F.array_join("objects", "|").alias("objects"))
+
+
+@query(
+    "e11_pages",
+    f"""WITH {TRIPLES}, placed AS (SELECT s, p, o, ord, count(*) OVER (PARTITION BY p, s[1:20]) AS total,
+      row_number() OVER (PARTITION BY p, s[1:20] ORDER BY ord) - 1 AS i FROM triples)
+    SELECT s[1:20] AS s, p, CASE WHEN total > 40 THEN i // 40 + 1 ELSE 0 END AS page, total,
+      string_agg(o, '|' ORDER BY ord) AS objects, CASE WHEN total = 1 THEN CAST(to_json(min(o)) AS VARCHAR) END AS bare
+    FROM placed GROUP BY ALL""",
+)
+def group_pages(spark, sf):
+    """Subjects cut to a prefix make large groups with gaps in ``ord``; 40 values go on a page."""
+    rows = base.triples(spark, sf).withColumn("s", F.left("s", F.lit(20)))
+    pages = graph.grouped_objects(rows, most=40)
+    bare = F.when(F.col("total") == 1, graph.collapsed("objects", "total"))
+    return pages.select("s", "p", "page", "total", F.array_join("objects", "|").alias("objects"), bare.alias("bare"))
 
 
 @query(
     "e12_new_ids",
     f"""WITH {HARVEST}, first AS (SELECT s, min(pattern) AS pattern FROM hits GROUP BY s)
-    SELECT CAST(h.pattern AS BIGINT) AS pattern, h.hits, coalesce(f.new_ids, 0) AS new_ids
-    FROM (SELECT pattern, count(*) AS hits FROM hits GROUP BY pattern) h
+    SELECT pattern, coalesce(h.hits, 0) AS hits, coalesce(f.new_ids, 0) AS new_ids
+    FROM (SELECT unnest([1, 2, 3, 4]::BIGINT[]) AS pattern)
+    LEFT JOIN (SELECT pattern, count(*) AS hits FROM hits GROUP BY pattern) h USING (pattern)
     LEFT JOIN (SELECT pattern, count(*) AS new_ids FROM first GROUP BY pattern) f USING (pattern)""",
 )
 def new_ids(spark, sf):
@@ -181,11 +205,13 @@ def examples(spark, sf):
 
 @query(
     "f4_sorted_counts",
-    f"WITH {SUFFIX} SELECT word, cnt FROM stop WHERE n = 6 ORDER BY cnt DESC, word",
+    f"WITH {SUFFIX}, every AS (SELECT word, CAST(sum(cnt) AS BIGINT) AS cnt FROM suffix GROUP BY word) SELECT word, cnt FROM every ORDER BY cnt DESC, word",
 )
 def sorted_counts(spark, sf):
-    rows = base.suffix_top(spark, sf).where("n = 6").select("word", "cnt")
-    return rows.orderBy(F.desc("cnt"), "word")
+    """Every ending of every size, most frequent first."""
+    ends = mine.suffixes(base.vocabulary(spark, sf), base.SIZES)
+    counts = ends.groupBy(F.col("suffix").alias("word")).agg(F.sum("cnt").alias("cnt"))
+    return counts.orderBy(F.desc("cnt"), "word")
 
 
 @query(

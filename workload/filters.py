@@ -9,7 +9,7 @@ from fumikura.operators import graph, judge, match, mine, review, search
 from fumikura.operators.scale import pinned
 from fumikura.session import scratch_path
 from fumikura.sources import rankings, records
-from fumikura.plans import mining
+from fumikura.plans import curation, mining
 
 from . import base, scans
 from .base import HOME, JUDGED, LABEL, REC, SCHEMA, SUFFIX, SUBJECTS, TRIPLES, VOCAB, query, table
@@ -55,6 +55,50 @@ def keep_first(spark, sf):
     return base.ids_titles(spark, sf).select("id", verdict.alias("v")).select("id", "v.*")
 
 
+#: A list longer than the inline bound, with words of up to 110 characters; built from the benchmark texts.
+LONG_WORDS = """words AS (SELECT DISTINCT w FROM (SELECT unnest([left(text, 110), substr(text, 7, 71), substr(text, 3, 9), right(text, 5)]) AS w FROM benchmark)
+      WHERE length(w) >= 5 AND NOT contains(w, chr(10))),
+    list AS (SELECT w, row_number() OVER (ORDER BY md5(w), w) - 1 AS ord FROM words)"""
+
+
+def long_words(spark, sf) -> list[str]:
+    texts = table(spark, sf, "benchmark")
+    cuts = F.array(F.left("text", F.lit(110)), F.substring("text", 7, 71), F.substring("text", 3, 9), F.right("text", F.lit(5)))
+    words = texts.select(F.explode(cuts).alias("w")).distinct().where("length(w) >= 5 and not contains(w, '\n')")
+    return [r.w for r in words.orderBy(F.md5("w"), "w").collect()]  # the benchmark's texts are a word list here
+
+
+@query(
+    "c5_long_list",
+    f"""WITH {LONG_WORDS}, rows AS (SELECT text, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id // 7 END AS id FROM documents),
+    hits AS (SELECT t, arg_min(w, ord) AS hit FROM (SELECT DISTINCT text AS t FROM rows) JOIN list ON contains(t, w) GROUP BY t)
+    SELECT id, md5(text) AS digest, CASE WHEN hit IS NULL THEN 'keep' ELSE 'drop' END AS verdict, hit AS reason FROM rows LEFT JOIN hits ON text = t""",
+)
+def long_list(spark, sf):
+    """Hundreds of words, some over 65 characters; ids repeat or are missing."""
+    rows = table(spark, sf, "documents").select(
+        F.when(F.col("doc_id") % 3 != 0, F.call_function("div", F.col("doc_id"), F.lit(7))).alias("id"), F.col("text").alias("title")
+    )
+    tagged = match.with_first_hit(rows, long_words(spark, sf), inline=20)
+    return tagged.select("id", F.md5("title").alias("digest"), match.drop_only_verdict("hit").alias("v")).select("id", "digest", "v.*")
+
+
+@query(
+    "c4_about",
+    f"""WITH {REC}, {LONG_WORDS}, texts AS (SELECT doc_id, text || ' | ' || CASE WHEN quality = 1 THEN to_json(subject)
+        WHEN quality = 0 THEN '[' || to_json(subject) || ',' || to_json(tongue) || ']' ELSE '{{"@id":' || to_json(subject) || '}}' END AS t FROM rec),
+    places AS (SELECT doc_id, w, position(w IN t) AS at, ord FROM texts JOIN list ON contains(t, w)),
+    dropped AS (SELECT doc_id, arg_min(w, (at, ord)) AS d FROM places GROUP BY doc_id),
+    kept AS (SELECT doc_id, contains(t, 'src11') OR contains(t, 'ment') AS k FROM texts)
+    SELECT doc_id, CASE WHEN NOT k AND d IS NOT NULL THEN 'drop' ELSE 'keep' END AS verdict,
+      CASE WHEN NOT k THEN 'NG Hit: ' || d END AS reason, k AND d IS NOT NULL AS rescued FROM texts JOIN kept USING (doc_id) LEFT JOIN dropped USING (doc_id)""",
+)
+def keep_by_subject(spark, sf):
+    """Keep and drop lists over title and subjects together, the drop list a long one."""
+    rows = curation.keep_by_subject(base.parsed(spark, sf), ["src11", "ment"], long_words(spark, sf))
+    return rows.select("doc_id", "verdict", "reason", "rescued")
+
+
 @query(
     "c5_drop_only",
     f"""WITH h AS (SELECT doc_id AS id, {base.sql_first_hit('text', base.DROP)} AS hit FROM documents)

@@ -11,7 +11,7 @@ from fumikura.session import checkpointed
 
 from . import base
 from .base import DECIDED, GRAMS, HOME, JUDGED, RDF_TYPE, ROOTS, SCHEMA, SUBJECTS, TRIPLES, VOCAB, query, table
-from .filters import CODES, CODE_PREFIX
+from .filters import CODES, CODE_PREFIX, LONG_WORDS, long_words
 
 
 @query("d1_theta", f"SELECT doc_id AS id, {base.sql_first_hit('text', base.KEEP)} AS hit FROM documents")
@@ -37,6 +37,19 @@ def equi(spark, sf):
     return match.first_hit_join(base.ids_titles(spark, sf), listed).select("id", "hit")
 
 
+@query(
+    "d1_long_words",
+    f"""WITH {LONG_WORDS}, places AS (SELECT doc_id, w, position(w IN text) AS at, ord FROM documents JOIN list ON contains(text, w))
+    SELECT doc_id AS id, hit, earliest FROM documents LEFT JOIN (SELECT doc_id, arg_min(w, ord) AS hit, arg_min(w, (at, ord)) AS earliest
+      FROM places GROUP BY doc_id) USING (doc_id)""",
+)
+def long_words_join(spark, sf):
+    """Words of up to 110 characters, first in list order and first in the text."""
+    words = long_words(spark, sf)
+    rows = match.with_first_hit(base.ids_titles(spark, sf), words, inline=20)
+    return match.with_leftmost_hit(rows, words, hit="earliest", inline=20).select("id", "hit", "earliest")
+
+
 _CHOSEN = "SELECT word FROM vocab WHERE cnt >= 100"
 
 
@@ -119,19 +132,18 @@ def protect(spark, sf):
 @query(
     "d6_samples",
     f"""WITH {GRAMS},
-    pick AS (SELECT n, gram FROM gtop WHERE rank <= 20),
-    firsts AS (SELECT g.n, g.gram, md5(d.text) AS t, min(g.doc_id) AS doc_id
-      FROM grams g JOIN pick USING (n, gram) JOIN documents d USING (doc_id) GROUP BY g.n, g.gram, d.text),
+    held AS (SELECT DISTINCT g.n, g.gram, g.doc_id FROM grams g JOIN gtop t ON g.n = t.n AND g.gram = t.gram),
+    digest AS (SELECT doc_id, md5(text) AS t FROM documents),
+    firsts AS (SELECT n, gram, t, min(doc_id) AS doc_id FROM held JOIN digest USING (doc_id) GROUP BY n, gram, t),
     shown AS (SELECT n, gram, string_agg('・' || t, chr(10) ORDER BY doc_id) AS examples FROM (
       SELECT *, row_number() OVER (PARTITION BY n, gram ORDER BY doc_id) AS k FROM firsts) WHERE k <= 10 GROUP BY n, gram)
     SELECT g.n, g.gram AS word, coalesce(examples, 'no sample') AS examples
     FROM gtop g LEFT JOIN shown s ON g.n = s.n AND g.gram = s.gram""",
 )
 def sample_lookup(spark, sf):
-    """Ranked grams with examples; only the first 20 of each size have any."""
+    """Ranked grams with their examples."""
     top = checkpointed(base.top_grams(spark, sf))
-    titles = base.titles(spark, sf)
-    shown = mine.gram_examples(titles, top.where("rank <= 20"))
+    shown = mine.gram_examples(base.titles(spark, sf), top)
     digests = shown.withColumn("title", F.md5("title"))
     words = top.select("n", F.col("gram").alias("word"))
     rows = review.with_samples(words, mine.samples_by_gram(digests).withColumnRenamed("gram", "word"))

@@ -26,7 +26,7 @@ def _asked_sql(text: str) -> str:
 
 @query("h4_judge", f"WITH {REC} SELECT id, title AS label, {_asked_sql('text')} FROM rec", text=("judgment",))
 def judged(spark, sf):
-    return judge.judge(base.parsed(spark, sf), judge.keyword_scorer(YES, NO), parallelism=8)
+    return judge.judge(base.parsed(spark, sf), judge.keyword_scorer(YES, NO))
 
 
 @query("h3_fold", f"WITH {FOLDED} SELECT word, nullif(state, '-') AS state FROM folded")
@@ -86,9 +86,24 @@ def queue(spark, sf):
 _LINK = "'https://www.google.com/search?q=' || replace(url_encode(word || ' とは'), '%2F', '/')"
 
 
-@query("h5_dual_queue", f"WITH {DUAL} SELECT n, rank, word, cnt, state, parent, parent_list, {_LINK} AS link FROM dual")
+_SHOWN = """held AS (SELECT DISTINCT g.n, g.gram, g.doc_id FROM grams g JOIN gtop t ON g.n = t.n AND g.gram = t.gram),
+    digest AS (SELECT doc_id, md5(text) AS t FROM documents),
+    firsts AS (SELECT n, gram, t, min(doc_id) AS doc_id FROM held JOIN digest USING (doc_id) GROUP BY n, gram, t),
+    shown AS (SELECT n, gram, string_agg('・' || t, chr(10) ORDER BY doc_id) AS examples FROM (
+      SELECT *, row_number() OVER (PARTITION BY n, gram ORDER BY doc_id) AS k FROM firsts) WHERE k <= 10 GROUP BY n, gram)"""
+
+
+@query(
+    "h5_dual_queue",
+    f"""WITH {DUAL}, {_SHOWN} SELECT d.n, rank, word, cnt, state, parent, parent_list, {_LINK} AS link, coalesce(examples, 'no sample') AS examples
+    FROM dual d LEFT JOIN shown s ON d.n = s.n AND word = gram WHERE regexp_matches(word, '^[a-t]')""",
+)
 def dual_queue(spark, sf):
-    return review.dual_queue(*joins.dual_lists(spark, sf))
+    """Search pattern and examples given."""
+    ranked, drop, keep = joins.dual_lists(spark, sf)
+    examples = mine.gram_examples(base.titles(spark, sf), ranked.withColumnRenamed("word", "gram")).withColumn("title", F.md5("title"))
+    samples = mine.samples_by_gram(examples).withColumnRenamed("gram", "word")
+    return review.dual_queue(ranked, drop, keep, samples, "^[a-t]")
 
 
 @query(
@@ -114,9 +129,10 @@ def verified(spark, sf):
 
 
 _CASCADE = f"""{REC}, {DECIDED},
-    gray AS (SELECT id, text, title FROM rec
+    split AS (SELECT id, text, title, {base.sql_first_hit('title', base.DROP)} AS ng, {base.sql_first_hit('title', ['ment', '@'])} AS ok FROM rec
       WHERE len(list_filter({base.sql_list(['thaner', 'osja'])}, lambda w: contains(title, w))) = 0
-        AND {base.sql_first_hit('title', base.DROP)} IS NULL AND {base.sql_first_hit('title', ['ment', '@'])} IS NULL),
+        AND ((coalesce(quality, 2) = 1 AND source = 'src7') OR (toxic IS NOT NULL AND contains(text, 'e')))),
+    gray AS (SELECT id, text, title FROM split WHERE ng IS NULL AND ok IS NULL),
     asked AS (SELECT id, title AS label, {_asked_sql('title')} FROM gray)"""
 
 
@@ -124,7 +140,26 @@ def cascade_result(spark, sf):
     rows = base.parsed(spark, sf).select(t.record_id("rec").alias("id"), "raw", "rec")
     decisions = review.last_decisions(base.decision_log(spark, sf))
     scorer = judge.keyword_scorer(YES, NO)
-    return curation.curate(rows, ["thaner", "osja"], base.DROP, ["ment", "@"], scorer, decisions)
+    wanted = t.in_class("rec", "http://data.example/keyword/src7", "e")
+    return curation.curate(rows, ["thaner", "osja"], base.DROP, ["ment", "@"], scorer, decisions, wanted=wanted)
+
+
+@query(
+    "h7_split",
+    f"""WITH {_CASCADE} SELECT id, CASE WHEN ng IS NOT NULL THEN 'ng' WHEN ok IS NOT NULL THEN 'ok' ELSE 'gray' END AS verdict,
+      coalesce('NG: ' || ng, 'OK: ' || ok) AS reason FROM split""",
+)
+def cascade_split(spark, sf):
+    return cascade_result(spark, sf).split.select("id", "verdict", "reason")
+
+
+@query(
+    "h7_sample",
+    f"""WITH {_CASCADE} SELECT id, label, judgment, reason FROM asked ORDER BY md5(id || '#0'), id LIMIT 300""",
+    text=("judgment",),
+)
+def cascade_sample(spark, sf):
+    return cascade_result(spark, sf).sample
 
 
 @query(

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from fumikura.functions import titles as t, words as w
 from fumikura.functions.variants import field
-from fumikura.operators import match, mine
+from fumikura.operators import match, mine, review
 from fumikura.operators.scale import pinned
 from fumikura.session import scratch_path
 from fumikura.sources import rankings, records, samples, triples as triple_files, wordlists
 
 from . import base
-from .base import GRAMS, REC, SUBJECTS, SUFFIX, TRIPLES, VOCAB, query, table
+from .base import GRAMS, JUDGED, REC, SUBJECTS, SUFFIX, TRIPLES, VOCAB, query, table
 
 
 @query(
@@ -82,16 +82,17 @@ def word_list(spark, sf):
 @query(
     "a7_samples_map",
     f"""WITH {GRAMS},
-    pick AS (SELECT n, gram FROM gtop WHERE rank <= 25),
-    firsts AS (SELECT CAST(g.n AS BIGINT) AS n, g.gram, d.text, min(g.doc_id) AS doc_id
-      FROM grams g JOIN pick USING (n, gram) JOIN documents d USING (doc_id) GROUP BY g.n, g.gram, d.text)
-    SELECT n, gram AS word, place, text AS title FROM (
+    held AS (SELECT DISTINCT g.n, g.gram, g.doc_id FROM grams g JOIN gtop t ON g.n = t.n AND g.gram = t.gram),
+    digest AS (SELECT doc_id, md5(text) AS title FROM documents),
+    firsts AS (SELECT CAST(n AS BIGINT) AS n, gram, title, min(doc_id) AS doc_id FROM held JOIN digest USING (doc_id) GROUP BY n, gram, title)
+    SELECT n, gram AS word, place, title FROM (
       SELECT *, row_number() OVER (PARTITION BY n, gram ORDER BY doc_id) AS place FROM firsts)
-    WHERE place <= 3""",
+    WHERE place <= 10""",
 )
 def samples_map(spark, sf):
-    top = mine.top_grams(base.gram_counts(spark, sf), 25)
-    shown = mine.samples_by_gram(mine.gram_examples(base.titles(spark, sf), top, 3))
+    """All top grams with all their examples, written as one document and read back."""
+    top = mine.top_grams(base.gram_counts(spark, sf))
+    shown = mine.samples_by_gram(mine.gram_examples(base.titles(spark, sf), top).withColumn("title", F.md5("title")))
     path = scratch_path(spark, "samples")
     samples.write_samples(shown.withColumnRenamed("gram", "word"), path)
     rows = samples.read_samples(spark, path)
@@ -100,15 +101,55 @@ def samples_map(spark, sf):
     )
 
 
-@query("a8_bindings", f"WITH {TRIPLES} SELECT s, p, o FROM triples")
+@query("a8_bindings", f"WITH {TRIPLES} SELECT s, p, o, row_number() OVER (PARTITION BY s ORDER BY ord) - 1 AS pos FROM triples")
 def bindings(spark, sf):
-    """Saved result documents, one triple per document here, read back as triples."""
-    term = lambda c: F.struct(F.col(c).alias("value"))
-    one = F.struct(term("s").alias("s"), term("p").alias("p"), term("o").alias("o"))
-    doc = F.struct(F.struct(F.array(one).alias("bindings")).alias("results"))
+    """Saved result documents, one per subject with all its triples in arrival order, read back as triples."""
+    term = lambda x, c: F.struct(x[c].alias("value"))
+    listed = F.array_sort(F.collect_list(F.struct("ord", "s", "p", "o")))
+    docs = base.triples(spark, sf).groupBy("s").agg(listed.alias("rows"))
+    every = F.transform("rows", lambda x: F.struct(term(x, "s").alias("s"), term(x, "p").alias("p"), term(x, "o").alias("o")))
     path = scratch_path(spark, "bindings")
-    records.write_lines(base.triples(spark, sf), path, F.to_json(F.struct(doc["results"].alias("results"))))
-    return triple_files.read_binding_lines(spark, path).select("s", "p", "o")
+    records.write_lines(docs, path, F.to_json(F.struct(F.struct(every.alias("bindings")).alias("results"))))
+    rows = triple_files.read_binding_lines(spark, path)
+    return rows.select("s", "p", "o", F.col("pos").cast("bigint").alias("pos"))
+
+
+@query("a9_jsonl_out", f"WITH {JUDGED} SELECT id, label, is_score, reason FROM judged", text=("is_score",))
+def jsonl_out(spark, sf):
+    """Rows written as JSON objects, unknown values as null, and read back."""
+    path = scratch_path(spark, "jsonl")
+    records.write_jsonl(review.unify_columns(base.judged(spark, sf)), path)
+    back = records.parse_records(records.read_lines(spark, path))
+    text = lambda key: field("rec", key, "string").alias(key)
+    return back.select(text("id"), text("label"), field("rec", "is_score", "boolean").alias("is_score"), text("reason"))
+
+
+@query(
+    "a11_csv_out",
+    f"WITH {JUDGED} SELECT '\"' || replace(reason, '\"', '\"\"') || '\",\"' || id || '\",\"' || label || '\"' AS line FROM judged",
+)
+def csv_out(spark, sf):
+    """Byte order mark, all values quoted, one column moved to the front; header lines have the mark."""
+    path = scratch_path(spark, "quoted")
+    rows = base.judged(spark, sf).select("id", "label", "reason")
+    rankings.write_csv(rows, path, first=("reason",), quote_all=True, bom=True)
+    lines = spark.read.text(path)
+    return lines.where(F.col("value") != '\ufeff"reason","id","label"').select(F.col("value").alias("line"))
+
+
+@query(
+    "a14_samples_out",
+    """SELECT lang AS word, source AS title, row_number() OVER (PARTITION BY lang ORDER BY source) AS place
+    FROM (SELECT DISTINCT lang, source FROM documents)""",
+)
+def samples_out(spark, sf):
+    """A map of words to lists, written as one document per size and read back."""
+    pairs = table(spark, sf, "documents").select("lang", "source").distinct()
+    rows = pairs.groupBy(F.col("lang").alias("word")).agg(F.array_sort(F.collect_list("source")).alias("samples"))
+    path = scratch_path(spark, "samples")
+    samples.write_samples(rows.withColumn("n", F.lit(2)), path)
+    back = samples.read_samples(spark, path)
+    return back.select("word", F.posexplode("samples").alias("_i", "title")).select("word", "title", (F.col("_i") + 1).cast("bigint").alias("place"))
 
 
 @query("a10_raw_keep", "SELECT props AS raw FROM events WHERE NOT contains(props, '7') AND NOT contains(props, '13')")
@@ -141,11 +182,38 @@ def list_out(spark, sf):
 )
 def verdict_parts(spark, sf):
     rows = pinned(base.parsed(spark, sf), title=t.title_of_list("rec"))
-    split = match.split_three_ways(rows, base.DROP, base.KEEP, "doc_id")
+    back = _split_back(spark, rows, base.DROP, base.KEEP)
+    return back.select(
+        t.record_id("rec").alias("id"),
+        "verdict",
+        field("rec", "_filter_reason", "string").alias("reason"),
+        field("rec", "is_score", "boolean").alias("is_score"),
+    )
+
+
+def _split_back(spark, rows, drop, keep):
+    """Split records <raw, title>, write them by verdict and read them again."""
+    split = match.split_three_ways(rows, drop, keep)
     path = scratch_path(spark, "split")
     line = match.verdict_line("raw", "reason", "is_score")
     records.write_by_verdict(split.withColumn("line", line), path, "line")
-    back = records.parse_records(spark.read.text(path).withColumnRenamed("value", "raw"))
+    return records.parse_records(spark.read.text(path).withColumnRenamed("value", "raw"))
+
+
+@query(
+    "a13_resplit",
+    f"""WITH hit AS (SELECT 'doc/' || doc_id AS id, {base.sql_first_hit('text', base.DROP)} AS ng1, {base.sql_first_hit('text', base.KEEP)} AS ok1,
+      {base.sql_first_hit('text', base.KEEP[:2])} AS ng2, {base.sql_first_hit('text', base.DROP[:3])} AS ok2 FROM documents),
+    one AS (SELECT *, coalesce('NG: ' || ng1, 'OK: ' || ok1) AS r1, coalesce('NG: ' || ng2, 'OK: ' || ok2) AS r2 FROM hit)
+    SELECT id, CASE WHEN ng2 IS NOT NULL THEN 'ng' WHEN ok2 IS NOT NULL THEN 'ok' ELSE 'gray' END AS verdict, coalesce(r2, r1) AS reason,
+      CASE WHEN r2 IS NOT NULL THEN CASE WHEN ng2 IS NULL THEN TRUE END WHEN ng1 IS NULL AND ok1 IS NOT NULL THEN TRUE END AS is_score FROM one""",
+    text=("is_score",),
+)
+def resplit(spark, sf):
+    """The output of a split is split again: no record is lost, the last reason stands."""
+    rows = pinned(base.parsed(spark, sf), title=t.title_of_list("rec"))
+    once = _split_back(spark, rows, base.DROP, base.KEEP).drop("verdict")
+    back = _split_back(spark, pinned(once, title=t.title_of_list("rec")), base.KEEP[:2], base.DROP[:3])
     return back.select(
         t.record_id("rec").alias("id"),
         "verdict",
@@ -164,6 +232,17 @@ def list_json(spark, sf):
     return wordlists.list_as_code(base.vocabulary(spark, sf), "NOISE_PATTERNS")
 
 
+@query(
+    "a15_paged",
+    f"""WITH {VOCAB}, placed AS (SELECT word, (row_number() OVER (ORDER BY word) - 1) // 100 AS page FROM vocab)
+    SELECT page, 'NOISE_PATTERNS' || CASE WHEN page = 0 THEN ' = ' ELSE ' += ' END
+      || replace(CAST(to_json(list(word ORDER BY word)) AS VARCHAR), ',', ',' || chr(10) || '    ') AS code FROM placed GROUP BY page""",
+)
+def list_pages(spark, sf):
+    """Pages of 100 words; executed in order they give the whole list."""
+    return wordlists.list_as_code(base.vocabulary(spark, sf), "NOISE_PATTERNS", 100)
+
+
 @query("a16_resume_anti", "SELECT doc_id AS uri FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def resume(spark, sf):
     wanted = table(spark, sf, "documents").select(F.col("doc_id").alias("uri"))

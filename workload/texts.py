@@ -179,9 +179,15 @@ def rename(spark, sf):
     return review.unify_columns(base.judged(spark, sf).withColumnRenamed("reason", "thought"))
 
 
-@query("b17_final_cast", f"WITH {JUDGED} SELECT id, coalesce(is_score, FALSE) AS is_score FROM judged")
+@query(
+    "b17_final_cast",
+    f"""WITH {JUDGED}, {base.DECIDED}
+    SELECT id, coalesce(decision, is_score, FALSE) AS is_score, decision IS NOT NULL AS by_hand FROM judged LEFT JOIN decided USING (id)""",
+)
 def final_cast(spark, sf):
-    return review.verified(base.judged(spark, sf), base.decision_log(spark, sf).where("false")).select("id", "is_score")
+    """Override, then cast: what nobody decided and no verdict tells is false."""
+    done = review.verified(base.judged(spark, sf), review.last_decisions(base.decision_log(spark, sf)))
+    return done.select("id", "is_score", F.col("verified_by_human").alias("by_hand"))
 
 
 @query(
@@ -191,7 +197,7 @@ def final_cast(spark, sf):
     FROM listed""",
 )
 def collapse(spark, sf):
-    return graph.grouped_objects(base.triples(spark, sf)).select("s", "p", graph.collapsed("objects").alias("val"))
+    return graph.grouped_objects(base.triples(spark, sf)).select("s", "p", graph.collapsed("objects", "total").alias("val"))
 
 
 @query(
