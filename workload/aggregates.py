@@ -135,11 +135,11 @@ def group(spark, sf):
 
 @query(
     "e11_pages",
-    f"""WITH {TRIPLES}, placed AS (SELECT s, p, o, ord, count(*) OVER (PARTITION BY p, s[1:20]) AS total,
-      row_number() OVER (PARTITION BY p, s[1:20] ORDER BY ord) - 1 AS i FROM triples)
-    SELECT s[1:20] AS s, p, CASE WHEN total > 40 THEN i // 40 + 1 ELSE 0 END AS page, total,
-      string_agg(o, '|' ORDER BY ord) AS objects, CASE WHEN total = 1 THEN CAST(to_json(min(o)) AS VARCHAR) END AS bare
-    FROM placed GROUP BY ALL""",
+    f"""WITH {TRIPLES}, cut AS (SELECT left(s, 20) AS s, p, o, ord FROM triples),
+    counted AS (SELECT *, count(*) OVER (PARTITION BY p, s) AS total, row_number() OVER (PARTITION BY p, s ORDER BY ord) - 1 AS i FROM cut),
+    placed AS (SELECT *, CASE WHEN total > 40 THEN i // 40 + 1 ELSE 0 END AS page FROM counted)
+    SELECT s, p, page, total, string_agg(o, '|' ORDER BY ord) AS objects, CASE WHEN total = 1 THEN CAST(to_json(min(o)) AS VARCHAR) END AS bare
+    FROM placed GROUP BY s, p, page, total""",
 )
 def group_pages(spark, sf):
     """Subjects cut to a prefix make large groups with gaps in ``ord``; 40 values go on a page."""

@@ -87,8 +87,8 @@ def long_list(spark, sf):
     "c4_about",
     f"""WITH {REC}, {LONG_WORDS}, texts AS (SELECT doc_id, text || ' | ' || CASE WHEN quality = 1 THEN to_json(subject)
         WHEN quality = 0 THEN '[' || to_json(subject) || ',' || to_json(tongue) || ']' ELSE '{{"@id":' || to_json(subject) || '}}' END AS t FROM rec),
-    places AS (SELECT doc_id, w, position(w IN t) AS at, ord FROM texts JOIN list ON contains(t, w)),
-    dropped AS (SELECT doc_id, arg_min(w, (at, ord)) AS d FROM places GROUP BY doc_id),
+    places AS (SELECT doc_id, w, position(w IN t) AS pos, ord FROM texts JOIN list ON contains(t, w)),
+    dropped AS (SELECT doc_id, arg_min(w, (pos, ord)) AS d FROM places GROUP BY doc_id),
     kept AS (SELECT doc_id, contains(t, 'src11') OR contains(t, 'ment') AS k FROM texts)
     SELECT doc_id, CASE WHEN NOT k AND d IS NOT NULL THEN 'drop' ELSE 'keep' END AS verdict,
       CASE WHEN NOT k THEN 'NG Hit: ' || d END AS reason, k AND d IS NOT NULL AS rescued FROM texts JOIN kept USING (doc_id) LEFT JOIN dropped USING (doc_id)""",

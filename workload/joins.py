@@ -39,8 +39,8 @@ def equi(spark, sf):
 
 @query(
     "d1_long_words",
-    f"""WITH {LONG_WORDS}, places AS (SELECT doc_id, w, position(w IN text) AS at, ord FROM documents JOIN list ON contains(text, w))
-    SELECT doc_id AS id, hit, earliest FROM documents LEFT JOIN (SELECT doc_id, arg_min(w, ord) AS hit, arg_min(w, (at, ord)) AS earliest
+    f"""WITH {LONG_WORDS}, places AS (SELECT doc_id, w, position(w IN text) AS pos, ord FROM documents JOIN list ON contains(text, w))
+    SELECT doc_id AS id, hit, earliest FROM documents LEFT JOIN (SELECT doc_id, arg_min(w, ord) AS hit, arg_min(w, (pos, ord)) AS earliest
       FROM places GROUP BY doc_id) USING (doc_id)""",
 )
 def long_words_join(spark, sf):

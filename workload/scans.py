@@ -134,7 +134,8 @@ def csv_out(spark, sf):
     rows = base.judged(spark, sf).select("id", "label", "reason")
     rankings.write_csv(rows, path, first=("reason",), quote_all=True, bom=True)
     lines = spark.read.text(path)
-    return lines.where(F.col("value") != '\ufeff"reason","id","label"').select(F.col("value").alias("line"))
+    # The text reader drops the mark again.
+    return lines.where(F.ltrim(F.col("value"), F.lit("\ufeff")) != '"reason","id","label"').select(F.col("value").alias("line"))
 
 
 @query(
