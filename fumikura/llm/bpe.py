@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .rows import schema
+
 #: Words whose tokens a worker remembers; beyond it the memory starts anew.
 CACHE = 400_000
 # The split of byte-level BPE before merging (fixed value).
@@ -251,7 +253,6 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
     * ``decoded_sha256`` is of the text that decoding the ids gives.
     * ``path`` must be readable on every executor; other columns are not read.
     """
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
@@ -275,12 +276,11 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     more = ", ids array<int>" if ids else ""
-    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
+    return docs.select(*keep, "text").mapInArrow(run, schema(docs, keep, f"n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}"))
 
 
 def decode_documents(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns with <text> from <ids>; null ids give null text."""
-    kinds = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
@@ -288,4 +288,4 @@ def decode_documents(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("do
             texts = [None if x.as_py() is None else own.decode(x.as_py()) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(texts, pa.string())], names=[*keep, "text"])
 
-    return encoded.select(*keep, "ids").mapInArrow(run, f"{kinds}, text string")
+    return encoded.select(*keep, "ids").mapInArrow(run, schema(encoded, keep, "text string"))

@@ -9,12 +9,14 @@ reaches ``window`` ends a window; items shorter than the window count whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import sha256
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .rows import counted_chars, packed, schema, unpacked
+
 WINDOW = 10
 #: Item words held by one automaton; more items go through several, one after another.
 BLOCK_WORDS = 2_000_000
@@ -138,23 +140,23 @@ class Automaton:
         return spans, items, longest
 
 
-def _blocks(benchmark: DataFrame, window: int) -> list[list[tuple[object, list[bytes]]]]:
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, list[bytes]]]]:
     """Items as word lists, in blocks of bounded size.
 
-    The test set is read to the driver one partition at a time; the blocks
-    stay below BLOCK_WORDS words unless one item alone is longer.
+    The test set comes to the driver one partition and one block at a time;
+    a block stays below BLOCK_WORDS words unless one item alone is longer.
     """
-    blocks: list[list[tuple[object, list[bytes]]]] = [[]]
+    block: list[tuple[object, list[bytes]]] = []
     size = 0
     rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
     for row in rows.toLocalIterator():
         words = words_of(row.text)
         if size and size + len(words) > BLOCK_WORDS:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row.item_id, words))
+            yield block
+            block, size = [], 0
+        block.append((row.item_id, words))
         size += len(words)
-    return blocks
+    yield block
 
 
 def find_overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -166,55 +168,49 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ke
       with null id, null text or no word take no part; repeated item ids count once.
     * One output row per input row; other columns are not read.
     """
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     context = docs.sparkSession.sparkContext
-    # One automaton is broadcast per block of BLOCK_WORDS words.
-    held = [context.broadcast(block) for block in _blocks(benchmark, window)]
+    # One broadcast per block of at most BLOCK_WORDS words; the name tells blocks apart in reused workers.
+    held = [context.broadcast((uuid4().hex, window, block)) for block in _blocks(benchmark)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
-            out: list[tuple] = []
-            for i in range(len(batch)):
-                words = words_of(texts[i].as_py() or "")
-                spans, names, longest = [], set(), 0
-                for block in held:
-                    automaton = _built(block, window)
-                    own, items, run_ = automaton.matches(words)
-                    spans = _merged(spans + own) if spans and own else spans or own
-                    names |= {str(automaton.names[k]) for k in items}
-                    longest = max(longest, run_)
-                out.append((len(words), sum(b - a for a, b in spans), len(names), sorted(names), [x for s in spans for x in s], longest))
-            count, hit, n_items, items, spans, longest = zip(*out) if out else [()] * 6
+            found: list[list] = [[0, [], set(), 0] for _ in range(len(batch))]
+            for block in held:
+                automaton = _built(*block.value)
+                for i, row in enumerate(found):
+                    words = words_of(texts[i].as_py() or "")
+                    spans, items, longest = automaton.matches(words)
+                    row[0] = len(words)
+                    row[1] = _merged(row[1] + spans) if row[1] and spans else row[1] or spans
+                    row[2].update(str(automaton.names[k]) for k in items)
+                    row[3] = max(row[3], longest)
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(c) for c in keep],
-                    pa.array(count, pa.int64()),
-                    pa.array(hit, pa.int64()),
-                    pa.array(n_items, pa.int64()),
-                    pa.array(items, pa.list_(pa.string())),
-                    pa.array(spans, pa.list_(pa.int64())),
-                    pa.array(longest, pa.int64()),
+                    pa.array([r[0] for r in found], pa.int64()),
+                    pa.array([sum(b - a for a, b in r[1]) for r in found], pa.int64()),
+                    pa.array([len(r[2]) for r in found], pa.int64()),
+                    pa.array([sorted(r[2]) for r in found], pa.list_(pa.string())),
+                    pa.array([[x for s in r[1] for x in s] for r in found], pa.list_(pa.int64())),
+                    pa.array([r[3] for r in found], pa.int64()),
                 ],
                 names=[*keep, "n_words", "n_hit", "n_items", "items", "spans", "longest"],
             )
 
-    return docs.select(*keep, "text").mapInArrow(
-        run,
-        f"{kinds}, n_words bigint, n_hit bigint, n_items bigint, items array<string>, spans array<bigint>, longest bigint",
-    )
+    read = docs.select(*dict.fromkeys([*keep, "text"]))
+    return read.mapInArrow(run, schema(docs, keep, "n_words bigint, n_hit bigint, n_items bigint, items array<string>, spans array<bigint>, longest bigint"))
 
 
-_BUILT: dict[tuple[int, int], Automaton] = {}
+_BUILT: dict[str, Automaton] = {}
 
 
-def _built(block, window: int) -> Automaton:
-    """Automaton of a broadcast block, made once per worker."""
-    key = (block.id if hasattr(block, "id") else id(block), window)
-    if key not in _BUILT:
-        _BUILT.clear() if len(_BUILT) > 4 else None
-        _BUILT[key] = Automaton(block.value, window)
-    return _BUILT[key]
+def _built(name: str, window: int, block: list[tuple[object, list[bytes]]]) -> Automaton:
+    """Automaton of a block, made once per worker as long as no other was asked for."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Automaton(block, window)
+    return _BUILT[name]
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -227,10 +223,6 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def items_digest(items: list[str]) -> str:
-    return sha256(",".join(items).encode()).hexdigest()
-
-
 def cut_spans(text: str, spans: list[int]) -> str:
     """Text without the words of the spans (flat list of begins and ends).
 
@@ -256,25 +248,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     text and ``n_chars`` follows; a document of which more than ``coverage``
     of the words were hit is dropped.  Documents without a hit stay as they are.
     """
-    return _clean(find_overlap(docs, benchmark, window, tuple([c for c in docs.columns if c != "text"] + ["text"])), docs.columns, coverage)
-
-
-def _clean(found: DataFrame, columns: list[str], coverage: float) -> DataFrame:
+    found = find_overlap(packed(docs), benchmark, window, ("_row", "text"))
     stay = found.where((F.col("n_hit") == 0) | (F.col("n_hit") <= coverage * F.col("n_words")))
-    kinds = ", ".join(f"`{c}` {found.schema[c].dataType.simpleString()}" for c in columns)
-    place = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column("spans").to_pylist()
-            texts = batch.column("text")
+            spans, texts = batch.column("spans").to_pylist(), batch.column("text")
             cut = [cut_spans(texts[i].as_py(), s) if s else texts[i].as_py() for i, s in enumerate(spans)]
-            out = [batch.column(c) for c in columns]
-            out[place] = pa.array(cut, pa.string())
-            if "n_chars" in columns:
-                at = columns.index("n_chars")
-                old = out[at].to_pylist()
-                out[at] = pa.array([len(t) if s else n for t, s, n in zip(cut, spans, old)], out[at].type)
-            yield pa.RecordBatch.from_arrays(out, names=columns)
-
-    return stay.select(*columns, "spans").mapInArrow(run, kinds)
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(cut, pa.string()), pa.array([bool(s) for s in spans])], names=["_row", "text", "cut"])
+
+    clean = stay.select("_row", "text", "spans").mapInArrow(run, schema(stay, ("_row", "text"), "cut boolean"))
+    return unpacked(clean, docs.columns, **counted_chars(docs, F.col("cut")))

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.scale import lookup_join
 from .bytewords import text_buffer
+from .rows import packed, schema, unpacked
 
 ORDER = 3
 #: Labelled rows per language used for training (about; drawn by a hash).
@@ -203,7 +204,6 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     spark: SparkSession = docs.sparkSession
     held = spark.sparkContext.broadcast(model)  # bounded by CELLS
     kept = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name in keep)
 
     def run(batches):
         trees = held.value
@@ -232,7 +232,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                 names=[*keep, "lang_pred", "score", "bits_per_byte"],
             )
 
-    return kept.mapInArrow(run, f"{kinds}, lang_pred string, score double, bits_per_byte double")
+    return kept.mapInArrow(run, schema(docs, keep, "lang_pred string, score double, bits_per_byte double"))
 
 
 def fold(key: str = "doc_id"):
@@ -248,3 +248,18 @@ def identify(docs: DataFrame, per_language: int = SAMPLE_ROWS) -> DataFrame:
     """
     model = train(training_rows(docs.where(fold() != 2), per_language))
     return predict(docs.select("doc_id", "text"), model).withColumn("held_out", fold() == 2)
+
+
+def keep_known(docs: DataFrame, per_language: int = SAMPLE_ROWS) -> DataFrame:
+    """Documents in a learned language, ``lang`` set to it; all columns and their order kept.
+
+    Dropped are rows without a letter: null, empty or letterless texts.  Where
+    nothing can be learned (no row with a language), every such row but no other is dropped
+    and ``lang`` stays as it is.
+    """
+    model = train(training_rows(docs.where(fold() != 2), per_language))
+    named = predict(packed(docs), model, ("_row", "text"))
+    if not model.langs:
+        return unpacked(named.where(F.col("text").rlike(r"\p{L}")), docs.columns)
+    new = {"lang": F.col("lang_pred")} if "lang" in docs.columns else {}
+    return unpacked(named.where(F.col("lang_pred") != "und"), docs.columns, **new)

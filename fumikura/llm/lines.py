@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.scale import lookup_join
 from ..session import stored
+from .rows import counted_chars, packed, row_key, schema, unpacked
 
 #: What parts the units of a text.
 UNITS = {"line": r"\n", "paragraph": r"\n[ \t\r\f\v]*\n\s*"}
@@ -62,9 +63,9 @@ def units(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS, r
                 names=["doc_id", "_text", "rank", "unit", "start", "end", "words", "digest"],
             )
 
-    kind, ranked = docs.schema["doc_id"].dataType.simpleString(), docs.schema[rank].dataType.simpleString()
     read = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.col(rank).alias("_rank"), "text")
-    return read.mapInArrow(run, f"doc_id {kind}, _text bigint, rank {ranked}, unit int, start int, end int, words int, digest binary")
+    ranked = read.withColumnRenamed("_rank", "rank")
+    return read.mapInArrow(run, schema(ranked, ("doc_id", "_text", "rank"), "unit int, start int, end int, words int, digest binary"))
 
 
 def find_repeats(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS, rank: str = "doc_id") -> DataFrame:
@@ -101,44 +102,37 @@ def find_repeats(docs: DataFrame, unit: str = "line", least_words: int = LEAST_W
 
 
 def dedup(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS, rank: str = "doc_id") -> DataFrame:
-    """Documents without repeated units; all columns and their order kept, then <removed>.
+    """Documents without repeated units; all columns and their order kept, then <removed_units>.
 
     A removed unit goes with the break after it (the last one with the break
     before it); ``n_chars`` follows the text.  Rows without a repeat stay as
     they are, with an empty list.
     """
     found = find_repeats(docs, unit, least_words, rank).where("n_removed > 0").select("doc_id", "_text", "removed").dropDuplicates(["doc_id", "_text"])
-    key = F.xxhash64(F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit("")), F.col("_text"))
-    keyed = docs.withColumn("_text", F.xxhash64("text")).withColumn("_key", key)
-    joined = lookup_join(keyed, found.select(key.alias("_key"), "removed"), ["_key"], "left")
-    columns, place = docs.columns, docs.columns.index("text")
+    keyed = packed(docs, "doc_id", F.xxhash64("text").alias("_text")).withColumn("_key", row_key())
+    joined = lookup_join(keyed, found.select(row_key().alias("_key"), "removed"), ["_key"], "left").select("_row", "text", "removed")
     pattern = UNITS[unit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parting = re.compile(pattern)
         for batch in batches:
             texts, gone = batch.column("text"), batch.column("removed").to_pylist()
-            new, changed = [], []
-            for i, spans in enumerate(gone):
-                text = texts[i].as_py()
-                changed.append(bool(spans))
-                if spans:
-                    out = {s["start"] for s in spans}
-                    parts, tail = [], ""
-                    places = list(_cut(text, parting))
-                    for k, (a, b) in enumerate(places):
-                        if a not in out or a == b:
-                            parts.append(tail + text[a:b])
-                            tail = text[b:places[k + 1][0]] if k + 1 < len(places) else ""
-                    text = "".join(parts)
-                new.append(text)
-            arrays = [batch.column(c) for c in columns]
-            arrays[place] = pa.array(new, pa.string())
-            if "n_chars" in columns:
-                at = columns.index("n_chars")
-                arrays[at] = pa.array([len(t) if c else n for t, c, n in zip(new, changed, arrays[at].to_pylist())], arrays[at].type)
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([g or [] for g in gone], batch.schema.field("removed").type)], names=[*columns, "removed"])
-
-    plain = joined.select(*[F.col(f"`{c}`") for c in columns], "removed")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
-    return plain.mapInArrow(run, kinds)
+            new = [_without(texts[i].as_py(), {s["start"] for s in spans}, parting) if spans else texts[i].as_py() for i, spans in enumerate(gone)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_row"), pa.array(new, pa.string()), pa.array([g or [] for g in gone], batch.schema.field("removed").type)], names=["_row", "text", "removed"]
+            )
+
+    clean = joined.mapInArrow(run, joined.schema).withColumnRenamed("removed", "_removed")
+    out = unpacked(clean, docs.columns, "_removed", **counted_chars(docs, F.size("_removed") > 0))
+    return out.withColumnRenamed("_removed", "removed_units")
+
+
+def _without(text: str, out: set[int], parting: re.Pattern) -> str:
+    """Text without the units that begin at given places."""
+    parts, tail = [], ""
+    places = list(_cut(text, parting))
+    for k, (a, b) in enumerate(places):
+        if a not in out or a == b:
+            parts.append(tail + text[a:b])
+            tail = text[b:places[k + 1][0]] if k + 1 < len(places) else ""
+    return "".join(parts)

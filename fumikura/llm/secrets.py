@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.scale import lookup_join
 from ..session import stored
+from .rows import counted_chars, packed, row_key, unpacked
 
 # Strong kinds, in the order in which they are listed (fixed values).
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -137,11 +138,6 @@ def spelled(spans: Column | str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(name, s["kind"]), s["start"], s["end"])), ",")
 
 
-def _row_key() -> Column:
-    """Key of id and text; a null id is told from every text an id can have."""
-    return F.xxhash64(F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit("")), F.col("_text"))
-
-
 def redact(docs: DataFrame, reach: int = REACH, mark: str = "[secret]") -> DataFrame:
     """Documents with every found span replaced by a mark; all columns and their order kept.
 
@@ -149,8 +145,8 @@ def redact(docs: DataFrame, reach: int = REACH, mark: str = "[secret]") -> DataF
     without a span, and null texts, stay as they are.
     """
     spans = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    found = scan_secrets(docs, reach).where(F.size("found") > 0).select(_row_key().alias("_key"), spans.alias("_spans"))
-    keyed = docs.withColumn("_text", F.xxhash64("text")).withColumn("_key", _row_key())
+    found = scan_secrets(docs, reach).where(F.size("found") > 0).select(row_key().alias("_key"), spans.alias("_spans"))
+    keyed = packed(docs, "doc_id", F.xxhash64("text").alias("_text")).withColumn("_key", row_key())
     joined = lookup_join(keyed, found.dropDuplicates(["_key"]), ["_key"], "left")
     # Fold from the left: text so far, and where the last span ended.
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
@@ -164,14 +160,6 @@ def redact(docs: DataFrame, reach: int = REACH, mark: str = "[secret]") -> DataF
         )
 
     folded = F.aggregate("_spans", start, step, lambda done: F.concat(done["out"], F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.length("text"))))
-    new = F.when(F.col("_spans").isNotNull(), folded).otherwise(F.col("text"))
-    out = joined.withColumn("_new", new)
-    columns = []
-    for c in docs.columns:
-        if c == "text":
-            columns.append(F.col("_new").alias("text"))
-        elif c == "n_chars":
-            columns.append(F.when(F.col("_spans").isNotNull(), F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
-        else:
-            columns.append(F.col(f"`{c}`"))
-    return out.select(*columns)
+    changed = F.col("_spans").isNotNull()
+    clean = joined.select("_row", "_spans", F.when(changed, folded).otherwise(F.col("text")).alias("text"))
+    return unpacked(clean, docs.columns, **counted_chars(docs, changed))

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import Codec, codec
+from .rows import schema
 
 #: Pre-tokens per leaf when a tree is built.
 LEAF = 32
@@ -162,8 +163,6 @@ def build_trees(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",))
     Null text counts as empty: no leaf, no token.  Texts are taken whole;
     repeated rows each have a tree; other columns are not read.
     """
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
@@ -177,7 +176,7 @@ def build_trees(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",))
                 names=[*keep, "text", "n_tokens", "leaf_chars", "leaf_tokens"],
             )
 
-    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, text string, n_tokens bigint, leaf_chars array<int>, leaf_tokens array<int>")
+    return docs.select(*keep, "text").mapInArrow(run, schema(docs, keep, "text string, n_tokens bigint, leaf_chars array<int>, leaf_tokens array<int>"))
 
 
 def apply_edits(trees: DataFrame, edits: str, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -188,8 +187,6 @@ def apply_edits(trees: DataFrame, edits: str, path: str, keep: tuple[str, ...] =
     overlap.  ``n_redone`` counts characters encoded anew.  Null or no edits
     leave the row as it was; edits of a null text see an empty one.
     """
-    kinds = ", ".join(f"`{c}` {trees.schema[c].dataType.simpleString()}" for c in keep)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
@@ -209,7 +206,7 @@ def apply_edits(trees: DataFrame, edits: str, path: str, keep: tuple[str, ...] =
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *arrays], names=[*keep, "text", "n_tokens", "leaf_chars", "leaf_tokens", "n_before", "n_edits", "n_redone"])
 
     return trees.select(*keep, "text", "leaf_chars", "leaf_tokens", edits).mapInArrow(
-        run, f"{kinds}, text string, n_tokens bigint, leaf_chars array<int>, leaf_tokens array<int>, n_before bigint, n_edits bigint, n_redone bigint"
+        run, schema(trees, keep, "text string, n_tokens bigint, leaf_chars array<int>, leaf_tokens array<int>, n_before bigint, n_edits bigint, n_redone bigint")
     )
 
 
@@ -243,7 +240,6 @@ def pattern_edits(text: str, rules: Sequence[tuple[re.Pattern, str]]) -> list[di
 def with_edits(trees: DataFrame, rules: Sequence[tuple[str, str]] = CLEANING) -> DataFrame:
     """Adds <edits>, the replacements that a list of (pattern, new text) makes."""
     columns = trees.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in trees.schema.fields)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("new", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +248,7 @@ def with_edits(trees: DataFrame, rules: Sequence[tuple[str, str]] = CLEANING) ->
             edits = [pattern_edits(t.as_py() or "", compiled) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(edits, kind)], names=[*columns, "edits"])
 
-    return trees.mapInArrow(run, f"{kinds}, edits array<struct<start:int,end:int,new:string>>")
+    return trees.mapInArrow(run, schema(trees, columns, "edits array<struct<start:int,end:int,new:string>>"))
 
 
 def edited_counts(docs: DataFrame, path: str, rules: Sequence[tuple[str, str]] = CLEANING) -> DataFrame:
