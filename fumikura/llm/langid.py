@@ -138,7 +138,7 @@ class Model:
         width, start = self.codes, np.cumsum([0, *map(len, ids)])
         bits = np.concatenate(tables) if len(ids[0]) else np.full((1, width, len(self.langs)), 1 / 256)
         bits = np.maximum(bits, 1e-30)
-        self.bits = (-np.log2(bits)).reshape(-1, len(self.langs)).astype(np.float32)
+        self.bits = (-np.log2(bits)).reshape(len(bits) * width, len(self.langs)).astype(np.float32)
         row = np.zeros(width ** ORDER, np.int32)
         for order in range(1, ORDER + 1):
             block = row.reshape(-1, width ** order)

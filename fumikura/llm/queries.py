@@ -37,6 +37,9 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
 @query("op1_language_id")
 def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
     from .langid import identify
@@ -44,7 +47,22 @@ def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return identify(table(spark, sf, "documents")).select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
 
 
-@query("op5_decontamination")
+@query(
+    "op5_decontamination",
+    rf"""WITH items AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    sized AS (SELECT item_id, w, least(len(w), 10) AS k FROM items WHERE len(w) > 0),
+    windows AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM sized)),
+    docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    runs AS (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS gram FROM (
+      SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM sized) WHERE len(w) >= k)),
+    found AS (SELECT doc_id, i, k, item_id FROM runs JOIN windows USING (k, gram)),
+    hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM found) GROUP BY doc_id),
+    named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (
+      SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+      sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)""",
+)
 def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     from .decontam import find_overlap
 
@@ -56,7 +74,6 @@ def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
         "n_items",
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        F.col("longest").alias("longest_run"),
     )
 
 
@@ -90,7 +107,21 @@ def op7_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("op4_jaccard_join")
+@query(
+    "op4_jaccard_join",
+    rf"""WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+    sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+      ELSE list_sort(list_distinct([array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)])) END AS s FROM docs),
+    classes AS (SELECT min(doc_id) AS c, s FROM sets WHERE len(s) > 0 GROUP BY s),
+    grams AS (SELECT c, len(s) AS n, unnest(s) AS g FROM classes),
+    links AS (SELECT a.c AS x, b.c AS y FROM grams a JOIN grams b ON a.g = b.g AND a.c < b.c GROUP BY a.c, b.c, a.n, b.n
+      HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+    steps AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+    reach AS (SELECT c, c AS r FROM classes UNION SELECT steps.x, reach.r FROM reach JOIN steps ON reach.c = steps.y),
+    least AS (SELECT c, min(r) AS r FROM reach GROUP BY c)
+    SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(least.r, doc_id) AS component_id
+    FROM sets LEFT JOIN classes ON sets.s = classes.s AND len(sets.s) > 0 LEFT JOIN least USING (c)""",
+)
 def op4_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     from .jaccard import similarity_join
 
@@ -106,7 +137,17 @@ def op6_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
 
 
-@query("op9_line_dedup")
+@query(
+    "op9_line_dedup",
+    """WITH lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+    placed AS (SELECT doc_id, i, l[i] AS line, list_sum([0] || [length(x) + 1 for x in l[1:i - 1]]) AS start FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM lines)),
+    units AS (SELECT doc_id, i, CAST(start AS BIGINT) AS start, CAST(start AS BIGINT) + length(line) AS stop, [x for x in string_split_regex(lower(line), '\\s+') if x <> ''] AS w FROM placed),
+    ranked AS (SELECT *, row_number() OVER u AS k, first_value(doc_id) OVER u AS kept_in FROM units WHERE len(w) >= 5 WINDOW u AS (PARTITION BY w ORDER BY doc_id, i)),
+    gone AS (SELECT doc_id, count(*) AS n_removed, CAST(sum(len(w)) AS BIGINT) AS removed_words,
+      string_agg(start || ':' || stop || ':' || kept_in, ',' ORDER BY i) AS removed_spans FROM ranked WHERE k > 1 GROUP BY doc_id)
+    SELECT doc_id, n_units, coalesce(n_removed, 0) AS n_removed, coalesce(removed_words, 0) AS removed_words, coalesce(removed_spans, '') AS removed_spans
+    FROM (SELECT doc_id, count(*) FILTER (WHERE len(w) > 0) AS n_units FROM units GROUP BY doc_id) LEFT JOIN gone USING (doc_id)""",
+)
 def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     from .lines import find_repeats
 
