@@ -5,9 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWNER: ContextVar[str | None] = ContextVar("fumikura_stages", default=None)
+
 
 def build_session(cores: int | str = "*", memory: str = "20g", shuffle_partitions: int | None = None):
     """Local session for tests and the benchmark; a cluster brings its own."""
@@ -46,8 +51,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """Fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/fumikura/{name}-{uuid.uuid4().hex}"
+    """Fresh path below the shared folder, or below that of the stages now open."""
+    folder = _OWNER.get() or f"{shared_dir(spark).rstrip('/')}/fumikura"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def stages(spark: SparkSession) -> Iterator[str]:
+    """Owns the tables written inside and removes them at the end.
+
+    Frames made inside read these tables, so write what is to stay (to a path
+    taken outside) before the block ends.
+    """
+    folder = scratch_path(spark, "stages")
+    before = _OWNER.set(folder)
+    try:
+        yield folder
+    finally:
+        _OWNER.reset(before)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

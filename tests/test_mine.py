@@ -152,3 +152,16 @@ def test_lookup_join_salts_like_a_plain_join(spark, rows, how):
     right = spark.range(0, 30, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("x"))
     assert rows(scale.lookup_join(left, right, ["k"], how, rows=1)) == rows(left.join(right, ["k"], how))
     assert rows(scale.lookup_join(left, right, ["k"], how)) == rows(left.join(right, ["k"], how))
+
+
+def test_stage_tables_go_with_their_owner(spark):
+    import os
+
+    from fumikura.session import scratch_path, stages, stored
+
+    out = scratch_path(spark, "kept")
+    with stages(spark) as folder:
+        stored(spark.range(10)).where("id > 3").write.parquet(out)
+        assert os.listdir(folder.removeprefix("file:"))
+    assert not os.path.exists(folder.removeprefix("file:")) and spark.read.parquet(out).count() == 6
+    assert scratch_path(spark, "x").rsplit("/", 1)[0] == out.rsplit("/", 1)[0]
