@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fumikura.llm import bpe, decontam, jaccard, langid, secrets
 from fumikura.llm.queries import QUERIES, vocabulary
-from fumikura.session import stored
+from fumikura.session import scratch_path, stages
 
 #: Documents of which a larger share is benchmark text are dropped, others only lose the passages.
 COVERAGE = 0.5
@@ -61,8 +61,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what is between them is written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+    for name, stage in STAGES:
+        path = scratch_path(spark, name)
+        with stages(spark):  # what a stage writes for itself goes when it is done
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
 
 
