@@ -1,9 +1,12 @@
-"""Substring dedup by hashing lines or paragraphs.
+"""Substring dedup by hashing lines, their sentences, or paragraphs.
 
 Every text is cut into units; a unit's digest is that of its words in lower
 case with single blanks between.  Equal digests are grouped over all
 documents, the first occurrence by rank stays, and all others are removed.
 Removed units keep their place in the original text.
+
+A passage copied into the middle of a line is no line of its own; its inner
+sentences still are units when lines are cut at the ends of sentences.
 """
 
 from __future__ import annotations
@@ -20,9 +23,9 @@ from ..session import stored
 from .rows import counted_chars, packed, row_key, schema, unpacked
 
 #: What parts the units of a text.
-UNITS = {"line": r"\n", "paragraph": r"\n[ \t\r\f\v]*\n\s*"}
+UNITS = {"line": r"\n", "sentence": r"\n|(?<=[.!?])[ \t\r\f\v]+", "paragraph": r"\n[ \t\r\f\v]*\n\s*"}
 #: Shorter units are part of ordinary prose and always stay.
-LEAST_WORDS = 5
+LEAST_WORDS = 6
 
 
 def _cut(text: str, parting: re.Pattern) -> Iterator[tuple[int, int]]:
@@ -36,7 +39,8 @@ def _cut(text: str, parting: re.Pattern) -> Iterator[tuple[int, int]]:
 def units(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS, rank: str = "doc_id") -> DataFrame:
     """<doc_id, _text, rank, unit, start, end, words, digest>, one row per unit with words, and one with unit -1 per row.
 
-    ``start`` and ``end`` are code points of the text; digest is null for units below ``least_words``.
+    ``start`` and ``end`` are code points of the text, from the unit's first
+    word to its last; digest is null for units below ``least_words``.
     """
     pattern = UNITS[unit]
 
@@ -49,10 +53,12 @@ def units(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS, r
                 text = texts[i].as_py() or ""
                 row.append(i), number.append(-1), start.append(0), end.append(len(text)), count.append(0), digest.append(None)
                 for k, (a, b) in enumerate(_cut(text, parting)):
-                    words = text[a:b].lower().split()
+                    piece = text[a:b]
+                    words = piece.lower().split()
                     if not words:
                         continue
-                    row.append(i), number.append(k), start.append(a), end.append(b), count.append(len(words))
+                    first = a + len(piece) - len(piece.lstrip())
+                    row.append(i), number.append(k), start.append(first), end.append(first + len(piece.strip())), count.append(len(words))
                     digest.append(blake2b(" ".join(words).encode(), digest_size=16).digest() if len(words) >= least_words else None)
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -83,16 +89,22 @@ def find_repeats(docs: DataFrame, unit: str = "line", least_words: int = LEAST_W
     rows = stored(units(docs, unit, least_words, rank))
     order = F.struct(F.col("rank").isNull().alias("none"), "rank", "doc_id", "_text", "unit")
     long = rows.where(F.col("digest").isNotNull())
-    # Minima and maxima are taken per task first, so a line in a third of all documents is one row per task.
+    # Most units occur once.  Half their digest tells which may occur twice; counts are taken per task
+    # first, so a line in a third of all documents is one row per task.
+    half = F.xxhash64("digest")
+    often = long.groupBy(half.alias("_half")).agg(F.count("*").alias("_c")).where(F.col("_c") > 1).select("_half")
+    long = stored(lookup_join(long.withColumn("_half", half), often, ["_half"], "left_semi"))
     firsts = long.groupBy("digest").agg(F.min(order).alias("first"), F.max(order).alias("_last"))
     firsts = firsts.where(F.col("first") != F.col("_last")).select("digest", "first")
     hit = lookup_join(long, firsts, ["digest"], "inner").where(order != F.col("first"))
     gone = hit.select("doc_id", "_text", "unit", "start", "end", "words", F.col("first.doc_id").alias("kept_in")).distinct()
-    every = rows.select("doc_id", "_text", "unit", F.lit(None).cast("struct<unit:int,start:int,end:int,kept_in:bigint>").alias("_gone"), F.lit(0).alias("_words"))
-    out = gone.select("doc_id", "_text", F.lit(None).cast("int").alias("unit"), F.struct("unit", "start", "end", F.col("kept_in").cast("bigint").alias("kept_in")).alias("_gone"), F.col("words").alias("_words"))
+    every = rows.groupBy("doc_id", "_text").agg(F.count(F.when(F.col("unit") == -1, 1)).alias("_rows"), F.count(F.when(F.col("unit") >= 0, 1)).alias("_units"))
+    every = every.select("doc_id", "_text", "_rows", "_units", F.lit(None).cast("struct<unit:int,start:int,end:int,kept_in:bigint>").alias("_gone"), F.lit(0).alias("_words"))
+    zero = F.lit(0).cast("bigint")
+    out = gone.select("doc_id", "_text", zero.alias("_rows"), zero.alias("_units"), F.struct("unit", "start", "end", F.col("kept_in").cast("bigint").alias("kept_in")).alias("_gone"), F.col("words").alias("_words"))
     totals = every.unionByName(out).groupBy("doc_id", "_text").agg(
-        F.count(F.when(F.col("unit") == -1, 1)).alias("_rows"),
-        F.count(F.when(F.col("unit") >= 0, 1)).alias("_units"),
+        F.max("_rows").alias("_rows"),
+        F.max("_units").alias("_units"),
         F.count("_gone").alias("n_removed"),
         F.sum("_words").cast("bigint").alias("removed_words"),
         F.array_sort(F.collect_list("_gone")).alias("removed"),
@@ -117,7 +129,7 @@ def dedup(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS, r
         parting = re.compile(pattern)
         for batch in batches:
             texts, gone = batch.column("text"), batch.column("removed").to_pylist()
-            new = [_without(texts[i].as_py(), {s["start"] for s in spans}, parting) if spans else texts[i].as_py() for i, spans in enumerate(gone)]
+            new = [_without(texts[i].as_py(), {s["unit"] for s in spans}, parting) if spans else texts[i].as_py() for i, spans in enumerate(gone)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_row"), pa.array(new, pa.string()), pa.array([g or [] for g in gone], batch.schema.field("removed").type)], names=["_row", "text", "removed"]
             )
@@ -128,11 +140,11 @@ def dedup(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS, r
 
 
 def _without(text: str, out: set[int], parting: re.Pattern) -> str:
-    """Text without the units that begin at given places."""
+    """Text without the units of given numbers."""
     parts, tail = [], ""
     places = list(_cut(text, parting))
     for k, (a, b) in enumerate(places):
-        if a not in out or a == b:
+        if k not in out:
             parts.append(tail + text[a:b])
             tail = text[b:places[k + 1][0]] if k + 1 < len(places) else ""
     return "".join(parts)

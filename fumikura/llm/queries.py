@@ -139,10 +139,13 @@ def op6_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "op9_line_dedup",
-    """WITH lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-    placed AS (SELECT doc_id, i, l[i] AS line, list_sum([0] || [length(x) + 1 for x in l[1:i - 1]]) AS start FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM lines)),
-    units AS (SELECT doc_id, i, CAST(start AS BIGINT) AS start, CAST(start AS BIGINT) + length(line) AS stop, [x for x in string_split_regex(lower(line), '\\s+') if x <> ''] AS w FROM placed),
-    ranked AS (SELECT *, row_number() OVER u AS k, first_value(doc_id) OVER u AS kept_in FROM units WHERE len(w) >= 5 WINDOW u AS (PARTITION BY w ORDER BY doc_id, i)),
+    r"""WITH lines AS (SELECT doc_id, string_split(regexp_replace(replace(coalesce(text, ''), chr(10), chr(10) || chr(1)),
+      '([.!?])([ \t\r\f\v]+)', '\1' || chr(1) || '\2', 'g'), chr(1)) AS l FROM documents),
+    pieces AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM lines),
+    placed AS (SELECT *, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY i) - length(line) AS begin FROM pieces),
+    units AS (SELECT doc_id, i, CAST(begin AS BIGINT) + length(line) - length(regexp_replace(line, '^\s+', '')) AS start,
+      CAST(begin AS BIGINT) + length(regexp_replace(line, '\s+$', '')) AS stop, [x for x in string_split_regex(lower(line), '\s+') if x <> ''] AS w FROM placed),
+    ranked AS (SELECT *, row_number() OVER u AS k, first_value(doc_id) OVER u AS kept_in FROM units WHERE len(w) >= 6 WINDOW u AS (PARTITION BY w ORDER BY doc_id, i)),
     gone AS (SELECT doc_id, count(*) AS n_removed, CAST(sum(len(w)) AS BIGINT) AS removed_words,
       string_agg(start || ':' || stop || ':' || kept_in, ',' ORDER BY i) AS removed_spans FROM ranked WHERE k > 1 GROUP BY doc_id)
     SELECT doc_id, n_units, coalesce(n_removed, 0) AS n_removed, coalesce(removed_words, 0) AS removed_words, coalesce(removed_spans, '') AS removed_spans
@@ -151,7 +154,7 @@ def op6_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     from .lines import find_repeats
 
-    found = find_repeats(table(spark, sf, "documents"))
+    found = find_repeats(table(spark, sf, "documents"), "sentence")
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"], s["kept_in"])), ",")
     return found.select("doc_id", "n_units", "n_removed", "removed_words", spans.alias("removed_spans"))
 
