@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import settings
 from ..functions.uris import is_subnode, shorten
 from ..functions.variants import json_string
-from ..session import checkpointed, stored
+from ..session import stored
 from .scale import lookup_join, with_dense_rank
 
 GROUP_ROWS = 100_000  # most values that go into one array or document
@@ -299,48 +299,59 @@ def nested_documents(
     return rows.select("root", "part", F.col("value").alias("doc")).unionByName(failed)
 
 
+def _links(triples: DataFrame, roots: DataFrame, subjects: DataFrame) -> DataFrame:
+    """<node, next> of all steps that may be followed from some root, stored.
+
+    Only blank nodes and objects that begin like some root can be followed;
+    the test against the very root comes later.  That keeps types and other
+    hot objects out of the join.
+    """
+    size = min(_HEAD, roots.agg(F.min(F.length("uri"))).first()[0] or 0)
+    begins = stored(roots.select(F.left("uri", F.lit(size)).alias("_head")).distinct())
+    maybe = triples.select("s", "o").withColumn("_head", F.left("o", F.lit(size)))
+    is_blank = F.startswith("o", F.lit("_:"))
+    blank = maybe.where(is_blank).select("s", "o")
+    named = lookup_join(maybe.where(~is_blank), begins, ["_head"], "left_semi", derived=False)
+    inner = blank.unionByName(named.select("s", "o")).distinct().join(subjects.withColumnRenamed("node", "o"), "o", "left_semi")
+    return stored(inner.select(F.col("s").alias("node"), F.col("o").alias("next")))
+
+
 def frontier(
     triples: DataFrame,
     roots: DataFrame,
     max_depth: int | None = None,
     boundary: str | None = None,
+    paths: bool = False,
 ) -> DataFrame:
-    """Node occurrences of every tree: <root, depth, node, path>.
+    """Nodes of every tree at their least depth: <root, depth, node>.
 
     Depth 1 is the root.  Each round follows the sub-nodes that have triples
-    and are not on their own path; without ``max_depth`` the rounds go on
-    until none is left.  Every round is written to the shared folder, so the
-    plan of a round never holds the rounds before it.
+    and were not reached before; without ``max_depth`` the rounds go on until
+    none is left.  Every round is written to the shared folder, so the plan of
+    a round never holds the rounds before it.
+
+    With ``paths`` there is one row per way to a node that visits no node
+    twice, and a column ``path``; their number can grow with the factorial of
+    the nodes that link each other.
     """
     subjects = triples.select(F.col("s").alias("node")).distinct()
-    # Only blank nodes and objects that begin like some root can be followed; the test against
-    # the very root comes later.  That keeps types and other hot objects out of the join.
-    size = min(_HEAD, roots.agg(F.min(F.length("uri"))).first()[0] or 0)
-    begins = stored(roots.select(F.left("uri", F.lit(size)).alias("_head")).distinct())
-    maybe = triples.select("s", "o").withColumn("_head", F.left("o", F.lit(size)))
-    is_blank = F.startswith("o", F.lit("_:"))
-    blank = maybe.where(is_blank).select("s", "o")
-    named = lookup_join(maybe.where(~is_blank), begins, ["_head"], "left_semi", derived=False)
-    inner = blank.unionByName(named.select("s", "o")).distinct().join(subjects.withColumnRenamed("node", "o"), "o", "left_semi")
-    links = stored(inner.select(F.col("s").alias("node"), F.col("o").alias("next")))
-    level = checkpointed(
-        roots.select(F.col("uri").alias("node")).distinct().join(subjects, "node", "left_semi").select(
-            F.col("node").alias("root"), F.lit(1).alias("depth"), "node", F.array("node").alias("path")
-        )
-    )
+    links = _links(triples, roots, subjects)
+    first = roots.select(F.col("uri").alias("node")).distinct().join(subjects, "node", "left_semi")
+    columns = ["root", "depth", "node", *(["path"] if paths else [])]
+    level = stored(first.select(F.col("node").alias("root"), F.lit(1).alias("depth"), "node", F.array("node").alias("path")).select(*columns))
     levels = [level]
     while max_depth is None or len(levels) < max_depth:
-        step = level.join(links, "node").where(
-            is_subnode("next", "root", boundary) & ~F.array_contains("path", F.col("next"))
-        )
-        level = stored(
-            step.select(
-                "root",
-                F.lit(len(levels) + 1).alias("depth"),
-                F.col("next").alias("node"),
-                F.array_append("path", F.col("next")).alias("path"),
-            )
-        )
+        step = level.join(links, "node").where(is_subnode("next", "root", boundary))
+        depth = F.lit(len(levels) + 1).alias("depth")
+        if paths:
+            step = step.where(~F.array_contains("path", F.col("next")))
+            step = step.select("root", depth, F.col("next").alias("node"), F.array_append("path", F.col("next")).alias("path"))
+        else:
+            step = step.select("root", depth, F.col("next").alias("node")).distinct()
+            for seen in levels:
+                step = step.join(seen.select("root", "node"), ["root", "node"], "left_anti")
+            step = step.select(*columns)
+        level = stored(step)
         if level.isEmpty():
             break
         levels.append(level)

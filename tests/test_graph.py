@@ -100,6 +100,8 @@ def test_large_roots_are_cut_into_parts_that_are_whole_together(spark):
 @pytest.mark.parametrize("limit", [None, 2])
 def test_frontier(spark, rows, limit):
     got = graph.frontier(triples(spark), roots(spark, "http://x1", "http://gone"), limit)
+    ways = graph.frontier(triples(spark), roots(spark, "http://x1", "http://gone"), limit, paths=True)
+    assert rows(ways.select("depth", "node").distinct()) == rows(got, "depth", "node")
     want = [
         (1, "http://x1"), (2, "_:b"), (2, "http://x1#a"), (2, "http://x10"), (3, "http://x1#a/z"), (4, "http://x1#a/z/y"),
     ]

@@ -29,10 +29,25 @@ def union(spark, sf):
     SELECT root, depth, node, array_to_string(path, ' > ') AS path FROM tree""",
 )
 def frontier(spark, sf):
-    rows = graph.frontier(base.triples(spark, sf), base.root_list(spark, sf))
+    rows = graph.frontier(base.triples(spark, sf), base.root_list(spark, sf), paths=True)
     return rows.select("root", F.col("depth").cast("bigint"), "node", F.array_join("path", " > ").alias("path"))
 
 
+@query(
+    "h1_reached",
+    f"""WITH RECURSIVE {TRIPLES}, {ROOTS},
+    tree AS (
+      SELECT DISTINCT uri AS root, CAST(1 AS BIGINT) AS depth, uri AS node FROM roots JOIN triples ON s = uri
+      UNION
+      SELECT tree.root, tree.depth + 1, t.o FROM tree JOIN triples t ON t.s = tree.node
+      WHERE (starts_with(t.o, '_:') OR starts_with(t.o, tree.root)) AND t.o IN (SELECT s FROM triples) AND tree.depth < 6)
+    SELECT root, min(depth) AS depth, node FROM tree GROUP BY root, node""",
+)
+def reached(spark, sf):
+    rows = graph.frontier(base.triples(spark, sf), base.root_list(spark, sf))
+    return rows.select("root", F.col("depth").cast("bigint"), "node")
+
+
 def _node(c: str, price: str, location: str, related: str, nid: str) -> str:
     """SQL of a customer node's JSON, without the closing brace."""
     return f"""'{{"@id":"' || {nid} || '","rdf:type":"{HOME}type/customer","rdfs:label":"' || {c}.c_name
