@@ -22,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .bytewords import small_batches
 from .rows import schema
 
 #: Words whose tokens a worker remembers; beyond it the memory starts anew.
@@ -257,7 +258,7 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         decimal = own.decimal
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = batch.column("text")
             count, digest, back, lists = [], [], [], []
             for i in range(len(batch)):

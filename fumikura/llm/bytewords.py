@@ -19,7 +19,7 @@ _BACK = pow(_RADIX, -1, 1 << 64)
 _STEP = 1 << 20
 
 #: Bytes treated at a time; a longer text is taken in pieces that end between words.
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -99,6 +99,13 @@ def _long_word(word: np.ndarray) -> int:
     return (total + len(word)) & _MASK
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that what is made of a batch stays small."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def document_words(column: pa.Array, breaks: np.ndarray = SPACES) -> Iterator[tuple[int, np.ndarray]]:
     """(row, word hashes) of every text of a column, small texts hashed together."""
     data, offsets = text_buffer(column)

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .bytewords import small_batches
 from .rows import counted_chars, packed, schema, unpacked
 
 WINDOW = 10
@@ -173,7 +174,7 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ke
     held = [context.broadcast((uuid4().hex, window, block)) for block in _blocks(benchmark)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = batch.column("text")
             found: list[list] = [[0, [], set(), 0] for _ in range(len(batch))]
             for block in held:
@@ -252,7 +253,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     stay = found.where((F.col("n_hit") == 0) | (F.col("n_hit") <= coverage * F.col("n_words")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             spans, texts = batch.column("spans").to_pylist(), batch.column("text")
             cut = [cut_spans(texts[i].as_py(), s) if s else texts[i].as_py() for i, s in enumerate(spans)]
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(cut, pa.string()), pa.array([bool(s) for s in spans])], names=["_row", "text", "cut"])

@@ -3,13 +3,16 @@
 Every set is put in one global order, rare n-grams first.  Two sets that are
 similar enough must share an n-gram among the first few of both (prefix
 filter), must be of similar size (length filter) and must have enough left
-after the shared one (positional filter).  A pair that passes is tested by a
-bound on the rest (suffix filter: the sets, cut by hash into 64 parts, share
-at most the lesser count of each part) and then verified once, on whole sets.
+after the shared one (positional filter).  Two bounds on the rest follow
+(suffix filter), neither of which loses a link.  Every n-gram flips one bit of
+its set's sketch, so the bits in which two sketches differ are at most the
+n-grams that only one of the sets has.  And the sets, cut by hash into 64
+parts, share at most the lesser count of each part.  What is left is verified
+once per pair, on whole sets.
 
 Equal sets are one class and take part once.  Components are found in two
 steps, so that a group of many near copies is not compared pair by pair: each
-bucket of an n-gram is first compared with one leader per size, and then only
+bucket of an n-gram is first compared with a few leaders of like size, and then only
 pairs that are still in different components.  Every pair of classes that the
 filters let through is verified or already connected, so no link is lost.
 """
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -26,13 +30,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.scale import lookup_join
 from ..session import stored
-from .bytewords import SPACES, document_words, shingles
+from .bytewords import SPACES, document_words, shingles, small_batches
 from .components import components
+from .rows import packed, schema, unpacked
 
 #: N-grams counted together by a task, and how many frequent ones are kept for the order.
-BLOCK = 4_000_000
-FREQUENT = 200_000
+BLOCK = 2_000_000
+FREQUENT = 500_000
 _PARTS = 64
+#: Words of 64 bits in the parity sketch of a set.
+SKETCH = 4
+_SKETCH = [f"s{i}" for i in range(SKETCH)]
 
 
 def _count_blocks(size: int):
@@ -44,12 +52,12 @@ def _count_blocks(size: int):
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = counts >= 2 + len(values) // 2_000_000
+        often = counts >= 2
         return pa.RecordBatch.from_pydict({"h": values[often].view(np.int64), "n": counts[often].astype(np.int64)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
-        for batch in batches:
+        for batch in small_batches(batches):
             for _, words in document_words(batch.column(0), SPACES):
                 own = shingles(words, size)
                 held.append(own)
@@ -88,26 +96,34 @@ def _rare_first(own: np.ndarray, hashes: np.ndarray, counts: np.ndarray, keep: i
     return np.concatenate([rare, rest[np.lexsort((rest, times))][:keep - len(rare)]])
 
 
+def sketch_of(own: np.ndarray) -> np.ndarray:
+    """Parity, per bit, of the n-grams whose hash falls on it."""
+    spot = (own >> np.uint64(20)) % np.uint64(64 * SKETCH)
+    odd = np.bincount(spot.astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def class_of(own: np.ndarray) -> int:
     """64-bit digest of a set; among a thousand million sets two agree by chance once in 37 runs."""
     return int.from_bytes(blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """<doc_id, _text, n, class, probe, indexed, parts> of every row.
+    """<doc_id, _text, n, class, probe, indexed, parts, s0..> of every row.
 
     ``probe`` is the prefix a set looks partners up with, its first
     ``indexed`` n-grams are those it is found by; ``parts`` counts the set by
-    hash.  Class, prefix and parts are null for an empty set.
+    hash, ``s0..`` are its sketch.  Class, prefix and parts are null for an empty set.
     """
     held = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, size))  # bounded by FREQUENT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = held.value
-        for batch in batches:
+        for batch in small_batches(batches):
             rows = len(batch)
             count, indexed = np.zeros(rows, np.int64), np.zeros(rows, np.int32)
             name, probe, parts = [None] * rows, [None] * rows, [None] * rows
+            sketch = np.zeros((SKETCH, rows), np.int64)
             for i, words in document_words(batch.column("text"), SPACES):
                 own = shingles(words, size)
                 n = len(own)
@@ -117,19 +133,19 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 first = n - _ceil_share(n, percent, 100) + 1
                 indexed[i] = n - _ceil_share(n, 2 * percent, 100 + percent) + 1
                 probe[i] = _rare_first(own, hashes, counts, first).view(np.int64)
+                sketch[:, i] = sketch_of(own)
                 parts[i] = np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=_PARTS).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), batch.column("_text"), pa.array(count), pa.array(name, pa.int64()),
-                    pa.array(probe, pa.list_(pa.int64())), pa.array(indexed), pa.array(parts, pa.list_(pa.int32())),
+                    pa.array(probe, pa.list_(pa.int64())), pa.array(indexed), pa.array(parts, pa.list_(pa.int32())), *map(pa.array, sketch),
                 ],
-                names=["doc_id", "_text", "n", "class", "probe", "indexed", "parts"],
+                names=["doc_id", "_text", "n", "class", "probe", "indexed", "parts", *_SKETCH],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("_text"), "text").mapInArrow(
-        run, f"doc_id {kind}, _text bigint, n bigint, class bigint, probe array<bigint>, indexed int, parts array<int>"
-    )
+    read = docs.select("doc_id", F.xxhash64("text").alias("_text"), "text")
+    sketches = ", ".join(f"{c} bigint" for c in _SKETCH)
+    return read.mapInArrow(run, schema(read, ("doc_id", "_text"), f"n bigint, class bigint, probe array<bigint>, indexed int, parts array<int>, {sketches}"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -138,7 +154,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     texts = lookup_join(keyed, wanted.select("_text").distinct(), ["_text"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             name, sets, last = [], [], set()
             for _, words in document_words(batch.column(0), SPACES):
                 own = shingles(words, size)
@@ -153,17 +169,21 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
-    """Length and positional filter of a row of set x and one of set y that share an n-gram.
+    """Length, positional and sketch filter of a row of set x and one of set y that share an n-gram.
 
     The larger set must probe with it and the smaller be found by it.
     """
     c = lambda side, name: F.col(f"{side}.{name}")
-    need = (c(x, "n") + c(y, "n")) * percent
+    total = c(x, "n") + c(y, "n")
+    need = total * percent
+    # At least so many n-grams are in one of the sets only.
+    apart = reduce(lambda a, b: a + b, [F.bit_count(c(x, s).bitwiseXOR(c(y, s))) for s in _SKETCH])
     left = 1 + F.least(c(x, "n") - c(x, "pos") - 1, c(y, "n") - c(y, "pos") - 1)
     x_is_larger = (c(x, "n") > c(y, "n")) | ((c(x, "n") == c(y, "n")) & (c(x, "class") > c(y, "class")))
     return (
         (F.least(c(x, "n"), c(y, "n")) * 100 >= F.greatest(c(x, "n"), c(y, "n")) * percent)
         & (left * (100 + percent) >= need)
+        & ((total - apart) * (100 + percent) >= 2 * need)
         & F.when(x_is_larger, c(y, "pos") < c(y, "indexed")).otherwise(c(x, "pos") < c(x, "indexed"))
     )
 
@@ -230,29 +250,33 @@ def similarity_join(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[
     classes = stored(
         rows.where(F.col("n") > 0).groupBy("class").agg(
             F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("_text").alias("_text"),
-            F.first("probe").alias("probe"), F.first("indexed").alias("indexed"), F.first("parts").alias("parts"),
+            F.first("probe").alias("probe"), F.first("indexed").alias("indexed"), F.first("parts").alias("parts"), *[F.first(c).alias(c) for c in _SKETCH],
         )
     )
-    postings = classes.select("class", "n", "indexed", F.posexplode("probe").alias("pos", "tok"))
-    shared = postings.groupBy("tok").agg(F.count("*").alias("_c")).where(F.col("_c") > 1).select("tok")
-    buckets = stored(postings.join(shared, "tok", "left_semi"))
-
-    # First step: in each bucket and range of sizes, everyone against one leader.
+    postings = classes.select("class", F.posexplode("probe").alias("pos", "tok"), "indexed")
+    # Of most n-grams there is one; a pair needs two sets, and one that is found by it.
+    shared = postings.groupBy("tok").agg(F.count("*").alias("_c"), F.count_if(F.col("pos") < F.col("indexed")).alias("_i"))
+    shared = shared.where((F.col("_c") > 1) & (F.col("_i") > 0)).select("tok")
+    met = postings.select("tok", "class", "pos").join(shared, "tok", "left_semi")
+    buckets = stored(met.join(classes.select("class", "n", "indexed", *_SKETCH), "class"))
+
+    # First step: in each bucket, everyone against the leaders of its own range of sizes and the next ones.
+    # The fewer rare n-grams stand before the shared one, the less a copy was changed: such a one leads.
     step = -math.log(percent / 100) if percent < 100 else 1.0
     banded = buckets.withColumn("_band", F.floor(F.log("n") / step))
-    leaders = banded.groupBy("tok", "_band").agg(F.min(F.struct("class", "n", "pos", "indexed")).alias("_l"), F.count("*").alias("_c"))
-    leaders = leaders.where(F.col("_c") > 1).select("tok", "_band", "_l.*")
-    met = banded.alias("x").join(
+    leaders = banded.groupBy("tok", "_band").agg(F.min(F.struct("pos", "class", "n", "indexed", *_SKETCH)).alias("_l"))
+    leaders = leaders.select("tok", F.explode(F.array(*[F.col("_band") + i for i in (-1, 0, 1)])).alias("_band"), "_l.*")
+    paired = banded.alias("x").join(
         leaders.alias("y"),
         (F.col("x.tok") == F.col("y.tok")) & (F.col("x._band") == F.col("y._band")) & (F.col("x.class") != F.col("y.class")) & _may_link("x", "y", percent),
     )
-    tried = stored(_pairs(met))
+    tried = stored(_pairs(paired))
     first = stored(verified(tried, classes, docs, size, percent))
     roots = stored(components(first))
 
     # Second step: what is left between different components.
     placed = buckets.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("comp", F.coalesce("root", "class"))
-    rest = _candidates(placed.select("tok", "class", "n", "pos", "indexed", "comp"), percent, every=False)
+    rest = stored(_candidates(placed.select("tok", "class", "n", "pos", "indexed", "comp", *_SKETCH), percent, every=False))
     second = stored(verified(rest.join(tried, ["a", "b"], "left_anti"), classes, docs, size, percent))
     links = first.unionByName(second)
     if second.isEmpty():
@@ -279,7 +303,7 @@ def every_link(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """
     rows = stored(signatures(docs, size, percent))
     classes = stored(rows.where(F.col("n") > 0).dropDuplicates(["class"]))
-    postings = stored(classes.select("class", "n", "indexed", F.lit(0).alias("comp"), F.posexplode("probe").alias("pos", "tok")))
+    postings = stored(classes.select("class", "n", "indexed", F.lit(0).alias("comp"), *_SKETCH, F.posexplode("probe").alias("pos", "tok")))
     return verified(_candidates(postings, percent, every=True), classes, docs, size, percent)
 
 
@@ -297,9 +321,9 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     winners = rows.groupBy("root").agg(F.min(order).alias("_w")).select("root", F.col("_w._id").alias("_id"), F.col("_w._text").alias("_text"))
     losers = rows.select("root", *key).join(winners, ["root", *key], "left_anti").select(*key).distinct()
     repeated = stored(rows.groupBy(*key).agg(F.count("*").alias("_c")).where(F.col("_c") > 1).select(*key))
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("_text", F.xxhash64("text"))
+    keyed = packed(docs, F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.xxhash64("text").alias("_text"))
     kept = lookup_join(keyed, losers, key, "left_anti")
     if not repeated.isEmpty():
         once = lookup_join(kept, repeated, key, "left_semi", derived=False).dropDuplicates(key)
         kept = lookup_join(kept, repeated, key, "left_anti", derived=False).unionByName(once)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(kept, docs.columns)

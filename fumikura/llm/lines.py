@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.scale import lookup_join
 from ..session import stored
+from .bytewords import small_batches
 from .rows import counted_chars, packed, row_key, schema, unpacked
 
 #: What parts the units of a text.
@@ -46,7 +47,7 @@ def units(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS, r
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parting = re.compile(pattern)
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = batch.column("text")
             row, number, start, end, count, digest = [], [], [], [], [], []
             for i in range(len(batch)):

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import Codec, codec
+from .bytewords import small_batches
 from .rows import schema
 
 #: Pre-tokens per leaf when a tree is built.
@@ -165,7 +166,7 @@ def build_trees(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",))
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in batches:
+        for batch in small_batches(batches):
             total, chars, tokens = [], [], []
             for text in batch.column("text"):
                 tree = build(own, text.as_py() or "")
@@ -189,7 +190,7 @@ def apply_edits(trees: DataFrame, edits: str, path: str, keep: tuple[str, ...] =
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in batches:
+        for batch in small_batches(batches):
             out: list[tuple] = []
             for text, chars, tokens, todo in zip(*(batch.column(c) for c in ("text", "leaf_chars", "leaf_tokens", edits))):
                 text = text.as_py()
