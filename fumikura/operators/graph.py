@@ -109,18 +109,18 @@ def failed_roots(triples: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _paged(triples: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
-    """Adds <page, total>: the size of the key's group, and 0 or the page of a key with more than ``most`` rows.
+    """Adds <total, page>: for keys with more than ``most`` rows their number and a page, else NULL and 0.
 
     Pages count positions in the order of ``ord``, so a page holds ``most``
     rows whatever the gaps in ``ord``; those of a large key start at 1.  Only
     rows of large keys are ranked: a range sort and one offset per key.
     """
-    sizes = stored(triples.groupBy(*keys).agg(F.count("*").alias("total")))
-    tagged = lookup_join(triples, sizes, keys, "inner", derived=False)
-    large = tagged.where(F.col("total") > most)
-    small = tagged.where(F.col("total") <= most).withColumn("page", F.lit(0).cast("bigint"))
-    if sizes.where(F.col("total") > most).isEmpty():
-        return small
+    sizes = stored(triples.groupBy(*keys).agg(F.count("*").alias("total")).where(F.col("total") > most))
+    if sizes.isEmpty():
+        return triples.withColumn("total", F.lit(None).cast("bigint")).withColumn("page", F.lit(0).cast("bigint"))
+    tagged = lookup_join(triples, sizes, keys, "left", derived=False)
+    large = tagged.where(F.col("total").isNotNull())
+    small = tagged.where(F.col("total").isNull()).withColumn("page", F.lit(0).cast("bigint"))
     ranked = stored(with_dense_rank(large, [*[F.asc(k) for k in keys], F.asc("ord")], "_rank"))
     first = ranked.groupBy(*keys).agg(F.min("_rank").alias("_first"))
     placed = lookup_join(ranked, first, keys, "inner")
@@ -137,11 +137,11 @@ def grouped_objects(triples: DataFrame, most: int = GROUP_ROWS) -> DataFrame:
     the whole list.
     """
     listed = F.array_sort(F.collect_list(F.struct("ord", "o")))
-    return (
-        _paged(triples, ["s", "p"], most)
-        .groupBy("s", "p", "page", "total")
-        .agg(F.transform(listed, lambda x: x["o"]).alias("objects"))
+    pages = _paged(triples, ["s", "p"], most).groupBy("s", "p", "page").agg(
+        F.max("total").alias("_total"), F.transform(listed, lambda x: x["o"]).alias("objects")
     )
+    total = F.coalesce("_total", F.size("objects").cast("bigint"))
+    return pages.select("s", "p", "page", total.alias("total"), "objects")
 
 
 def collapsed(values: Column | str, total: Column | str | None = None) -> Column:
@@ -239,14 +239,14 @@ def nested_documents(
     All levels are folded inside one partitioning by root and part.
     """
     rows = stored(expand(triples, roots, depth, boundary, most))
-    sizes = rows.groupBy("root").agg(F.count("*").alias("_size"), F.countDistinct("ord1").alias("_values"))
+    sizes = rows.groupBy("root").agg(F.count("*").alias("_size"))
     large = stored(sizes.where(F.col("_size") > most))
     rows = rows.withColumn("part", F.lit(""))
     if not large.isEmpty():
         own = lookup_join(rows.select("root", "p1", "ord1"), large, ["root"], "inner", derived=False).distinct()
         # As many of the root's values as have about ``most`` paths between them.
         ranked = stored(with_dense_rank(own, [F.asc("root"), F.asc("ord1")], "_rank"))
-        first = ranked.groupBy("root").agg(F.min("_rank").alias("_first"))
+        first = ranked.groupBy("root").agg(F.min("_rank").alias("_first"), F.count("*").alias("_values"))
         each = F.greatest(F.lit(1), F.call_function("div", F.lit(most) * F.col("_values"), F.col("_size")))
         number = F.call_function("div", F.col("_rank") - F.col("_first"), each) + 1
         parts = lookup_join(ranked, first, ["root"], "inner").select("root", "ord1", number.cast("string").alias("_part"))
