@@ -23,10 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 
 from .bytewords import small_batches
-from .rows import schema
+from .rows import bound_batches, schema
 
 #: Words whose tokens a worker remembers; beyond it the memory starts anew.
-CACHE = 400_000
+CACHE = 200_000
+#: Token pairs whose compatibility is remembered.
+PAIRS = 300_000
 # The split of byte-level BPE before merging (fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # White space as Unicode has it; the regex module counts four control characters besides.
@@ -75,7 +77,6 @@ class Codec:
 
         # Merge (a, b) -> c with its rank; a token's parts are those of its own merge.
         self.rank: dict[tuple[int, int], int] = {}
-        self.merged: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.born: dict[int, int] = {}
         for rank, merge in enumerate(merges):
@@ -83,12 +84,11 @@ class Codec:
             a, b = vocab[left], vocab[right]
             c = vocab[left + right]
             self.rank.setdefault((a, b), rank)
-            self.merged.setdefault((a, b), c)
             if c not in self.parts:
                 self.parts[c], self.born[c] = (a, b), rank
         # Tokens that their own bytes encode to; only such can stand in a result.
         live = {i for word, i in plain.items() if len(word) == 1}
-        self._compatible: dict[tuple[int, int], bool] = {}
+        self._compatible: dict[int, bool] = {}
         for c in sorted(self.parts, key=self.born.get):
             a, b = self.parts[c]
             if a in live and b in live and self._pair(a, b, self.born[c]):
@@ -148,10 +148,10 @@ class Codec:
 
     def compatible(self, a: int, b: int) -> bool:
         """Pair table, filled as pairs are asked for."""
-        key = (a, b)
+        key = a * self.size + b
         known = self._compatible.get(key)
         if known is None:
-            if len(self._compatible) > 4 * CACHE:
+            if len(self._compatible) >= PAIRS:
                 self._compatible.clear()
             known = self._compatible[key] = self._pair(a, b)
         return known
@@ -204,6 +204,11 @@ class Codec:
                 out.extend(chain.from_iterable(map(tokens, self.split(part))))
         return out
 
+    def forget(self) -> None:
+        """Drop what was remembered; a task's words are mostly its own."""
+        self.cache.clear()
+        self._compatible.clear()
+
     def spans(self, text: str, begin: int = 0) -> Iterator[tuple[int, int]]:
         """Places of the pre-tokens from a place on where one begins; special tokens count as one."""
         if self.cut is None or not any(s in text for s in self.special):
@@ -254,6 +259,7 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
     * ``decoded_sha256`` is of the text that decoding the ids gives.
     * ``path`` must be readable on every executor; other columns are not read.
     """
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
@@ -275,6 +281,7 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
                 arrays.append(pa.array(lists, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+        own.forget()
 
     more = ", ids array<int>" if ids else ""
     return docs.select(*keep, "text").mapInArrow(run, schema(docs, keep, f"n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}"))
@@ -282,6 +289,7 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
 
 def decode_documents(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns with <text> from <ids>; null ids give null text."""
+    bound_batches(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bytewords import small_batches
-from .rows import counted_chars, packed, schema, unpacked
+from .rows import bound_batches, counted_chars, packed, schema, unpacked
 
 WINDOW = 10
 #: Item words held by one automaton; more items go through several, one after another.
@@ -169,23 +169,11 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ke
       with null id, null text or no word take no part; repeated item ids count once.
     * One output row per input row; other columns are not read.
     """
-    context = docs.sparkSession.sparkContext
-    # One broadcast per block of at most BLOCK_WORDS words; the name tells blocks apart in reused workers.
-    held = [context.broadcast((uuid4().hex, window, block)) for block in _blocks(benchmark)]
+    held = _held(docs, benchmark, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            texts = batch.column("text")
-            found: list[list] = [[0, [], set(), 0] for _ in range(len(batch))]
-            for block in held:
-                automaton = _built(*block.value)
-                for i, row in enumerate(found):
-                    words = words_of(texts[i].as_py() or "")
-                    spans, items, longest = automaton.matches(words)
-                    row[0] = len(words)
-                    row[1] = _merged(row[1] + spans) if row[1] and spans else row[1] or spans
-                    row[2].update(str(automaton.names[k]) for k in items)
-                    row[3] = max(row[3], longest)
+            found = _found(batch.column("text"), held)
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(c) for c in keep],
@@ -203,6 +191,28 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ke
     return read.mapInArrow(run, schema(docs, keep, "n_words bigint, n_hit bigint, n_items bigint, items array<string>, spans array<bigint>, longest bigint"))
 
 
+def _held(docs: DataFrame, benchmark: DataFrame, window: int) -> list:
+    """One broadcast per block of at most BLOCK_WORDS words; the name tells blocks apart in reused workers."""
+    bound_batches(docs.sparkSession)
+    context = docs.sparkSession.sparkContext
+    return [context.broadcast((uuid4().hex, window, block)) for block in _blocks(benchmark)]
+
+
+def _found(texts: pa.Array, held: list) -> list[list]:
+    """Words, spans, item names and longest run of every text."""
+    found: list[list] = [[0, [], set(), 0] for _ in range(len(texts))]
+    for block in held:
+        automaton = _built(*block.value)
+        for i, row in enumerate(found):
+            words = words_of(texts[i].as_py() or "")
+            spans, items, longest = automaton.matches(words)
+            row[0] = len(words)
+            row[1] = _merged(row[1] + spans) if row[1] and spans else row[1] or spans
+            row[2].update(str(automaton.names[k]) for k in items)
+            row[3] = max(row[3], longest)
+    return found
+
+
 _BUILT: dict[str, Automaton] = {}
 
 
@@ -249,14 +259,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     text and ``n_chars`` follows; a document of which more than ``coverage``
     of the words were hit is dropped.  Documents without a hit stay as they are.
     """
-    found = find_overlap(packed(docs), benchmark, window, ("_row", "text"))
-    stay = found.where((F.col("n_hit") == 0) | (F.col("n_hit") <= coverage * F.col("n_words")))
+    held = _held(docs, benchmark, window)
+    rows = packed(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            spans, texts = batch.column("spans").to_pylist(), batch.column("text")
-            cut = [cut_spans(texts[i].as_py(), s) if s else texts[i].as_py() for i, s in enumerate(spans)]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(cut, pa.string()), pa.array([bool(s) for s in spans])], names=["_row", "text", "cut"])
+            texts = batch.column("text")
+            found = _found(texts, held)
+            stay = pa.array([sum(b - a for a, b in r[1]) <= coverage * r[0] for r in found], pa.bool_())
+            cut = [cut_spans(texts[i].as_py(), [x for s in r[1] for x in s]) if r[1] else texts[i].as_py() for i, r in enumerate(found)]
+            whole = pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(cut, pa.string()), pa.array([bool(r[1]) for r in found], pa.bool_())], names=["_row", "text", "cut"])
+            yield whole.filter(stay)
 
-    clean = stay.select("_row", "text", "spans").mapInArrow(run, schema(stay, ("_row", "text"), "cut boolean"))
+    clean = rows.mapInArrow(run, schema(rows, ("_row", "text"), "cut boolean"))
     return unpacked(clean, docs.columns, **counted_chars(docs, F.col("cut")))

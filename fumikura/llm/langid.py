@@ -27,15 +27,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.scale import lookup_join
-from .bytewords import text_buffer
-from .rows import packed, schema, unpacked
+from .bytewords import small_batches, text_buffer
+from .rows import bound_batches, packed, schema, unpacked
 
 ORDER = 3
 #: Labelled rows per language used for training (about; drawn by a hash).
 SAMPLE_ROWS = 1500
 #: Cells of the table, contexts times codes times languages; rarer contexts give way.
 CELLS = 6_000_000
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 
 
 def training_rows(labelled: DataFrame, per_language: int = SAMPLE_ROWS, key: str = "doc_id") -> DataFrame:
@@ -44,6 +44,7 @@ def training_rows(labelled: DataFrame, per_language: int = SAMPLE_ROWS, key: str
     Rows are drawn by a hash of their key against the share that the language
     needs, so one frequent language costs no more than a rare one.
     """
+    bound_batches(labelled.sparkSession)
     rows = labelled.select(key, "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = rows.groupBy("lang").agg(F.count("*").alias("_n"))
     place = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
@@ -57,7 +58,7 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     A run is one number, its last byte lowest; a text is led by ORDER marks
     (256), so early bytes have only the contexts that are there.
     """
-    for batch in batches:
+    for batch in small_batches(batches, 256):
         found: dict[str, list[np.ndarray]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             code = np.full(ORDER + len(raw := text.encode()), 256, np.int64)
@@ -202,6 +203,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     * Every input row gives one output row, repeated rows too; other columns are not read.
     """
     spark: SparkSession = docs.sparkSession
+    bound_batches(spark)
     held = spark.sparkContext.broadcast(model)  # bounded by CELLS
     kept = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import stored
 from .bytewords import PIECE, SPACES, mix, text_buffer, word_hashes
+from .rows import bound_batches
 
 #: Slots of the hashed features.
 SLOTS = 1 << 17
@@ -183,6 +184,7 @@ def _texts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 def vote_patterns(docs: DataFrame) -> DataFrame:
     """<doc_id, _text, pattern> of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .bpe import Codec, codec
 from .bytewords import small_batches
-from .rows import schema
+from .rows import bound_batches, schema
 
 #: Pre-tokens per leaf when a tree is built.
 LEAF = 32
@@ -164,6 +164,7 @@ def build_trees(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",))
     Null text counts as empty: no leaf, no token.  Texts are taken whole;
     repeated rows each have a tree; other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in small_batches(batches):
@@ -253,6 +254,29 @@ def with_edits(trees: DataFrame, rules: Sequence[tuple[str, str]] = CLEANING) ->
 
 
 def edited_counts(docs: DataFrame, path: str, rules: Sequence[tuple[str, str]] = CLEANING) -> DataFrame:
-    """<doc_id, n_tokens, n_edits, n_tokens_after, n_redone> of a cleaning pass over every row."""
-    done = apply_edits(with_edits(build_trees(docs, path), rules), "edits", path)
-    return done.select("doc_id", F.col("n_before").alias("n_tokens"), "n_edits", F.col("n_tokens").alias("n_tokens_after"), "n_redone")
+    """<doc_id, n_tokens, n_edits, n_tokens_after, n_redone> of a cleaning pass over every row.
+
+    The same as :func:`build_trees`, :func:`with_edits` and :func:`apply_edits`
+    in a row, in one Python task instead of three side by side.
+    """
+    bound_batches(docs.sparkSession)
+    read = docs.select("doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path)
+        compiled = [(re.compile(p), new) for p, new in rules]
+        for batch in small_batches(batches):
+            out: list[tuple[int, int, int, int]] = []
+            for text in batch.column("text"):
+                text = text.as_py() or ""
+                tree = build(own, text)
+                before, redone = tree.total, 0
+                edits = [(e["start"], e["end"], e["new"]) for e in pattern_edits(text, compiled)]
+                if edits:
+                    tree, _, redone = update(own, tree, text, edits)
+                out.append((before, len(edits), tree.total, redone))
+            columns = [pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_redone"])
+        own.forget()
+
+    return read.mapInArrow(run, schema(read, ("doc_id",), "n_tokens bigint, n_edits bigint, n_tokens_after bigint, n_redone bigint"))
