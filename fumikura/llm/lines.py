@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.scale import lookup_join
 from ..session import stored
 from .bytewords import small_batches
-from .rows import counted_chars, packed, row_key, schema, unpacked
+from .rows import bound_batches, counted_chars, packed, row_key, schema, unpacked
 
 #: What parts the units of a text.
 UNITS = {"line": r"\n", "sentence": r"\n|(?<=[.!?])[ \t\r\f\v]+", "paragraph": r"\n[ \t\r\f\v]*\n\s*"}
@@ -44,6 +44,7 @@ def units(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS, r
     word to its last; digest is null for units below ``least_words``.
     """
     pattern = UNITS[unit]
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parting = re.compile(pattern)
@@ -94,10 +95,10 @@ def find_repeats(docs: DataFrame, unit: str = "line", least_words: int = LEAST_W
     # first, so a line in a third of all documents is one row per task.
     half = F.xxhash64("digest")
     often = long.groupBy(half.alias("_half")).agg(F.count("*").alias("_c")).where(F.col("_c") > 1).select("_half")
-    long = stored(lookup_join(long.withColumn("_half", half), often, ["_half"], "left_semi"))
+    long = stored(long.withColumn("_half", half).join(often, "_half", "left_semi"))
     firsts = long.groupBy("digest").agg(F.min(order).alias("first"), F.max(order).alias("_last"))
     firsts = firsts.where(F.col("first") != F.col("_last")).select("digest", "first")
-    hit = lookup_join(long, firsts, ["digest"], "inner").where(order != F.col("first"))
+    hit = long.join(firsts, "digest").where(order != F.col("first"))
     gone = hit.select("doc_id", "_text", "unit", "start", "end", "words", F.col("first.doc_id").alias("kept_in")).distinct()
     every = rows.groupBy("doc_id", "_text").agg(F.count(F.when(F.col("unit") == -1, 1)).alias("_rows"), F.count(F.when(F.col("unit") >= 0, 1)).alias("_units"))
     every = every.select("doc_id", "_text", "_rows", "_units", F.lit(None).cast("struct<unit:int,start:int,end:int,kept_in:bigint>").alias("_gone"), F.lit(0).alias("_words"))
