@@ -32,7 +32,7 @@ from ..operators.scale import lookup_join
 from ..session import stored
 from .bytewords import SPACES, document_words, shingles, small_batches
 from .components import components
-from .rows import packed, schema, unpacked
+from .rows import bound_batches, packed, row_key, schema, unpacked
 
 #: N-grams counted together by a task, and how many frequent ones are kept for the order.
 BLOCK = 2_000_000
@@ -73,6 +73,7 @@ def _count_blocks(size: int):
 
 def frequent_shingles(docs: DataFrame, size: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, ascending, and counts of the most frequent n-grams; at most ``most``."""
+    bound_batches(docs.sparkSession)
     counted = docs.select("text").mapInArrow(_count_blocks(size), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "h").limit(most).toArrow()
     hashes, counts = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
@@ -246,14 +247,19 @@ def similarity_join(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[
     """
     if not 0 < percent <= 100:
         raise ValueError("percent must be above 0 and at most 100")
-    rows = stored(signatures(docs, size, percent))
+    rows = stored(signatures(docs, size, percent).withColumn("_key", row_key()))
+    full = rows.where(F.col("n") > 0)
     classes = stored(
-        rows.where(F.col("n") > 0).groupBy("class").agg(
-            F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("_text").alias("_text"),
-            F.first("probe").alias("probe"), F.first("indexed").alias("indexed"), F.first("parts").alias("parts"), *[F.first(c).alias(c) for c in _SKETCH],
+        full.groupBy("class").agg(
+            F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.min("_key").alias("_key"), F.first("n").alias("n"), F.first("_text").alias("_text"),
+            F.first("indexed").alias("indexed"), F.first("parts").alias("parts"), *[F.first(c).alias(c) for c in _SKETCH],
         )
     )
-    postings = classes.select("class", F.posexplode("probe").alias("pos", "tok"), "indexed")
+    # Prefixes of all rows but copies: those are few enough to be told by their keys, so prefixes are not shuffled here.
+    held_back = classes.where(F.col("copies") > 1).select("class", F.col("_key").alias("_kept"))
+    copies = lookup_join(full.select("class", "_key"), held_back, ["class"], "inner").where(F.col("_key") != F.col("_kept")).select("_key")
+    single = lookup_join(full.select("_key", "class", "probe", "indexed"), copies, ["_key"], "left_anti")
+    postings = single.select("class", F.posexplode("probe").alias("pos", "tok"), "indexed")
     # Of most n-grams there is one; a pair needs two sets, and one that is found by it.
     shared = postings.groupBy("tok").agg(F.count("*").alias("_c"), F.count_if(F.col("pos") < F.col("indexed")).alias("_i"))
     shared = shared.where((F.col("_c") > 1) & (F.col("_i") > 0)).select("tok")
