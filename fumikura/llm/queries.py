@@ -152,9 +152,19 @@ def op6_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     FROM (SELECT doc_id, count(*) FILTER (WHERE len(w) > 0) AS n_units FROM units GROUP BY doc_id) LEFT JOIN gone USING (doc_id)""",
 )
 def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return _repeats(spark, sf, "sentence")
+
+
+@query("op9_nested_dedup")
+def op9_nested_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences as in op9_line_dedup, and besides whole lines and paragraphs, however short their sentences."""
+    return _repeats(spark, sf, "nested")
+
+
+def _repeats(spark: SparkSession, sf: str, unit: str) -> DataFrame:
     from .lines import find_repeats
 
-    found = find_repeats(table(spark, sf, "documents"), "sentence")
+    found = find_repeats(table(spark, sf, "documents"), unit)
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"], s["kept_in"])), ",")
     return found.select("doc_id", "n_units", "n_removed", "removed_words", spans.alias("removed_spans"))
 

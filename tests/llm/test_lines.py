@@ -1,4 +1,5 @@
 import random
+import re
 
 from fumikura.llm import lines
 
@@ -71,6 +72,52 @@ def test_passage_inside_lines(docs):
     assert got[2].text == "Before that. Second line." and [u.kept_in for u in got[2].removed_units] == [1, 0, 0]
 
 
+def nested_brute(pairs, least=lines.LEAST_WORDS):
+    """Sentences, lines and paragraphs by the book: spans that go, none inside another."""
+    found = []
+    for key, text in pairs:
+        text, spans = text or "", set()
+        for kind in ("sentence", "line", "paragraph"):
+            for a, b in lines._cut(text, re.compile(lines.UNITS[kind])):
+                piece = text[a:b]
+                if piece.strip():
+                    spans.add((a + len(piece) - len(piece.lstrip()), a + len(piece.rstrip())))
+        found += [(key, a, b, tuple(text[a:b].lower().split())) for a, b in spans]
+    first, out = {}, {key: [] for key, _ in pairs}
+    for key, a, b, words in sorted(found):
+        if len(words) >= least and first.setdefault(words, (key, a)) != (key, a):
+            out[key].append((a, b, first[words][0]))
+    return {key: sorted(x for x in gone if not any(y[0] <= x[0] and x[1] <= y[1] and x[:2] != y[:2] for y in gone)) for key, gone in out.items()}
+
+
+def test_line_of_short_sentences(docs):
+    verse = " ".join(f"Oh come now {i}. And go!" for i in range(20))
+    texts = [f"Mine is this first line.\n{verse}\nIt ends.", f"{verse.upper()}\nAnother line of text altogether, longer."]
+    for unit, gone in (("sentence", 0), ("line", 1), ("nested", 1)):
+        got = {r.doc_id: r for r in lines.find_repeats(docs(texts), unit).collect()}
+        assert (got[0].n_removed, got[1].n_removed) == (0, gone)
+    assert got[1].removed_words == len(verse.split()) and [(s.start, s.end, s.kept_in) for s in got[1].removed] == [(0, len(verse), 0)]
+    assert got[1].n_units == 41
+    kept = {r.doc_id: r.text for r in lines.dedup(docs(texts), "nested").collect()}
+    assert kept == {0: texts[0], 1: "Another line of text altogether, longer."}
+
+
+def test_nested_against_brute_force(docs):
+    rng = random.Random(4)
+    said = [" ".join(rng.choices("ab cd ef gh ij".split(), k=rng.choice([1, 2, 3, 6, 9]))) + rng.choice([".", "!", ""]) for _ in range(25)]
+    line = [" ".join(rng.choices(said, k=rng.choice([1, 2, 4]))) for _ in range(25)]
+    block = ["\n".join(rng.choices(line, k=rng.choice([1, 2, 3]))) for _ in range(15)]
+    pairs = [(i, rng.choice(["\n\n", "\n \n\n", "\n"]).join(rng.choices(block + line, k=rng.randrange(5)))) for i in range(60)] + [(90, None), (91, " \n")]
+    want, texts = nested_brute(pairs), dict(pairs)
+    for r in lines.find_repeats(docs(pairs), "nested").collect():
+        assert [(s.start, s.end, s.kept_in) for s in r.removed] == want[r.doc_id]
+        assert r.removed_words == sum(len(texts[r.doc_id][a:b].split()) for a, b, _ in want[r.doc_id])
+    for r in lines.dedup(docs(pairs), "nested").collect():
+        text = texts[r.doc_id] or ""
+        rest = "".join(c for i, c in enumerate(text) if not any(a <= i < b for a, b, _ in want[r.doc_id]))
+        assert (r.text or "").split() == rest.split()
+
+
 def test_edges(edge_docs, no_docs):
     found = lines.find_repeats(edge_docs)
     assert found.count() == edge_docs.count() and found.where("n_removed > 0").count() == 0
