@@ -11,10 +11,13 @@ down to one part in 256 below the empty context.  These probabilities sum to
 one, so their logarithms are code lengths; a text gets the language that codes
 all its bytes shortest.
 
-Frozen statistics allow all code lengths to be worked out beforehand: one row
-of a table per (context, next byte), one column per language.  Scoring a text
-is then two table lookups per byte.  Bytes never seen in training are all
-alike to every tree, so they share one code of the table.
+Frozen statistics allow all code lengths to be worked out beforehand.  A byte
+seen after a context was seen after all shorter ones too, so its code length is
+8 bits, plus for every order the escape from the context, and for every order
+where the byte was seen what that is more or less than the escape.  Both are
+kept only for what the sample has: one number per (context, language) and one
+per (context, byte, language), in sorted keys.  No counted context is left out.
+Bytes never seen in training are all alike to every tree, so they share a code.
 """
 
 from __future__ import annotations
@@ -33,8 +36,6 @@ from .rows import bound_batches, packed, schema, unpacked
 ORDER = 3
 #: Labelled rows per language used for training (about; drawn by a hash).
 SAMPLE_ROWS = 1500
-#: Cells of the table, contexts times codes times languages; rarer contexts give way.
-CELLS = 6_000_000
 _PIECE = 1 << 18
 
 
@@ -72,10 +73,32 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(values)), "run": values, "n": counts})
 
 
+class _Sparse:
+    """Numbers by (key, language), for the few languages that have the key."""
+
+    def __init__(self, both: np.ndarray, values: np.ndarray, langs: int):
+        """``both`` is key times ``langs`` plus language, ascending."""
+        self.keys, first = np.unique(both // langs, return_index=True)
+        self.start = np.append(first, len(both))
+        self.lang = (both % langs).astype(np.uint16 if langs <= 1 << 16 else np.int64)
+        self.value = values.astype(np.float32)
+
+    def add(self, out: np.ndarray, keys: np.ndarray) -> None:
+        """Adds to each row of ``out`` the numbers of its key."""
+        if not len(self.keys):
+            return
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        row = np.flatnonzero(self.keys[at] == keys)
+        at = at[row]
+        sizes = self.start[at + 1] - self.start[at]
+        spot = np.arange(int(sizes.sum())) + np.repeat(self.start[at] - (np.cumsum(sizes) - sizes), sizes)
+        out[np.repeat(row, sizes), self.lang[spot]] += self.value[spot]
+
+
 class Model:
     """Code lengths of every (context, byte) for every language, in bits."""
 
-    def __init__(self, langs: list[str], lang: np.ndarray, raw: np.ndarray, times: np.ndarray, cells: int = CELLS):
+    def __init__(self, langs: list[str], lang: np.ndarray, raw: np.ndarray, times: np.ndarray):
         """``raw`` runs of ORDER + 1 bytes seen ``times`` in the language numbered ``lang``."""
         self.langs = langs
         # Codes: 0 is the mark and every unseen byte, then the bytes seen.
@@ -83,68 +106,37 @@ class Model:
         self.codes = width = len(seen) + 1
         to_code = np.zeros(257, np.int64)
         to_code[seen] = np.arange(1, width)
-        # Bytes that share code 0.
-        self.alike = np.ones((1, width, 1))
-        self.alike[0, 0] = 256 - len(seen[seen < 256])
         self.of_byte = to_code[:256].astype(np.uint8 if width <= 256 else np.uint16)
         digits = [to_code[raw // 257 ** (ORDER - i) % 257] for i in range(ORDER + 1)]
-        symbol = digits[ORDER]
+        n = max(1, len(langs))
 
-        # Contexts by order as numbers in base ``width``; those with a mark or an unseen byte are no contexts.
-        room = max(width, cells // max(1, len(langs) * width))
-        tables, ids = [], []
-        below = np.full((1, width, len(langs)), 1 / 256)
+        # Runs by order as numbers in base ``width``; those with a mark before the last byte are not counted.
+        self.escapes: list[_Sparse] = []
+        self.hits: list[_Sparse] = []
         for order in range(ORDER + 1):
-            context = np.zeros(len(raw), np.int64)
+            run = np.zeros(len(raw), np.int64)
             whole = np.ones(len(raw), bool)
             for digit in digits[ORDER - order:ORDER]:
-                context = context * width + digit
+                run = run * width + digit
                 whole &= digit > 0
-            keys, spot = np.unique(context[whole], return_inverse=True)
-            weight = np.zeros(len(keys))
-            np.add.at(weight, spot, times[whole])
-            left = room - sum(len(k) for k in ids)
-            if len(keys) > left:  # the most frequent contexts stay, ties to the smaller number
-                kept = np.sort(np.lexsort((keys, -weight))[:max(0, left)])
-                place = np.full(len(keys), -1)
-                place[kept] = np.arange(len(kept))
-                keys, spot = keys[kept], place[spot]
-            rows = spot >= 0
-            count = np.zeros((len(keys), width, len(langs)))
-            np.add.at(count, (spot[rows], symbol[whole][rows], lang[whole][rows]), times[whole][rows])
+            run = (run * width + digits[ORDER])[whole]
+            both, spot = np.unique(run * n + lang[whole], return_inverse=True)
+            count = np.bincount(spot, times[whole], len(both))
+            context, spot = np.unique(both // n // width * n + both % n, return_inverse=True)
+            size = np.bincount(spot, count, len(context)) + (kinds := np.bincount(spot, minlength=len(context)))
+            # What the shorter context leaves for bytes not seen here, in its counts, so that nothing is lost to rounding.
             if order:
-                shorter = keys % width ** (order - 1)
-                at = np.searchsorted(ids[-1], shorter) if len(ids[-1]) else np.zeros(len(keys), np.int64)
-                hit = np.zeros(len(keys), bool)
-                inside = at < len(ids[-1])
-                hit[inside] = ids[-1][at[inside]] == shorter[inside]
-                keys, count, at = keys[hit], count[hit], at[hit]
-                below = tables[-1][at]
+                shorter = np.searchsorted(last[0], both // n % width ** order * n + both % n)
+                above = np.searchsorted(last[3], context // n % width ** (order - 1) * n + context % n)
+                less, of, own = last[1][shorter], last[4][above], last[2][shorter]
             else:
-                below = np.repeat(below, len(keys), 0)
-            tables.append(self._blend(count, below))
-            ids.append(keys)
-        self._index(ids, tables)
-
-    def _blend(self, count: np.ndarray, below: np.ndarray) -> np.ndarray:
-        """Probabilities at one order from its counts and those one order down."""
-        total, kinds = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
-        rest = (np.where(count > 0, 0.0, below) * self.alike).sum(1, keepdims=True)
-        escape = kinds / np.maximum(total + kinds, 1)
-        lower = np.where(count > 0, 0.0, below) * np.divide(escape, rest, out=np.zeros_like(rest), where=rest > 0)
-        return np.where(total > 0, np.where(count > 0, count / np.maximum(total + kinds, 1), lower), below)
-
-    def _index(self, ids: list[np.ndarray], tables: list[np.ndarray]) -> None:
-        """One table of code lengths, and for ORDER codes the row of their longest known context."""
-        width, start = self.codes, np.cumsum([0, *map(len, ids)])
-        bits = np.concatenate(tables) if len(ids[0]) else np.full((1, width, len(self.langs)), 1 / 256)
-        bits = np.maximum(bits, 1e-30)
-        self.bits = (-np.log2(bits)).reshape(len(bits) * width, len(self.langs)).astype(np.float32)
-        row = np.zeros(width ** ORDER, np.int32)
-        for order in range(1, ORDER + 1):
-            block = row.reshape(-1, width ** order)
-            block[:, ids[order]] = start[order] + np.arange(len(ids[order]), dtype=np.int32)
-        self.row = row
+                less, of, own = np.ones(len(both)), np.full(len(context), 256.0), np.full(len(both), 8.0)
+            rest = (of - np.bincount(spot, less, len(context))) / of
+            escape = np.log2(np.maximum(rest, 1e-30)) - np.log2(kinds / size)
+            bits = np.log2(size[spot]) - np.log2(count)
+            self.escapes.append(_Sparse(context, escape, n))
+            self.hits.append(_Sparse(both, bits - own - escape[spot], n))
+            last = both, count, bits, context, size
 
     def lengths(self, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Bits of consecutive texts, one row each, one column per language."""
@@ -176,13 +168,18 @@ class Model:
 
     def _cells(self, led: np.ndarray, at: np.ndarray) -> np.ndarray:
         width = self.codes
-        context = np.zeros(max(0, len(led) - ORDER), np.int64)
-        for i in range(ORDER):
-            context = context * width + led[i:i + len(context)]
-        return self.bits[self.row[context[at]].astype(np.int64) * width + led[at + ORDER]]
-
-
-def train(rows: DataFrame, cells: int = CELLS) -> Model:
+        run = np.zeros(max(0, len(led) - ORDER), np.int64)
+        for i in range(ORDER + 1):
+            run = run * width + led[i:i + len(run)]
+        runs, spot = np.unique(run[at], return_inverse=True)
+        bits = np.full((len(runs), len(self.langs)), 8.0)
+        for order, (escapes, hits) in enumerate(zip(self.escapes, self.hits)):
+            escapes.add(bits, runs // width % width ** order)
+            hits.add(bits, runs % width ** (order + 1))
+        return bits.astype(np.float32)[spot]
+
+
+def train(rows: DataFrame) -> Model:
     """Frozen trees from <lang, text>; counting runs on the executors.
 
     What comes to the driver is the model: runs seen in a bounded sample.
@@ -191,7 +188,7 @@ def train(rows: DataFrame, cells: int = CELLS) -> Model:
     table = counted.toArrow().sort_by([("lang", "ascending"), ("run", "ascending")])
     langs = sorted(set(table.column("lang").unique().to_pylist()))
     lang = pc.index_in(table.column("lang"), pa.array(langs, pa.string())).to_numpy().astype(np.int64)
-    return Model(langs, lang, table.column("run").to_numpy(), table.column("n").to_numpy().astype(np.float64), cells)
+    return Model(langs, lang, table.column("run").to_numpy(), table.column("n").to_numpy().astype(np.float64))
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -204,7 +201,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     """
     spark: SparkSession = docs.sparkSession
     bound_batches(spark)
-    held = spark.sparkContext.broadcast(model)  # bounded by CELLS
+    held = spark.sparkContext.broadcast(model)  # runs seen in a bounded sample
     kept = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
 
     def run(batches):

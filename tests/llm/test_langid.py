@@ -65,6 +65,35 @@ def test_code_lengths_by_the_book(model, text):
         assert got[column] == pytest.approx(want, rel=1e-4)
 
 
+def test_no_context_is_dropped():
+    # 30 languages and some 150 kinds of bytes: a dense table of 6 million cells had room for 1,300 contexts.
+    rng = np.random.default_rng(3)
+    letters = [chr(c) for c in [*range(32, 127), *range(0xC0, 0x100), *range(0x400, 0x420)]]
+    texts = ["".join(rng.choice(rng.permutation(letters)[:40], 3000)) for _ in range(30)]
+    lang, runs, times = [], [], []
+    for i, text in enumerate(texts):
+        code = [256] * langid.ORDER + list(text.encode())
+        seen = {}
+        for at in range(langid.ORDER, len(code)):
+            run = 0
+            for digit in code[at - langid.ORDER:at + 1]:
+                run = run * 257 + digit
+            seen[run] = seen.get(run, 0) + 1
+        lang += [i] * len(seen)
+        runs += seen
+        times += seen.values()
+    many = langid.Model([f"l{i:02}" for i in range(30)], np.array(lang), np.array(runs), np.array(times, float))
+    known = {b for t in texts for b in t.encode()}
+    for i in (0, 7, 29):
+        raw = (texts[i][500:540] + texts[i - 1][:20]).encode()
+        got = many.lengths(np.frombuffer(raw, np.uint8), np.array([len(raw)]))[0]
+        assert set(raw) <= known and got.argmin() == i
+        for column in (i, i - 1):
+            seen = counts_of([texts[column]])
+            want = -sum(math.log2(chances(seen, raw[max(0, k - langid.ORDER):k])[byte]) for k, byte in enumerate(raw))
+            assert got[column] == pytest.approx(want, rel=1e-4)
+
+
 def test_pieces_agree(model, monkeypatch):
     texts = ["abab" * 9, "", "c", "cab" * 40, "zz"]
     raws = [t.encode() for t in texts]
