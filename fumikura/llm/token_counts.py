@@ -3,10 +3,13 @@
 The pre-tokens of a document (see ``bpe``) are gathered in leaves of LEAF
 pre-tokens; a leaf knows its characters and its tokens, and a binary tree over
 the leaves holds the sums.  Pre-tokens never share a token, and cutting a text
-into pre-tokens looks at most one character ahead and never back.  So after an
-edit the cut can start at the leaf before it and may stop where it meets the
-start of an old leaf again: everything beyond is as it was.  Only that region
-is encoded anew; the sums above its leaves are updated.
+into pre-tokens never looks back.  It looks at most LOOK characters beyond the
+end of a pre-token: white space before a word leaves its last character to the
+word, and a quote mark is alone when the two letters after it are no ending
+such as 're.  So after an edit the cut starts at the leaf of the character LOOK
+before it and may stop where it meets the start of an old leaf again:
+everything beyond is as it was.  Only that region is encoded anew; the sums
+above its leaves are updated.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from .rows import bound_batches, schema
 
 #: Pre-tokens per leaf when a tree is built.
 LEAF = 32
+#: Characters beyond the end of a pre-token that can decide where it ends.
+LOOK = 2
 
 
 class Tree:
@@ -116,8 +121,8 @@ def update(own: Codec, tree: Tree, old: str, edits: Sequence[tuple[int, int, str
     shifted = 0  # by how much the tree's places are already new
     while at < len(edits):
         start = edits[at][0]
-        # One character back: an edit can join or part what stands before it.
-        first, begin = tree.find(max(0, start + shifted - 1))
+        # An edit can join or part what stands before it.
+        first, begin = tree.find(max(0, start + shifted - LOOK))
         sizes: list[tuple[int, int]] = []
         place = begin
         inside = shifted

@@ -78,6 +78,41 @@ def test_counts_follow_edits(own):
             assert tree.total == len(own.encode(text)) and tree.chars[1] == len(text)
 
 
+def fine_tree(own, text):
+    """A leaf for every pre-token, so every edit is at the boundary of a leaf."""
+    places = list(own.spans(text))
+    return token_counts.Tree([b - a for a, b in places], [own.n_tokens(text[a:b]) for a, b in places])
+
+
+def test_edits_at_leaf_boundaries(own, library):
+    # What a pre-token's end depends on stands up to two characters beyond it.
+    text = "a" + " a" * 30 + "\n\n***\nb"
+    at = text.index("***")
+    tree, new, _ = token_counts.update(own, token_counts.build(own, text), text, [(at, at + 3, "")])
+    assert tree.total == len(library.encode(new, add_special_tokens=False).ids) == 34
+    for text, edit in (("it'rx", (4, 5, "e")), ("it'vx", (4, 5, "e")), ("it'lx", (4, 5, "l")), ("a\n\n*b", (3, 4, "")), ("a  b", (3, 4, "\n")), ("a \n *", (4, 5, ""))):
+        tree, new, _ = token_counts.update(own, fine_tree(own, text), text, [edit])
+        assert tree.total == len(library.encode(new, add_special_tokens=False).ids) and tree.chars[1] == len(new)
+        assert tree.total == sum(own.n_tokens(new[a:b]) for a, b in own.spans(new))
+
+
+def test_every_edit_of_small_texts(own):
+    rng = random.Random(6)
+    letters = ["a", "r", "e", "v", "l", "'", " ", "\n", "*", "1", "\t", "\u3000"]
+    for _ in range(6000):
+        text = "".join(rng.choices(letters, k=rng.randint(1, 12)))
+        cuts = sorted(rng.choices(range(len(text) + 1), k=rng.choice([2, 4])))
+        edits = [(a, b, "".join(rng.choices(letters, k=rng.choice([0, 0, 1, 2])))) for a, b in zip(cuts[::2], cuts[1::2])]
+        tree, new, _ = token_counts.update(own, fine_tree(own, text), text, edits)
+        places = list(own.spans(new))
+        assert tree.chars[1] == len(new) and tree.total == sum(own.n_tokens(new[a:b]) for a, b in places), (text, edits)
+        # Leaves begin where pre-tokens do.
+        ends, at = {0} | {b for _, b in places}, 0
+        for size in tree.as_leaves()[0]:
+            at += size
+            assert at in ends, (text, edits)
+
+
 def test_small_edit_encodes_a_small_region(own):
     text = "some plain words in a row " * 4000
     tree, new, redone = token_counts.update(own, token_counts.build(own, text), text, [(50_000, 50_004, "edit")])
