@@ -181,3 +181,23 @@ def op8_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     from .quality import classify
 
     return classify(table(spark, sf, "documents"))[0]
+
+
+#: Rules that the query applies: host, path, verdict.
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+@query(
+    "op13_url_filter",
+    r"""WITH rules(host, path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+    rests AS (SELECT row_number() OVER () AS k, page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    urls AS (SELECT k, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
+    best AS (SELECT k, arg_max(rules.host || rules.path, length(rules.host) + length(rules.path)) AS rule, arg_max(verdict, length(rules.host) + length(rules.path)) AS verdict
+      FROM urls JOIN rules ON (urls.host = rules.host OR ends_with(urls.host, '.' || rules.host)) AND starts_with(urls.path, rules.path) GROUP BY k)
+    SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM urls LEFT JOIN best USING (k)""",
+)
+def op13_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    from .urls import judge_urls, rule_table
+
+    return judge_urls(table(spark, sf, "pages"), rule_table(spark, URL_RULES))
