@@ -31,10 +31,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -201,3 +201,10 @@ def op13_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     from .urls import judge_urls, rule_table
 
     return judge_urls(table(spark, sf, "pages"), rule_table(spark, URL_RULES))
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    from .alignment import align
+
+    return align(table(spark, sf, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"))
