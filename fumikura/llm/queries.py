@@ -208,3 +208,10 @@ def op12_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
     from .alignment import align
 
     return align(table(spark, sf, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"))
+
+
+@query("op11_spelling_groups")
+def op11_spelling_groups(spark: SparkSession, sf: str) -> DataFrame:
+    from .spelling import spelling_groups
+
+    return spelling_groups(table(spark, sf, "documents"))
