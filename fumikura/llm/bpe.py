@@ -3,8 +3,8 @@
 Merging pairs by rank gives one token sequence per word.  A sequence of tokens
 is that one exactly when every two neighbours are compatible: encoding the
 bytes of both together gives these two tokens back.  So the encoder takes the
-longest token that begins at the current place (found by one Aho-Corasick pass
-over the word), checks it against its left neighbour, and falls back to the
+longest token that begins at the current place (found by Aho-Corasick passes over the
+word), checks it against its left neighbour, and falls back to the
 next shorter token, or one token back, if the pair does not go together.  A
 bit per place records dead ends, which keeps the work linear.
 """
@@ -12,9 +12,9 @@ bit per place records dead ends, which keeps the work linear.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from hashlib import sha256
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -23,12 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 
 from .bytewords import small_batches
-from .rows import bound_batches, schema
+from .rows import bound_batches, lean, schema
 
-#: Words whose tokens a worker remembers; beyond it the memory starts anew.
-CACHE = 200_000
+#: Bytes, about, of the words a worker remembers with their tokens or counts; beyond it the memory starts anew.
+CACHE = 32 << 20
 #: Token pairs whose compatibility is remembered.
-PAIRS = 300_000
+PAIRS = 200_000
 # The split of byte-level BPE before merging (fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # White space as Unicode has it; the regex module counts four control characters besides.
@@ -43,18 +43,23 @@ def _byte_letters() -> dict[str, int]:
 
 
 class _Memory(dict):
-    """Tokens of words met before; starts anew when it holds CACHE words."""
+    """What words met before gave: ids as bytes, or a count; starts anew when it holds about CACHE bytes."""
 
-    def __init__(self, owner: Codec):
-        self.owner = owner
+    def __init__(self, made: Callable[[str], bytes | int]):
+        self.made, self.size = made, 0
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        tokens = self.owner.encode_word(word.encode())
+    def __missing__(self, word: str) -> bytes | int:
+        value = self.made(word)
         if len(word) <= 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = tokens
-        return tokens
+            self.size += 110 + len(word) + (0 if isinstance(value, int) else 33 + len(value))
+            if self.size > CACHE:
+                self.forget()
+            self[word] = value
+        return value
+
+    def forget(self) -> None:
+        self.clear()
+        self.size = 0
 
 
 class Codec:
@@ -96,7 +101,7 @@ class Codec:
         # A live word is its own encoding.
         self.plain = {word: i for word, i in plain.items() if i in live}
 
-        # Longest tokens: the automaton reports every token that ends at a place.
+        # Longest tokens: the automaton goes from token to token, always taking the longest.
         self.matcher = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for word, i in self.plain.items():
             self.matcher.add_word(word.decode("latin-1"), i)
@@ -121,7 +126,8 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.find = regex.compile(pattern).finditer
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        self.cache = _Memory(self)
+        self.cache = _Memory(lambda word: array("I", self.encode_word(word.encode())).tobytes())
+        self.counts = _Memory(lambda word: len(self.encode_word(word.encode())))
         self.decimal = [str(i) for i in range(self.size)]
 
     def _pair(self, a: int, b: int, limit: int = 1 << 62) -> bool:
@@ -164,16 +170,37 @@ class Codec:
         whole = self.plain.get(word)
         if whole is not None:
             return (whole,)
+        # The longest tokens one after the other; where all neighbours go together, that is it.
+        latin = word.decode("latin-1")
+        longest = [token for _, token in self.matcher.iter_long(latin)]
+        known = self._compatible
+        size = self.size
+        left = longest[0]
+        for i, token in enumerate(longest):
+            if i:
+                fits = known.get(left * size + token)
+                if fits is None:
+                    fits = self.compatible(left, token)
+                if not fits:
+                    return self._backtracked(latin, longest, i)
+                left = token
+        return tuple(longest)
+
+    def _backtracked(self, latin: str, first: list[int], fitting: int) -> tuple[int, ...]:
+        """Tokens of a word, going on from the ``fitting`` longest tokens at its start that go together.
+
+        The longest token at a place is asked for when the place is reached.
+        """
+        n, length = len(latin), self.length
         longest = [-1] * n
-        length = self.length
-        for end, token in self.matcher.iter(word.decode("latin-1")):
-            begin = end + 1 - length[token]
-            best = longest[begin]
-            if best < 0 or length[token] > length[best]:
-                longest[begin] = token
+        begin = 0
+        for token in first:
+            longest[begin] = token
+            begin += length[token]
         open_ = bytearray(b"\x01" * (n + 1))
-        out: list[int] = []
-        place, token = 0, longest[0]
+        out = first[:fitting]
+        place = sum([length[t] for t in out])
+        token = longest[place]
         while place < n:
             left = out[-1] if out else -1
             while token >= 0:
@@ -181,7 +208,15 @@ class Codec:
                 if open_[end] and (left < 0 or self.compatible(left, token)):
                     out.append(token)
                     place = end
-                    token = longest[place] if place < n else -1
+                    if place < n:
+                        token = longest[place]
+                        if token < 0:
+                            for stop, found in self.matcher.iter_long(latin, place):
+                                begin = stop + 1 - length[found]
+                                if longest[begin] >= 0:
+                                    break
+                                longest[begin] = found
+                            token = longest[place]
                     break
                 token = self.shorter[token]
             else:
@@ -192,26 +227,34 @@ class Codec:
                 token = self.shorter[token]
         return tuple(out)
 
-    def encode(self, text: str) -> list[int]:
-        tokens = self.cache.__getitem__
-        if self.cut is None:
-            return list(chain.from_iterable(map(tokens, self.split(text))))
-        out: list[int] = []
+    def ids(self, text: str) -> np.ndarray:
+        """Token ids of a text."""
+        words = self.cache.__getitem__
+        if not self.has_special(text):
+            return np.frombuffer(b"".join(map(words, self.split(text))), np.uint32)
+        out: list[bytes] = []
         for part in self.cut(text):
             if part in self.special:
-                out.append(self.special[part])
+                out.append(array("I", [self.special[part]]).tobytes())
             else:
-                out.extend(chain.from_iterable(map(tokens, self.split(part))))
-        return out
+                out.extend(map(words, self.split(part)))
+        return np.frombuffer(b"".join(out), np.uint32)
+
+    def encode(self, text: str) -> list[int]:
+        return self.ids(text).tolist()
 
     def forget(self) -> None:
         """Drop what was remembered; a task's words are mostly its own."""
-        self.cache.clear()
+        self.cache.forget()
+        self.counts.forget()
         self._compatible.clear()
 
+    def has_special(self, text: str) -> bool:
+        return any(s in text for s in self.special)
+
     def spans(self, text: str, begin: int = 0) -> Iterator[tuple[int, int]]:
         """Places of the pre-tokens from a place on where one begins; special tokens count as one."""
-        if self.cut is None or not any(s in text for s in self.special):
+        if not self.has_special(text):
             for match in self.find(text, begin):
                 yield match.span()
             return
@@ -225,7 +268,7 @@ class Codec:
 
     def n_tokens(self, word: str) -> int:
         """Tokens of one pre-token or special token."""
-        return 1 if word in self.special else len(self.cache[word])
+        return 1 if word in self.special else self.counts[word]
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """Bytes of tokens, gathered through the offset table piece by piece."""
@@ -261,20 +304,21 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
     """
     bound_batches(docs.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        decimal = own.decimal
+        decimal = own.decimal.__getitem__
         for batch in small_batches(batches):
             texts = batch.column("text")
             count, digest, back, lists = [], [], [], []
             for i in range(len(batch)):
-                tokens = own.encode(texts[i].as_py() or "")
+                tokens = own.ids(texts[i].as_py() or "")
                 count.append(len(tokens))
-                digest.append(sha256(",".join([decimal[t] for t in tokens]).encode()).hexdigest())
+                digest.append(sha256(",".join(map(decimal, tokens.tolist())).encode()).hexdigest())
                 # Text in, text out: UTF-8 again, replacement characters included.
-                back.append(sha256(own.decode(np.array(tokens, np.int64)).encode()).hexdigest())
+                back.append(sha256(own.decode(tokens).encode()).hexdigest())
                 if ids:
-                    lists.append(np.array(tokens, np.int32))
+                    lists.append(tokens.astype(np.int32))
             arrays = [*[batch.column(c) for c in keep], pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
             names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:
@@ -291,6 +335,7 @@ def decode_documents(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("do
     """``keep`` columns with <text> from <ids>; null ids give null text."""
     bound_batches(encoded.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:

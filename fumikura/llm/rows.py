@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DataType, StructType
 
@@ -25,6 +28,25 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """A function for mapInArrow that gives freed memory back to the system when its task ends.
+
+    Spark keeps Python workers for later tasks, which need other things.
+    """
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library; others do without
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def schema(df: DataFrame, keep: Sequence[str], more: str) -> StructType:
     """Fields of the kept columns, then those written out in ``more``."""
     return StructType([*[df.schema[c] for c in keep], *DataType.fromDDL(more).fields])

@@ -1,8 +1,9 @@
 """Token counts that follow edits.
 
 The pre-tokens of a document (see ``bpe``) are gathered in leaves of LEAF
-pre-tokens; a leaf knows its characters and its tokens, and a binary tree over
-the leaves holds the sums.  Pre-tokens never share a token, and cutting a text
+pre-tokens; a leaf knows its characters and its tokens, and a balanced tree over
+the leaves holds the sums.  The leaves of every document are kept in a table
+beside its text, so that an edit made later finds them.  Pre-tokens never share a token, and cutting a text
 into pre-tokens never looks back.  It looks at most LOOK characters beyond the
 end of a pre-token: white space before a word leaves its last character to the
 word, and a quote mark is alone when the two letters after it are no ending
@@ -17,88 +18,144 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
+from ..session import stored
 from .bpe import Codec, codec
 from .bytewords import small_batches
-from .rows import bound_batches, schema
+from .rows import bound_batches, lean, schema
 
-#: Pre-tokens per leaf when a tree is built.
+#: Pre-tokens per leaf.
 LEAF = 32
+#: Children of a node when it is made; twice as many split it.
+FAN = 16
 #: Characters beyond the end of a pre-token that can decide where it ends.
 LOOK = 2
 
 
+class _Node:
+    """Up to 2 * FAN children: nodes, or leaves as <characters, tokens>."""
+
+    __slots__ = ("kids", "low", "leaves", "chars", "tokens")
+
+    def __init__(self, kids: list, low: bool):
+        self.kids, self.low = kids, low
+        if low:
+            self.leaves = len(kids)
+            self.chars, self.tokens = sum(c for c, _ in kids), sum(t for _, t in kids)
+        else:
+            self.leaves, self.chars, self.tokens = sum(k.leaves for k in kids), sum(k.chars for k in kids), sum(k.tokens for k in kids)
+
+
+def _packed(kids: list, low: bool) -> list[_Node]:
+    """Nodes of about FAN children each; one node as long as they fit."""
+    if len(kids) <= 2 * FAN:
+        return [_Node(kids, low)] if kids else []
+    return [_Node(kids[at:at + FAN], low) for at in range(0, len(kids), FAN)]
+
+
 class Tree:
-    """Sums of characters and tokens over the leaves of one text."""
+    """Sums of characters and tokens over the leaves of one text, in a balanced tree.
+
+    A run of leaves is replaced by any number of others: nodes on its way are
+    made anew and split where they grow too wide, all others stay.
+    """
 
     def __init__(self, chars: Sequence[int], tokens: Sequence[int]):
-        self.leaves = max(1, len(chars))
-        self.base = 1 << (self.leaves - 1).bit_length()
-        self.chars = [0] * (2 * self.base)
-        self.tokens = [0] * (2 * self.base)
-        self.chars[self.base:self.base + len(chars)] = chars
-        self.tokens[self.base:self.base + len(tokens)] = tokens
-        for i in range(self.base - 1, 0, -1):
-            self._sum(i)
-
-    def _sum(self, node: int) -> None:
-        self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
-        self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
+        self.root = self._grown(_packed(list(zip(chars, tokens)) or [(0, 0)], True))
+
+    @staticmethod
+    def _grown(nodes: list[_Node]) -> _Node:
+        while len(nodes) > 1:
+            nodes = _packed(nodes, False)
+        return nodes[0] if nodes else _Node([(0, 0)], True)
 
     @property
     def total(self) -> int:
-        return self.tokens[1]
+        return self.root.tokens
+
+    @property
+    def size(self) -> int:
+        return self.root.chars
+
+    @property
+    def leaves(self) -> int:
+        return self.root.leaves
 
     def find(self, place: int) -> tuple[int, int]:
         """(leaf, its first character) of the leaf that holds a character; the last leaf beyond the end."""
-        node, start = 1, 0
-        if place >= self.chars[1]:
-            return self.leaves - 1, self.chars[1] - self.chars[self.base + self.leaves - 1]
-        while node < self.base:
-            node *= 2
-            if place >= start + self.chars[node]:
-                start += self.chars[node]
-                node += 1
-        return node - self.base, start
+        node, leaf, start = self.root, 0, 0
+        if place >= node.chars:
+            while not node.low:
+                node = node.kids[-1]
+            return self.root.leaves - 1, self.root.chars - node.kids[-1][0]
+        while not node.low:
+            for kid in node.kids:
+                if place < start + kid.chars:
+                    break
+                start, leaf = start + kid.chars, leaf + kid.leaves
+            node = kid
+        for chars, _ in node.kids:
+            if place < start + chars:
+                break
+            start, leaf = start + chars, leaf + 1
+        return leaf, start
 
     def put(self, first: int, last: int, parts: list[tuple[int, int]]) -> None:
-        """Replace the content of leaves first..last; what is more than they are goes into the last."""
-        room = last - first + 1
-        if len(parts) > room:
-            rest = parts[room - 1:]
-            parts = [*parts[:room - 1], (sum(c for c, _ in rest), sum(t for _, t in rest))]
-        touched = set()
-        for k in range(room):
-            node = self.base + first + k
-            self.chars[node], self.tokens[node] = parts[k] if k < len(parts) else (0, 0)
-            touched.add(node >> 1)
-        while touched:
-            for node in touched:
-                if node:
-                    self._sum(node)
-            touched = {node >> 1 for node in touched if node > 1}
+        """Replace leaves first..last by others."""
+        self.root = self._grown(self._put(self.root, first, last + 1, parts))
+
+    def _put(self, node: _Node, first: int, stop: int, parts: list[tuple[int, int]]) -> list[_Node]:
+        if node.low:
+            return _packed(node.kids[:first] + parts + node.kids[stop:], True)
+        kids: list[_Node] = []
+        at = 0
+        for kid in node.kids:
+            if at + kid.leaves <= first or at >= stop:
+                kids.append(kid)
+            else:
+                kids += self._put(kid, max(0, first - at), min(kid.leaves, stop - at), parts)
+                parts = []  # the first node that is touched takes them all
+            at += kid.leaves
+        return _packed(kids, False)
 
     def as_leaves(self) -> tuple[list[int], list[int]]:
-        return self.chars[self.base:self.base + self.leaves], self.tokens[self.base:self.base + self.leaves]
+        chars: list[int] = []
+        tokens: list[int] = []
+
+        def walk(node: _Node) -> None:
+            for kid in node.kids:
+                if node.low:
+                    chars.append(kid[0])
+                    tokens.append(kid[1])
+                else:
+                    walk(kid)
+
+        walk(self.root)
+        return chars, tokens
+
 
+def _sums(values: list[int], leaf: int) -> list[int]:
+    return np.add.reduceat(np.array(values, np.int64), np.arange(0, len(values), leaf)).tolist() if values else []
 
-def _gathered(sizes: Iterator[tuple[int, int]], leaf: int = LEAF) -> list[tuple[int, int]]:
-    out, chars, tokens, n = [], 0, 0, 0
-    for c, t in sizes:
-        chars, tokens, n = chars + c, tokens + t, n + 1
-        if n == leaf:
-            out.append((chars, tokens))
-            chars = tokens = n = 0
-    if n:
-        out.append((chars, tokens))
-    return out
+
+def _gathered(chars: list[int], tokens: list[int], leaf: int = LEAF) -> list[tuple[int, int]]:
+    return list(zip(_sums(chars, leaf), _sums(tokens, leaf)))
+
+
+def leaves_of(own: Codec, text: str) -> tuple[list[int], list[int]]:
+    """Characters and tokens of the leaves of a text."""
+    if own.has_special(text):
+        words = [text[a:b] for a, b in own.spans(text)]
+        return _sums([len(w) for w in words], LEAF), _sums([own.n_tokens(w) for w in words], LEAF)
+    words = own.split(text)
+    return _sums(list(map(len, words)), LEAF), _sums(list(map(own.counts.__getitem__, words)), LEAF)
 
 
 def build(own: Codec, text: str) -> Tree:
-    parts = _gathered((b - a, own.n_tokens(text[a:b])) for a, b in own.spans(text))
-    return Tree([c for c, _ in parts], [t for _, t in parts])
+    return Tree(*leaves_of(own, text))
 
 
 def applied(text: str, edits: Sequence[tuple[int, int, str]]) -> str:
@@ -114,23 +171,25 @@ def update(own: Codec, tree: Tree, old: str, edits: Sequence[tuple[int, int, str
     """(tree, text, characters encoded anew) after edits of the old text."""
     new = applied(old, edits)
     # Nothing is found by position once two places of special tokens could join, so those go as a whole.
-    if own.special and any(s in old or s in new for s in own.special):
+    if own.has_special(old) or own.has_special(new):
         return build(own, new), new, len(new)
-    delta = redone = 0  # new place minus old place, left of the next edit
-    at = 0
+    redone = at = 0
     shifted = 0  # by how much the tree's places are already new
     while at < len(edits):
         start = edits[at][0]
         # An edit can join or part what stands before it.
         first, begin = tree.find(max(0, start + shifted - LOOK))
-        sizes: list[tuple[int, int]] = []
+        chars: list[int] = []
+        tokens: list[int] = []
         place = begin
         inside = shifted
         end = None
         last = first
-        for a, b in own.spans(new, begin):
-            sizes.append((b - a, own.n_tokens(new[a:b])))
-            place = b
+        for match in own.find(new, begin):
+            word = match.group()
+            chars.append(len(word))
+            tokens.append(own.counts[word])
+            place += len(word)
             # Edits that begin up to here belong to the region.
             while at < len(edits) and edits[at][0] + inside <= place:
                 inside += len(edits[at][2]) - (edits[at][1] - edits[at][0])
@@ -140,7 +199,7 @@ def update(own: Codec, tree: Tree, old: str, edits: Sequence[tuple[int, int, str
                 continue
             # Back to the places the tree has: does a leaf begin here?
             there = place - inside + shifted
-            if there >= tree.chars[1]:
+            if there >= tree.size:
                 break
             leaf, leaf_start = tree.find(there)
             if leaf_start == there and leaf > first:
@@ -151,70 +210,90 @@ def update(own: Codec, tree: Tree, old: str, edits: Sequence[tuple[int, int, str
             while at < len(edits):
                 inside += len(edits[at][2]) - (edits[at][1] - edits[at][0])
                 at += 1
-            there = tree.chars[1]
-        if place - inside + shifted >= tree.chars[1] or place >= len(new):
+        if place - inside + shifted >= tree.size or place >= len(new):
             last = tree.leaves - 1
         redone += place - begin
-        tree.put(first, last, _gathered(iter(sizes)))
+        tree.put(first, last, _gathered(chars, tokens))
         shifted = inside
-    chars, _ = tree.as_leaves()
-    if max(chars, default=0) > 64 * LEAF * 16:  # a leaf took in too much: cut the leaves anew
-        tree = build(own, new)
     return tree, new, redone
 
 
-def build_trees(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def build_trees(docs: DataFrame, path: str, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``keep`` columns with <text, n_tokens, leaf_chars, leaf_tokens>, one row per input row.
 
-    Null text counts as empty: no leaf, no token.  Texts are taken whole;
-    repeated rows each have a tree; other columns are not read.
+    Write it as a table: :func:`apply_edits` goes on from there.  Null text
+    counts as empty: no leaf, no token.  Texts are taken whole; repeated rows
+    each have a tree, no row gives no tree; other columns are not read.
     """
     bound_batches(docs.sparkSession)
+
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in small_batches(batches):
             total, chars, tokens = [], [], []
             for text in batch.column("text"):
-                tree = build(own, text.as_py() or "")
-                a, b = tree.as_leaves()
-                total.append(tree.total), chars.append(a), tokens.append(b)
+                a, b = leaves_of(own, text.as_py() or "")
+                total.append(sum(b)), chars.append(a), tokens.append(b)
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in keep], batch.column("text"), pa.array(total, pa.int64()), pa.array(chars, pa.list_(pa.int32())), pa.array(tokens, pa.list_(pa.int32()))],
                 names=[*keep, "text", "n_tokens", "leaf_chars", "leaf_tokens"],
             )
+        own.forget()
 
     return docs.select(*keep, "text").mapInArrow(run, schema(docs, keep, "text string, n_tokens bigint, leaf_chars array<int>, leaf_tokens array<int>"))
 
 
-def apply_edits(trees: DataFrame, edits: str, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with <text, n_tokens, leaf_chars, leaf_tokens, n_before, n_edits, n_redone>.
+_CHANGED = "n_tokens bigint, leaf_chars array<int>, leaf_tokens array<int>, n_before bigint, n_edits bigint, n_redone bigint"
 
-    ``trees`` comes from :func:`build_trees` with a column ``edits`` of
-    structs <start, end, new> in code points of its text, in order and without
-    overlap.  ``n_redone`` counts characters encoded anew.  Null or no edits
-    leave the row as it was; edits of a null text see an empty one.
-    """
+
+def _edited(trees: DataFrame, path: str, keep: Sequence[str], edits: str | None, rules: Sequence[tuple[str, str]], texts: bool) -> DataFrame:
+    """Trees after edits that a column holds, or that rules make of the text."""
+    bound_batches(trees.sparkSession)
+
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
+        compiled = [(re.compile(p), new) for p, new in rules]
         for batch in small_batches(batches):
             out: list[tuple] = []
-            for text, chars, tokens, todo in zip(*(batch.column(c) for c in ("text", "leaf_chars", "leaf_tokens", edits))):
-                text = text.as_py()
-                tree = Tree(chars.as_py(), tokens.as_py())
-                before, redone = tree.total, 0
-                changes = [(e["start"], e["end"], e["new"] or "") for e in todo.as_py() or []]
+            columns = [batch.column(c) for c in ("text", "n_tokens", "leaf_chars", "leaf_tokens", *([edits] if edits else []))]
+            for text, before, chars, tokens, *todo in zip(*columns):
+                text, before = text.as_py(), before.as_py()
+                if edits:
+                    changes = [(e["start"], e["end"], e["new"] or "") for e in todo[0].as_py() or []]
+                else:
+                    changes = pattern_edits(text or "", compiled)
+                chars, tokens = chars.values, tokens.values
+                total, redone = before, 0
                 if changes:
+                    tree = Tree(chars.to_pylist(), tokens.to_pylist())
                     tree, text, redone = update(own, tree, text or "", changes)
-                a, b = tree.as_leaves()
-                out.append((text, tree.total, a, b, before, len(changes), redone))
+                    (chars, tokens), total = tree.as_leaves(), tree.total
+                out.append((text, total, chars, tokens, before, len(changes), redone))
             text, total, chars, tokens, before, count, redone = zip(*out) if out else [()] * 7
-            kinds_ = (pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64())
-            arrays = [pa.array(v, k) for v, k in zip((text, total, chars, tokens, before, count, redone), kinds_)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *arrays], names=[*keep, "text", "n_tokens", "leaf_chars", "leaf_tokens", "n_before", "n_edits", "n_redone"])
+            ints = pa.list_(pa.int32())
+            arrays = [pa.array(total, pa.int64()), pa.array(chars, ints), pa.array(tokens, ints), *[pa.array(v, pa.int64()) for v in (before, count, redone)]]
+            own_text = [pa.array(text, pa.string())] if texts else []
+            names = [*keep, *(["text"] if texts else []), "n_tokens", "leaf_chars", "leaf_tokens", "n_before", "n_edits", "n_redone"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *own_text, *arrays], names=names)
+        own.forget()
 
-    return trees.select(*keep, "text", "leaf_chars", "leaf_tokens", edits).mapInArrow(
-        run, schema(trees, keep, "text string, n_tokens bigint, leaf_chars array<int>, leaf_tokens array<int>, n_before bigint, n_edits bigint, n_redone bigint")
-    )
+    read = trees.select(*keep, "text", "n_tokens", "leaf_chars", "leaf_tokens", *([edits] if edits else []))
+    return read.mapInArrow(run, schema(trees, keep, ("text string, " if texts else "") + _CHANGED))
+
+
+def apply_edits(trees: DataFrame, edits: str, path: str, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns with <text, n_tokens, leaf_chars, leaf_tokens, n_before, n_edits, n_redone>.
+
+    ``trees`` comes from :func:`build_trees`, or from here, with a column
+    ``edits`` of structs <start, end, new> in code points of its text, in order
+    and without overlap.  ``n_redone`` counts all characters encoded anew: the
+    regions round the edits, or the whole text if it holds a special token
+    before or after.  Null or no edits leave the row as it was; edits of a null
+    text see an empty one.  No row gives no row.
+    """
+    return _edited(trees, path, keep, edits, (), True)
 
 
 #: Edits of a usual cleaning pass: mail addresses, long numbers, runs of marks.
@@ -226,33 +305,34 @@ CLEANING = (
 )
 
 
-def pattern_edits(text: str, rules: Sequence[tuple[re.Pattern, str]]) -> list[dict]:
-    """Edits that replace matches; where matches overlap, the earlier rule has its way."""
+def pattern_edits(text: str, rules: Sequence[tuple[re.Pattern, str]]) -> list[tuple[int, int, str]]:
+    """Edits <start, end, new> that replace matches; where matches overlap, the earlier rule has its way."""
     taken: list[tuple[int, int, str]] = []
     for pattern, new in rules:
         found = [(m.start(), m.end(), new) for m in pattern.finditer(text)]
         if taken and found:
             merged, at = [], 0
-            old = sorted(taken)
             for edit in found:
-                while at < len(old) and old[at][1] <= edit[0]:
+                while at < len(taken) and taken[at][1] <= edit[0]:
                     at += 1
-                if at == len(old) or old[at][0] >= edit[1]:
+                if at == len(taken) or taken[at][0] >= edit[1]:
                     merged.append(edit)
             found = merged
-        taken = sorted(taken + found)
-    return [{"start": a, "end": b, "new": new} for a, b, new in taken]
+        if found:
+            taken = sorted(taken + found)
+    return taken
 
 
 def with_edits(trees: DataFrame, rules: Sequence[tuple[str, str]] = CLEANING) -> DataFrame:
-    """Adds <edits>, the replacements that a list of (pattern, new text) makes."""
+    """Adds <edits>, the replacements that a list of (pattern, new text) makes; none for a null text."""
     columns = trees.columns
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("new", pa.string())]))
+    bound_batches(trees.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = [(re.compile(p), new) for p, new in rules]
-        for batch in batches:
-            edits = [pattern_edits(t.as_py() or "", compiled) for t in batch.column("text")]
+        for batch in small_batches(batches):
+            edits = [[{"start": a, "end": b, "new": new} for a, b, new in pattern_edits(t.as_py() or "", compiled)] for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(edits, kind)], names=[*columns, "edits"])
 
     return trees.mapInArrow(run, schema(trees, columns, "edits array<struct<start:int,end:int,new:string>>"))
@@ -261,27 +341,12 @@ def with_edits(trees: DataFrame, rules: Sequence[tuple[str, str]] = CLEANING) ->
 def edited_counts(docs: DataFrame, path: str, rules: Sequence[tuple[str, str]] = CLEANING) -> DataFrame:
     """<doc_id, n_tokens, n_edits, n_tokens_after, n_redone> of a cleaning pass over every row.
 
-    The same as :func:`build_trees`, :func:`with_edits` and :func:`apply_edits`
-    in a row, in one Python task instead of three side by side.
-    """
-    bound_batches(docs.sparkSession)
-    read = docs.select("doc_id", "text")
+    The trees are written as a table first; the pass reads it and encodes the
+    edited regions only, as :func:`with_edits` and :func:`apply_edits` do.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
-        compiled = [(re.compile(p), new) for p, new in rules]
-        for batch in small_batches(batches):
-            out: list[tuple[int, int, int, int]] = []
-            for text in batch.column("text"):
-                text = text.as_py() or ""
-                tree = build(own, text)
-                before, redone = tree.total, 0
-                edits = [(e["start"], e["end"], e["new"]) for e in pattern_edits(text, compiled)]
-                if edits:
-                    tree, _, redone = update(own, tree, text, edits)
-                out.append((before, len(edits), tree.total, redone))
-            columns = [pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_redone"])
-        own.forget()
-
-    return read.mapInArrow(run, schema(read, ("doc_id",), "n_tokens bigint, n_edits bigint, n_tokens_after bigint, n_redone bigint"))
+    Null text counts as empty, without token and edit; repeated rows each have
+    a row; no row gives no row; other columns are not read.
+    """
+    trees = stored(build_trees(docs, path))
+    done = _edited(trees, path, ("doc_id",), None, rules, False)
+    return done.selectExpr("doc_id", "n_before AS n_tokens", "n_edits", "n_tokens AS n_tokens_after", "n_redone")

@@ -75,7 +75,7 @@ def test_counts_follow_edits(own):
             for a, b in zip(cuts[::2], cuts[1::2]):
                 edits.append((a, rng.choice([a, b, min(b, a + 2)]), "".join(rng.choices(PARTS, k=rng.choice([0, 1, 3])))))
             tree, text, _ = token_counts.update(own, tree, text, edits)
-            assert tree.total == len(own.encode(text)) and tree.chars[1] == len(text)
+            assert tree.total == len(own.encode(text)) and tree.size == len(text)
 
 
 def fine_tree(own, text):
@@ -92,7 +92,7 @@ def test_edits_at_leaf_boundaries(own, library):
     assert tree.total == len(library.encode(new, add_special_tokens=False).ids) == 34
     for text, edit in (("it'rx", (4, 5, "e")), ("it'vx", (4, 5, "e")), ("it'lx", (4, 5, "l")), ("a\n\n*b", (3, 4, "")), ("a  b", (3, 4, "\n")), ("a \n *", (4, 5, ""))):
         tree, new, _ = token_counts.update(own, fine_tree(own, text), text, [edit])
-        assert tree.total == len(library.encode(new, add_special_tokens=False).ids) and tree.chars[1] == len(new)
+        assert tree.total == len(library.encode(new, add_special_tokens=False).ids) and tree.size == len(new)
         assert tree.total == sum(own.n_tokens(new[a:b]) for a, b in own.spans(new))
 
 
@@ -105,7 +105,7 @@ def test_every_edit_of_small_texts(own):
         edits = [(a, b, "".join(rng.choices(letters, k=rng.choice([0, 0, 1, 2])))) for a, b in zip(cuts[::2], cuts[1::2])]
         tree, new, _ = token_counts.update(own, fine_tree(own, text), text, edits)
         places = list(own.spans(new))
-        assert tree.chars[1] == len(new) and tree.total == sum(own.n_tokens(new[a:b]) for a, b in places), (text, edits)
+        assert tree.size == len(new) and tree.total == sum(own.n_tokens(new[a:b]) for a, b in places), (text, edits)
         # Leaves begin where pre-tokens do.
         ends, at = {0} | {b for _, b in places}, 0
         for size in tree.as_leaves()[0]:
@@ -119,6 +119,44 @@ def test_small_edit_encodes_a_small_region(own):
     assert redone < 600 and tree.total == len(own.encode(new))
 
 
+def test_large_insertions_are_counted_and_split(own):
+    """A leaf never takes in more than it should, so nothing but the edited region is encoded anew."""
+    text = "some plain words in a row " * 600
+    tree = token_counts.build(own, text)
+    for round_ in range(4):
+        new = "more words come in here " * 2000
+        tree, text, redone = token_counts.update(own, tree, text, [(7_000, 7_000, new)])
+        assert len(new) <= redone < len(new) + 600
+        assert tree.total == len(own.encode(text)) and tree.size == len(text) == sum(tree.as_leaves()[0])
+        assert max(tree.as_leaves()[0]) < 600
+    tree, text, redone = token_counts.update(own, tree, text, [(10, len(text) - 10, "")])
+    assert redone < 600 and tree.total == len(own.encode(text)) and tree.leaves <= 3
+    tree, text, _ = token_counts.update(own, tree, text, [(0, len(text), "")])
+    assert (tree.total, tree.size, text) == (0, 0, "")
+    tree, text, _ = token_counts.update(own, tree, text, [(0, 0, "new text")])
+    assert tree.total == len(own.encode("new text"))
+
+
+def test_kept_trees_take_edits_round_after_round(spark, docs, own, tmp_path):
+    rng = random.Random(12)
+    path = str(tmp_path / "trees0")
+    token_counts.build_trees(docs([None, "", *texts(20)]), PATH).write.parquet(path)
+    want = {r.doc_id: r.text for r in spark.read.parquet(path).collect()}
+    for round_ in range(1, 3):
+        edits = {}
+        for key, text in want.items():
+            n = len(text or "")
+            cuts = sorted(rng.choices(range(n + 1), k=4))
+            edits[key] = [(a, b, "".join(rng.choices(PARTS, k=2))) for a, b in zip(cuts[::2], cuts[1::2])]
+        frame = spark.createDataFrame([(k, [dict(zip(("start", "end", "new"), e)) for e in v]) for k, v in edits.items()], "doc_id bigint, edits array<struct<start:int,end:int,new:string>>")
+        done = token_counts.apply_edits(spark.read.parquet(path).join(frame, "doc_id"), "edits", PATH)
+        path = str(tmp_path / f"trees{round_}")
+        done.write.parquet(path)
+        want = {k: token_counts.applied(t or "", edits[k]) for k, t in want.items()}
+        for r in spark.read.parquet(path).collect():
+            assert r.text == want[r.doc_id] and r.n_tokens == len(own.encode(r.text)) == sum(r.leaf_tokens) and sum(r.leaf_chars) == len(r.text)
+
+
 def test_edited_documents(edge_docs, docs, no_docs, own):
     found = token_counts.edited_counts(edge_docs, PATH)
     assert found.count() == edge_docs.count() and found.where("doc_id in (1, 2) and n_tokens_after <> 0").isEmpty()
