@@ -244,43 +244,44 @@ def build_trees(docs: DataFrame, path: str, keep: Sequence[str] = ("doc_id",)) -
     return docs.select(*keep, "text").mapInArrow(run, schema(docs, keep, "text string, n_tokens bigint, leaf_chars array<int>, leaf_tokens array<int>"))
 
 
-_CHANGED = "n_tokens bigint, leaf_chars array<int>, leaf_tokens array<int>, n_before bigint, n_edits bigint, n_redone bigint"
-
-
-def _edited(trees: DataFrame, path: str, keep: Sequence[str], edits: str | None, rules: Sequence[tuple[str, str]], texts: bool) -> DataFrame:
-    """Trees after edits that a column holds, or that rules make of the text."""
+def _edited(trees: DataFrame, path: str, keep: Sequence[str], edits: str | None, rules: Sequence[tuple[str, str]], whole: bool) -> DataFrame:
+    """Counts after edits that a column holds, or that rules make of the text; with ``whole`` also the new texts and trees."""
     bound_batches(trees.sparkSession)
+    sums = ["n_tokens", "n_before", "n_edits", "n_redone"]
+    kept = ["text", "leaf_chars", "leaf_tokens"] if whole else []
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         compiled = [(re.compile(p), new) for p, new in rules]
         for batch in small_batches(batches):
-            out: list[tuple] = []
-            columns = [batch.column(c) for c in ("text", "n_tokens", "leaf_chars", "leaf_tokens", *([edits] if edits else []))]
-            for text, before, chars, tokens, *todo in zip(*columns):
-                text, before = text.as_py(), before.as_py()
+            counts: list[tuple[int, ...]] = []
+            more: list[tuple] = []
+            leaf_chars, leaf_tokens = batch.column("leaf_chars"), batch.column("leaf_tokens")
+            for i, (text, before) in enumerate(zip(batch.column("text"), batch.column("n_tokens").to_pylist())):
+                text = text.as_py()
                 if edits:
-                    changes = [(e["start"], e["end"], e["new"] or "") for e in todo[0].as_py() or []]
+                    changes = [(e["start"], e["end"], e["new"] or "") for e in batch.column(edits)[i].as_py() or []]
                 else:
                     changes = pattern_edits(text or "", compiled)
-                chars, tokens = chars.values, tokens.values
-                total, redone = before, 0
+                total = before
+                redone = 0
+                tree = None
                 if changes:
-                    tree = Tree(chars.to_pylist(), tokens.to_pylist())
-                    tree, text, redone = update(own, tree, text or "", changes)
-                    (chars, tokens), total = tree.as_leaves(), tree.total
-                out.append((text, total, chars, tokens, before, len(changes), redone))
-            text, total, chars, tokens, before, count, redone = zip(*out) if out else [()] * 7
-            ints = pa.list_(pa.int32())
-            arrays = [pa.array(total, pa.int64()), pa.array(chars, ints), pa.array(tokens, ints), *[pa.array(v, pa.int64()) for v in (before, count, redone)]]
-            own_text = [pa.array(text, pa.string())] if texts else []
-            names = [*keep, *(["text"] if texts else []), "n_tokens", "leaf_chars", "leaf_tokens", "n_before", "n_edits", "n_redone"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *own_text, *arrays], names=names)
+                    tree, text, redone = update(own, Tree(leaf_chars[i].as_py(), leaf_tokens[i].as_py()), text or "", changes)
+                    total = tree.total
+                counts.append((total, before, len(changes), redone))
+                if whole:
+                    more.append((text, *(tree.as_leaves() if tree else (leaf_chars[i].as_py(), leaf_tokens[i].as_py()))))
+            arrays = [pa.array([r[j] for r in counts], pa.int64()) for j in range(len(sums))]
+            kinds = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            arrays += [pa.array([r[j] for r in more], kind) for j, kind in enumerate(kinds[:len(kept)])]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *arrays], names=[*keep, *sums, *kept])
         own.forget()
 
     read = trees.select(*keep, "text", "n_tokens", "leaf_chars", "leaf_tokens", *([edits] if edits else []))
-    return read.mapInArrow(run, schema(trees, keep, ("text string, " if texts else "") + _CHANGED))
+    fields = "n_tokens bigint, n_before bigint, n_edits bigint, n_redone bigint"
+    return read.mapInArrow(run, schema(trees, keep, fields + (", text string, leaf_chars array<int>, leaf_tokens array<int>" if whole else "")))
 
 
 def apply_edits(trees: DataFrame, edits: str, path: str, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -293,7 +294,8 @@ def apply_edits(trees: DataFrame, edits: str, path: str, keep: Sequence[str] = (
     before or after.  Null or no edits leave the row as it was; edits of a null
     text see an empty one.  No row gives no row.
     """
-    return _edited(trees, path, keep, edits, (), True)
+    done = _edited(trees, path, keep, edits, (), True)
+    return done.select(*keep, "text", "n_tokens", "leaf_chars", "leaf_tokens", "n_before", "n_edits", "n_redone")
 
 
 #: Edits of a usual cleaning pass: mail addresses, long numbers, runs of marks.
@@ -347,6 +349,6 @@ def edited_counts(docs: DataFrame, path: str, rules: Sequence[tuple[str, str]] =
     Null text counts as empty, without token and edit; repeated rows each have
     a row; no row gives no row; other columns are not read.
     """
-    trees = stored(build_trees(docs, path))
+    trees = stored(build_trees(docs, path), "zstd")
     done = _edited(trees, path, ("doc_id",), None, rules, False)
     return done.selectExpr("doc_id", "n_before AS n_tokens", "n_edits", "n_tokens AS n_tokens_after", "n_redone")
