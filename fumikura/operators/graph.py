@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import settings
 from ..functions.uris import is_subnode, shorten
 from ..functions.variants import json_string
-from ..session import stored
+from ..session import Buckets, stored
 from .scale import lookup_join, with_dense_rank
 
 GROUP_ROWS = 100_000  # most values that go into one array or document
@@ -204,17 +204,45 @@ def expand(
     return rows
 
 
-def _value(d: int, boundary: str | None) -> Column:
-    """JSON of an object of level d that was not expanded."""
-    node = F.col(f"o{d}")
-    again = F.lit(False)
-    for above in _path(d):
-        again = again | (node == above)
-    cycle = F.coalesce(again & is_subnode(node, "root", boundary), F.lit(False))
+def _plain(boundary: str | None) -> Column:
+    """JSON of an object that is not expanded; ``above`` holds the nodes over it, its own subject included."""
+    node = F.col("o")
+    cycle = F.coalesce(F.array_contains("above", node) & is_subnode(node, "root", boundary), F.lit(False))
     ref = F.concat(F.lit('{"@id":'), json_string(node), F.lit(',"meta":"cyclic_reference"}'))
     return F.when(cycle, ref).otherwise(json_string(node))
 
 
+def _below(followed: DataFrame, paged: DataFrame, pages: DataFrame, way: Sequence[str], name: str) -> DataFrame:
+    """Triples of the objects that are followed: <root, way, name, above, p, o>.
+
+    A node with more triples than a page is joined page by page, so its
+    triples never meet in one task.
+    """
+    single, one = F.array(F.lit(0).cast("bigint")), F.lit(1).cast("bigint")
+    keyed = followed.select("root", *way, "above", F.col("o").alias("_key"))
+    keyed = lookup_join(keyed, pages, ["_key"], "left", derived=False).withColumn(
+        "_page", F.explode(F.when(F.col("_pages").isNull(), single).otherwise(F.sequence(one, "_pages")))
+    )
+    child = paged.select(F.col("s").alias("_key"), F.col("page").alias("_page"), "p", "o", F.col("ord").alias(name))
+    return keyed.join(child, ["_key", "_page"]).select("root", *way, name, F.array_append("above", F.col("_key")).alias("above"), "p", "o")
+
+
+def _folded(rows: DataFrame, keys: Sequence[str], order: str, prefixes, total: Column | None = None) -> DataFrame:
+    """<keys, _text, _paths>: properties of a node as JSON, in arrival order; ``rows`` is <keys, p, order, value, paths>."""
+    values = F.array_sort(F.collect_list(F.struct(F.col(order).alias("ord"), "value")))
+    texts = F.transform("_values", lambda x: x["value"])
+    many = F.size("_values").cast("bigint") if total is None else F.coalesce(F.col("_whole"), F.size("_values").cast("bigint"))
+    json_value = F.when(many == 1, F.get(texts, F.lit(0))).otherwise(
+        F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
+    )
+    prop = F.concat(json_string(shorten("p", prefixes)), F.lit(":"), json_value)
+    whole = [] if total is None else [F.max(total).alias("_whole")]
+    props = rows.groupBy(*keys, "p").agg(F.min(order).alias("_first"), values.alias("_values"), F.sum("paths").alias("_paths"), *whole)
+    props = props.select(*keys, "_paths", F.struct("_first", prop.alias("text")).alias("_p"))
+    nodes = props.groupBy(*keys).agg(F.array_sort(F.collect_list("_p")).alias("_props"), F.sum("_paths").alias("_paths"))
+    return nodes.select(*keys, F.array_join(F.transform("_props", lambda x: x["text"]), ",").alias("_text"), "_paths")
+
+
 def nested_documents(
     triples: DataFrame,
     roots: DataFrame,
@@ -222,6 +250,7 @@ def nested_documents(
     prefixes=settings.URI_PREFIXES,
     boundary: str | None = None,
     most: int = GROUP_ROWS,
+    derived: bool = True,
 ) -> DataFrame:
     """One JSON document per root: <root, part, doc>.
 
@@ -236,14 +265,47 @@ def nested_documents(
     are the whole list; a fragment tells its place as ``"part":k``.  Levels
     beyond ``depth`` stay references.
 
-    All levels are folded inside one partitioning by root and part.
+    Going down, every level joins only the objects that are followed, by
+    number: a value is named by the ordinals on the way to it.  Going up, a
+    node is folded once, and its text joins the one value that refers to it;
+    values that refer to nothing are not moved for it.  Derived triples are
+    written first; pass ``derived=False`` for a stored table.
     """
-    rows = stored(expand(triples, roots, depth, boundary, most))
-    sizes = rows.groupBy("root").agg(F.count("*").alias("_size"))
+    triples = stored(triples.select("s", "p", "o", "ord")) if derived else triples
+    level = of_roots(triples, roots).select(F.col("s").alias("root"), F.col("ord").alias("ord1"), F.array("s").alias("above"), "p", "o")
+    levels = []
+    if depth > 1:
+        paged = _paged(triples, ["s"], most)
+        # One number per large node, its count of pages.
+        pages = stored(paged.where(F.col("page") > 0).groupBy("s").agg(F.max("page").alias("_pages"))).withColumnRenamed("s", "_key")
+    for d in range(1, depth + 1):
+        way = [f"ord{i}" for i in range(1, d + 1)]
+        follow = F.coalesce(is_subnode("o", "root", boundary) & ~F.array_contains("above", F.col("o")), F.lit(False)) if d < depth else F.lit(False)
+        level = level.withColumn("_follow", follow)
+        levels.append(stored(level) if d < depth else level)
+        if d < depth:
+            level = _below(levels[-1].where("_follow"), paged, pages, way, f"ord{d + 1}")
+
+    docs = None
+    for d in range(depth, 0, -1):
+        way = [f"ord{i}" for i in range(1, d + 1)]
+        value = [*(["root"] if d == 1 else []), *way, "p", _plain(boundary).alias("value"), F.lit(1).cast("bigint").alias("paths")]
+        rows = levels[d - 1].where(~F.col("_follow")).select(*value)
+        if docs is not None:
+            inner = levels[d - 1].where("_follow").select(*value, "o").join(docs, way, "left")
+            text = F.concat(F.lit('{"@id":'), json_string("o"), F.lit(","), "_text", F.lit("}"))
+            kept = [c for c in rows.columns if c not in ("value", "paths")]
+            rows = rows.unionByName(inner.select(*kept, F.coalesce(text, "value").alias("value"), F.coalesce("_paths", "paths").alias("paths")))
+        if d > 1:
+            docs = _folded(rows, way[:-1], way[-1], prefixes)
+
+    rows = stored(rows)
+    sizes = rows.groupBy("root").agg(F.sum("paths").alias("_size"))
     large = stored(sizes.where(F.col("_size") > most))
     rows = rows.withColumn("part", F.lit(""))
+    total = None
     if not large.isEmpty():
-        own = lookup_join(rows.select("root", "p1", "ord1"), large, ["root"], "inner", derived=False).distinct()
+        own = lookup_join(rows.select("root", "p", "ord1"), large, ["root"], "inner", derived=False)
         # As many of the root's values as have about ``most`` paths between them.
         ranked = stored(with_dense_rank(own, [F.asc("root"), F.asc("ord1")], "_rank"))
         first = ranked.groupBy("root").agg(F.min("_rank").alias("_first"), F.count("*").alias("_values"))
@@ -251,52 +313,17 @@ def nested_documents(
         number = F.call_function("div", F.col("_rank") - F.col("_first"), each) + 1
         parts = lookup_join(ranked, first, ["root"], "inner").select("root", "ord1", number.cast("string").alias("_part"))
         rows = lookup_join(rows, parts, ["root", "ord1"], "left").withColumn("part", F.coalesce("_part", "part")).drop("_part")
-        totals = ranked.groupBy("root", "p1").agg(F.count("*").alias("_total"))
-        rows = lookup_join(rows, totals, ["root", "p1"], "left")
-    else:
-        rows = rows.withColumn("_total", F.lit(None).cast("bigint"))
-    rows = rows.repartition("root", "part")
-
-    rows = rows.withColumn("value", _value(depth, boundary))
-    for d in range(depth, 0, -1):
-        # A path is named by its ordinals; the texts above level d ride along.
-        outer = ["root", "part"] + [f"ord{i}" for i in range(1, d)]
-        above = [f"{c}{i}" for i in range(1, d) for c in ("p", "o")]
-        if d > 1:
-            above.append("_total")
-        riding = [F.first(c).alias(c) for c in above]
-        values = F.array_sort(F.collect_list(F.struct(F.col(f"ord{d}").alias("ord"), "value")))
-        texts = F.transform("_values", lambda x: x["value"])
-        many = F.coalesce(F.col("_whole"), F.size("_values").cast("bigint")) if d == 1 else F.size("_values")
-        json_value = F.when(many == 1, F.get(texts, F.lit(0))).otherwise(
-            F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
-        )
-        prop = F.concat(json_string(shorten(f"p{d}", prefixes)), F.lit(":"), json_value)
-        props = (
-            rows.groupBy(*outer, f"p{d}")
-            .agg(F.min(f"ord{d}").alias("_first"), values.alias("_values"), *riding, *([F.max("_total").alias("_whole")] if d == 1 else []))
-            .select(*outer, *above, F.when(F.col("_first").isNotNull(), F.struct("_first", prop.alias("text"))).alias("_p"))
-        )
-        nodes = props.groupBy(*outer).agg(F.array_sort(F.collect_list("_p")).alias("_props"), *riding)
-        node = F.col(f"o{d - 1}") if d > 1 else F.col("root")
-        tail = F.lit("}") if d > 1 else F.lit(',"status":"success"}')
-        place = F.when(F.col("part") == "", F.lit("")).otherwise(F.concat(F.lit('"part":'), "part", F.lit(",")))
-        body = F.concat(
-            F.lit('{"@id":'),
-            json_string(node),
-            F.lit(","),
-            place if d == 1 else F.lit(""),
-            F.array_join(F.transform("_props", lambda x: x["text"]), ","),
-            tail,
-        )
-        if d > 1:
-            body = F.when(F.size("_props") > 0, body).otherwise(_value(d - 1, boundary))
-        rows = nodes.select(*outer, *above, body.alias("value"))
+        totals = ranked.groupBy("root", "p").agg(F.count("*").alias("_total"))
+        rows = lookup_join(rows, totals, ["root", "p"], "left")
+        total = F.col("_total")
+    whole = _folded(rows, ["root", "part"], "ord1", prefixes, total)
+    place = F.when(F.col("part") == "", F.lit("")).otherwise(F.concat(F.lit('"part":'), "part", F.lit(",")))
+    body = F.concat(F.lit('{"@id":'), json_string("root"), F.lit(","), place, "_text", F.lit(',"status":"success"}'))
 
     failed = failed_roots(triples, roots).select(
         F.col("uri").alias("root"), F.lit("").alias("part"), F.to_json(F.struct("uri", "status")).alias("doc")
     )
-    return rows.select("root", "part", F.col("value").alias("doc")).unionByName(failed)
+    return whole.select("root", "part", body.alias("doc")).unionByName(failed)
 
 
 def _links(triples: DataFrame, roots: DataFrame, subjects: DataFrame) -> DataFrame:
@@ -327,35 +354,39 @@ def frontier(
 
     Depth 1 is the root.  Each round follows the sub-nodes that have triples
     and were not reached before; without ``max_depth`` the rounds go on until
-    none is left.  Every round is written to the shared folder, so the plan of
-    a round never holds the rounds before it.
+    none is left.
+
+    What was reached is one table in the shared folder, in buckets by root and
+    node.  A round takes the nodes of the round before, follows their links,
+    leaves out by one anti join all that the table holds, and appends the rest;
+    so its plan is the same at any depth, and the table is never shuffled.
 
     With ``paths`` there is one row per way to a node that visits no node
     twice, and a column ``path``; their number can grow with the factorial of
     the nodes that link each other.
     """
+    spark = triples.sparkSession
     subjects = triples.select(F.col("s").alias("node")).distinct()
-    links = _links(triples, roots, subjects)
     first = roots.select(F.col("uri").alias("node")).distinct().join(subjects, "node", "left_semi")
-    columns = ["root", "depth", "node", *(["path"] if paths else [])]
-    level = stored(first.select(F.col("node").alias("root"), F.lit(1).alias("depth"), "node", F.array("node").alias("path")).select(*columns))
-    levels = [level]
-    while max_depth is None or len(levels) < max_depth:
-        step = level.join(links, "node").where(is_subnode("next", "root", boundary))
-        depth = F.lit(len(levels) + 1).alias("depth")
-        if paths:
-            step = step.where(~F.array_contains("path", F.col("next")))
-            step = step.select("root", depth, F.col("next").alias("node"), F.array_append("path", F.col("next")).alias("path"))
-        else:
-            step = step.select("root", depth, F.col("next").alias("node")).distinct()
-            for seen in levels:
-                step = step.join(seen.select("root", "node"), ["root", "node"], "left_anti")
-            step = step.select(*columns)
-        level = stored(step)
-        if level.isEmpty():
-            break
-        levels.append(level)
-    out = levels[0]
-    for more in levels[1:]:
-        out = out.unionByName(more)
-    return out
+    columns = ["root", "node", *(["path"] if paths else [])]
+    level = first.select(F.col("node").alias("root"), "node", F.array("node").alias("path")).select(*columns)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    reached = Buckets(spark, "reached", buckets, ["root", "node"])
+    links = Buckets(spark, "links", buckets, ["node"])
+    try:
+        links.append(_links(triples, roots, subjects))
+        depth = 1
+        while reached.append(level.withColumn("depth", F.lit(depth)), "depth") and (max_depth is None or depth < max_depth):
+            last = reached.rows().where(F.col("depth") == depth).drop("depth")
+            step = last.join(links.rows(), "node").where(is_subnode("next", "root", boundary))
+            if paths:
+                step = step.where(~F.array_contains("path", F.col("next")))
+                level = step.select("root", F.col("next").alias("node"), F.array_append("path", F.col("next")).alias("path"))
+            else:
+                step = step.select("root", F.col("next").alias("node")).distinct()
+                level = step.join(reached.rows().select("root", "node"), ["root", "node"], "left_anti")
+            depth += 1
+        return reached.files().select("root", "depth", *columns[1:])
+    finally:
+        links.forget()
+        reached.forget()

@@ -16,27 +16,37 @@ INLINE_GRAMS = 2_000  # grams tested one by one inside an expression
 SPACING = 1 << 24  # room for character positions between two record ordinals
 
 
-def _place(ord_col: str, pos: Column, spacing: int) -> Column:
-    """Record ordinal and position in one number, wide enough for every ordinal.
+def _base(titles: DataFrame, ord_col: str, spacing: int) -> int | None:
+    """Least ordinal, if all places counted from it fit into a BIGINT; else None.
+
+    Reads the ordinals alone.  Both kinds of place give the same result; the
+    narrow kind makes the aggregation for its minimum a good deal faster.
+    """
+    low, high = titles.agg(F.min(ord_col), F.max(ord_col)).first()
+    if low is None:
+        return 0
+    return low if (high - low + 1) * spacing < 1 << 63 else None
+
+
+def _place(ord_col: str, pos: Column, spacing: int, base: int | None) -> Column:
+    """Record ordinal and position in one number, counted from ``base`` or wide enough for every ordinal.
 
     A single number keeps the aggregation for its minimum a hash aggregation.
     """
+    if base is not None:
+        return (F.col(ord_col).cast("bigint") - F.lit(base)) * F.lit(spacing) + pos.cast("bigint")
     return (F.col(ord_col).cast("decimal(20,0)") * F.lit(spacing).cast("decimal(12,0)") + pos.cast("decimal(20,0)")).cast("decimal(38,0)")
 
 
-def text_windows(
-    titles: DataFrame,
-    width: int,
-    title: str = "title",
-    keep: Sequence[str] = (),
-    symbols: str | None = settings.GRAM_SYMBOLS,
-) -> DataFrame:
-    """One row per character: the window of ``width`` characters that starts there.
+def _first_pos(at: Column, spacing: int, base: int | None) -> Column:
+    """The place as DECIMAL, counted from 0, whichever way it was kept."""
+    return (at.cast("decimal(20,0)") + F.lit(base * spacing).cast("decimal(37,0)")).cast("decimal(38,0)") if base else at.cast("decimal(38,0)")
 
-    Windows at the end of a title are shorter.  Every n-gram with n <= width
-    is the head of exactly one window, so one pass serves all sizes.  Titles
-    are cut into short chunks first, which keeps the work linear in the
-    length of a title and lets one huge title stream through.
+
+def _chunks(titles: DataFrame, width: int, title: str, keep: Sequence[str], symbols: str | None) -> DataFrame:
+    """<keep, _first, _part>: texts in short chunks <body, size>, each with what its windows look ahead to.
+
+    ``_first`` is the position of the chunk's first character.
     """
     text = F.col(title) if symbols is None else w.drop_symbols(title, symbols)
     # A chunk is at least as long as the window, so the next chunk holds all it looks ahead to.
@@ -51,16 +61,36 @@ def text_windows(
         return F.struct(F.concat(chunk, ahead).alias("body"), F.length(chunk).alias("size"))
 
     parts = cut.select(*keep, F.posexplode(F.transform(chunks, with_next)).alias("_no", "_part"))
+    return parts.select(*keep, (F.col("_no").cast("bigint") * chunk_size).alias("_first"), "_part")
+
+
+def _windows(parts: DataFrame, width: int, keep: Sequence[str]) -> DataFrame:
+    """<keep, pos, win>: one window per character of the chunks."""
     starts = parts.select(
-        *keep, "_no", "_part.body", F.explode(F.sequence(F.lit(0), F.col("_part.size") - 1)).alias("_at")
+        *keep, "_first", "_part.body", F.explode(F.sequence(F.lit(0), F.col("_part.size") - 1)).alias("_at")
     )
     return starts.select(
-        *keep,
-        (F.col("_no").cast("bigint") * chunk_size + F.col("_at")).alias("pos"),
-        F.substring("body", F.col("_at") + 1, F.lit(width)).alias("win"),
+        *keep, (F.col("_first") + F.col("_at")).alias("pos"), F.substring("body", F.col("_at") + 1, F.lit(width)).alias("win")
     )
 
 
+def text_windows(
+    titles: DataFrame,
+    width: int,
+    title: str = "title",
+    keep: Sequence[str] = (),
+    symbols: str | None = settings.GRAM_SYMBOLS,
+) -> DataFrame:
+    """One row per character: the window of ``width`` characters that starts there.
+
+    Windows at the end of a title are shorter.  Every n-gram with n <= width
+    is the head of exactly one window, so one pass serves all sizes.  Titles
+    are cut into short chunks first, which keeps the work linear in the
+    length of a title and lets one huge title stream through.
+    """
+    return _windows(_chunks(titles, width, title, keep, symbols), width, keep)
+
+
 def _heads(sizes: Sequence[int]) -> Column:
     """Rows <n, gram> for every size that fits into the window."""
     heads = [F.struct(F.lit(n).alias("n"), F.left("win", F.lit(n)).alias("gram")) for n in sizes]
@@ -81,16 +111,18 @@ def gram_counts(
     before the shuffle; shorter grams are then summed up from the distinct
     windows instead of from the text.
     """
+    base = _base(titles, ord_col, spacing)
     wins = text_windows(titles, max(sizes), title, [ord_col], symbols).select(
-        "win", _place(ord_col, F.col("pos"), spacing).alias("at")
+        "win", _place(ord_col, F.col("pos"), spacing, base).alias("at")
     )
     counted = wins.groupBy("win").agg(F.count("*").alias("c"), F.min("at").alias("at"))
-    return (
+    grams = (
         counted.select("c", "at", _heads(sizes))
         .where(F.length("gram") == F.col("n"))
         .groupBy("n", "gram")
-        .agg(F.sum("c").alias("cnt"), F.min("at").alias("first_pos"))
+        .agg(F.sum("c").alias("cnt"), F.min("at").alias("at"))
     )
+    return grams.select("n", "gram", "cnt", _first_pos(F.col("at"), spacing, base).alias("first_pos"))
 
 
 def top_grams(counts: DataFrame, k: int = settings.TOP_GRAMS) -> DataFrame:
@@ -99,6 +131,71 @@ def top_grams(counts: DataFrame, k: int = settings.TOP_GRAMS) -> DataFrame:
     return top_per_group(counts, ["n"], order, k)
 
 
+def frequent_grams(
+    titles: DataFrame,
+    k: int = settings.TOP_GRAMS,
+    sizes: Sequence[int] = settings.GRAM_SIZES,
+    ord_col: str = "ord",
+    title: str = "title",
+    symbols: str | None = settings.GRAM_SYMBOLS,
+    spacing: int = SPACING,
+    listed: int | None = None,
+) -> DataFrame:
+    """Top ``k`` grams per size, <n, gram, cnt, first_pos, rank>; equal to :func:`top_grams` of :func:`gram_counts`.
+
+    A threshold algorithm, so that rare grams, which are nearly all of them,
+    never leave the part of the input they were counted in:
+
+    1. The input is dealt out in parts by chunks of text.  Every part counts
+       its grams by itself and hands on its first ``listed`` (4 * ``k``) per size.
+    2. The sums over the lists give a lower bound of the k-th largest count.
+       In a part that does not list it, a gram has at most the least count
+       listed there; grams that cannot reach the bound even so drop out.
+    3. A gram that is left and listed in every part is counted already.  Any
+       other is counted again in the whole input.
+
+    Equal counts are ranked by first position, then by gram.  Null and empty
+    titles have no gram; fewer than ``k`` grams of a size give them all.
+    """
+    parts = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    listed = 4 * k if listed is None else listed
+    base = _base(titles, ord_col, spacing)
+    width = max(sizes)
+    chunks = _chunks(titles, width, title, [ord_col], symbols)
+    dealt = chunks.withColumn("_in", F.pmod(F.xxhash64(ord_col, "_first"), F.lit(parts)).cast("int")).repartitionById(parts, "_in")
+    wins = _windows(dealt, width, ["_in", ord_col]).select("_in", "win", _place(ord_col, F.col("pos"), spacing, base).alias("at"))
+    # Aggregations and lists stay in the task of their part: the rows are partitioned by it already.
+    counted = wins.groupBy("_in", "win").agg(F.count("*").alias("c"), F.min("at").alias("at"))
+    heads = counted.select("_in", "c", "at", _heads(sizes)).where(F.length("gram") == F.col("n"))
+    local = heads.groupBy("_in", "n", "gram").agg(F.sum("c").alias("cnt"), F.min("at").alias("at"))
+    lists = stored(top_per_group(local.where(F.col("cnt") > 1), ["_in", "n"], [F.desc("cnt")], listed))
+
+    # What is not listed: at most the least count of a full list, or one where all repeated grams are listed.
+    full = lists.groupBy("_in", "n").agg(F.count("*").alias("_rows"), F.min("cnt").alias("_least")).where(F.col("_rows") == listed)
+    rest = full.select("_in", "n", "_least")
+    unseen = {r.n: r.total for r in full.groupBy("n").agg(F.sum(F.col("_least") - 1).alias("total")).collect()}  # one number per size
+    every = F.lit(parts) + F.coalesce(F.create_map(*[F.lit(x) for n in sizes for x in (n, unseen.get(n, 0))])[F.col("n")], F.lit(0))
+    sums = lookup_join(lists, rest, ["_in", "n"]).groupBy("n", "gram").agg(
+        F.sum("cnt").alias("cnt"), F.min("at").alias("at"), F.count("*").alias("_seen"), F.sum(F.coalesce("_least", F.lit(1))).alias("_known")
+    )
+    sums = stored(sums)
+    last = top_per_group(sums.select("n", "cnt"), ["n"], [F.desc("cnt")], k).where(F.col("rank") == k)
+    bound = {r.n: r.cnt for r in last.select("n", "cnt").collect()}  # one number per size
+    least = F.create_map(*[F.lit(x) for n in sizes for x in (n, bound.get(n, 0))])[F.col("n")]
+    left = sums.where(F.col("cnt") + every - F.col("_known") >= least)
+    exact = left.where(F.col("_seen") == parts).select("n", "gram", "cnt", "at")
+    again = left.where(F.col("_seen") < parts).select("n", "gram")
+    short = [n for n in sizes if n not in bound]  # a size with fewer listed grams than wanted is counted whole
+    open_sizes = sorted({r.n for r in again.select("n").distinct().collect()} | set(short))
+    if open_sizes:
+        at = _place(ord_col, F.col("pos"), spacing, base)
+        whole = text_windows(titles, max(open_sizes), title, [ord_col], symbols).select(at.alias("at"), _heads(open_sizes)).where(F.length("gram") == F.col("n"))
+        missed = lookup_join(whole.where(~F.col("n").isin(short)), again, ["n", "gram"], "left_semi")
+        missed = missed.unionByName(whole.where(F.col("n").isin(short))).groupBy("n", "gram").agg(F.count("*").alias("cnt"), F.min("at").alias("at"))
+        exact = exact.where(~F.col("n").isin(short)).unionByName(missed.select("n", "gram", "cnt", "at"))
+    return top_grams(exact.select("n", "gram", "cnt", _first_pos(F.col("at"), spacing, base).alias("first_pos")), k)
+
+
 def _first_titles(
     titles: DataFrame, grams: DataFrame, limit: int, ord_col: str, title: str, symbols: str | None
 ) -> DataFrame:
@@ -178,9 +275,11 @@ def compound_counts(
     spacing: int = SPACING,
 ) -> DataFrame:
     """Occurrences and first position of every compound: <word, cnt, first_pos>."""
+    base = _base(titles, ord_col, spacing)
     found = titles.select(ord_col, F.posexplode(w.compounds(title, run, end)).alias("_i", "word"))
-    at = _place(ord_col, F.col("_i"), spacing)
-    return found.groupBy("word").agg(F.count("*").alias("cnt"), F.min(at).alias("first_pos"))
+    at = _place(ord_col, F.col("_i"), spacing, base)
+    counted = found.groupBy("word").agg(F.count("*").alias("cnt"), F.min(at).alias("at"))
+    return counted.select("word", "cnt", _first_pos(F.col("at"), spacing, base).alias("first_pos"))
 
 
 def ranked_vocabulary(counts: DataFrame) -> DataFrame:

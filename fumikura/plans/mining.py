@@ -26,8 +26,7 @@ def mine_grams(
     **options,
 ) -> GramMining:
     """Top grams of titles <ord, title>, as long and wide ranking, with examples."""
-    counts = mine.gram_counts(titles, sizes, **options)
-    top = mine.top_grams(counts, k)
+    top = mine.frequent_grams(titles, k, sizes, **options)
     option = {key: options[key] for key in ("symbols", "ord_col", "title") if key in options}
     shown = mine.gram_examples(titles, top, examples, **option)
     return GramMining(top, mine.wide_ranking(top, sizes, k), mine.samples_by_gram(shown))

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 _OWNER: ContextVar[str | None] = ContextVar("fumikura_stages", default=None)
 
@@ -79,12 +79,47 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write a frame that grows with the corpus to a table in the shared folder.
 
     Columnar files keep what is read again small: columns are pruned and
-    filters pushed, and the planner knows the size.
+    filters pushed, and the planner knows the size.  ``compression`` is one of
+    Parquet's, by default that of the session; ``zstd`` suits long texts.
     """
     path = scratch_path(df.sparkSession, "stage")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Buckets:
+    """A table in the shared folder that grows by appending and stays dealt out by its keys.
+
+    Joins and groupings on the keys read it without a shuffle.  The catalog
+    knows it only until :meth:`forget`; its files stay.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, buckets: int, keys: list[str]):
+        self.spark, self.buckets, self.keys = spark, buckets, keys
+        self.path = scratch_path(spark, name)
+        self.name = f"{name}_{uuid.uuid4().hex}"
+        self.schema = None
+
+    def append(self, df: DataFrame, partition: str | None = None) -> int:
+        """Number of rows written; ``partition`` names a column that tells appended rows from earlier ones."""
+        counted = Observation()
+        observed = df.observe(counted, F.count(F.lit(1)).alias("rows"))
+        writer = observed.write.mode("append").format("parquet").option("path", self.path).bucketBy(self.buckets, *self.keys)
+        (writer.partitionBy(partition) if partition else writer).saveAsTable(self.name)
+        self.schema = df.schema
+        return counted.get["rows"]
+
+    def rows(self) -> DataFrame:
+        """All rows, dealt out by the keys."""
+        return self.spark.table(self.name)
+
+    def files(self) -> DataFrame:
+        """All rows, read from the files; stays valid when the catalog has forgotten the table."""
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def forget(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")

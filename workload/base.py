@@ -159,7 +159,7 @@ def gram_counts(spark, sf) -> DataFrame:
 
 
 def top_grams(spark, sf) -> DataFrame:
-    return mine.top_grams(gram_counts(spark, sf))
+    return mine.frequent_grams(titles(spark, sf))
 
 
 # -- compound vocabulary ----------------------------------------------------------
