@@ -28,7 +28,7 @@ from pyspark.sql.types import StructField, StructType
 from ..session import stored
 from .bpe import _byte_letters
 from .bytewords import small_batches
-from .rows import bound_batches
+from .rows import bound_batches, lean
 
 #: Links after which a block of documents ends; a longer document is a block of its own.
 LINKS = 4_000_000
@@ -279,6 +279,7 @@ def _blocks(docs: DataFrame, path_a: str, path_b: str, keep: Sequence[str], grou
     """One row per document, in blocks, and besides the id pairs of every block with their totals."""
     bound_batches(docs.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(path_a, path_b)
         # Task and place: the same again when a lost task runs anew.

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bytewords import small_batches
-from .rows import bound_batches, counted_chars, packed, schema, unpacked
+from .rows import bound_batches, counted_chars, lean, packed, schema, unpacked
 
 WINDOW = 10
 #: Item words held by one automaton; more items go through several, one after another.
@@ -171,6 +171,7 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ke
     """
     held = _held(docs, benchmark, window)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             found = _found(batch.column("text"), held)
@@ -262,6 +263,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     held = _held(docs, benchmark, window)
     rows = packed(docs)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             texts = batch.column("text")

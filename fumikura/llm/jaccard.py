@@ -32,11 +32,12 @@ from ..operators.scale import lookup_join
 from ..session import stored
 from .bytewords import SPACES, document_words, shingles, small_batches
 from .components import components
-from .rows import bound_batches, packed, row_key, schema, unpacked
+from .rows import bound_batches, lean, packed, row_key, schema, unpacked
 
-#: N-grams counted together by a task, and how many frequent ones are kept for the order.
+#: N-grams counted together by a task.
 BLOCK = 2_000_000
-FREQUENT = 500_000
+#: Bytes of the table of frequencies at most; it has four for every n-gram that is kept.
+SLOTS = 1 << 24
 _PARTS = 64
 #: Words of 64 bits in the parity sketch of a set.
 SKETCH = 4
@@ -55,6 +56,7 @@ def _count_blocks(size: int):
         often = counts >= 2
         return pa.RecordBatch.from_pydict({"h": values[often].view(np.int64), "n": counts[often].astype(np.int64)})
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
         for batch in small_batches(batches):
@@ -71,30 +73,42 @@ def _count_blocks(size: int):
     return run
 
 
-def frequent_shingles(docs: DataFrame, size: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending, and counts of the most frequent n-grams; at most ``most``."""
+def frequencies(docs: DataFrame, size: int, most: int = SLOTS) -> np.ndarray:
+    """How frequent n-grams are, roughly: a byte for every remainder of a hash by the table's length.
+
+    0 stands for n-grams that are not known to be repeated, other values grow
+    with the logarithm of the count.  The table grows with the number of
+    repeated n-grams up to ``most`` bytes; beyond it the least frequent are left out.  Where hashes
+    meet, the larger count stands.  All this only moves n-grams in the order, and any order gives the same links.
+    """
     bound_batches(docs.sparkSession)
     counted = docs.select("text").mapInArrow(_count_blocks(size), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "h").limit(most).toArrow()
-    hashes, counts = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    order = np.argsort(hashes)
-    return hashes[order], counts[order]
+    level = F.least(F.lit(255), F.floor(8 * F.log2("n"))).cast("int")
+    rated = stored(counted.select("h", level.alias("level")))
+    # One row per level: from which on do all fit?
+    sizes = {r.level: r["count"] for r in rated.groupBy("level").count().collect()}
+    kept, least = 0, 256
+    for number in sorted(sizes, reverse=True):
+        if kept + sizes[number] > most // 4:
+            break
+        kept, least = kept + sizes[number], number
+    slots = 1 << max(10, (4 * kept - 1).bit_length()) if kept else 1 << 10
+    slots = min(slots, 1 << (most.bit_length() - 1))
+    table = np.zeros(slots, np.uint8)
+    found = rated.where(F.col("level") >= least).groupBy(F.col("h").bitwiseAND(F.lit(slots - 1)).cast("int").alias("slot")).agg(F.max("level").cast("short").alias("level"))
+    for batch in found.toArrow().to_batches():  # at most a quarter of ``most`` rows
+        table[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    return table
 
 
 def _ceil_share(n, top: int, bottom: int):
     return -(-n * top // bottom)
 
 
-def _rare_first(own: np.ndarray, hashes: np.ndarray, counts: np.ndarray, keep: int) -> np.ndarray:
-    """The first ``keep`` n-grams of a set by (frequency, hash)."""
-    at = np.searchsorted(hashes, own)
-    at[at == len(hashes)] = 0
-    often = hashes[at] == own if len(hashes) else np.zeros(len(own), bool)
-    rare = own[~often]
-    if len(rare) >= keep:
-        return rare[:keep]
-    rest, times = own[often], counts[at[often]]
-    return np.concatenate([rare, rest[np.lexsort((rest, times))][:keep - len(rare)]])
+def _rare_first(own: np.ndarray, table: np.ndarray, keep: int) -> np.ndarray:
+    """The first ``keep`` n-grams of a set, which is in order of hashes, by (frequency, hash)."""
+    level = table[(own & np.uint64(len(table) - 1)).astype(np.int64)]
+    return own[np.argsort(level, kind="stable")[:keep]]
 
 
 def sketch_of(own: np.ndarray) -> np.ndarray:
@@ -116,10 +130,11 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     ``indexed`` n-grams are those it is found by; ``parts`` counts the set by
     hash, ``s0..`` are its sketch.  Class, prefix and parts are null for an empty set.
     """
-    held = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, size))  # bounded by FREQUENT
+    held = docs.sparkSession.sparkContext.broadcast(frequencies(docs, size))  # at most SLOTS bytes
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = held.value
+        table = held.value
         for batch in small_batches(batches):
             rows = len(batch)
             count, indexed = np.zeros(rows, np.int64), np.zeros(rows, np.int32)
@@ -133,7 +148,7 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 count[i], name[i] = n, class_of(own)
                 first = n - _ceil_share(n, percent, 100) + 1
                 indexed[i] = n - _ceil_share(n, 2 * percent, 100 + percent) + 1
-                probe[i] = _rare_first(own, hashes, counts, first).view(np.int64)
+                probe[i] = _rare_first(own, table, first).view(np.int64)
                 sketch[:, i] = sketch_of(own)
                 parts[i] = np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=_PARTS).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -154,6 +169,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     keyed = docs.select(F.xxhash64("text").alias("_text"), "text")
     texts = lookup_join(keyed, wanted.select("_text").distinct(), ["_text"], "left_semi")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             name, sets, last = [], [], set()

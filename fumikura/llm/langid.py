@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.scale import lookup_join
 from .bytewords import small_batches, text_buffer
-from .rows import bound_batches, packed, schema, unpacked
+from .rows import bound_batches, lean, packed, schema, unpacked
 
 ORDER = 3
 #: Labelled rows per language used for training (about; drawn by a hash).
@@ -204,6 +204,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     held = spark.sparkContext.broadcast(model)  # runs seen in a bounded sample
     kept = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
 
+    @lean
     def run(batches):
         trees = held.value
         names = np.array([*trees.langs, "und"], object)

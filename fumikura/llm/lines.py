@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..operators.scale import lookup_join
 from ..session import stored
 from .bytewords import small_batches
-from .rows import bound_batches, counted_chars, packed, row_key, schema, unpacked
+from .rows import bound_batches, counted_chars, lean, packed, row_key, schema, unpacked
 
 #: What parts the units of a text.
 UNITS = {"line": r"\n", "sentence": r"\n|(?<=[.!?])[ \t\r\f\v]+", "paragraph": r"\n[ \t\r\f\v]*\n\s*"}
@@ -53,6 +53,7 @@ def units(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS, r
     patterns = [UNITS[u] for u in LEVELS.get(unit, (unit,))]
     bound_batches(docs.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partings = [re.compile(p) for p in patterns]
         for batch in small_batches(batches):
@@ -150,6 +151,7 @@ def dedup(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS, r
     joined = lookup_join(keyed, found.select(row_key().alias("_key"), "removed"), ["_key"], "left").select("_row", "text", "removed")
     pattern = UNITS[LEVELS.get(unit, (unit,))[0]]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parting = re.compile(pattern)
         for batch in batches:

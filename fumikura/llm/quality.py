@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import stored
 from .bytewords import PIECE, SPACES, mix, text_buffer, word_hashes
-from .rows import bound_batches
+from .rows import bound_batches, lean
 
 #: Slots of the hashed features.
 SLOTS = 1 << 17
@@ -186,6 +186,7 @@ def vote_patterns(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     bound_batches(docs.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [_packed(votes(measures(text)[0])) for text in _texts(batch)]
@@ -200,6 +201,7 @@ def _sampled(docs: DataFrame, patterns: DataFrame, most: int) -> pa.Table:
     place = F.pmod(F.xxhash64(F.xxhash64("text"), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     drawn = docs.select("text").where(place * distinct < most).distinct()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pattern, slots, weights = [], [], []
@@ -252,6 +254,7 @@ def classify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, keep_from: float =
     held = docs.sparkSession.sparkContext.broadcast((weight, model.posterior))  # SLOTS weights, one number per pattern
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, posterior = held.value
         for batch in batches:

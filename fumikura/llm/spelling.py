@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import stored
 from .bytewords import small_batches
-from .rows import bound_batches
+from .rows import bound_batches, lean
 
 LEAST = 7
 TIMES = 2
@@ -56,6 +56,7 @@ def word_counts(docs: DataFrame, least: int = LEAST, times: int = TIMES, drop: i
     bound_batches(docs.sparkSession)
     runs = re.compile("[a-zÀ-ÿ]+").findall
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
         for batch in small_batches(batches):
@@ -134,6 +135,7 @@ def _in_ranges(words: DataFrame, column: str, cuts: list[str], ranges: int) -> D
     """The rows with their range ``_range``, sorted by it and the word; a range is within one partition."""
     columns = words.columns
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = [bisect_right(cuts, w) for w in batch.column(column).to_pylist()]
