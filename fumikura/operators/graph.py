@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import settings
 from ..functions.uris import is_subnode, shorten
@@ -72,15 +72,12 @@ def harvest_stats(hits: DataFrame, patterns: int | None = None) -> DataFrame:
 
     With the number of ``patterns`` those without a solution have a row of zeros.
     """
-    # A subject has at most one row per pattern here, so its window is tiny.
-    first = F.min("pattern").over(Window.partitionBy("s"))
+    # A subject has at most one row per pattern, so its list is short; hits come grouped by subject already.
+    per_subject = hits.groupBy("s").agg(F.min("pattern").alias("_first"), F.collect_list(F.struct("pattern", "hits")).alias("_rows"))
     found = (
-        hits.withColumn("_first", first)
+        per_subject.select("_first", F.inline("_rows"))
         .groupBy("pattern")
-        .agg(
-            F.sum("hits").alias("hits"),
-            F.count_if(F.col("_first") == F.col("pattern")).alias("new_ids"),
-        )
+        .agg(F.sum("hits").alias("hits"), F.count_if(F.col("_first") == F.col("pattern")).alias("new_ids"))
     )
     if patterns is None:
         return found

@@ -8,14 +8,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import settings
+from ..functions import words as w
 from ..functions.words import _col
 from ..session import checkpointed
-from .mine import text_windows
-from .scale import lookup_join
+from .mine import text_chunks, text_windows
+from .scale import is_small, lookup_join
 
 # Above this many words a title is cut into grams and joined instead of being
 # tested word by word (see README for the measurement).
 INLINE_WORDS = 200
+#: Most characters of the piece by which a word is looked up.
+ANCHOR = 6
+#: One in so many titles is read to see which pieces are rare.
+SHARE = 8
 
 
 def first_hit(text: Column | str, words: Sequence[str]) -> Column:
@@ -71,6 +76,60 @@ def leftmost_hit(text: Column | str, words: Sequence[str]) -> Column:
     return F.nullif(F.regexp_extract(text, alternation(words), 0), F.lit(""))
 
 
+def rarest_anchors(titles: DataFrame, words: DataFrame, title: str = "title", share: int = SHARE) -> DataFrame:
+    """<anchor, offset, word>: of every word the piece that is rarest in the titles, and where it stands in the word.
+
+    Pieces have the length of the shortest word, at most ANCHOR characters.
+    All pieces of all words are counted in one pass over one in ``share``
+    titles, chosen by hash; of equally rare ones the first is taken.  Any piece
+    would find its word, a rare one finds little else.  ``words`` is <word>, each once.
+    """
+    size = min(ANCHOR, words.agg(F.min(F.length("word"))).first()[0])
+    starts = F.sequence(F.lit(0), F.length("word") - size)
+    pieces = words.select("word", F.explode(starts).alias("offset"))
+    pieces = checkpointed(pieces.withColumn("anchor", F.substring("word", F.col("offset") + 1, F.lit(size))))
+    some = titles.where((F.col(title) != "") & (F.pmod(F.xxhash64(title), F.lit(share)) == 0))
+    wins = text_windows(some, size, title, (), symbols=None).select(F.col("win").alias("anchor"))
+    counted = lookup_join(wins, pieces.select("anchor").distinct(), ["anchor"], "left_semi").groupBy("anchor").agg(F.count("*").alias("cnt"))
+    order = F.struct(F.coalesce("cnt", F.lit(0)).alias("cnt"), "offset", "anchor")
+    best = pieces.join(counted, "anchor", "left").groupBy("word").agg(F.min(order).alias("_b"))
+    return best.select(F.col("_b.anchor").alias("anchor"), F.col("_b.offset").alias("offset"), "word")
+
+
+def _anchored(texts: DataFrame, anchors: DataFrame, size: int, longest: int) -> DataFrame:
+    """<_title_key, pos, _word_ord> of all places of all words; the words are few enough to be at hand in every task.
+
+    A chunk comes with as much text on both sides as the longest word needs.
+    The joined rows are looked up by the anchor alone, and only for one that is
+    there is the word compared with what stands round it.
+    """
+    around = longest - 1
+    chunks = text_chunks(texts, longest, "_title", ["_title_key"], before=around)
+    starts = chunks.select("_title_key", "first", "body", "behind", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("_at"))
+    # Never null, so that it is not computed a second time to be tested for that.
+    keyed = starts.withColumn("anchor", F.coalesce(F.substring("body", F.col("behind") + F.col("_at") + 1, F.lit(size)), F.lit("")))
+    met = keyed.join(F.broadcast(anchors), "anchor")
+    start = F.col("behind") + F.col("_at") - F.col("offset")
+    right = met.where((start >= 0) & (F.substring(F.col("body"), start + 1, F.col("size")) == F.col("word")))
+    return right.select("_title_key", (F.col("first") + F.col("_at") - F.col("offset")).alias("pos"), "_word_ord")
+
+
+def _anchored_by_chunk(texts: DataFrame, anchors: DataFrame, size: int, longest: int) -> DataFrame:
+    """The same for any number of words: places of anchors meet the chunks of text by number, where words are compared."""
+    wins = text_windows(texts, size, "_title", ["_title_key"], symbols=None).select("_title_key", "pos", F.col("win").alias("anchor"))
+    met = wins.join(anchors, "anchor")
+    starts = met.select("_title_key", (F.col("pos") - F.col("offset")).alias("_start"), "size", "word", "_word_ord").where(F.col("_start") >= 0)
+    # The chunk where the word would begin reaches as far as the longest word does.
+    piece = max(w.CHUNK, longest)
+    number = lambda at: F.call_function("div", F.col(at), F.lit(piece))
+    tries = F.collect_set(F.struct((F.col("_start") % piece).cast("int").alias("at"), "size", "word", "_word_ord"))
+    wanted = starts.groupBy("_title_key", number("_start").alias("_no")).agg(tries.alias("_tries"))
+    bodies = text_chunks(texts, longest, "_title", ["_title_key"]).select("_title_key", number("first").alias("_no"), "first", "body")
+    right = F.filter("_tries", lambda t: F.substring(F.col("body"), t["at"] + 1, t["size"]) == t["word"])
+    checked = bodies.join(wanted, ["_title_key", "_no"]).select("_title_key", "first", F.inline(right))
+    return checked.select("_title_key", (F.col("first") + F.col("at")).alias("pos"), "_word_ord")
+
+
 def first_hit_join(
     titles: DataFrame,
     words: DataFrame,
@@ -86,66 +145,62 @@ def first_hit_join(
     The hit of a row depends on its title alone, so titles meet their hits by
     a digest; ids may repeat or be missing.
 
-    ``words`` is <ord, word>, ``ord`` unique.  Every start in a title looks up
-    the beginnings of the words, and only for lengths of words that begin so
-    the gram itself is looked up; both are equi joins.  The lowest ordinal per
-    title wins.  With a list small enough to broadcast only hits are shuffled.
+    ``words`` is <ord, word>, ``ord`` unique.  Every word is looked up by its
+    anchor, a piece of it that is rare in the titles (:func:`rarest_anchors`):
+    what is joined is as wide as an anchor however long the words are, and few
+    places of a text are an anchor.  Words that are measured to be few are
+    compared on the spot, others where their chunks of text meet their anchors.
     """
-    stored = checkpointed(words.where(F.col("word") != "").select("ord", "word"))
-    unique = stored.groupBy("word").agg(F.min("ord").alias("_word_ord"))
-    size = F.length("word")
-    shortest, longest = stored.agg(F.min(size), F.max(size)).first()
-    if shortest is None:
+    listed = checkpointed(words.where(F.col("word") != "").select(F.col("ord").cast("bigint").alias("ord"), "word"))
+    unique = listed.groupBy("word").agg(F.min("ord").alias("_word_ord"))
+    longest = listed.agg(F.max(F.length("word"))).first()[0]
+    if longest is None:
         return titles.withColumn(hit, F.lit(None).cast("string"))
-    # Which word lengths may follow a start: at most as many as there are lengths.
-    anchors = unique.groupBy(F.left("word", F.lit(shortest)).alias("_anchor")).agg(
-        F.collect_set(size).alias("_sizes")
-    )
     keyed = titles.withColumn("_title_key", F.unhex(F.sha2(F.col(title), 256)))
     texts = keyed.where(F.col(title) != "").select("_title_key", F.col(title).alias("_title"))
-    wins = text_windows(texts, longest, "_title", ["_title_key"], symbols=None)
-    starts = wins.select("_title_key", "pos", "win", F.left("win", F.lit(shortest)).alias("_anchor"))
-    tries = lookup_join(starts, anchors, ["_anchor"], "inner").select(
-        "_title_key", "pos", "win", F.explode("_sizes").alias("_n")
-    )
-    grams = tries.where(F.length("win") >= F.col("_n")).select("_title_key", "pos", F.left("win", F.col("_n")).alias("word"))
-    found = lookup_join(grams, unique, ["word"], "inner")
+    anchors = checkpointed(rarest_anchors(texts, unique.select("word"), "_title").join(unique, "word").withColumn("size", F.length("word")))
+    width = anchors.agg(F.max(F.length("anchor"))).first()[0]
+    found = (_anchored if is_small(anchors) else _anchored_by_chunk)(texts, anchors, width, longest)
     if leftmost:
         best = found.groupBy("_title_key").agg(F.min(F.struct("pos", "_word_ord"))["_word_ord"].alias("ord"))
     else:
         best = found.groupBy("_title_key").agg(F.min("_word_ord").alias("ord"))
-    named = lookup_join(best, stored.withColumnRenamed("word", hit), ["ord"], "inner", derived=False)
+    named = lookup_join(best, listed.withColumnRenamed("word", hit), ["ord"], "inner", derived=False)
     return lookup_join(keyed, named.select("_title_key", hit), ["_title_key"], "left").drop("_title_key")
 
 
+def _long_list(
+    titles: DataFrame, words: Sequence[str] | DataFrame, title: str, hit: str, inline: int, leftmost: bool, short
+) -> DataFrame:
+    """A list of usual length goes into an expression; a longer one, or one that is a frame <ord, word>, is joined."""
+    if not isinstance(words, DataFrame):
+        words = [word for word in words if word]
+        if len(words) <= inline:
+            return titles.withColumn(hit, short(title, words))
+        words = titles.sparkSession.createDataFrame(list(enumerate(words)), "ord bigint, word string")
+    return first_hit_join(titles, words, title, hit, leftmost)
+
+
 def with_first_hit(
     titles: DataFrame,
-    words: Sequence[str],
+    words: Sequence[str] | DataFrame,
     title: str = "title",
     hit: str = "hit",
     inline: int = INLINE_WORDS,
 ) -> DataFrame:
-    """List-order first hit, in the form that suits the length of the list."""
-    words = [word for word in words if word]
-    if len(words) <= inline:
-        return titles.withColumn(hit, first_hit(title, words))
-    rows = titles.sparkSession.createDataFrame(list(enumerate(words)), "ord bigint, word string")
-    return first_hit_join(titles, rows, title, hit)
+    """List-order first hit, in the form that suits the length of the list; a frame <ord, word> never leaves Spark."""
+    return _long_list(titles, words, title, hit, inline, False, first_hit)
 
 
 def with_leftmost_hit(
-    titles: DataFrame, words: Sequence[str], title: str = "title", hit: str = "hit", inline: int = INLINE_WORDS
+    titles: DataFrame, words: Sequence[str] | DataFrame, title: str = "title", hit: str = "hit", inline: int = INLINE_WORDS
 ) -> DataFrame:
-    """Word found earliest in the text, in the form that suits the length of the list."""
-    words = [word for word in words if word]
-    if len(words) <= inline:
-        return titles.withColumn(hit, leftmost_hit(title, words))
-    rows = titles.sparkSession.createDataFrame(list(enumerate(words)), "ord bigint, word string")
-    return first_hit_join(titles, rows, title, hit, leftmost=True)
+    """Word found earliest in the text, in the form that suits the length of the list; a frame <ord, word> never leaves Spark."""
+    return _long_list(titles, words, title, hit, inline, True, leftmost_hit)
 
 
 def with_keep_first(
-    titles: DataFrame, keep: Sequence[str], drop: Sequence[str], title: str = "title", inline: int = INLINE_WORDS
+    titles: DataFrame, keep: Sequence[str] | DataFrame, drop: Sequence[str] | DataFrame, title: str = "title", inline: int = INLINE_WORDS
 ) -> DataFrame:
     """Adds <verdict, reason, rescued> for lists of any length; the keep list wins."""
     tagged = with_leftmost_hit(with_leftmost_hit(titles, keep, title, "_kept", inline), drop, title, "_dropped", inline)

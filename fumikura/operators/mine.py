@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import settings
@@ -40,13 +42,16 @@ def _place(ord_col: str, pos: Column, spacing: int, base: int | None) -> Column:
 
 def _first_pos(at: Column, spacing: int, base: int | None) -> Column:
     """The place as DECIMAL, counted from 0, whichever way it was kept."""
-    return (at.cast("decimal(20,0)") + F.lit(base * spacing).cast("decimal(37,0)")).cast("decimal(38,0)") if base else at.cast("decimal(38,0)")
+    if not base:
+        return at.cast("decimal(38,0)")
+    return (F.lit(base).cast("decimal(20,0)") * F.lit(spacing).cast("decimal(12,0)") + at.cast("decimal(20,0)")).cast("decimal(38,0)")
 
 
-def _chunks(titles: DataFrame, width: int, title: str, keep: Sequence[str], symbols: str | None) -> DataFrame:
-    """<keep, _first, _part>: texts in short chunks <body, size>, each with what its windows look ahead to.
+def _chunks(titles: DataFrame, width: int, title: str, keep: Sequence[str], symbols: str | None, before: int = 0) -> DataFrame:
+    """<keep, _first, _part>: texts in short chunks <body, size, behind>, each with what its windows look ahead to.
 
-    ``_first`` is the position of the chunk's first character.
+    ``_first`` is the position of the chunk's first character; the body begins
+    ``behind`` characters before, at most ``before`` of them.
     """
     text = F.col(title) if symbols is None else w.drop_symbols(title, symbols)
     # A chunk is at least as long as the window, so the next chunk holds all it looks ahead to.
@@ -58,7 +63,10 @@ def _chunks(titles: DataFrame, width: int, title: str, keep: Sequence[str], symb
 
     def with_next(chunk: Column, i: Column) -> Column:
         ahead = F.coalesce(F.left(F.get(chunks, i + 1), F.lit(width - 1)), F.lit(""))
-        return F.struct(F.concat(chunk, ahead).alias("body"), F.length(chunk).alias("size"))
+        if not before:
+            return F.struct(F.concat(chunk, ahead).alias("body"), F.length(chunk).alias("size"), F.lit(0).alias("behind"))
+        back = F.coalesce(F.right(F.get(chunks, i - 1), F.lit(before)), F.lit(""))
+        return F.struct(F.concat(back, chunk, ahead).alias("body"), F.length(chunk).alias("size"), F.length(back).alias("behind"))
 
     parts = cut.select(*keep, F.posexplode(F.transform(chunks, with_next)).alias("_no", "_part"))
     return parts.select(*keep, (F.col("_no").cast("bigint") * chunk_size).alias("_first"), "_part")
@@ -91,6 +99,17 @@ def text_windows(
     return _windows(_chunks(titles, width, title, keep, symbols), width, keep)
 
 
+def text_chunks(titles: DataFrame, width: int, title: str = "title", keep: Sequence[str] = (), before: int = 0) -> DataFrame:
+    """<keep, first, behind, size, body>: texts in chunks of at least ``width`` characters, each with the ``width - 1`` after it.
+
+    What is at most ``width`` long and begins in a chunk lies in its body
+    whole.  The body begins with the last ``before`` characters of the chunk
+    before, ``behind`` of them; the chunk itself has ``size`` and begins at ``first``.
+    """
+    parts = _chunks(titles, width, title, keep, None, before)
+    return parts.select(*keep, F.col("_first").alias("first"), "_part.behind", "_part.size", "_part.body")
+
+
 def _heads(sizes: Sequence[int]) -> Column:
     """Rows <n, gram> for every size that fits into the window."""
     heads = [F.struct(F.lit(n).alias("n"), F.left("win", F.lit(n)).alias("gram")) for n in sizes]
@@ -168,21 +187,22 @@ def frequent_grams(
     counted = wins.groupBy("_in", "win").agg(F.count("*").alias("c"), F.min("at").alias("at"))
     heads = counted.select("_in", "c", "at", _heads(sizes)).where(F.length("gram") == F.col("n"))
     local = heads.groupBy("_in", "n", "gram").agg(F.sum("c").alias("cnt"), F.min("at").alias("at"))
-    lists = stored(top_per_group(local.where(F.col("cnt") > 1), ["_in", "n"], [F.desc("cnt")], listed))
+    ranked = top_per_group(local.where(F.col("cnt") > 1), ["_in", "n"], [F.desc("cnt")], listed)
+    lists = stored(ranked)
 
     # What is not listed: at most the least count of a full list, or one where all repeated grams are listed.
-    full = lists.groupBy("_in", "n").agg(F.count("*").alias("_rows"), F.min("cnt").alias("_least")).where(F.col("_rows") == listed)
-    rest = full.select("_in", "n", "_least")
-    unseen = {r.n: r.total for r in full.groupBy("n").agg(F.sum(F.col("_least") - 1).alias("total")).collect()}  # one number per size
-    every = F.lit(parts) + F.coalesce(F.create_map(*[F.lit(x) for n in sizes for x in (n, unseen.get(n, 0))])[F.col("n")], F.lit(0))
-    sums = lookup_join(lists, rest, ["_in", "n"]).groupBy("n", "gram").agg(
+    full = lists.where(F.col("rank") == listed).select("_in", "n", F.col("cnt").alias("_least"))  # one row per part and size
+    unseen = full.groupBy("n").agg(F.sum(F.col("_least") - 1).alias("_rest"))
+    known = lists.join(full, ["_in", "n"], "left").groupBy("n", "gram").agg(
         F.sum("cnt").alias("cnt"), F.min("at").alias("at"), F.count("*").alias("_seen"), F.sum(F.coalesce("_least", F.lit(1))).alias("_known")
     )
-    sums = stored(sums)
-    last = top_per_group(sums.select("n", "cnt"), ["n"], [F.desc("cnt")], k).where(F.col("rank") == k)
+    known = known.join(F.broadcast(unseen), "n", "left")  # one row per size
+    most = F.col("cnt") + parts + F.coalesce("_rest", F.lit(0)) - F.col("_known")
+    wide = stored(known.select("n", "gram", "cnt", "at", "_seen", most.alias("_most")))
+    last = top_per_group(wide.select("n", "cnt"), ["n"], [F.desc("cnt")], k).where(F.col("rank") == k)
     bound = {r.n: r.cnt for r in last.select("n", "cnt").collect()}  # one number per size
     least = F.create_map(*[F.lit(x) for n in sizes for x in (n, bound.get(n, 0))])[F.col("n")]
-    left = sums.where(F.col("cnt") + every - F.col("_known") >= least)
+    left = wide.where(F.col("_most") >= least)
     exact = left.where(F.col("_seen") == parts).select("n", "gram", "cnt", "at")
     again = left.where(F.col("_seen") < parts).select("n", "gram")
     short = [n for n in sizes if n not in bound]  # a size with fewer listed grams than wanted is counted whole
@@ -196,23 +216,65 @@ def frequent_grams(
     return top_grams(exact.select("n", "gram", "cnt", _first_pos(F.col("at"), spacing, base).alias("first_pos")), k)
 
 
+class _Firsts:
+    """Of every gram the first ``limit`` distinct titles met so far: at most grams * limit entries.
+
+    Two of them merge by giving one what the other holds.
+    """
+
+    def __init__(self, grams: Sequence[str], limit: int):
+        self.grams, self.limit = grams, limit
+        self.held: list[dict[bytes, int]] = [{} for _ in grams]
+        # Only an ordinal below this changes what a gram has.
+        self.below = np.full(len(grams), np.iinfo(np.int64).max)
+
+    def see(self, ord_: int, key: bytes, text: str) -> None:
+        for i in np.flatnonzero(self.below > ord_):
+            if self.grams[i] in text:
+                self.put(int(i), ord_, key)
+
+    def put(self, i: int, ord_: int, key: bytes) -> None:
+        held = self.held[i]
+        if key in held:
+            held[key] = min(held[key], ord_)
+        else:
+            held[key] = ord_
+            if len(held) > self.limit:
+                del held[max(held, key=held.__getitem__)]
+        if len(held) == self.limit:
+            self.below[i] = max(held.values())
+
+
 def _first_titles(
     titles: DataFrame, grams: DataFrame, limit: int, ord_col: str, title: str, symbols: str | None
 ) -> DataFrame:
     """<n, gram, place, ord> of the first distinct titles; equal titles meet by digest.
 
-    A list of usual length is tested gram by gram inside one expression, which
-    gives every gram once per title.  A longer one is joined to the windows.
+    For a list of usual length every task keeps the first titles of each gram
+    and hands on no more than these.  A gram that has them is not looked for
+    behind them again, so nearly all texts are only looked at for grams that
+    are rare.  A longer list is joined to the windows.
     """
     text = F.col(title) if symbols is None else w.drop_symbols(title, symbols)
-    keyed = titles.where(F.col(title) != "")
+    keyed = titles.where((F.col(title) != "") & F.col(ord_col).isNotNull())
     digest = F.unhex(F.sha2(title, 256))
     few = grams.limit(INLINE_GRAMS + 1).collect()
     if len(few) <= INLINE_GRAMS:
-        listed = F.array(*[F.lit(r.gram) for r in few])
-        ready = pinned(keyed.select(ord_col, title), _text=text, _key=digest)
-        held = F.filter(listed, lambda gram: F.contains(F.col("_text"), gram))
-        hits = ready.select(ord_col, "_key", F.explode(held).alias("gram")).withColumn("n", F.length("gram"))
+        wanted = [(r.n, r.gram) for r in few]
+
+        def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            state = _Firsts([gram for _, gram in wanted], limit)
+            for batch in batches:
+                for ord_, key, body in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                    if state.below.max() > ord_:
+                        state.see(ord_, key.as_py(), body.as_py())
+            rows = [(n, gram, key, ord_) for (n, gram), held in zip(wanted, state.held) for key, ord_ in held.items()]
+            kinds = (pa.int32(), pa.string(), pa.binary(), pa.int64())
+            arrays = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["n", "gram", "_key", ord_col])
+
+        ready = keyed.select(F.col(ord_col).cast("bigint"), digest.alias("_key"), text.alias("_text"))
+        hits = ready.mapInArrow(first, f"n int, gram string, _key binary, `{ord_col}` bigint")
     else:
         sizes = [r.n for r in grams.select("n").distinct().collect()]  # one row per gram size
         ready = keyed.select(ord_col, title, digest.alias("_key"))
@@ -230,29 +292,17 @@ def gram_examples(
     ord_col: str = "ord",
     title: str = "title",
     symbols: str | None = settings.GRAM_SYMBOLS,
-    head: int = 500,
 ) -> DataFrame:
     """Up to ``limit`` distinct example titles per top gram, in input order.
 
-    Result is long: <n, gram, place, title>.  Because examples are the first
-    ones in input order, the first ``head`` titles settle every gram that has
-    ``limit`` of them there; only the other grams are looked up in the whole
-    input.  The result is the same as that of one pass over everything.
+    Result is long: <n, gram, place, title>.  What is shuffled are the first
+    examples of each task; titles join by the ordinals that were chosen.
     """
     top = checkpointed(top.select("n", "gram"))
     if top.isEmpty():
         empty = "n int, gram string, place bigint, title string"
         return titles.sparkSession.createDataFrame([], empty)
-    args = (limit, ord_col, title, symbols)
-    end = titles.select(ord_col).orderBy(ord_col).limit(head).agg(F.max(ord_col)).first()[0]
-    early = checkpointed(_first_titles(titles.where(F.col(ord_col) <= F.lit(end)), top, *args))
-    settled = early.groupBy("n", "gram").count().where(F.col("count") >= limit)
-    settled = settled.select("n", "gram")
-    found = early.join(settled, ["n", "gram"], "left_semi")
-    rest = checkpointed(top.join(settled, ["n", "gram"], "left_anti"))
-    if not rest.isEmpty():
-        found = found.unionByName(_first_titles(titles, rest, *args))
-    found = checkpointed(found)  # at most sizes x top words x limit rows
+    found = checkpointed(_first_titles(titles, top, limit, ord_col, title, symbols))  # at most sizes x top words x limit rows
     last = found.agg(F.max(ord_col)).first()[0]
     texts = titles.select(ord_col, title).where(F.col(ord_col) <= F.lit(last))
     return lookup_join(texts, found, [ord_col], "inner", derived=False).select(

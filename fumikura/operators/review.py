@@ -44,8 +44,8 @@ def with_row_id(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
 
 def last_decisions(log: DataFrame) -> DataFrame:
     """<id, decision>: the latest explicit decision per id."""
-    # seq and the flag share one number, which keeps the maximum a hash aggregate
-    packed = F.col("seq") * 2 + F.col("decision").cast("int")
+    # seq and the flag share one number, wide enough for every seq, which keeps the maximum a hash aggregate
+    packed = F.col("seq").cast("decimal(20,0)") * 2 + F.col("decision").cast("int")
     return (
         log.where(F.col("decision").isNotNull())
         .groupBy("id")
@@ -85,51 +85,86 @@ def verdict_summary(judged: DataFrame) -> DataFrame:
 
 
 # -- decision logs -------------------------------------------------------------
-# Actions: TOGGLE_NG, TOGGLE_OK (clicks), NG, OK, RESET (bulk).  States: NG, OK, NULL.
+# Actions: TOGGLE_NG, TOGGLE_OK (clicks), NG, OK, RESET (bulk).  States: none 0, NG 1, OK 2.
+# An action is a function of the states, and so is any run of actions.  A function is
+# written as one number with three digits to the base 3: what it makes of state 0, 1, 2.
 
+SEGMENT = 1 << 16  # values of seq folded together
 
-def fold_decisions(log: DataFrame) -> DataFrame:
+
+def _function(of_none: int, of_drop: int, of_keep: int) -> int:
+    return of_none + 3 * of_drop + 9 * of_keep
+
+
+IDENTITY = _function(0, 1, 2)
+ACTIONS = {
+    "NG": _function(1, 1, 1),
+    "OK": _function(2, 2, 2),
+    "RESET": _function(0, 0, 0),
+    "TOGGLE_NG": _function(1, 0, 1),
+    "TOGGLE_OK": _function(2, 2, 0),
+}
+
+
+def _applied(function: Column, state: Column) -> Column:
+    """Digit of a function at a state."""
+    return F.pmod(F.call_function("div", function, F.when(state == 0, 1).when(state == 1, 3).otherwise(9)).cast("int"), F.lit(3))
+
+
+def _then(first: Column, second: Column) -> Column:
+    """One function after another."""
+    digits = [_applied(second, _applied(first, F.lit(state))) for state in range(3)]
+    return digits[0] + 3 * digits[1] + 9 * digits[2]
+
+
+def _composed(steps: Column) -> Column:
+    """All functions of an array of structs <at, f>, in order."""
+    ordered = F.array_sort(steps)
+    return F.aggregate(ordered, F.lit(IDENTITY), lambda done, step: _then(done, step["f"]))
+
+
+def decision_functions(log: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """What stretches of a log <word, seq, action> do: <word, at, f>, one row per word and stretch.
+
+    A stretch holds ``segment`` values of ``seq``, so a word with most of the
+    log in it is folded in as many pieces, none of which is large.  The log is
+    read once.  Functions can be kept, and united with those of later entries.
+    Unknown and null actions change nothing; entries without ``seq`` come first.
+    """
+    code = F
+    for action, number in ACTIONS.items():
+        code = code.when(F.col("action") == action, F.lit(number))
+    seq = F.coalesce(F.col("seq").cast("bigint"), F.lit(-(1 << 63)).cast("bigint"))
+    steps = log.select("word", seq.alias("at"), code.otherwise(F.lit(IDENTITY)).alias("f"))
+    # Of runs of equal bulk actions or of clicks nothing can be left out beforehand, but a segment is bounded.
+    pieces = steps.groupBy("word", F.floor(F.col("at") / segment).alias("_segment"))
+    listed = pieces.agg(F.min("at").alias("at"), F.collect_list(F.struct("at", "f")).alias("_steps"))
+    return listed.select("word", "at", _composed(F.col("_steps")).alias("f"))
+
+
+def fold_functions(functions: DataFrame) -> DataFrame:
+    """<word, at, f> of all stretches of a word together, in the order of their beginnings."""
+    listed = functions.groupBy("word").agg(F.min("at").alias("at"), F.collect_list(F.struct("at", "f")).alias("_steps"))
+    return listed.select("word", "at", _composed(F.col("_steps")).alias("f"))
+
+
+def states_of(functions: DataFrame) -> DataFrame:
+    """<word, state> after functions that start from no state: NG, OK or NULL."""
+    end = _applied(F.col("f"), F.lit(0))
+    return functions.select("word", F.when(end == 1, "NG").when(end == 2, "OK").alias("state"))
+
+
+def fold_decisions(log: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """State of every word after a log <word, seq, action>: <word, state>.
 
     Clicks flip a word in their own list and move it out of the other; bulk
-    actions set the state.  What counts is the last bulk action and the run
-    of equal clicks at the end, so plain maxima and counts suffice and a word
-    with most of the log in it never has to be gathered in one place.
+    actions set the state.  ``before`` holds the functions of an earlier part
+    of the log (:func:`decision_functions`), which is not read again then.
     """
-    action, seq = F.col("action"), F.col("seq")
-    code = F.when(action == "NG", 1).when(action == "OK", 2).when(action == "RESET", 0)
-    ends = log.groupBy("word").agg(
-        F.max(F.when(code.isNotNull(), seq * 4 + code)).alias("_set"),
-        F.max(F.when(action == "TOGGLE_NG", seq)).alias("_ng"),
-        F.max(F.when(action == "TOGGLE_OK", seq)).alias("_ok"),
-    )
-    never = F.lit(-(1 << 62)).cast("bigint")
-    set_at = F.coalesce(F.call_function("div", F.col("_set"), F.lit(4)), never)
-    ng_at, ok_at = F.coalesce("_ng", never), F.coalesce("_ok", never)
-    ends = ends.select(
-        "word",
-        (F.col("_set") % 4).alias("_code"),
-        F.when(F.greatest(ng_at, ok_at) <= set_at, "SET")
-        .when(ng_at > ok_at, "NG")
-        .otherwise("OK")
-        .alias("_last"),
-        set_at.alias("_set_at"),
-        F.greatest(set_at, F.least(ng_at, ok_at)).alias("_run_after"),
-    )
-    run = (F.concat(F.lit("TOGGLE_"), F.col("_last")) == action) & (seq > F.col("_run_after"))
-    counted = (
-        lookup_join(log.select("word", "seq", "action"), ends, ["word"], "inner")
-        .groupBy("word", "_code", "_last", "_set_at", "_run_after")
-        .agg(F.count_if(run).alias("_run"))
-    )
-    bulk = F.when(F.col("_code") == 1, "NG").when(F.col("_code") == 2, "OK")
-    # State the run starts from: that of the bulk action if no other click lies between.
-    before = F.when(F.col("_run_after") == F.col("_set_at"), bulk)
-    flips = F.col("_run") + F.when(before == F.col("_last"), 1).otherwise(0)
-    state = F.when(F.col("_last") == "SET", bulk).otherwise(
-        F.when(flips % 2 == 1, F.col("_last"))
-    )
-    return counted.select("word", state.alias("state"))
+    functions = decision_functions(log)
+    if before is not None:
+        functions = before.select("word", "at", "f").unionByName(functions)
+    return states_of(fold_functions(functions))
 
 
 def fold_toggles(log: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def curate(
 
 
 def keep_by_subject(
-    records: DataFrame, keep: Sequence[str], drop: Sequence[str], rec: str = "rec"
+    records: DataFrame, keep: Sequence[str] | DataFrame, drop: Sequence[str] | DataFrame, rec: str = "rec"
 ) -> DataFrame:
     """Keep-first filter over title and subjects together: adds <text, verdict, reason, rescued>.
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from ..functions.variants import field, is_json, is_json_object
 from ..operators.scale import lookup_join, pinned
 from ..session import stored
+from . import membership
 
 LINE_ORDER = ("file", "block", "seq")
 
@@ -50,6 +51,25 @@ def scan_counts(lines: DataFrame, raw: str = "raw") -> DataFrame:
     )
 
 
+def written_counts(rows: DataFrame, write: Callable[[DataFrame], None], **counters: Column) -> dict[str, int]:
+    """Counters over rows, taken in the pass that writes them; ``write`` makes one output of what it is given."""
+    seen = Observation()
+    write(rows.observe(seen, *[value.alias(name) for name, value in counters.items()]))
+    return seen.get
+
+
+def write_objects(lines: DataFrame, path: str, raw: str = "raw", mode: str = "error") -> dict[str, int]:
+    """Writes the lines that are JSON objects, byte by byte; counts <lines, parsed, objects> on the way."""
+    flags = pinned(lines, _parsed=is_json(raw), _object=is_json_object(raw))
+    return written_counts(
+        flags,
+        lambda rows: write_lines(rows.where("_object"), path, raw, mode),
+        lines=F.count(F.lit(1)),
+        parsed=F.count_if("_parsed"),
+        objects=F.count_if("_object"),
+    )
+
+
 def numbered(lines: DataFrame, ord_col: str = "ord") -> DataFrame:
     """Adds the line number, from 0, to the lines of :func:`read_lines`.
 
@@ -99,6 +119,19 @@ def write_by_verdict(
     rows.select(line, verdict).write.mode(mode).partitionBy(verdict).text(path)
 
 
+def write_split(
+    split: DataFrame, path: str, line: str = "raw", verdicts: Sequence[str] = ("ng", "ok", "gray"), flag: str = "is_score", mode: str = "error"
+) -> dict[str, tuple[int, int]]:
+    """:func:`write_by_verdict` that also counts, in the same pass: verdict to (rows, rows with the flag), and ``all``."""
+    counters = {}
+    for name in (*verdicts, "all"):
+        mine = F.lit(True) if name == "all" else F.col("verdict") == name
+        counters[f"rows_{name}"] = F.count_if(mine)
+        counters[f"flag_{name}"] = F.count_if(mine & F.coalesce(F.col(flag), F.lit(False)))
+    found = written_counts(split, lambda rows: write_by_verdict(rows, path, line, "verdict", mode), **counters)
+    return {name: (found[f"rows_{name}"], found[f"flag_{name}"]) for name in (*verdicts, "all")}
+
+
 def pending(rows: DataFrame, done: DataFrame, key: str = "uri") -> DataFrame:
     """Rows whose key is not in the output yet."""
     return rows.join(done.select(key).distinct(), key, "left_anti")
@@ -107,13 +140,29 @@ def pending(rows: DataFrame, done: DataFrame, key: str = "uri") -> DataFrame:
 def append_pending(rows: DataFrame, path: str, key: str = "uri") -> None:
     """Append the rows an earlier run has not written (JSON Lines output).
 
-    Only the key column of the earlier output is read; nothing is appended
-    twice, whatever the order of the input.
+    Nothing is appended twice, whatever the order of the input.  A filter of
+    the keys written is kept in the hidden folder ``_keys`` of the output
+    (:mod:`fumikura.sources.membership`).  Rows whose key it rules out are
+    new; only for the others is the output itself read, its key column alone.
     """
     spark = rows.sparkSession
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if files.exists(target):
-        done = spark.read.schema(f"`{key}` string").json(path)
-        rows = pending(rows, done, key)
+        known = membership.read_filter(spark, path)
+        if known is None:  # written without a filter
+            known = membership.write_filter(written_keys(spark, path, key), path, key)
+        rows = stored(rows)
+        maybe = stored(membership.possible(rows.select(key).distinct(), known, key))
+        if not maybe.isEmpty():
+            repeated = maybe.join(written_keys(spark, path, key), key, "left_semi")
+            rows = lookup_join(rows, repeated, [key], "left_anti")
+    else:
+        rows = stored(rows)
     write_jsonl(rows, path, mode="append")
+    membership.write_filter(rows.select(key), path, key)
+
+
+def written_keys(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """Keys of a JSON Lines output, each once."""
+    return spark.read.schema(f"`{key}` string").json(path).distinct()

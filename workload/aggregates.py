@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from fumikura.functions import titles as t
 from fumikura.operators import graph, match, mine, review, search
 from fumikura.operators.scale import top_per_group
+from fumikura.session import scratch_path
+from fumikura.sources import records
 
 from . import base, filters, joins
 from .base import DECIDED, GRAMS, JUDGED, REC, SUBJECTS, SUFFIX, TRIPLES, VOCAB, query
@@ -55,10 +57,10 @@ def reasons(spark, sf):
     UNION ALL SELECT 'all', count(*), count(*) FILTER (WHERE is_score) FROM split""",
 )
 def counters(spark, sf):
-    rows = filters.split(spark, sf)
-    counts = rows.groupBy("verdict").agg(F.count("*").alias("cnt"), F.count_if("is_score").alias("flagged"))
-    whole = counts.agg(F.sum("cnt").alias("cnt"), F.sum("flagged").alias("flagged"))
-    return counts.unionByName(whole.withColumn("verdict", F.lit("all")))
+    """Counted in the pass that writes the split."""
+    rows = filters.split(spark, sf).withColumn("raw", F.col("id").cast("string"))
+    counts = records.write_split(rows, scratch_path(spark, "split"))
+    return spark.createDataFrame([(name, *pair) for name, pair in counts.items() if pair[0]], "verdict string, cnt bigint, flagged bigint")
 
 
 @query(

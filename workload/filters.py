@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fumikura.functions import titles as t, uris
 from fumikura.operators import graph, judge, match, mine, review, search
-from fumikura.operators.scale import pinned
+from fumikura.operators.scale import pinned, with_dense_rank
 from fumikura.session import scratch_path
 from fumikura.sources import rankings, records
 from fumikura.plans import curation, mining
@@ -61,11 +61,12 @@ LONG_WORDS = """words AS (SELECT DISTINCT w FROM (SELECT unnest([left(text, 110)
     list AS (SELECT w, row_number() OVER (ORDER BY md5(w), w) - 1 AS ord FROM words)"""
 
 
-def long_words(spark, sf) -> list[str]:
+def long_words(spark, sf):
+    """The list <ord, word> as a frame."""
     texts = table(spark, sf, "benchmark")
     cuts = F.array(F.left("text", F.lit(110)), F.substring("text", 7, 71), F.substring("text", 3, 9), F.right("text", F.lit(5)))
-    words = texts.select(F.explode(cuts).alias("w")).distinct().where("length(w) >= 5 and not contains(w, '\n')")
-    return [r.w for r in words.orderBy(F.md5("w"), "w").collect()]  # the benchmark's texts are a word list here
+    words = texts.select(F.explode(cuts).alias("word")).distinct().where("length(word) >= 5 and not contains(word, '\n')")
+    return with_dense_rank(words, [F.md5("word"), F.asc("word")], "ord")
 
 
 @query(
@@ -79,7 +80,7 @@ def long_list(spark, sf):
     rows = table(spark, sf, "documents").select(
         F.when(F.col("doc_id") % 3 != 0, F.call_function("div", F.col("doc_id"), F.lit(7))).alias("id"), F.col("text").alias("title")
     )
-    tagged = match.with_first_hit(rows, long_words(spark, sf), inline=20)
+    tagged = match.with_first_hit(rows, long_words(spark, sf))
     return tagged.select("id", F.md5("title").alias("digest"), match.drop_only_verdict("hit").alias("v")).select("id", "digest", "v.*")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fumikura.operators import graph, match, mine, review
 from fumikura.operators.scale import with_dense_rank
 from fumikura.plans import harvest as harvesting
-from fumikura.session import checkpointed
+from fumikura.session import checkpointed, stored
 
 from . import base
 from .base import DECIDED, GRAMS, HOME, JUDGED, RDF_TYPE, ROOTS, SCHEMA, SUBJECTS, TRIPLES, VOCAB, query, table
@@ -45,9 +45,9 @@ def equi(spark, sf):
 )
 def long_words_join(spark, sf):
     """Words of up to 110 characters, first in list order and first in the text."""
-    words = long_words(spark, sf)
-    rows = match.with_first_hit(base.ids_titles(spark, sf), words, inline=20)
-    return match.with_leftmost_hit(rows, words, hit="earliest", inline=20).select("id", "hit", "earliest")
+    words = stored(long_words(spark, sf))
+    rows = match.with_first_hit(base.ids_titles(spark, sf), words)
+    return match.with_leftmost_hit(rows, words, hit="earliest").select("id", "hit", "earliest")
 
 
 _CHOSEN = "SELECT word FROM vocab WHERE cnt >= 100"

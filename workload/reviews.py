@@ -96,14 +96,23 @@ _SHOWN = """held AS (SELECT DISTINCT g.n, g.gram, g.doc_id FROM grams g JOIN gto
 @query(
     "h5_dual_queue",
     f"""WITH {DUAL}, {_SHOWN} SELECT d.n, rank, word, cnt, state, parent, parent_list, {_LINK} AS link, coalesce(examples, 'no sample') AS examples
-    FROM dual d LEFT JOIN shown s ON d.n = s.n AND word = gram WHERE regexp_matches(word, '^[a-t]')""",
+    FROM dual d LEFT JOIN shown s ON d.n = s.n AND word = gram""",
 )
 def dual_queue(spark, sf):
-    """Search pattern and examples given."""
+    """All ranked words, with their examples."""
     ranked, drop, keep = joins.dual_lists(spark, sf)
     examples = mine.gram_examples(base.titles(spark, sf), ranked.withColumnRenamed("word", "gram")).withColumn("title", F.md5("title"))
     samples = mine.samples_by_gram(examples).withColumnRenamed("gram", "word")
-    return review.dual_queue(ranked, drop, keep, samples, "^[a-t]")
+    return review.dual_queue(ranked, drop, keep, samples)
+
+
+@query(
+    "h5_dual_search",
+    f"WITH {DUAL} SELECT n, rank, word, cnt, state, parent, parent_list, {_LINK} AS link FROM dual WHERE regexp_matches(word, '^[a-t]')",
+)
+def dual_search(spark, sf):
+    """A search pattern shows all words that match."""
+    return review.dual_queue(*joins.dual_lists(spark, sf), pattern="^[a-t]")
 
 
 @query(
@@ -128,44 +137,56 @@ def verified(spark, sf):
     return review.verified(base.judged(spark, sf), review.last_decisions(base.decision_log(spark, sf)))
 
 
-_CASCADE = f"""{REC}, {DECIDED},
+def _cascade_sql(wanted: str) -> str:
+    return f"""{REC}, {DECIDED},
     split AS (SELECT id, text, title, {base.sql_first_hit('title', base.DROP)} AS ng, {base.sql_first_hit('title', ['ment', '@'])} AS ok FROM rec
-      WHERE len(list_filter({base.sql_list(['thaner', 'osja'])}, lambda w: contains(title, w))) = 0
-        AND ((coalesce(quality, 2) = 1 AND source = 'src7') OR (toxic IS NOT NULL AND contains(text, 'e')))),
+      WHERE len(list_filter({base.sql_list(['thaner', 'osja'])}, lambda w: contains(title, w))) = 0 AND {wanted}),
     gray AS (SELECT id, text, title FROM split WHERE ng IS NULL AND ok IS NULL),
     asked AS (SELECT id, title AS label, {_asked_sql('title')} FROM gray)"""
 
 
-def cascade_result(spark, sf):
+def cascade_result(spark, sf, wanted=None):
     rows = base.parsed(spark, sf).select(t.record_id("rec").alias("id"), "raw", "rec")
     decisions = review.last_decisions(base.decision_log(spark, sf))
     scorer = judge.keyword_scorer(YES, NO)
-    wanted = t.in_class("rec", "http://data.example/keyword/src7", "e")
     return curation.curate(rows, ["thaner", "osja"], base.DROP, ["ment", "@"], scorer, decisions, wanted=wanted)
 
 
-@query(
-    "h7_split",
-    f"""WITH {_CASCADE} SELECT id, CASE WHEN ng IS NOT NULL THEN 'ng' WHEN ok IS NOT NULL THEN 'ok' ELSE 'gray' END AS verdict,
-      coalesce('NG: ' || ng, 'OK: ' || ok) AS reason FROM split""",
-)
+def _of_class():
+    return t.in_class("rec", "http://data.example/keyword/src7", "e")
+
+
+_SPLIT_SQL = """SELECT id, CASE WHEN ng IS NOT NULL THEN 'ng' WHEN ok IS NOT NULL THEN 'ok' ELSE 'gray' END AS verdict,
+      coalesce('NG: ' || ng, 'OK: ' || ok) AS reason FROM split"""
+_SAMPLE_SQL = "SELECT id, label, judgment, reason FROM asked ORDER BY md5(id || '#0'), id LIMIT 300"
+_FINAL_SQL = """SELECT id, label, coalesce(decision, judgment, FALSE) AS is_score, reason AS llm_reason,
+      decision IS NOT NULL AS verified_by_human FROM asked LEFT JOIN decided USING (id)"""
+_WHOLE = _cascade_sql("TRUE")
+_CLASS = _cascade_sql("((coalesce(quality, 2) = 1 AND source = 'src7') OR (toxic IS NOT NULL AND contains(text, 'e')))")
+
+
+@query("h7_split", f"WITH {_WHOLE} {_SPLIT_SQL}")
 def cascade_split(spark, sf):
     return cascade_result(spark, sf).split.select("id", "verdict", "reason")
 
 
-@query(
-    "h7_sample",
-    f"""WITH {_CASCADE} SELECT id, label, judgment, reason FROM asked ORDER BY md5(id || '#0'), id LIMIT 300""",
-    text=("judgment",),
-)
+@query("h7_class_split", f"WITH {_CLASS} {_SPLIT_SQL}")
+def class_split(spark, sf):
+    return cascade_result(spark, sf, _of_class()).split.select("id", "verdict", "reason")
+
+
+@query("h7_sample", f"WITH {_WHOLE} {_SAMPLE_SQL}", text=("judgment",))
 def cascade_sample(spark, sf):
+    """300 of the undecided rows, of which there are more."""
     return cascade_result(spark, sf).sample
 
 
-@query(
-    "h7_cascade",
-    f"""WITH {_CASCADE} SELECT id, label, coalesce(decision, judgment, FALSE) AS is_score, reason AS llm_reason,
-      decision IS NOT NULL AS verified_by_human FROM asked LEFT JOIN decided USING (id)""",
-)
+@query("h7_cascade", f"WITH {_WHOLE} {_FINAL_SQL}")
 def cascade(spark, sf):
     return cascade_result(spark, sf).final
+
+
+@query("h7_class_cascade", f"WITH {_CLASS} {_FINAL_SQL}")
+def class_cascade(spark, sf):
+    """Records of one class only."""
+    return cascade_result(spark, sf, _of_class()).final

@@ -37,7 +37,9 @@ def jsonl_scan(spark, sf):
       (SELECT count(*) AS l FROM labels), (SELECT count(*) AS e FROM events)""",
 )
 def scan_counts(spark, sf):
-    return records.scan_counts(base.all_lines(spark, sf))
+    """Counted in the pass that writes the objects."""
+    counts = records.write_objects(base.all_lines(spark, sf), scratch_path(spark, "objects"))
+    return spark.createDataFrame([(counts["lines"], counts["parsed"], counts["objects"])], "lines bigint, parsed bigint, objects bigint")
 
 
 @query("a3_header_alias", f"WITH {SUBJECTS} SELECT word, cnt FROM subjects")
@@ -91,7 +93,7 @@ def word_list(spark, sf):
 )
 def samples_map(spark, sf):
     """All top grams with all their examples, written as one document and read back."""
-    top = mine.top_grams(base.gram_counts(spark, sf))
+    top = base.top_grams(spark, sf)
     shown = mine.samples_by_gram(mine.gram_examples(base.titles(spark, sf), top).withColumn("title", F.md5("title")))
     path = scratch_path(spark, "samples")
     samples.write_samples(shown.withColumnRenamed("gram", "word"), path)
@@ -168,7 +170,7 @@ def raw_keep(spark, sf):
 @query("a12_list_out", f"WITH {VOCAB} SELECT word FROM vocab WHERE cnt >= 2")
 def list_out(spark, sf):
     path = scratch_path(spark, "list")
-    wordlists.write_word_list(base.vocabulary(spark, sf).where("cnt >= 2"), path)
+    wordlists.write_word_list(base.vocabulary(spark, sf).where("cnt >= 2"), path, one_file=False)
     return spark.read.text(path).select(F.col("value").alias("word"))
 
 
