@@ -171,7 +171,8 @@ def frequent_grams(
        In a part that does not list it, a gram has at most the least count
        listed there; grams that cannot reach the bound even so drop out.
     3. A gram that is left and listed in every part is counted already.  Any
-       other is counted again in the whole input.
+       other is counted again in the whole input, and so are all grams of a
+       size where one that no part lists could still reach the bound.
 
     Equal counts are ranked by first position, then by gram.  Null and empty
     titles have no gram; fewer than ``k`` grams of a size give them all.
@@ -205,7 +206,10 @@ def frequent_grams(
     left = wide.where(F.col("_most") >= least)
     exact = left.where(F.col("_seen") == parts).select("n", "gram", "cnt", "at")
     again = left.where(F.col("_seen") < parts).select("n", "gram")
-    short = [n for n in sizes if n not in bound]  # a size with fewer listed grams than wanted is counted whole
+    # A gram that no part lists can have as many as all unlisted places together.  Where that reaches the bound, or
+    # where fewer grams are listed than wanted, the size is counted whole.
+    hidden = {r.n: r["_rest"] for r in unseen.collect()}  # one number per size
+    short = [n for n in sizes if n not in bound or parts + hidden.get(n, 0) >= bound[n]]
     open_sizes = sorted({r.n for r in again.select("n").distinct().collect()} | set(short))
     if open_sizes:
         at = _place(ord_col, F.col("pos"), spacing, base)

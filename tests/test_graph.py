@@ -163,3 +163,39 @@ def test_binding_rows(spark):
         "raw string",
     ).select(F.from_json("raw", "results struct<bindings: array<struct<s: struct<value: string>, p: struct<value: string>, o: struct<value: string>>>>").alias("d")).select("d.results")
     assert [tuple(r) for r in binding_rows(docs).collect()] == [(0, "a", "b", "c")]
+
+
+def test_long_chain_has_a_plan_of_constant_size(spark, rows, monkeypatch):
+    n = 40
+    facts = [(f"http://r#{i}" if i else "http://r", S + "next", f"http://r#{i + 1}") for i in range(n - 1)] + [(f"http://r#{n - 1}", S + "name", "end")]
+    sizes = []
+    append = graph.Buckets.append
+
+    def measured(self, df, partition=None):
+        if partition:
+            sizes.append(len(df._jdf.queryExecution().optimizedPlan().toString()))
+        return append(self, df, partition)
+
+    monkeypatch.setattr(graph.Buckets, "append", measured)
+    got = graph.frontier(triples(spark, facts), roots(spark, "http://r"))
+    assert rows(got, "depth") == sorted([(i + 1,) for i in range(n)], key=repr)
+    assert len(sizes) == n + 1 and max(sizes[2:]) < 1.5 * min(sizes[2:])
+
+
+def test_cycles_end_and_tables_are_forgotten(spark, rows):
+    facts = [("http://r", S + "a", "http://r#x"), ("http://r#x", S + "b", "http://r#y"), ("http://r#y", S + "c", "http://r#x"), ("http://r#y", S + "d", "http://r")]
+    got = graph.frontier(triples(spark, facts), roots(spark, "http://r"))
+    assert rows(got, "depth", "node") == [(1, "http://r"), (2, "http://r#x"), (3, "http://r#y")]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(("reached_", "links_"))]
+    assert graph.frontier(triples(spark, facts), roots(spark, "http://none")).count() == 0
+
+
+@pytest.mark.parametrize("depth", [2, 3, 4])
+def test_documents_that_share_nodes(spark, depth):
+    """A node under several parents, under the same parent twice, and in cycles of several lengths."""
+    r = "http://r"
+    facts = [(r, S + "a", r + "#1"), (r, S + "b", r + "#1"), (r, S + "b", r + "#2"), (r + "#1", S + "c", r + "#3"), (r + "#2", S + "c", r + "#3")]
+    facts += [(r + "#3", S + "d", r + "#1"), (r + "#3", S + "d", "_:z"), ("_:z", S + "e", r + "#3"), ("_:z", S + "f", r), (r + "#2", S + "c", r + "#2"), (r, S + "a", r + "#1")]
+    facts += [("http://q", S + "g", "_:z")]
+    docs = graph.nested_documents(triples(spark, facts), roots(spark, r, "http://q"), depth).collect()
+    assert {d.root: json.loads(d.doc) for d in docs} == {u: brute_document(facts, u, depth) for u in (r, "http://q")}

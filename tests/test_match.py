@@ -188,3 +188,35 @@ def test_reason_counts(spark, rows):
     df = titles(spark, "目録", "目録2", "楽譜", "x")
     got = match.reason_counts(match.split_three_ways(df, ["目録"], ["楽譜"]))
     assert rows(got, "verdict", "word", "cnt") == [("ng", "目録", 2), ("ok", "楽譜", 1)]
+
+
+@pytest.mark.parametrize("small", [True, False])
+@pytest.mark.parametrize("longest", [5, 90])
+def test_long_lists_by_rare_pieces(spark, monkeypatch, small, longest):
+    """Words compared on the spot and words that meet their chunks give what testing one by one gives."""
+    monkeypatch.setattr(match, "is_small", lambda *_: small)
+    rng = random.Random(longest)
+    texts = ["".join(rng.choice("ab譜𠮷") for _ in range(rng.choice([0, 1, 5, 70, 400]))) for _ in range(60)]
+    words = ["a", "譜b"] if longest == 5 else []
+    for _ in range(80):
+        text = rng.choice([t for t in texts if len(t) > 5])
+        at = rng.randrange(len(text) - 3)
+        words.append(text[at:at + rng.randint(3, longest)] + rng.choice(["", "", "x"]))
+    words = list(dict.fromkeys(words))
+    df = titles(spark, *texts, texts[3], None)
+    listed = spark.createDataFrame([(10 * i, word) for i, word in enumerate(words)], "ord bigint, word string")
+    want = [next((x for x in words if t and x in t), None) for t in [*texts, texts[3], None]]
+    assert hits(match.with_first_hit(df, listed)) == want
+    early = [min(((t.index(x), i, x) for i, x in enumerate(words) if x in t), default=(0, 0, None))[2] if t else None for t in [*texts, texts[3], None]]
+    assert hits(match.with_leftmost_hit(df, listed)) == early
+    assert hits(match.with_first_hit(df, listed.limit(0))) == [None] * len(want)
+
+
+def test_anchor_is_the_rarest_piece(spark):
+    df = titles(spark, *["abcdef" * 20, "xyz", "cdefgh", "quick"] * 9)
+    words = spark.createDataFrame([("abcxyz",), ("efghab",), ("nowhere",)], "word string").withColumn("word", F.col("word"))
+    got = {r.word: (r.anchor, r.offset) for r in match.rarest_anchors(df, words, share=1).collect()}
+    assert all(word[offset:offset + len(anchor)] == anchor for word, (anchor, offset) in got.items())
+    assert got["nowhere"][1] == 0
+    short = {r.word: r.anchor for r in match.rarest_anchors(df, spark.createDataFrame([("abc",), ("bcdefgh",)], "word string"), share=1).collect()}
+    assert short == {"abc": "abc", "bcdefgh": "efg"}

@@ -38,8 +38,8 @@ def test_gram_counts_and_tie_order(spark):
     ]
 
 
-@pytest.mark.parametrize("head, broadcast_rows, inline", [(1, 200_000, 99), (7, 200_000, 0), (10_000, 0, 0), (7, 0, 99)])
-def test_examples(spark, monkeypatch, head, broadcast_rows, inline):
+@pytest.mark.parametrize("broadcast_rows, inline", [(200_000, 99), (200_000, 0), (0, 0), (0, 99)])
+def test_examples(spark, monkeypatch, broadcast_rows, inline):
     monkeypatch.setattr(scale, "BROADCAST_ROWS", broadcast_rows)
     monkeypatch.setattr(mine, "INLINE_GRAMS", inline)
     want = defaultdict(list)
@@ -49,11 +49,53 @@ def test_examples(spark, monkeypatch, head, broadcast_rows, inline):
                 if len(want[n, gram]) < 4 and text not in want[n, gram]:
                     want[n, gram].append(text)
     top = mine.top_grams(mine.gram_counts(titles(spark), (2, 3)), 15)
-    shown = mine.samples_by_gram(mine.gram_examples(titles(spark), top, 4, head=head))
+    shown = mine.samples_by_gram(mine.gram_examples(titles(spark), top, 4))
     got = {(r.n, r.gram): r.samples for r in shown.collect()}
     assert got == {(r.n, r.gram): want[r.n, r.gram] for r in top.collect()}
 
 
+def test_tasks_hand_on_no_more_than_the_first_examples(spark):
+    """Whatever the order of the titles, a task keeps ``limit`` titles per gram."""
+    rng = random.Random(3)
+    rows = [(i, rng.choice(TEXTS)) for i in range(600)]
+    rng.shuffle(rows)
+    state = mine._Firsts(["a", "b ", "楽譜"], 3)
+    for ord_, text in rows:
+        state.see(ord_, text.encode(), text)
+        assert all(len(held) <= 3 for held in state.held)
+    for gram, held in zip(state.grams, state.held):
+        first = {}
+        for ord_, text in sorted(rows):
+            if gram in text:
+                first.setdefault(text.encode(), ord_)
+        assert sorted(held.values()) == sorted(first.values())[:3]
+
+
+@pytest.mark.parametrize("k, listed", [(12, None), (12, 12), (3, 1), (5000, None)])
+def test_frequent_grams_equal_a_full_count(spark, k, listed):
+    """Also with lists so short that grams must be counted again, and with fewer grams than wanted."""
+    rng = random.Random(k)
+    texts = TEXTS + ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(len(texts), None)], "ord bigint, title string")
+    want = mine.top_grams(mine.gram_counts(df), k).orderBy("n", "rank").collect()
+    got = mine.frequent_grams(df, k, listed=listed).orderBy("n", "rank").select("n", "gram", "cnt", "first_pos", "rank").collect()
+    assert [tuple(r) for r in got] == [(r.n, r.gram, r.cnt, r.first_pos, r["rank"]) for r in want]
+
+
+def test_frequent_grams_of_nothing(spark):
+    none = spark.createDataFrame([(1, None), (2, ""), (3, "x")], "ord bigint, title string")
+    assert mine.frequent_grams(none, 5).count() == 0 and mine.frequent_grams(none.limit(0), 5).count() == 0
+
+
+def test_ordinals_of_any_size_keep_first_positions(spark):
+    rows = [(-(1 << 62), "ab"), (1 << 62, "ab cd"), (5, "cd")]
+    df = spark.createDataFrame(rows, "ord bigint, title string")
+    got = {r.gram: int(r.first_pos) for r in mine.gram_counts(df, (2,)).collect()}
+    assert got["ab"] == -(1 << 62) * mine.SPACING and got["cd"] == 5 * mine.SPACING
+    near = {r.gram: int(r.first_pos) for r in mine.gram_counts(df.where("ord > 0"), (2,)).collect()}
+    assert near["ab"] == (1 << 62) * mine.SPACING and near["cd"] == 5 * mine.SPACING
+
+
 def test_wide_table_is_padded(spark):
     done = mine_grams(titles(spark), k=30, examples=2)
     wide = done.wide.orderBy("Rank").collect()

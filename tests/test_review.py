@@ -38,6 +38,34 @@ def test_fold_equals_replay(spark, monkeypatch, broadcast_rows):
     assert drop.intersect(keep).count() == 0
 
 
+def test_fold_from_two_halves_and_any_seq(spark, rows):
+    rng = random.Random(9)
+    actions = list(review.ACTIONS)
+    for far in (0, (1 << 63) - 400):
+        log = [(f"w{rng.randrange(4)}", far + i, rng.choice([*actions, None, "?"])) for i in range(300)]
+        frame = spark.createDataFrame(log, "word string, seq bigint, action string")
+        want = {}
+        for word in {w for w, _, _ in log}:
+            want[word] = brute_fold([a for w, _, a in log if w == word and a in actions])
+        assert dict(rows(review.fold_decisions(frame))) == want
+        early, late = frame.where(F.col("seq") < far + 130), frame.where(F.col("seq") >= far + 130)
+        kept = review.fold_functions(review.decision_functions(early, segment=7))
+        assert dict(rows(review.fold_decisions(late, kept))) == want
+
+
+def test_functions_compose(spark):
+    codes = range(27)
+    digits = lambda f: (f % 3, f // 3 % 3, f // 9)
+    pairs = spark.createDataFrame([(a, b) for a in codes for b in codes], "a int, b int")
+    for r in pairs.select("a", "b", review._then(F.col("a"), F.col("b")).alias("c")).collect():
+        assert digits(r.c) == tuple(digits(r.b)[x] for x in digits(r.a))
+
+
+def test_last_decision_at_any_seq(spark, rows):
+    log = spark.createDataFrame([("a", (1 << 63) - 1, True), ("a", (1 << 63) - 2, False), ("b", -(1 << 63), True), ("b", 5, False)], "id string, seq bigint, decision boolean")
+    assert rows(review.last_decisions(log)) == [("a", True), ("b", False)]
+
+
 def test_toggles_and_bulk_selection(spark, rows):
     log = spark.createDataFrame([("a",), ("b",), ("a",), ("c",), ("c",), ("c",)], "word string")
     assert rows(review.fold_toggles(log)) == [("b",), ("c",)]

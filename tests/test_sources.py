@@ -76,6 +76,45 @@ def test_resume_appends_each_key_once(spark, tmp_path):
     assert sorted(r.uri for r in spark.read.json(out).collect()) == ["a", "b", "c"]
 
 
+def test_new_keys_never_read_the_old_output(spark, tmp_path, rows, monkeypatch):
+    out = str(tmp_path / "out")
+    frame = lambda first, last: spark.range(first, last).select(F.concat(F.lit("k"), "id").alias("uri"), "id")
+    records.append_pending(frame(0, 300), out)
+    asked = []
+    read = records.written_keys
+    monkeypatch.setattr(records, "written_keys", lambda *args: asked.append(1) or read(*args))
+    records.append_pending(frame(1000, 1200), out)
+    assert not asked  # the filter alone told that all are new
+    records.append_pending(frame(100, 400), out)
+    assert len(asked) == 1
+    records.append_pending(frame(0, 1200), out)
+    back = spark.read.json(out)
+    assert rows(back.select("id")) == sorted([(i,) for i in range(1200)], key=repr)
+
+
+def test_filter_rules_out_nothing_that_was_written(spark, tmp_path, monkeypatch):
+    from fumikura.sources import membership
+
+    monkeypatch.setattr(membership, "BLOCKS", 16)  # crowded, so that some keys are taken for written ones
+    path = str(tmp_path / "x")
+    assert membership.read_filter(spark, path) is None
+    keys = spark.range(400).select(F.col("id").cast("string").alias("uri"))
+    known = membership.write_filter(keys.unionByName(spark.createDataFrame([(None,)], "uri string")), path, "uri")
+    assert membership.possible(keys, known, "uri").count() == 400
+    others = spark.range(1000, 3000).select(F.col("id").cast("string").alias("uri"))
+    assert membership.possible(others, known, "uri").count() < 1500
+    known = membership.write_filter(others, path, "uri")
+    assert membership.possible(others, known, "uri").count() == 2000 and known.count() <= 16
+
+
+def test_counters_of_the_writing_pass(spark, tmp_path):
+    lines = spark.createDataFrame([('{"a": 1}',), ("[1]",), ("oops",), ("",), ('{"a": 1} x',), ('  {"b": 2}',)], "raw string")
+    assert records.write_objects(lines, str(tmp_path / "o")) == {"lines": 6, "parsed": 3, "objects": 2}
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "o")).collect()) == ['  {"b": 2}', '{"a": 1}']
+    split = spark.createDataFrame([("x", "ng", None), ("y", "ok", True), ("z", "gray", None), ("q", "ok", False)], "raw string, verdict string, is_score boolean")
+    assert records.write_split(split, str(tmp_path / "s")) == {"ng": (1, 0), "ok": (2, 1), "gray": (1, 0), "all": (4, 1)}
+
+
 @pytest.mark.parametrize("header", ["Rank,Keyword,Count", " Rank , Word , Count ", "Rank,Term,Count"])
 def test_ranking_headers(spark, tmp_path, header):
     path = put(tmp_path / "r.csv", f'﻿{header}\n1,"楽,""譜""",12\n2,雅楽,x\n')
