@@ -7,13 +7,14 @@ the arrival order.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import settings
 from ..functions.uris import is_subnode, shorten
 from ..functions.variants import json_string
-from ..session import Buckets, stored
+from ..session import Buckets, scratch_path, stored
 from .scale import lookup_join, with_dense_rank
 
 GROUP_ROWS = 100_000  # most values that go into one array or document
@@ -67,6 +68,43 @@ def page_after(hits: DataFrame, last: str | None, limit: int = settings.PAGE_SIZ
     return page.select("s", F.explode(times).alias("copy")).orderBy("s", "copy").limit(limit).select("s")
 
 
+@dataclass(frozen=True)
+class Pages:
+    """Solutions <s, hits> sorted over files, and what each file holds: <file, first, last, hits>."""
+
+    path: str
+    index: DataFrame
+
+    def after(self, last: str | None, limit: int = settings.PAGE_SIZE) -> DataFrame:
+        """:func:`page_after` that reads only the files the page lies in."""
+        spark = self.index.sparkSession
+        rest = self.index if last is None else self.index.where(F.col("last") > last)
+        files, held = [], 0
+        for row in rest.orderBy("first").limit(limit + 1).collect():  # every file has a solution
+            files.append(row.file)
+            # The first file may hold solutions up to the key.
+            held += row.hits if len(files) > 1 or last is None or row.first > last else 0
+            if held >= limit:
+                break
+        rows = spark.read.schema("s string, hits bigint")
+        return page_after(rows.parquet(*files) if files else spark.createDataFrame([], "s string, hits bigint"), last, limit)
+
+
+def page_store(hits: DataFrame) -> Pages:
+    """Writes solutions <s, hits> once, in sorted ranges, for any number of pages.
+
+    A file covers a range of keys that no other does; the index has one row per file.
+    """
+    spark = hits.sparkSession
+    path, index = scratch_path(spark, "pages"), scratch_path(spark, "page-index")
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = hits.select("s", F.col("hits").cast("bigint").alias("hits")).where(F.col("s").isNotNull())
+    rows.repartitionByRange(ranges, "s").sortWithinPartitions("s").write.parquet(path)
+    read = spark.read.schema("s string, hits bigint").parquet(path).select("s", "hits", F.col("_metadata.file_path").alias("file"))
+    read.groupBy("file").agg(F.min("s").alias("first"), F.max("s").alias("last"), F.sum("hits").alias("hits")).write.parquet(index)
+    return Pages(path, spark.read.schema("file string, first string, last string, hits bigint").parquet(index))
+
+
 def harvest_stats(hits: DataFrame, patterns: int | None = None) -> DataFrame:
     """Per pattern: all solutions, and subjects no earlier pattern had found.
 

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import settings
 from ..functions import words as w
 from ..functions.words import _col
-from ..session import checkpointed
+from ..session import checkpointed, stored
 from .mine import text_chunks, text_windows
 from .scale import is_small, lookup_join
 
@@ -19,6 +21,8 @@ from .scale import is_small, lookup_join
 INLINE_WORDS = 200
 #: Most characters of the piece by which a word is looked up.
 ANCHOR = 6
+#: Keys per range that are looked at to choose where ranges begin.
+CUT_SAMPLE = 20
 #: One in so many titles is read to see which pieces are rare.
 SHARE = 8
 
@@ -326,21 +330,66 @@ def noise_words(
     return struck.unionByName(added).distinct()
 
 
-def _piece_of(word: Column, n: int):
-    return lambda start: F.substring(word, start, F.lit(n))
+class _Stack:
+    """Chosen words on the way to the last key, which all begin it, shortest first."""
 
+    def __init__(self, words: Sequence[str] = ()):
+        self.words = list(words)
 
-def _parts(word: Column, sizes: Sequence[int], how: str) -> Column:
-    """Proper parts of a word: its endings, or all its pieces, of given sizes."""
-    pieces = []
-    for n in sizes:
-        if how == "suffix":
-            part = F.array(F.right(word, F.lit(n)))
-        else:
-            starts = F.sequence(F.lit(1), F.length(word) - (n - 1))
-            part = F.transform(starts, _piece_of(word, n))
-        pieces.append(F.when(F.length(word) > n, part).otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(F.concat(*pieces))
+    def reach(self, key: str) -> str | None:
+        """The longest chosen word that begins a key; keys come in order."""
+        while self.words and not key.startswith(self.words[-1]):
+            self.words.pop()
+        return self.words[-1] if self.words else None
+
+
+def longest_heads(keys: DataFrame, chosen: DataFrame) -> DataFrame:
+    """<word, head>: for every key <word, key> the longest chosen word <word> that it begins with, if any.
+
+    Keys and chosen words are sorted together, in ranges between cut words.
+    Passing through a range in order, a task holds the chosen words that begin
+    the present key, one inside the other.  Those that reach into a range from
+    before it begin its cut word, so they are looked up once for all ranges;
+    a range then needs nothing from its neighbours.
+    """
+    spark = keys.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    marked = chosen.select(F.lit(None).cast("string").alias("word"), F.col("word").alias("key"), F.lit(0).alias("_kind"))
+    both = keys.select("word", "key", F.lit(1).alias("_kind")).unionByName(marked)
+    # About CUT_SAMPLE keys per range are looked at; they decide the balance of the ranges alone.
+    step = max(1, both.count() // (CUT_SAMPLE * ranges))
+    some = sorted({r.key for r in both.where(F.pmod(F.xxhash64("key"), F.lit(step)) == 0).select("key").collect()})
+    cuts = some[len(some) // (2 * ranges)::max(1, -(-len(some) // ranges))]
+    heads = [(i + 1, cut[:n]) for i, cut in enumerate(cuts) for n in range(len(cut) + 1)]
+    open_: dict[int, list[str]] = {}
+    if heads:
+        begun = spark.createDataFrame(heads, "_range int, word string").join(chosen.select("word"), "word", "left_semi")
+        for row in begun.orderBy("_range", F.length("word")).collect():  # at most the characters of the cut words
+            open_.setdefault(row["_range"], []).append(row.word)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = pa.array([bisect_right(cuts, key) for key in batch.column("key").to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, place], names=["word", "key", "_kind", "_range"])
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stack, last = _Stack(), None
+        for batch in batches:
+            words, found = [], []
+            for word, key, kind, number in zip(*[c.to_pylist() for c in batch.columns]):
+                if number != last:
+                    stack, last = _Stack(open_.get(number, ())), number
+                head = stack.reach(key)
+                if kind == 0:
+                    if head != key:
+                        stack.words.append(key)
+                elif head is not None:
+                    words.append(word)
+                    found.append(head)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(found, pa.string())], names=["word", "head"])
+
+    dealt = both.mapInArrow(placed, "word string, key string, _kind int, _range int").repartition(ranges, "_range")
+    return dealt.sortWithinPartitions("_range", "key", "_kind").mapInArrow(passed, "word string, head string")
 
 
 def covering_parent(
@@ -350,17 +399,21 @@ def covering_parent(
 
     Covered means a shorter chosen word is its ending (``suffix``) or lies
     inside it (``substring``).  The longest such word is given, then the
-    lowest.  Equi join on the parts of a word.
+    lowest.  An ending is a beginning of the word read backwards, and a piece
+    is a beginning of one of its endings, so both are a matter of
+    :func:`longest_heads`, with one key per word or per character.
     """
-    chosen = checkpointed(chosen.select("word").distinct())
-    sizes = [r.n for r in chosen.select(F.length("word").alias("n")).distinct().collect()]  # lengths only
+    chosen = checkpointed(chosen.select("word").where(F.col("word") != "").distinct())
     open_words = words.select("word").distinct().join(chosen, "word", "left_anti")
-    if not sizes:
-        return open_words.where(F.lit(False)).withColumn(parent, F.lit(None).cast("string"))
-    parts = open_words.select("word", F.explode(_parts(F.col("word"), sorted(sizes), how)).alias(parent))
-    hits = lookup_join(parts, chosen.withColumnRenamed("word", parent), [parent], "inner", derived=False)
-    best = F.min(F.struct((-F.length(parent)).alias("size"), F.col(parent).alias("name")))
-    return hits.groupBy("word").agg(best.alias("_b")).select("word", F.col("_b.name").alias(parent))
+    if how == "suffix":
+        backwards = chosen.select(F.reverse("word").alias("word"))
+        found = longest_heads(stored(open_words.select("word", F.reverse("word").alias("key"))), backwards)
+        return found.select("word", F.reverse("head").alias(parent))
+    starts = F.explode(F.sequence(F.lit(1), F.length("word")))
+    tails = open_words.where(F.col("word") != "").select("word", starts.alias("_at"))
+    found = longest_heads(stored(tails.select("word", F.expr("substring(word, _at)").alias("key"))), chosen)
+    best = F.min(F.struct((-F.length("head")).alias("size"), F.col("head").alias("name")))
+    return found.groupBy("word").agg(best.alias("_b")).select("word", F.col("_b.name").alias(parent))
 
 
 def cover_state(words: DataFrame, chosen: DataFrame, how: str = "suffix") -> DataFrame:

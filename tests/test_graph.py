@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -199,3 +200,20 @@ def test_documents_that_share_nodes(spark, depth):
     facts += [("http://q", S + "g", "_:z")]
     docs = graph.nested_documents(triples(spark, facts), roots(spark, r, "http://q"), depth).collect()
     assert {d.root: json.loads(d.doc) for d in docs} == {u: brute_document(facts, u, depth) for u in (r, "http://q")}
+
+
+def test_pages_read_the_files_they_lie_in(spark):
+    rng = random.Random(2)
+    keys = [(f"k{i:05}", rng.choice([1, 1, 3])) for i in range(3000)]
+    hits = spark.createDataFrame(rng.sample(keys, len(keys)), "s string, hits bigint")
+    store = graph.page_store(hits)
+    files = store.index.count()
+    assert files > 2 and store.index.agg(F.sum("hits")).first()[0] == sum(n for _, n in keys)
+    every = [k for k, n in keys for _ in range(n)]
+    for last in (None, "k00000", "k01499", "k02998x", "zzz", ""):
+        page = store.after(last, 50)
+        want = [k for k in every if last is None or k > last][:50]
+        assert [r.s for r in page.collect()] == want
+        assert len(page.inputFiles()) <= 2
+    assert [r.s for r in store.after("k00000", 6000).collect()] == [k for k in every if k > "k00000"]
+    assert graph.page_store(hits.limit(0)).after(None, 5).count() == 0

@@ -220,3 +220,22 @@ def test_anchor_is_the_rarest_piece(spark):
     assert got["nowhere"][1] == 0
     short = {r.word: r.anchor for r in match.rarest_anchors(df, spark.createDataFrame([("abc",), ("bcdefgh",)], "word string"), share=1).collect()}
     assert short == {"abc": "abc", "bcdefgh": "efg"}
+
+
+@pytest.mark.parametrize("sample", [1, 20])
+@pytest.mark.parametrize("how", ["suffix", "substring"])
+def test_covering_parent_over_ranges(spark, rows, monkeypatch, how, sample):
+    """Chosen words inside one another, over the borders of ranges."""
+    monkeypatch.setattr(match, "CUT_SAMPLE", sample)
+    rng = random.Random(sample)
+    every = list({"".join(rng.choice("ab𠮷") for _ in range(rng.randint(0, 9))) for _ in range(400)})
+    picked = set(rng.sample([x for x in every if x], 60))
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "word string")
+    inside = (lambda c, x: x.endswith(c)) if how == "suffix" else (lambda c, x: c in x)
+    want = []
+    for x in every:
+        found = [c for c in picked if len(c) < len(x) and inside(c, x)]
+        if x not in picked and found:
+            want.append((x, min(found, key=lambda c: (-len(c), c))))
+    assert rows(match.covering_parent(frame(every), frame(picked), how)) == sorted(want, key=repr)
+    assert match.covering_parent(frame(every), frame([]), how).count() == 0

@@ -232,7 +232,8 @@ _LAST = base.HOME + "customer/12"
 
 @query("f6_page", f"WITH {HARVEST} SELECT s FROM hits WHERE s > '{_LAST}' ORDER BY s LIMIT 500")
 def page(spark, sf):
-    return graph.page_after(joins.harvested(spark, sf).hits.groupBy("s").agg(F.sum("hits").alias("hits")), _LAST)
+    """One page out of a sorted store."""
+    return graph.page_store(joins.harvested(spark, sf).hits.groupBy("s").agg(F.sum("hits").alias("hits"))).after(_LAST)
 
 
 @query("f7_sample", f"WITH {JUDGED} SELECT id, is_score FROM judged ORDER BY md5(id || '#7'), id LIMIT 300", text=("is_score",))
