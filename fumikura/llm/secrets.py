@@ -107,6 +107,22 @@ def link_parts(parts: DataFrame, reach: int = REACH) -> DataFrame:
     return bare.unionByName(login).unionByName(endpoint)
 
 
+def free_parts(parts: DataFrame) -> DataFrame:
+    """Without the weak parts that overlap a strong one.
+
+    One sweep over the parts of a text in each direction: the farthest end of
+    the strong parts begun so far, and the nearest start of those to come.
+    """
+    text = Window.partitionBy("doc_id", "_text")
+    ahead = text.orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    back = text.orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    is_strong = F.col("kind") < STRONG
+    begun, to_come = F.max(F.when(is_strong, F.col("end"))).over(ahead), F.min(F.when(is_strong, F.col("start"))).over(back)
+    covered = (begun > F.col("start")) | (to_come < F.col("end"))
+    swept = parts.withColumn("_covered", F.coalesce(covered & (F.col("kind") >= STRONG), F.lit(False)))
+    return swept.where(~F.col("_covered")).drop("_covered")
+
+
 def scan_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """Per row <doc_id, found, strong>: structs <start, kind, end> in order, all and the strong ones.
 
@@ -118,18 +134,14 @@ def scan_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     parts = stored(find_parts(docs))
     strong = parts.where((F.col("kind") < STRONG) & F.col("fits"))
     linked = link_parts(parts, reach)
-    every = parts.where(F.col("kind").isNull()).unionByName(strong).unionByName(linked)
+    every = free_parts(parts.where(F.col("kind").isNull()).unionByName(strong).unionByName(linked))
     span = F.struct("start", "kind", "end")
     gathered = every.groupBy("doc_id", "_text").agg(
         F.max(F.when(F.col("kind").isNull(), F.col("rows"))).alias("_rows"),
         F.array_sort(F.collect_list(F.when(F.col("kind") < STRONG, span))).alias("strong"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") >= STRONG, span))).alias("_weak"),
-    )
-    # Strong spans of a text are few and in order; a weak one is dropped where it overlaps one.
-    free = F.filter("_weak", lambda w: ~F.exists("strong", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
-    return gathered.withColumn("found", F.array_sort(F.concat("strong", free))).select(
-        "doc_id", "_text", "found", "strong", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_rows"))).alias("_copy")
+        F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), span))).alias("found"),
     )
+    return gathered.select("doc_id", "_text", "found", "strong", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_rows"))).alias("_copy"))
 
 
 def spelled(spans: Column | str) -> Column:
