@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from .. import settings
 from ..operators import graph
+from ..session import stages, stored
+from ..sources import records
 
 _SCHEMA, _RDFS, _RDF = (settings.URI_PREFIXES[i][0] for i in (0, 1, 2))
 
@@ -37,3 +39,35 @@ def harvest_patterns(
     ]
     hits = graph.pattern_hits(triples, _RDF + "type", type_uri, patterns)
     return Harvest(hits, graph.harvest_stats(hits, len(patterns)), graph.harvested_uris(hits))
+
+
+def harvest_documents(triples: DataFrame, roots: DataFrame, path: str, batches: int = settings.HARVEST_BATCHES, **options) -> DataFrame:
+    """Appends the nested documents of all roots <uri> that the output lacks; gives the whole output <root, part, doc>.
+
+    Roots already in the JSON Lines at ``path`` are left out before anything
+    is folded, by the filter beside the output.  The others are dealt out to
+    ``batches`` by their hash, and each batch is written when it is folded: a
+    run that ends early loses one batch, and the next run goes on with the
+    rest, whatever the order or the growth of the root list.  Every batch
+    reads the triples once, so their number is a constant.  ``options`` are
+    those of :func:`graph.nested_documents`; null roots are left out.
+    """
+    spark = triples.sparkSession
+    wanted = roots.select(F.col("uri").alias("root")).where(F.col("root").isNotNull()).distinct()
+    with stages(spark):
+        todo = stored(records.unwritten(wanted, path, "root").withColumn("_batch", F.pmod(F.xxhash64("root"), F.lit(batches)).cast("int")))
+        left = sorted(r._batch for r in todo.select("_batch").distinct().collect())  # at most ``batches`` rows
+        facts = stored(triples.select("s", "p", "o", "ord")) if left else triples
+        for batch in left:
+            with stages(spark):
+                mine = todo.where(F.col("_batch") == batch).select("root")
+                docs = graph.nested_documents(facts, mine.withColumnRenamed("root", "uri"), derived=False, **options)
+                records.append_new(docs, mine, path, "root")
+    return spark.read.schema("root string, part string, doc string").json(path)
+
+
+def harvest(triples: DataFrame, type_uri: str, path: str, batches: int = settings.HARVEST_BATCHES, patterns: dict | None = None, **options) -> tuple[Harvest, DataFrame]:
+    """The whole flow, resumable: subjects found by the patterns, then the documents of those not written yet."""
+    triples = stored(triples.select("s", "p", "o", "ord"))
+    found = harvest_patterns(triples, type_uri, **(patterns or {}))
+    return found, harvest_documents(triples, found.uris, path, batches, **options)

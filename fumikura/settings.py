@@ -73,6 +73,7 @@ ROOT_SIZE = 2
 ROOT_EXAMPLES = 5
 PAGE_SIZE = 500
 REVIEW_SAMPLE = 300
+HARVEST_BATCHES = 4
 JUDGE_LIMIT = 4036
 QUEUE_LIMIT = 1000
 NO_PARENT = "(No 2-char parent)"

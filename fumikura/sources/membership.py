@@ -51,8 +51,8 @@ def write_filter(keys: DataFrame, path: str, key: str) -> DataFrame:
 
 
 def read_filter(spark: SparkSession, path: str) -> DataFrame | None:
-    """<block, w0..w7> of the filter beside an output, one row per block; None if there is none."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(path))
+    """<block, w0..w7> of the filter beside an output, one row per block; None if there is no whole one."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{_folder(path)}/_SUCCESS")
     if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
         return None
     rows = spark.read.schema(", ".join(["block bigint", *[f"{word} bigint" for word in _WORDS]])).parquet(_folder(path))

@@ -10,10 +10,13 @@ from .. import settings
 from ..functions import words as w
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header, all columns text; a byte order mark is skipped."""
+def read_table(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """CSV with a header, all columns text; a byte order mark is skipped.
+
+    ``multiline`` reads values with line breaks in them, one task per file.
+    """
     # Quotes are doubled in these files, not escaped by a backslash.
-    return spark.read.option("header", True).option("escape", '"').csv(path)
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", multiline).csv(path)
 
 
 def word_column(table: DataFrame) -> DataFrame:

@@ -137,30 +137,46 @@ def pending(rows: DataFrame, done: DataFrame, key: str = "uri") -> DataFrame:
     return rows.join(done.select(key).distinct(), key, "left_anti")
 
 
-def append_pending(rows: DataFrame, path: str, key: str = "uri") -> None:
-    """Append the rows an earlier run has not written (JSON Lines output).
+def unwritten(rows: DataFrame, path: str, key: str = "uri") -> DataFrame:
+    """The rows, stored, whose key the JSON Lines output at ``path`` does not hold yet.
 
-    Nothing is appended twice, whatever the order of the input.  A filter of
-    the keys written is kept in the hidden folder ``_keys`` of the output
+    A filter of the keys is kept in the hidden folder ``_keys`` of the output
     (:mod:`fumikura.sources.membership`).  Rows whose key it rules out are
     new; only for the others is the output itself read, its key column alone.
     """
     spark = rows.sparkSession
+    rows = stored(rows)
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if files.exists(target):
-        known = membership.read_filter(spark, path)
-        if known is None:  # written without a filter
-            known = membership.write_filter(written_keys(spark, path, key), path, key)
-        rows = stored(rows)
-        maybe = stored(membership.possible(rows.select(key).distinct(), known, key))
-        if not maybe.isEmpty():
-            repeated = maybe.join(written_keys(spark, path, key), key, "left_semi")
-            rows = lookup_join(rows, repeated, [key], "left_anti")
-    else:
-        rows = stored(rows)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        return rows
+    known = membership.read_filter(spark, path)
+    if known is None:  # written without a filter
+        known = membership.write_filter(written_keys(spark, path, key), path, key)
+    maybe = stored(membership.possible(rows.select(key).distinct(), known, key))
+    if maybe.isEmpty():
+        return rows
+    repeated = maybe.join(written_keys(spark, path, key), key, "left_semi")
+    return lookup_join(rows, repeated, [key], "left_anti")
+
+
+def append_new(rows: DataFrame, keys: DataFrame, path: str, key: str = "uri") -> None:
+    """Append rows that :func:`unwritten` let through; ``keys`` holds their keys.
+
+    The filter is written first: where a run ends in between it holds keys
+    that are not in the output, which cost an exact check and nothing else.
+    """
+    membership.write_filter(keys.select(key), path, key)
     write_jsonl(rows, path, mode="append")
-    membership.write_filter(rows.select(key), path, key)
+
+
+def append_pending(rows: DataFrame, path: str, key: str = "uri") -> None:
+    """Append the rows an earlier run has not written (JSON Lines output).
+
+    Nothing is appended twice, whatever the order of the input and wherever
+    an earlier run ended; see :func:`unwritten` and :func:`append_new`.
+    """
+    rows = unwritten(rows, path, key)
+    append_new(rows, rows, path, key)
 
 
 def written_keys(spark: SparkSession, path: str, key: str) -> DataFrame:

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fumikura.operators import graph, scale
-from fumikura.plans.harvest import harvest_patterns
+from fumikura.plans.harvest import harvest, harvest_documents, harvest_patterns
+from fumikura.sources import records
 from fumikura.sources.triples import binding_rows
 
 S = "http://schema.org/"
@@ -217,3 +218,49 @@ def test_pages_read_the_files_they_lie_in(spark):
         assert len(page.inputFiles()) <= 2
     assert [r.s for r in store.after("k00000", 6000).collect()] == [k for k in every if k > "k00000"]
     assert graph.page_store(hits.limit(0)).after(None, 5).count() == 0
+
+
+def test_harvest_goes_on_where_it_stopped(spark, rows, tmp_path, monkeypatch):
+    path, asked = str(tmp_path / "docs"), []
+    fold = graph.nested_documents
+
+    def failing(facts, uris, **options):
+        asked.append(sorted(r.uri for r in uris.collect()))
+        if len(asked) == 2:
+            raise RuntimeError("lost")
+        return fold(facts, uris, **options)
+
+    wanted = [f"http://r{i}" for i in range(12)] + ["http://x1", "http://x1", None]
+    facts = FACTS + [(f"http://r{i}", S + "name", f"n{i}") for i in range(10)]
+    monkeypatch.setattr(graph, "nested_documents", failing)
+    with pytest.raises(RuntimeError):
+        harvest_documents(triples(spark, facts), roots(spark, *wanted), path, batches=3)
+    assert rows(spark.read.json(path), "root") == [(u,) for u in asked[0]]  # the first batch is kept
+    whole = harvest_documents(triples(spark, facts), roots(spark, *reversed(wanted), "http://other"), path, batches=3)
+    assert not set(asked[0]) & {u for batch in asked[2:] for u in batch}  # and not folded again
+    plain = fold(triples(spark, facts), roots(spark, *sorted(set(filter(None, wanted))), "http://other"))
+    assert rows(whole, "root", "part", "doc") == rows(plain, "root", "part", "doc")
+    asked.clear()
+    assert harvest_documents(triples(spark, facts), roots(spark, *wanted), path).count() == whole.count() and not asked
+
+
+def test_harvest_flow_from_patterns(spark, rows, tmp_path):
+    facts = [("http://a", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "T"), ("http://a", S + "name", "楽譜"), ("http://b", S + "name", "楽譜")]
+    found, docs = harvest(triples(spark, facts), "T", str(tmp_path / "docs"))
+    assert rows(found.uris) == [("http://a",)] and [json.loads(r.doc)["schema:name"] for r in docs.collect()] == ["楽譜"]
+
+
+def test_a_run_that_ends_before_its_output_is_written_loses_no_key(spark, rows, tmp_path, monkeypatch):
+    path, write = str(tmp_path / "out"), records.write_jsonl
+    frame = spark.createDataFrame([("a",), ("b",)], "uri string")
+
+    def failing(*args, **options):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(records, "write_jsonl", failing)
+    with pytest.raises(RuntimeError):
+        records.append_pending(frame, path)
+    monkeypatch.setattr(records, "write_jsonl", write)
+    records.append_pending(frame, path)
+    records.append_pending(frame, path)
+    assert rows(spark.read.json(path), "uri") == [("a",), ("b",)]

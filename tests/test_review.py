@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from fumikura.functions import replies
 from fumikura.operators import judge, review, scale
-from fumikura.plans.curation import curate
+from fumikura.plans.curation import curate, final_filter, mine_and_curate
+from fumikura.sources import rankings
 from fumikura.sources.records import parse_records
 
 ACTIONS = ["TOGGLE_NG", "TOGGLE_OK", "NG", "OK", "RESET"]
@@ -200,3 +201,45 @@ def test_each_record_is_judged_once(spark, tmp_path):
     assert done.final.count() == 30 and done.sample.count() == 30 and done.judged.count() == 30
     assert len(open(path).read()) == 30
     assert done.final.where("not is_score").count() == 1
+
+
+def test_final_filter_writes_both_outputs_and_counts(spark, rows, tmp_path):
+    raw = [
+        '{"@id":"1","rdfs:label":"楽譜 花譜"}', '{"@id":"2",  "rdfs:label":"花譜,\\n\\"絵\\"","schema:about":["k1","k2"]}', '{"@id":"3","schema:name":"茶"}',
+        '{"@id":"4","exclusion_reason":"old","schema:about":{"@id":"http://k/茶道"}}', '{"@id":"5"}', "[1]", "broken",
+    ]
+    recs = parse_records(spark.createDataFrame([(r,) for r in raw], "raw string"))
+    drop = [f"none{i}" for i in range(240)] + ["花譜", "茶道"]
+    for name, words in (("list", drop), ("frame", spark.createDataFrame(list(enumerate(drop)), "ord bigint, word string"))):
+        kept, dropped = str(tmp_path / name / "kept"), str(tmp_path / name / "dropped")
+        assert final_filter(recs, ["楽譜"], words, kept, dropped) == {"kept": 3, "rescued": 1, "dropped": 2}
+        assert sorted(r.value for r in spark.read.text(kept).collect()) == sorted([raw[0], raw[2], raw[4]])
+        table = rankings.read_table(spark, dropped, multiline=True)
+        assert table.columns == ["exclusion_reason", "rdfs:label", "@id", "schema:about"]
+        assert [tuple(r) for r in table.orderBy("`@id`").collect()] == [
+            ("NG Hit: 花譜", '花譜,\n"絵"', "2", '["k1","k2"]'), ("NG Hit: 茶道", None, "4", '{"@id":"http://k/茶道"}')
+        ]
+
+
+def test_final_filter_of_nothing(spark, tmp_path):
+    recs = parse_records(spark.createDataFrame([], "raw string"))
+    assert final_filter(recs, [], ["x"], str(tmp_path / "k"), str(tmp_path / "d")) == {"kept": 0, "rescued": 0, "dropped": 0}
+    assert spark.read.text(str(tmp_path / "k")).isEmpty()
+
+
+def test_mined_list_feeds_the_cascade(spark, rows):
+    names = ["源氏家譜", "諸家譜", "平曲譜", "琴楽譜", "平家の系図", "絵本", "仮名譜"]
+    raw = [(i, str(i), f'{{"@id":"{i}","rdfs:label":"{n}"}}') for i, n in enumerate(names)]
+    records = parse_records(spark.createDataFrame(raw, "ord bigint, id string, raw string"))
+    decisions = spark.createDataFrame([], "id string, decision boolean")
+    done = mine_and_curate(records, ["絵本"], ["楽譜"], judge.keyword_scorer(["曲"], []), decisions)
+    # Endings with 家譜 are struck, 仮名譜 is excused, 系図 is added by hand; the list is in word order.
+    words = [r.word for r in done.drop.orderBy("ord").collect()]
+    assert words == sorted(words) and {"家譜", "諸家譜", "源氏家譜", "系図", "系譜"} <= set(words) and "名譜" in words and "仮名譜" not in words
+    assert rows(done.curation.split, "id", "verdict", "reason") == [
+        ("0", "ng", "NG: 家譜"), ("1", "ng", "NG: 家譜"), ("2", "gray", None), ("3", "ok", "OK: 楽譜"), ("4", "ng", "NG: 系図"), ("6", "ng", "NG: 名譜")
+    ]
+    assert rows(done.curation.judged, "id", "judgment") == [("2", True)]
+    # Only titles of the class are mined, all records are split.
+    some = mine_and_curate(records, [], [], judge.keyword_scorer([], []), decisions, wanted=F.col("ord") == 2)
+    assert rows(some.drop, "word") == [("系図",), ("系譜",)] and some.curation.split.count() == 7

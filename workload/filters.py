@@ -100,6 +100,41 @@ def keep_by_subject(spark, sf):
     return rows.select("doc_id", "verdict", "reason", "rescued")
 
 
+_ABOUT_SQL = base.ORACLES["c4_about"]
+
+
+@query(
+    "c4_final_outputs",
+    f"""SELECT CASE verdict WHEN 'keep' THEN 'kept' ELSE 'dropped' END AS output, 'doc/' || doc_id AS id, reason, lang || '|' || md5(text) AS line
+    FROM ({_ABOUT_SQL}) JOIN documents USING (doc_id)
+    UNION ALL SELECT 'counts', CAST(count_if(verdict = 'keep') AS VARCHAR), CAST(count_if(verdict = 'drop') AS VARCHAR),
+      CAST(count_if(rescued) AS VARCHAR) FROM ({_ABOUT_SQL})""",
+)
+def final_outputs(spark, sf):
+    """The final filter with both outputs and its counters; kept lines and the table of dropped ones are read back."""
+    kept, dropped = scratch_path(spark, "kept"), scratch_path(spark, "dropped")
+    counts = curation.final_filter(base.parsed(spark, sf), ["src11", "ment"], long_words(spark, sf), kept, dropped)
+    rows = records.read_records(spark, kept)
+    lang, text = _tongue_of("rec"), t.title_of_list("rec")
+    stay = rows.select(F.lit("kept").alias("output"), t.record_id("rec").alias("id"), F.lit(None).cast("string").alias("reason"), F.concat_ws("|", lang, F.md5(text)).alias("line"))
+    table_ = rankings.read_table(spark, dropped, multiline=True)
+    ids = {key: F.nullif(F.col(f"`{key}`"), F.lit("")) for key in ("@id", "id", "uri", "url") if key in table_.columns}
+    lang = F.coalesce(*[F.when(value.isNotNull(), F.lit(_TONGUES[key])) for key, value in ids.items()])
+    label = F.nullif(F.col("`rdfs:label`"), F.lit(""))
+    text = F.when(lang == "de", F.try_variant_get(F.try_parse_json(label), "$[0]", "string")).otherwise(F.coalesce(label, F.col("`schema:name`")))
+    gone = table_.select(F.lit("dropped"), F.coalesce(*ids.values()), "exclusion_reason", F.concat_ws("|", lang, F.md5(text)))
+    seen = [F.lit(str(counts[name])) for name in ("kept", "dropped", "rescued")]
+    return stay.unionAll(gone).unionAll(spark.range(1).select(F.lit("counts"), *seen))
+
+
+_TONGUES = {"@id": "en", "id": "fr", "uri": "de", "url": "es"}
+
+
+def _tongue_of(rec: str):
+    """The language that decided which key holds the id."""
+    return F.coalesce(*[F.when(F.try_variant_get(rec, f"$['{key}']", "string").isNotNull(), F.lit(tongue)) for key, tongue in _TONGUES.items()])
+
+
 @query(
     "c5_drop_only",
     f"""WITH h AS (SELECT doc_id AS id, {base.sql_first_hit('text', base.DROP)} AS hit FROM documents)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fumikura.operators import graph
+from fumikura.plans import harvest as harvesting
+from fumikura.session import scratch_path
 
 from . import base, joins
 from .base import HOME, ROOTS, TRIPLES, query
@@ -101,6 +103,15 @@ def _tree_sql() -> str:
     FROM roots LEFT JOIN top ON root = uri"""
 
 
+@query("h1_resumed", _tree_sql())
+def resumed(spark, sf):
+    """A harvest of the buyers, then one of the whole list that goes on from it; no root is written twice."""
+    path, triples = scratch_path(spark, "harvest"), base.triples(spark, sf)
+    roots = base.root_list(spark, sf)
+    harvesting.harvest_documents(triples, roots.where(F.contains("uri", F.lit("/customer/"))), path)
+    return harvesting.harvest_documents(triples, roots, path, batches=1)
+
+
 @query("h1_tree", _tree_sql())
 def tree(spark, sf):
     return graph.nested_documents(base.triples(spark, sf), base.root_list(spark, sf), depth=3)

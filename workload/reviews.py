@@ -9,7 +9,7 @@ from fumikura.operators import judge, mine, review
 from fumikura.plans import curation
 from fumikura.session import checkpointed
 
-from . import base, joins
+from . import base, filters, joins
 from .base import DECIDED, FOLDED, JUDGED, REC, SUBJECTS, SUFFIX, VOCAB, query, table
 from .joins import DUAL
 
@@ -161,6 +161,8 @@ _SPLIT_SQL = """SELECT id, CASE WHEN ng IS NOT NULL THEN 'ng' WHEN ok IS NOT NUL
 _SAMPLE_SQL = "SELECT id, label, judgment, reason FROM asked ORDER BY md5(id || '#0'), id LIMIT 300"
 _FINAL_SQL = """SELECT id, label, coalesce(decision, judgment, FALSE) AS is_score, reason AS llm_reason,
       decision IS NOT NULL AS verified_by_human FROM asked LEFT JOIN decided USING (id)"""
+_DROPS = f"""SELECT word FROM ({filters.NOISE_SQL} FROM (SELECT DISTINCT word FROM stop)) WHERE noise IS NOT NULL
+    UNION SELECT unnest(['系図', '系譜'])"""
 _WHOLE = _cascade_sql("TRUE")
 _CLASS = _cascade_sql("((coalesce(quality, 2) = 1 AND source = 'src7') OR (toxic IS NOT NULL AND contains(text, 'e')))")
 
@@ -190,3 +192,20 @@ def cascade(spark, sf):
 def class_cascade(spark, sf):
     """Records of one class only."""
     return cascade_result(spark, sf, _of_class()).final
+
+
+_MINED = f"""{SUFFIX}, {REC}, drops AS ({_DROPS}),
+    split AS (SELECT id, title, (SELECT min(word) FROM drops WHERE contains(title, word)) AS ng, {base.sql_first_hit('title', ['ment', '@'])} AS ok FROM rec
+      WHERE len(list_filter({base.sql_list(['thaner', 'osja'])}, lambda w: contains(title, w))) = 0)"""
+
+
+@query("h7_mined_split", f"WITH {_MINED} {_SPLIT_SQL}")
+def mined_split(spark, sf):
+    """The cascade with the drop list that its own titles give: compounds, endings, noise heuristic, split."""
+    rows = base.parsed(spark, sf).select(F.col("doc_id").alias("ord"), t.record_id("rec").alias("id"), "raw", "rec")
+    decisions = review.last_decisions(base.decision_log(spark, sf))
+    heuristic = {"noise": base.NOISE, "safe": base.SAFE, "exceptions": base.EXCUSED}
+    mined = curation.mine_and_curate(
+        rows, ["thaner", "osja"], ["ment", "@"], judge.keyword_scorer(YES, NO), decisions, sizes=base.SIZES, k=100, run=base.RUN, end=base.END, heuristic=heuristic
+    )
+    return mined.curation.split.select("id", "verdict", "reason")
