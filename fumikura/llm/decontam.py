@@ -8,19 +8,25 @@ reaches ``window`` ends a window; items shorter than the window count whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from hashlib import sha256
+from itertools import chain
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.scale import lookup_join
+from ..session import stored
 from .bytewords import small_batches
 from .rows import bound_batches, counted_chars, lean, packed, schema, unpacked
 
 WINDOW = 10
-#: Item words held by one automaton; more items go through several, one after another.
-BLOCK_WORDS = 2_000_000
+#: Item words held by one automaton, which takes about a kilobyte a word; more items go through several, one after another.
+BLOCK_WORDS = 200_000
 
 # ASCII letters in lower case, digits and bytes from 0x80 on make words; the rest parts them.
 WORD_BYTES = bytes(
@@ -29,6 +35,10 @@ WORD_BYTES = bytes(
 )
 
 
+#: The same words as a pattern over code points.
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
 def words_of(text: str) -> list[bytes]:
     return text.encode().translate(WORD_BYTES).split()
 
@@ -141,23 +151,20 @@ class Automaton:
         return spans, items, longest
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, list[bytes]]]]:
-    """Items as word lists, in blocks of bounded size.
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """Distinct items as word lists, in blocks of about BLOCK_WORDS words.
 
-    The test set comes to the driver one partition and one block at a time;
-    a block stays below BLOCK_WORDS words unless one item alone is longer.
+    Spark counts the words and deals the items out by their hash; one block
+    at a time comes to the driver.  An item is never cut.
     """
-    block: list[tuple[object, list[bytes]]] = []
-    size = 0
-    rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
-    for row in rows.toLocalIterator():
-        words = words_of(row.text)
-        if size and size + len(words) > BLOCK_WORDS:
-            yield block
-            block, size = [], 0
-        block.append((row.item_id, words))
-        size += len(words)
-    yield block
+    size = F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("name"), "text").distinct()
+    items = stored(items.withColumn("size", size).where("size > 0"))
+    total = items.agg(F.sum("size")).first()[0] or 0
+    count = max(1, -(-total // BLOCK_WORDS))
+    for number in range(count):
+        block = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(count)) == number)
+        yield [(row.name, words_of(row.text)) for row in block.select("name", "text").collect()]
 
 
 def find_overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -166,15 +173,17 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ke
     * ``items`` are the item ids as sorted strings, ``spans`` the word spans
       covered by windows, merged, end exclusive; ``longest`` is the longest run shared with an item.
     * Null or empty text, or text without a word: zero words, no hit.  Items
-      with null id, null text or no word take no part; repeated item ids count once.
+      with null text or no word take no part; repeated item ids count once.
+      Words of an item with null id are hit, but it is not among ``items``.
+    * An empty test set hits nothing.
     * One output row per input row; other columns are not read.
     """
-    held = _held(docs, benchmark, window)
+    read, measured = _matched(docs.select(*dict.fromkeys([*keep, "text"])), benchmark, window)
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            found = _found(batch.column("text"), held)
+            found = measured(batch)
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(c) for c in keep],
@@ -188,37 +197,84 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ke
                 names=[*keep, "n_words", "n_hit", "n_items", "items", "spans", "longest"],
             )
 
-    read = docs.select(*dict.fromkeys([*keep, "text"]))
     return read.mapInArrow(run, schema(docs, keep, "n_words bigint, n_hit bigint, n_items bigint, items array<string>, spans array<bigint>, longest bigint"))
 
 
-def _held(docs: DataFrame, benchmark: DataFrame, window: int) -> list:
-    """One broadcast per block of at most BLOCK_WORDS words; the name tells blocks apart in reused workers."""
-    bound_batches(docs.sparkSession)
-    context = docs.sparkSession.sparkContext
-    return [context.broadcast((uuid4().hex, window, block)) for block in _blocks(benchmark)]
+def _matched(rows: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, Callable[[pa.RecordBatch], list[list]]]:
+    """Rows <.., text>, and what tells the words, spans, item names and longest run of each row of a batch.
+
+    A test set of one block is broadcast and matched where the rows are read.
+    A larger one takes one pass over the texts per block, with the broadcast
+    of that block alone; what a pass finds is written under the digest of the
+    text, united over the blocks, and joined to the rows.
+    """
+    bound_batches(rows.sparkSession)
+    blocks = _blocks(benchmark)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        held = _broadcast(rows, window, first)
+        return rows, lambda batch: _found(batch.column("text"), _built(*held.value))
+    parts = [_found_in_block(rows, window, block) for block in chain((first, second), blocks)]
+    every = reduce(DataFrame.unionByName, parts).groupBy("_key")  # copies of a text have equal rows
+    united = every.agg(F.collect_set(F.struct("items", "spans")).alias("_parts"), F.max("longest").alias("_longest"))
+    keyed = rows.withColumn("_key", F.unhex(F.sha2("text", 256)))
+    return lookup_join(keyed, united, ["_key"], "left").drop("_key"), _united
+
+
+def _broadcast(rows: DataFrame, window: int, block: list[tuple[str | None, list[bytes]]]) -> Broadcast:
+    """A block under a name that tells blocks apart in reused workers."""
+    return rows.sparkSession.sparkContext.broadcast((uuid4().hex, window, block))
+
+
+def _found_in_block(rows: DataFrame, window: int, block: list[tuple[str | None, list[bytes]]]) -> DataFrame:
+    """<_key, items, spans, longest> of the texts that share a word with a block, stored."""
+    held = _broadcast(rows, window, block)
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            texts = batch.column("text")
+            found = [(i, r) for i, r in enumerate(_found(texts, _built(*held.value))) if r[3]]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([sha256(texts[i].as_py().encode()).digest() for i, _ in found], pa.binary()),
+                    pa.array([sorted(r[2]) for _, r in found], pa.list_(pa.string())),
+                    pa.array([[x for s in r[1] for x in s] for _, r in found], pa.list_(pa.int64())),
+                    pa.array([r[3] for _, r in found], pa.int64()),
+                ],
+                names=["_key", "items", "spans", "longest"],
+            )
+
+    done = stored(rows.select("text").mapInArrow(run, "_key binary, items array<string>, spans array<bigint>, longest bigint"))
+    held.destroy()
+    return done
+
 
+def _united(batch: pa.RecordBatch) -> list[list]:
+    """Words, spans, item names and longest run of every row, from what the blocks found."""
+    out = []
+    for text, parts, longest in zip(batch.column("text"), batch.column("_parts").to_pylist(), batch.column("_longest").to_pylist()):
+        flat = [part["spans"] for part in parts or ()]
+        spans = [span for run in flat for span in zip(run[::2], run[1::2])]
+        out.append([len(words_of(text.as_py() or "")), _merged(spans), {name for part in parts or () for name in part["items"]}, longest or 0])
+    return out
 
-def _found(texts: pa.Array, held: list) -> list[list]:
+
+def _found(texts: pa.Array, automaton: Automaton) -> list[list]:
     """Words, spans, item names and longest run of every text."""
-    found: list[list] = [[0, [], set(), 0] for _ in range(len(texts))]
-    for block in held:
-        automaton = _built(*block.value)
-        for i, row in enumerate(found):
-            words = words_of(texts[i].as_py() or "")
-            spans, items, longest = automaton.matches(words)
-            row[0] = len(words)
-            row[1] = _merged(row[1] + spans) if row[1] and spans else row[1] or spans
-            row[2].update(str(automaton.names[k]) for k in items)
-            row[3] = max(row[3], longest)
-    return found
+    out = []
+    for text in texts:
+        words = words_of(text.as_py() or "")
+        spans, items, longest = automaton.matches(words)
+        out.append([len(words), spans, {automaton.names[k] for k in items} - {None}, longest])
+    return out
 
 
 _BUILT: dict[str, Automaton] = {}
 
 
-def _built(name: str, window: int, block: list[tuple[object, list[bytes]]]) -> Automaton:
-    """Automaton of a block, made once per worker as long as no other was asked for."""
+def _built(name: str, window: int, block: list[tuple[str | None, list[bytes]]]) -> Automaton:
+    """Automaton of a block, made once per worker; a worker holds one at a time."""
     if name not in _BUILT:
         _BUILT.clear()
         _BUILT[name] = Automaton(block, window)
@@ -258,16 +314,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
 
     Spans of ``window`` words or more shared with an item are cut from the
     text and ``n_chars`` follows; a document of which more than ``coverage``
-    of the words were hit is dropped.  Documents without a hit stay as they are.
+    of the words were hit is dropped.  Documents without a hit, null and empty
+    texts among them, stay as they are; repeated rows are treated alike, each
+    on its own.  Items count as in :func:`find_overlap`.
     """
-    held = _held(docs, benchmark, window)
-    rows = packed(docs)
+    rows, measured = _matched(packed(docs), benchmark, window)
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             texts = batch.column("text")
-            found = _found(texts, held)
+            found = measured(batch)
             stay = pa.array([sum(b - a for a, b in r[1]) <= coverage * r[0] for r in found], pa.bool_())
             cut = [cut_spans(texts[i].as_py(), [x for s in r[1] for x in s]) if r[1] else texts[i].as_py() for i, r in enumerate(found)]
             whole = pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(cut, pa.string()), pa.array([bool(r[1]) for r in found], pa.bool_())], names=["_row", "text", "cut"])
