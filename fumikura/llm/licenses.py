@@ -23,6 +23,8 @@ GRAM = 3
 DRIFT = 4
 #: Share of a template's k-grams that must vote for a span.
 SHARE = 0.75
+#: Parts of a band of diagonals; more than any template has k-grams.
+UNIT = 1_000_000
 
 #: Characters of all templates up to which their k-grams are broadcast.
 BROADCAST_CHARS = 1 << 20
@@ -109,44 +111,59 @@ def scan_licenses(
     found = read.where(first | hit).select(
         "doc_id", "_text", "n_words", F.inline(F.concat(F.when(first, head).otherwise(none), *[F.coalesce(v, none) for v in votes]))
     )
-    lines = found.groupBy("doc_id", "_text", "n_words", "template", "diagonal", "k").agg(
-        F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last")
-    )
     key = ["doc_id", "_text", "n_words"]
-    by = Window.partitionBy(*key, "template").orderBy("diagonal")
+    hits = found.groupBy(*key, "template", "diagonal", "pos", "k").agg(F.count("*").alias("rows"))
     names = grams.select("template", "label", "base", F.col("votes").alias("full")).distinct()
-    lines = lines.join(near(names), "template", "left")
-    # Phrases stand by themselves; notices share a span with neighbouring diagonals.
-    apart = F.col("base") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > DRIFT, F.lit(True))
-    chained = lines.withColumn("_new", F.when(apart, 1).otherwise(0)).withColumn("_span", F.sum("_new").over(by))
-    rows = F.max(F.when(F.col("template").isNull(), F.col("votes"))).over(Window.partitionBy(*key))
-    merged = (
-        chained.withColumn("_rows", rows)
-        .groupBy(*key, "_rows", "template", "_span", "label", "base", "full")
-        .agg(
-            (F.sum("votes") / F.col("_rows")).alias("votes"),
-            F.min(F.when(F.col("base"), F.col("diagonal")).otherwise(F.col("first"))).alias("start"),
-            F.max(F.col("last") + F.col("k")).alias("end"),
-        )
-    )
-    score = F.least(F.col("votes") / F.col("full"), F.lit(1.0))
-    good = F.when(F.col("base"), F.col("votes") == F.col("full")).otherwise((score >= share) & (F.col("end") - F.col("start") <= 2 * (F.col("full") + GRAM)))
-    merged = merged.withColumn("_score", score).withColumn("_good", F.coalesce(good, F.lit(False)))
-    base = F.col("_good") & F.col("base")
-    span = F.struct("label", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), F.col("_score").alias("score"))
-    out = merged.groupBy(*key, "_rows").agg(
+    spans = _verified_spans(hits.join(near(names), "template", "left"), key, share)
+    base = F.col("base")
+    span = F.struct("label", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "score")
+    noticed = F.col("template").isNotNull()
+    out = spans.groupBy(*key).agg(
+        F.max(F.when(~noticed, F.col("rows"))).alias("_rows"),
         F.count(F.when(base, 1)).alias("n_base"),
         F.min(F.when(base, F.col("start"))).cast("bigint").alias("first_word"),
         F.max(F.when(base, F.col("start"))).cast("bigint").alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("_good"), F.col("label")))), ",").alias("labels"),
-        F.array_sort(F.collect_list(F.when(F.col("_good"), span))).alias("spans"),
-        F.coalesce(F.max(F.when(F.col("_good"), F.col("_score"))), F.lit(0.0)).alias("score"),
+        F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
+        F.array_sort(F.collect_list(F.when(noticed, span))).alias("spans"),
+        F.coalesce(F.max("score"), F.lit(0.0)).alias("score"),
     )
     names_out = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "spans", "score"]
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_rows")))).select(*names_out)
 
 
+def _verified_spans(hits: DataFrame, key: list[str], share: float) -> DataFrame:
+    """Spans <key, template, label, base, start, end, score> of the templates, and the rows whose template is null as they are.
+
+    A phrase stands by itself: each of its hits is a span.  The hits of a
+    notice on neighbouring diagonals form a chain.  From every diagonal of a
+    chain a band reaches as many diagonals on as the notice has k-grams, and is
+    worth the share of different template places that are hit in it, so a
+    place that votes again and again counts once and a long chain hides
+    nothing.  Bands worth ``share`` are spans, unless a better one (or an
+    equal one before) begins within a band's reach.
+    """
+    by = Window.partitionBy(*key, "template").orderBy("diagonal", "pos")
+    apart = F.col("base") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > DRIFT, F.lit(True))
+    chain = F.sum(F.when(apart, 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    # Diagonals in units of a band, so that one range holds for templates of all sizes.
+    place = F.call_function("div", (F.col("diagonal") + F.col("full")).cast("bigint") * UNIT, F.col("full"))
+    chained = hits.withColumn("_chain", chain).withColumn("_place", place)
+    along = Window.partitionBy(*key, "template", "_chain").orderBy("_place")
+    band = along.rangeBetween(0, UNIT)
+    valued = (
+        chained.withColumn("_places", F.size(F.collect_set(F.col("pos") - F.col("diagonal")).over(band)))
+        .withColumn("start", F.min("pos").over(band))
+        .withColumn("end", F.max(F.col("pos") + F.col("k")).over(band))
+        .dropDuplicates([*key, "template", "_chain", "diagonal"])
+        .withColumn("score", F.when(F.col("template").isNotNull(), F.col("_places") / F.col("full")))
+        .where(F.col("template").isNull() | (F.col("score") >= share))
+    )
+    order = F.struct("_places", -F.col("_place"))
+    best = F.max(order).over(along.rangeBetween(-UNIT, UNIT))
+    return valued.withColumn("_best", order == best).where(F.col("template").isNull() | F.col("_best")).drop("_best")
+
+
 def _rolled(word: Column, at: Column, k: int) -> Column:
     """Hash of the k words from one on; null where the text ends before."""
     hashed = F.xxhash64(word, *[F.get("_w", at + i) for i in range(1, k)])
