@@ -118,15 +118,16 @@ def find_repeats(docs: DataFrame, unit: str = "line", least_words: int = LEAST_W
     long = stored(long.withColumn("_half", half).join(often, "_half", "left_semi"))
     firsts = long.groupBy("digest").agg(F.min(order).alias("first"), F.max(order).alias("_last"))
     firsts = firsts.where(F.col("first") != F.col("_last")).select("digest", "first")
-    hit = long.join(firsts, "digest").where(order != F.col("first"))
+    hit = lookup_join(long, firsts, ["digest"], "inner").where(order != F.col("first"))
     gone = hit.select("doc_id", "_text", "unit", "start", "end", "words", F.col("first.doc_id").alias("kept_in")).distinct()
     if unit in LEVELS:  # units lie in each other or apart, so one is inside another if an earlier one ends no sooner
         before = Window.partitionBy("doc_id", "_text").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
         gone = gone.withColumn("_reach", F.max("end").over(before)).where(F.coalesce(F.col("end") > F.col("_reach"), F.lit(True))).drop("_reach")
     every = rows.groupBy("doc_id", "_text").agg(F.count(F.when(F.col("unit") == -1, 1)).alias("_rows"), F.count(F.when((F.col("unit") >= 0) & (F.col("level") == 0), 1)).alias("_units"))
-    every = every.select("doc_id", "_text", "_rows", "_units", F.lit(None).cast("struct<unit:int,start:int,end:int,kept_in:bigint>").alias("_gone"), F.lit(0).alias("_words"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    every = every.select("doc_id", "_text", "_rows", "_units", F.lit(None).cast(f"struct<unit:int,start:int,end:int,kept_in:{kind}>").alias("_gone"), F.lit(0).alias("_words"))
     zero = F.lit(0).cast("bigint")
-    out = gone.select("doc_id", "_text", zero.alias("_rows"), zero.alias("_units"), F.struct("unit", "start", "end", F.col("kept_in").cast("bigint").alias("kept_in")).alias("_gone"), F.col("words").alias("_words"))
+    out = gone.select("doc_id", "_text", zero.alias("_rows"), zero.alias("_units"), F.struct("unit", "start", "end", "kept_in").alias("_gone"), F.col("words").alias("_words"))
     totals = every.unionByName(out).groupBy("doc_id", "_text").agg(
         F.max("_rows").alias("_rows"),
         F.max("_units").alias("_units"),

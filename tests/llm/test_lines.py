@@ -126,3 +126,10 @@ def test_edges(edge_docs, no_docs):
     kept = lines.dedup(edge_docs)
     assert kept.columns == [*edge_docs.columns, "removed_units"] and kept.count() == edge_docs.count()
     assert lines.dedup(no_docs).count() == 0
+
+
+def test_ids_of_any_type(spark):
+    long = "one two three four five six seven"
+    frame = spark.createDataFrame([("b", long), ("a", f"{long}\nshort"), ("c", None)], "doc_id string, text string")
+    got = {r.doc_id: r.removed for r in lines.find_repeats(frame).collect()}
+    assert got["a"] == [] and got["c"] == [] and [(x.start, x.kept_in) for x in got["b"]] == [(0, "a")]
