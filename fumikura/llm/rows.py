@@ -3,29 +3,14 @@
 from __future__ import annotations
 
 import ctypes
-import re
 from collections.abc import Callable, Iterator, Sequence
 from functools import wraps
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DataType, StructType
 
-
-#: Bytes of one Arrow batch handed to a Python task, where the session allows more.
-BATCH_BYTES = 8 << 20
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches small, so that long texts do not fill a worker's memory.
-
-    This is a setting of the session, read when a query runs; a smaller one stays.
-    """
-    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)i?b?", spark.conf.get(_BATCH).strip().lower()).groups()
-    now = int(number) << 10 * " kmgtp".index(unit or " ")
-    if not 0 < now <= BATCH_BYTES:
-        spark.conf.set(_BATCH, str(BATCH_BYTES))
+from ..operators.scale import BATCH_BYTES, bound_batches  # noqa: F401  used by all operators here
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:

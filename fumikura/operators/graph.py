@@ -15,7 +15,7 @@ from .. import settings
 from ..functions.uris import is_subnode, shorten
 from ..functions.variants import json_string
 from ..session import Buckets, scratch_path, stored
-from .scale import lookup_join, with_dense_rank
+from .scale import dealt, lookup_join, with_dense_rank
 
 GROUP_ROWS = 100_000  # most values that go into one array or document
 _HEAD = 64  # most characters of a root by which objects are told apart roughly
@@ -148,9 +148,14 @@ def _paged(triples: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
 
     Pages count positions in the order of ``ord``, so a page holds ``most``
     rows whatever the gaps in ``ord``; those of a large key start at 1.  Only
-    rows of large keys are ranked: a range sort and one offset per key.
+    rows of large keys are ranked: a range sort and one offset per key.  Large
+    keys are looked for by a hash, which is narrow; rows of those alone are
+    counted by key.
     """
-    sizes = stored(triples.groupBy(*keys).agg(F.count("*").alias("total")).where(F.col("total") > most))
+    coded = triples.select(*keys, F.xxhash64(*keys).alias("_code"))
+    heavy = stored(coded.groupBy("_code").agg(F.count("*").alias("_rows")).where(F.col("_rows") > most).select("_code"))
+    counted = lookup_join(coded, heavy, ["_code"], "left_semi", derived=False).groupBy(*keys).agg(F.count("*").alias("total"))
+    sizes = heavy if heavy.isEmpty() else stored(counted.where(F.col("total") > most))
     if sizes.isEmpty():
         return triples.withColumn("total", F.lit(None).cast("bigint")).withColumn("page", F.lit(0).cast("bigint"))
     tagged = lookup_join(triples, sizes, keys, "left", derived=False)
@@ -172,7 +177,9 @@ def grouped_objects(triples: DataFrame, most: int = GROUP_ROWS) -> DataFrame:
     the whole list.
     """
     listed = F.array_sort(F.collect_list(F.struct("ord", "o")))
-    pages = _paged(triples, ["s", "p"], most).groupBy("s", "p", "page").agg(
+    keys = ["s", "p", "page"]
+    rows = _paged(triples, ["s", "p"], most).select(*keys, "ord", "o", "total")
+    pages = dealt(rows, keys, triples.count()).groupBy(*keys).agg(
         F.max("total").alias("_total"), F.transform(listed, lambda x: x["o"]).alias("objects")
     )
     total = F.coalesce("_total", F.size("objects").cast("bigint"))
@@ -395,13 +402,15 @@ def frontier(
     node.  A round takes the nodes of the round before, follows their links,
     leaves out by one anti join all that the table holds, and appends the rest;
     so its plan is the same at any depth, and the table is never shuffled.
+    Triples and roots are written first, as all of them are read several times.
 
     With ``paths`` there is one row per way to a node that visits no node
     twice, and a column ``path``; their number can grow with the factorial of
     the nodes that link each other.
     """
     spark = triples.sparkSession
-    subjects = triples.select(F.col("s").alias("node")).distinct()
+    triples, roots = stored(triples.select("s", "o")), stored(roots.select("uri").distinct())
+    subjects = stored(triples.select(F.col("s").alias("node")).distinct())
     first = roots.select(F.col("uri").alias("node")).distinct().join(subjects, "node", "left_semi")
     columns = ["root", "node", *(["path"] if paths else [])]
     level = first.select(F.col("node").alias("root"), "node", F.array("node").alias("path")).select(*columns)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import stored
 
@@ -13,6 +14,21 @@ _PRESHUFFLE_LIMIT = 1000
 _SALTS = 32
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
+TASK_ROWS = 500_000  # rows that one task gathers into arrays
+#: Bytes of one Arrow batch handed to a Python task, where the session allows more.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches small, so that long texts do not fill a worker's memory.
+
+    This is a setting of the session, read when a query runs; a smaller one stays.
+    """
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)i?b?", spark.conf.get(_BATCH).strip().lower()).groups()
+    now = int(number) << 10 * " kmgtp".index(unit or " ")
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
@@ -25,6 +41,17 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
     return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def dealt(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """Deals ``rows`` rows out by their keys, before arrays are gathered by these.
+
+    The number of partitions grows with the rows, so a task holds about
+    TASK_ROWS of them whatever the input is; and the task that reads them does
+    not gather arrays of its own first, which saves nothing where groups are small.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(parts, -(-rows // TASK_ROWS)), *keys)
+
+
 def pinned(df: DataFrame, **columns: Column) -> DataFrame:
     """Add costly columns that must be computed once per row.
 

@@ -264,3 +264,12 @@ def test_a_run_that_ends_before_its_output_is_written_loses_no_key(spark, rows,
     records.append_pending(frame, path)
     records.append_pending(frame, path)
     assert rows(spark.read.json(path), "uri") == [("a",), ("b",)]
+
+
+def test_groups_are_dealt_out_by_the_number_of_rows(spark, monkeypatch):
+    """A task gathers so many rows, whatever the number of shuffle partitions."""
+    monkeypatch.setattr(scale, "TASK_ROWS", 2)
+    facts = spark.createDataFrame([(f"s{i}", "p", f"o{i}", i) for i in range(20)], "s string, p string, o string, ord bigint")
+    groups = graph.grouped_objects(facts)
+    assert groups.rdd.getNumPartitions() == 10
+    assert sorted((r.s, r.objects) for r in groups.collect()) == sorted((f"s{i}", [f"o{i}"]) for i in range(20))

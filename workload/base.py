@@ -320,7 +320,7 @@ def triples(spark, sf) -> DataFrame:
             f"named_struct('s', {s}, 'p', '{p}', 'o', {o}, 'ord', {_ord(key, no, k)})"
             for k, (s, p, o) in enumerate(facts)
         )
-        part = table(spark, sf, name).selectExpr(f"inline(array({rows}))")
+        part = spread(table(spark, sf, name), key).selectExpr(f"inline(array({rows}))")
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -334,7 +334,7 @@ TRIPLES = "triples AS (\n  " + "\n  UNION ALL ".join(
 
 def root_list(spark, sf) -> DataFrame:
     """<uri>: every customer that ever ordered, and every part, which has no triples."""
-    buyers = table(spark, sf, "orders").select(
+    buyers = spread(table(spark, sf, "orders").select("o_custkey"), "o_custkey").select(
         F.concat(F.lit(HOME + "customer/"), F.col("o_custkey").cast("string")).alias("uri")
     )
     missing = table(spark, sf, "part").select(
