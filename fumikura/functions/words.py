@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 from .. import settings
@@ -27,30 +32,40 @@ CHUNK = 64
 def ngrams(text: Column | str, n: int) -> Column:
     """Overlapping character n-grams in text order; none if the text is short.
 
-    The text is cut into short chunks first, so the cost stays linear in its
+    Texts are cut a batch at a time in arrays, so the cost is linear in their
     length.  Counting goes through ``operators.mine.gram_counts`` instead.
     """
 
-    def of_body(body: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.length(body) - (n - 1))
-        return F.when(
-            F.length(body) >= n, F.transform(starts, lambda i: F.substring(body, i, F.lit(n)))
-        ).otherwise(F.array().cast("array<string>"))
-
-    def of_chunks(chunks: Column) -> Column:
-        def of_chunk(chunk: Column, i: Column) -> Column:
-            ahead = F.coalesce(F.left(F.get(chunks, i + 1), F.lit(n - 1)), F.lit(""))
-            return _with(F.concat(chunk, ahead), of_body)
-
-        return F.flatten(F.transform(chunks, of_chunk))
-
-    # A chunk is at least as long as a gram, so the next chunk holds all that is looked ahead to.
-    return _with(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{max(CHUNK, n)}}}"), F.lit(0)), of_chunks)
-
-
-def _with(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, also inside lambdas."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    @F.arrow_udf("array<string>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield _ngrams(texts, n)
+
+    return cut(text)
+
+
+def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of an array of texts, where each text begins and the last ends, and where characters begin."""
+    texts = pa.concat_arrays([pc.fill_null(texts, "").cast(pa.large_string())])
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0]:at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw, at - at[0], np.flatnonzero((raw & 0xC0) != 0x80)
+
+
+def _ngrams(texts: pa.Array, n: int) -> pa.Array:
+    raw, at, starts = utf8(texts)
+    first = np.searchsorted(starts, at)  # number of characters before each text
+    count = np.maximum(np.diff(first) - (n - 1), 0)
+    lists = np.concatenate([[0], np.cumsum(count)])
+    begin = np.arange(lists[-1]) + np.repeat(first[:-1] - lists[:-1], count)
+    ends = np.append(starts, len(raw))
+    size = ends[begin + n] - ends[begin]
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    out = raw[np.arange(offsets[-1]) + np.repeat(ends[begin] - offsets[:-1], size)]
+    grams = pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)])
+    found = pa.LargeListArray.from_arrays(pa.array(lists, pa.int64()), grams, mask=texts.is_null())
+    return found.cast(pa.list_(pa.string()))
 
 
 def compounds(

@@ -6,13 +6,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import settings
 from ..functions import words as w
 from ..functions.variants import as_list, field, is_json_object, is_kind
 from ..session import checkpointed, stored
-from .scale import lookup_join, pinned, top_per_group, top_rows, with_dense_rank
+from .scale import bound_batches, lookup_join, pinned, top_per_group, top_rows, with_dense_rank
 
 INLINE_GRAMS = 2_000  # grams tested one by one inside an expression
 SPACING = 1 << 24  # room for character positions between two record ordinals
@@ -165,8 +167,9 @@ def frequent_grams(
     A threshold algorithm, so that rare grams, which are nearly all of them,
     never leave the part of the input they were counted in:
 
-    1. The input is dealt out in parts by chunks of text.  Every part counts
-       its grams by itself and hands on its first ``listed`` (4 * ``k``) per size.
+    1. The input is dealt out by chunks of text.  A task counts PART_CHARS
+       characters at a time, a part, by itself and hands on the first
+       ``listed`` (4 * ``k``) grams per size.
     2. The sums over the lists give a lower bound of the k-th largest count.
        In a part that does not list it, a gram has at most the least count
        listed there; grams that cannot reach the bound even so drop out.
@@ -177,19 +180,18 @@ def frequent_grams(
     Equal counts are ranked by first position, then by gram.  Null and empty
     titles have no gram; fewer than ``k`` grams of a size give them all.
     """
-    parts = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     listed = 4 * k if listed is None else listed
     base = _base(titles, ord_col, spacing)
     width = max(sizes)
     chunks = _chunks(titles, width, title, [ord_col], symbols)
-    dealt = chunks.withColumn("_in", F.pmod(F.xxhash64(ord_col, "_first"), F.lit(parts)).cast("int")).repartitionById(parts, "_in")
-    wins = _windows(dealt, width, ["_in", ord_col]).select("_in", "win", _place(ord_col, F.col("pos"), spacing, base).alias("at"))
-    # Aggregations and lists stay in the task of their part: the rows are partitioned by it already.
-    counted = wins.groupBy("_in", "win").agg(F.count("*").alias("c"), F.min("at").alias("at"))
-    heads = counted.select("_in", "c", "at", _heads(sizes)).where(F.length("gram") == F.col("n"))
-    local = heads.groupBy("_in", "n", "gram").agg(F.sum("c").alias("cnt"), F.min("at").alias("at"))
-    ranked = top_per_group(local.where(F.col("cnt") > 1), ["_in", "n"], [F.desc("cnt")], listed)
-    lists = stored(ranked)
+    dealt = chunks.select(F.col(ord_col).alias("_ord"), "_first", "_part.size", "_part.body").repartition(tasks, F.xxhash64("_ord", "_first"))
+    bound_batches(titles.sparkSession)
+    order = dealt.schema["_ord"].dataType.simpleString()
+    found = dealt.mapInArrow(_part_lists(sizes, listed), f"_in bigint, n int, gram string, cnt bigint, rank bigint, _ord {order}, _pos bigint")
+    every = stored(found.withColumn("at", _place("_ord", F.col("_pos"), spacing, base)).drop("_ord", "_pos"))
+    lists = every.where(F.col("n") > 0)
+    parts = every.where(F.col("n") == 0).count()  # one row per part
 
     # What is not listed: at most the least count of a full list, or one where all repeated grams are listed.
     full = lists.where(F.col("rank") == listed).select("_in", "n", F.col("cnt").alias("_least"))  # one row per part and size
@@ -220,6 +222,70 @@ def frequent_grams(
     return top_grams(exact.select("n", "gram", "cnt", _first_pos(F.col("at"), spacing, base).alias("first_pos")), k)
 
 
+#: Characters whose grams are counted together.
+PART_CHARS = 1 << 21
+
+
+def _part_lists(sizes: Sequence[int], listed: int):
+    """For mapInArrow over chunks <_ord, _first, size, body>: of every part a row with n = 0 and the lists of its grams."""
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+        held, chars = [], 0
+        for batch in batches:
+            held.append(batch)
+            chars += pc.sum(batch.column("size")).as_py() or 0
+            if chars >= PART_CHARS:
+                yield _part_list(pa.Table.from_batches(held), sizes, listed, number)
+                held, chars, number = [], 0, number + 1
+        if chars:
+            yield _part_list(pa.Table.from_batches(held), sizes, listed, number)
+
+    return lists
+
+
+def _part_list(chunks: pa.Table, sizes: Sequence[int], listed: int, number: int) -> pa.RecordBatch:
+    """The ``listed`` most frequent grams per size that repeat in the chunks, each with its first place."""
+    chunks = chunks.sort_by([("_ord", "ascending"), ("_first", "ascending")])  # nulls come last
+    ords, width = chunks.column("_ord").combine_chunks(), max(sizes)
+    bodies, length = chunks.column("body").to_pylist(), chunks.column("size").to_numpy()
+    text = "".join(bodies)
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    long = np.fromiter(map(len, bodies), np.int64, len(bodies))
+    row = np.repeat(np.arange(len(long)), long)
+    inside = np.arange(len(codes)) - np.repeat(np.cumsum(long) - long, long)
+    # Characters are numbered from 1; rows stand apart by as many zeros as a window reaches.
+    seen = np.flatnonzero(np.bincount(codes, minlength=1))
+    ids = np.zeros(len(codes) + width * len(long), np.int64)
+    ids[np.arange(len(codes)) + row * width] = np.searchsorted(seen, codes) + 1
+    at = np.flatnonzero(inside < length[row])
+    pos, which = chunks.column("_first").to_numpy()[row[at]] + inside[at], row[at]
+    same = pc.rank(ords, "ascending", tiebreaker="min").to_numpy().astype(np.int64)[which]
+    if (np.diff(same) == 0)[np.diff(pos) < 0].any():  # texts with the same ordinal
+        order = np.lexsort((pos, same))
+        at, pos, which = at[order], pos[order], which[order]
+    place = at + row[at] * width
+    key, span = np.zeros(len(at), np.int64), 1
+    out = [(number, 0, None, 0, 0, None, 0)]
+    for n in range(1, width + 1):
+        if span * (len(seen) + 1) >= 1 << 62:
+            known, key = np.unique(key, return_inverse=True)
+            span = len(known)
+        last = ids[place + n - 1]
+        key, span = key * (len(seen) + 1) + last, span * (len(seen) + 1)
+        if n in sizes:
+            whole = np.flatnonzero(last)
+            _, first, count = np.unique(key[whole], return_index=True, return_counts=True)
+            best = np.flatnonzero(count > 1)
+            best = best[np.argsort(-count[best], kind="stable")[:listed]]
+            for rank, i in enumerate(best.tolist(), 1):
+                f = whole[first[i]]
+                out.append((number, n, text[at[f]:at[f] + n], int(count[i]), rank, ords[which[f]].as_py(), int(pos[f])))
+    kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), ords.type, pa.int64())
+    arrays = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays(arrays, names=["_in", "n", "gram", "cnt", "rank", "_ord", "_pos"])
+
+
 class _Firsts:
     """Of every gram the first ``limit`` distinct titles met so far: at most grams * limit entries.
 
