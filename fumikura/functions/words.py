@@ -32,16 +32,26 @@ CHUNK = 64
 def ngrams(text: Column | str, n: int) -> Column:
     """Overlapping character n-grams in text order; none if the text is short.
 
-    Texts are cut a batch at a time in arrays, so the cost is linear in their
-    length.  Counting goes through ``operators.mine.gram_counts`` instead.
+    One pass of a pattern that looks ahead to ``n`` characters and moves on by
+    one, so the cost is linear in the length of the text.  Counting goes
+    through ``operators.mine.gram_counts`` instead.
     """
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
 
-    @F.arrow_udf("array<string>")
-    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield _ngrams(texts, n)
 
-    return cut(text)
+#: Bytes of texts that are looked at together: their arrays stay in the processor's cache.
+SLICE = 1 << 18
+
+
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Where slices of about SLICE bytes begin, and their number of texts; a longer text is one of its own."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = total[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(total, before + SLICE, "right")))
+        yield at, end - at
+        at = end
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,21 +63,6 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, at - at[0], np.flatnonzero((raw & 0xC0) != 0x80)
 
 
-def _ngrams(texts: pa.Array, n: int) -> pa.Array:
-    raw, at, starts = utf8(texts)
-    first = np.searchsorted(starts, at)  # number of characters before each text
-    count = np.maximum(np.diff(first) - (n - 1), 0)
-    lists = np.concatenate([[0], np.cumsum(count)])
-    begin = np.arange(lists[-1]) + np.repeat(first[:-1] - lists[:-1], count)
-    ends = np.append(starts, len(raw))
-    size = ends[begin + n] - ends[begin]
-    offsets = np.concatenate([[0], np.cumsum(size)])
-    out = raw[np.arange(offsets[-1]) + np.repeat(ends[begin] - offsets[:-1], size)]
-    grams = pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)])
-    found = pa.LargeListArray.from_arrays(pa.array(lists, pa.int64()), grams, mask=texts.is_null())
-    return found.cast(pa.list_(pa.string()))
-
-
 def compounds(
     text: Column | str, run: str = settings.COMPOUND_RUN, end: str = settings.COMPOUND_END
 ) -> Column:
