@@ -6,6 +6,7 @@ import os
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -14,7 +15,7 @@ from ..functions import words as w
 from ..functions.words import _col
 from ..session import checkpointed, stored
 from .mine import text_chunks, text_windows
-from .scale import is_small, lookup_join
+from .scale import bound_batches, is_small, lookup_join
 
 # Above this many words a title is cut into grams and joined instead of being
 # tested word by word (see README for the measurement).
@@ -103,19 +104,70 @@ def rarest_anchors(titles: DataFrame, words: DataFrame, title: str = "title", sh
 def _anchored(texts: DataFrame, anchors: DataFrame, size: int, longest: int) -> DataFrame:
     """<_title_key, pos, _word_ord> of all places of all words; the words are few enough to be at hand in every task.
 
-    A chunk comes with as much text on both sides as the longest word needs.
-    The joined rows are looked up by the anchor alone, and only for one that is
-    there is the word compared with what stands round it.
+    Places where no anchor can stand are left out in arrays (:func:`_may_begin`)
+    before there is a row for each.  A place comes with as much text on both
+    sides as the longest word needs.  The joined rows are looked up by the
+    anchor alone, and only for one that is there is the word compared with what
+    stands round it.
     """
-    around = longest - 1
-    chunks = text_chunks(texts, longest, "_title", ["_title_key"], before=around)
-    starts = chunks.select("_title_key", "first", "body", "behind", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("_at"))
-    # Never null, so that it is not computed a second time to be tested for that.
-    keyed = starts.withColumn("anchor", F.coalesce(F.substring("body", F.col("behind") + F.col("_at") + 1, F.lit(size)), F.lit("")))
+    bound_batches(texts.sparkSession)
+    listed = [r.anchor for r in anchors.select("anchor").distinct().collect()]  # few enough to be broadcast
+    kind = "_title_key binary, _at bigint, behind int, body string, anchor string"
+    keyed = texts.select("_title_key", "_title").mapInArrow(_may_begin(listed, size, longest - 1), kind)
     met = keyed.join(F.broadcast(anchors), "anchor")
-    start = F.col("behind") + F.col("_at") - F.col("offset")
+    start = F.col("behind") - F.col("offset")
     right = met.where((start >= 0) & (F.substring(F.col("body"), start + 1, F.col("size")) == F.col("word")))
-    return right.select("_title_key", (F.col("first") + F.col("_at") - F.col("offset")).alias("pos"), "_word_ord")
+    return right.select("_title_key", (F.col("_at") - F.col("offset")).alias("pos"), "_word_ord")
+
+
+#: Places whose surroundings are written out together.
+PLACES = 1 << 14
+
+
+def _may_begin(anchors: Sequence[str], size: int, around: int):
+    """For mapInArrow over <_title_key, _title>: places where an anchor may begin, each with the text ``around`` it.
+
+    The first bytes of all anchors, as one number, are looked for in a table of
+    hashes and then in the sorted list of these numbers.
+    """
+    coded = [anchor.encode() for anchor in anchors]
+    head = min(8, *map(len, coded)) if len(coded) > 1 else min(8, len(coded[0]))
+    heads = np.unique(np.array([int.from_bytes(c[:head], "little") for c in coded], np.uint64))
+    mix, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(44)
+    table = np.zeros(1 << 20, bool)
+    table[heads * mix >> shift] = True
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, texts in (batch.slice(*part).columns for batch in batches for part in w.slices(batch.column(1))):
+            raw, at, starts = w.utf8(texts)
+            if len(raw) < head:
+                continue
+            number = np.zeros(len(raw) - head + 1, np.uint64)
+            for i in range(head):
+                number |= raw[i:len(raw) - head + 1 + i].astype(np.uint64) << np.uint64(8 * i)
+            maybe = np.flatnonzero(table[number * mix >> shift])
+            maybe = maybe[heads[np.minimum(np.searchsorted(heads, number[maybe]), len(heads) - 1)] == number[maybe]]
+            row = np.searchsorted(at, maybe, "right") - 1
+            maybe, row = maybe[maybe + head <= at[row + 1]], row[maybe + head <= at[row + 1]]
+            place, first = np.searchsorted(starts, maybe), np.searchsorted(starts, at)  # in characters of the batch
+            ends = np.append(starts, len(raw))
+            low, high = np.maximum(place - around, first[row]), np.minimum(place + around + size, first[row + 1])
+            stop = np.minimum(place + size, first[row + 1])
+            blob = raw.tobytes()
+            for i in range(0, len(maybe), PLACES):
+                part = slice(i, i + PLACES)
+                body = [blob[a:b] for a, b in zip(ends[low[part]].tolist(), ends[high[part]].tolist())]
+                piece = [blob[a:b] for a, b in zip(maybe[part].tolist(), ends[stop[part]].tolist())]
+                columns = [
+                    keys.take(pa.array(row[part])),
+                    pa.array(place[part] - first[row[part]], pa.int64()),
+                    pa.array((place - low)[part], pa.int32()),
+                    pa.array(body, pa.binary()).cast(pa.string()),
+                    pa.array(piece, pa.binary()).cast(pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["_title_key", "_at", "behind", "body", "anchor"])
+
+    return places
 
 
 def _anchored_by_chunk(texts: DataFrame, anchors: DataFrame, size: int, longest: int) -> DataFrame:

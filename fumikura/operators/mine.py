@@ -223,7 +223,7 @@ def frequent_grams(
 
 
 #: Characters whose grams are counted together.
-PART_CHARS = 1 << 21
+PART_CHARS = 1 << 20
 
 
 def _part_lists(sizes: Sequence[int], listed: int):
@@ -265,21 +265,30 @@ def _part_list(chunks: pa.Table, sizes: Sequence[int], listed: int, number: int)
         order = np.lexsort((pos, same))
         at, pos, which = at[order], pos[order], which[order]
     place = at + row[at] * width
+    out, wins = [(number, 0, None, 0, 0, None, 0)], None
     key, span = np.zeros(len(at), np.int64), 1
-    out = [(number, 0, None, 0, 0, None, 0)]
+    if (len(seen) + 1) ** width < 1 << 62:
+        # Shorter grams begin longer windows, which are sorted: one sort serves all sizes.
+        for j in range(width):
+            key = key * (len(seen) + 1) + ids[place + j]
+        wins, starts, times = np.unique(key, return_index=True, return_counts=True)
     for n in range(1, width + 1):
-        if span * (len(seen) + 1) >= 1 << 62:
-            known, key = np.unique(key, return_inverse=True)
-            span = len(known)
-        last = ids[place + n - 1]
-        key, span = key * (len(seen) + 1) + last, span * (len(seen) + 1)
+        if wins is None:
+            if span * (len(seen) + 1) >= 1 << 62:
+                known, key = np.unique(key, return_inverse=True)
+                span = len(known)
+            key, span = key * (len(seen) + 1) + ids[place + n - 1], span * (len(seen) + 1)
         if n in sizes:
-            whole = np.flatnonzero(last)
-            _, first, count = np.unique(key[whole], return_index=True, return_counts=True)
-            best = np.flatnonzero(count > 1)
+            if wins is None:
+                _, first, count = np.unique(key, return_index=True, return_counts=True)
+            else:
+                heads = wins // (len(seen) + 1) ** (width - n)
+                new = np.flatnonzero(np.diff(heads, prepend=-1))
+                first, count = np.minimum.reduceat(starts, new), np.add.reduceat(times, new)
+            best = np.flatnonzero((count > 1) & (ids[place[first] + n - 1] > 0))  # none that the text ends in
             best = best[np.argsort(-count[best], kind="stable")[:listed]]
             for rank, i in enumerate(best.tolist(), 1):
-                f = whole[first[i]]
+                f = first[i]
                 out.append((number, n, text[at[f]:at[f] + n], int(count[i]), rank, ords[which[f]].as_py(), int(pos[f])))
     kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), ords.type, pa.int64())
     arrays = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]
