@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from fumikura import settings
@@ -239,3 +240,10 @@ def test_covering_parent_over_ranges(spark, rows, monkeypatch, how, sample):
             want.append((x, min(found, key=lambda c: (-len(c), c))))
     assert rows(match.covering_parent(frame(every), frame(picked), how)) == sorted(want, key=repr)
     assert match.covering_parent(frame(every), frame([]), how).count() == 0
+
+
+def test_places_of_anchors_are_found_without_a_row_for_each_character():
+    keys, texts = pa.array([b"1", b"2", b"3"], pa.binary()), pa.array(["éxabcd", None, "abc ab"], pa.string())
+    batch = pa.RecordBatch.from_arrays([keys, texts], names=["_title_key", "_title"])
+    got = [tuple(r.values()) for out in match._may_begin(["abc", "bcd"], 3, 2)(iter([batch])) for r in out.to_pylist()]
+    assert got == [(b"1", 2, 2, "éxabcd", "abc"), (b"1", 3, 2, "xabcd", "bcd"), (b"3", 0, 0, "abc a", "abc")]

@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from fumikura.operators import mine, scale
@@ -207,3 +208,21 @@ def test_stage_tables_go_with_their_owner(spark):
         assert os.listdir(folder.removeprefix("file:"))
     assert not os.path.exists(folder.removeprefix("file:")) and spark.read.parquet(out).count() == 6
     assert scratch_path(spark, "x").rsplit("/", 1)[0] == out.rsplit("/", 1)[0]
+
+
+def test_a_part_lists_its_repeated_grams_with_their_first_places():
+    """Equal ordinals, characters beyond one byte and a null ordinal; the gram a text ends in is none."""
+    rows = [(7, 0, 3, "éab"), (7, 0, 4, "xabc"), (None, 0, 2, "ab")]
+    names, kinds = ["_ord", "_first", "size", "body"], [pa.int64(), pa.int64(), pa.int32(), pa.string()]
+    chunks = pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
+    got = mine._part_list(chunks, (1, 2), 5, 3).to_pylist()
+    assert [tuple(r.values()) for r in got if r["n"] == 2] == [(3, 2, "ab", 3, 1, 7, 1)]
+    assert [(r["gram"], r["cnt"], r["_pos"]) for r in got if r["n"] == 1] == [("a", 3, 1), ("b", 3, 2)]
+    assert sum(r["n"] == 0 for r in got) == 1
+
+
+def test_a_part_with_a_large_alphabet_gives_the_same():
+    text = "".join(chr(0x4E00 + i % 9000) for i in range(20_000))
+    chunks = pa.table({"_ord": pa.array([1], pa.int64()), "_first": pa.array([0], pa.int64()), "size": pa.array([len(text)], pa.int32()), "body": [text]})
+    got = [r for r in mine._part_list(chunks, (5,), 3, 0).to_pylist() if r["n"]]
+    assert [(r["gram"], r["cnt"], r["_pos"]) for r in got][0][1] == 3 and all(text.startswith(r["gram"], r["_pos"]) for r in got)
