@@ -179,7 +179,9 @@ def grouped_objects(triples: DataFrame, most: int = GROUP_ROWS) -> DataFrame:
     listed = F.array_sort(F.collect_list(F.struct("ord", "o")))
     keys = ["s", "p", "page"]
     rows = _paged(triples, ["s", "p"], most).select(*keys, "ord", "o", "total")
-    pages = dealt(rows, keys, triples.count()).groupBy(*keys).agg(
+    # A page number that is the same for all is no key to Spark, which would deal the rows out once more.
+    by = keys[:2] if rows.where(F.col("page") > 0).isEmpty() else keys
+    pages = dealt(rows, by, triples.count()).groupBy(*keys).agg(
         F.max("total").alias("_total"), F.transform(listed, lambda x: x["o"]).alias("objects")
     )
     total = F.coalesce("_total", F.size("objects").cast("bigint"))
