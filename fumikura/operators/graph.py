@@ -287,6 +287,42 @@ def _folded(rows: DataFrame, keys: Sequence[str], order: str, prefixes, total: C
     return nodes.select(*keys, F.array_join(F.transform("_props", lambda x: x["text"]), ",").alias("_text"), "_paths")
 
 
+def nested_levels(
+    triples: DataFrame,
+    roots: DataFrame,
+    depth: int = 3,
+    boundary: str | None = None,
+    most: int = GROUP_ROWS,
+    share: Column | None = None,
+) -> list[DataFrame]:
+    """The triples reached from the roots <uri>, level by level: <root, ord1, .., above, p, o, _follow>.
+
+    Every level joins only the objects that are followed, by number: a value
+    is named by the ordinals on the way to it.  Levels end where nothing is
+    followed, at ``depth`` at the latest.  With ``share``, a number made of
+    ``root``, all levels are stored by it and have it as ``_share``, so that
+    the roots of one share can be folded without reading the others.
+    """
+    level = of_roots(triples, roots).select(F.col("s").alias("root"), F.col("ord").alias("ord1"), F.array("s").alias("above"), "p", "o")
+    levels, paged, pages = [], None, None
+    for d in range(1, depth + 1):
+        way = [f"ord{i}" for i in range(1, d + 1)]
+        follow = F.coalesce(is_subnode("o", "root", boundary) & ~F.array_contains("above", F.col("o")), F.lit(False)) if d < depth else F.lit(False)
+        level = level.withColumn("_follow", follow)
+        if share is not None:
+            levels.append(stored(level.withColumn("_share", share), by="_share"))
+        else:
+            levels.append(stored(level) if d == 1 or d < depth else level)
+        if d == depth or levels[-1].where("_follow").isEmpty():
+            break
+        if paged is None:
+            paged = _paged(triples, ["s"], most)
+            # One number per large node, its count of pages.
+            pages = stored(paged.where(F.col("page") > 0).groupBy("s").agg(F.max("page").alias("_pages"))).withColumnRenamed("s", "_key")
+        level = _below(levels[-1].where("_follow"), paged, pages, way, f"ord{d + 1}")
+    return levels
+
+
 def nested_documents(
     triples: DataFrame,
     roots: DataFrame,
@@ -295,6 +331,7 @@ def nested_documents(
     boundary: str | None = None,
     most: int = GROUP_ROWS,
     derived: bool = True,
+    levels: Sequence[DataFrame] | None = None,
 ) -> DataFrame:
     """One JSON document per root: <root, part, doc>.
 
@@ -309,29 +346,18 @@ def nested_documents(
     are the whole list; a fragment tells its place as ``"part":k``.  Levels
     beyond ``depth`` stay references.
 
-    Going down, every level joins only the objects that are followed, by
-    number: a value is named by the ordinals on the way to it.  Going up, a
+    Going down, see :func:`nested_levels`; where these were made before, for
+    just these roots, pass them as ``levels``.  Going up, a
     node is folded once, and its text joins the one value that refers to it;
     values that refer to nothing are not moved for it.  Derived triples are
     written first; pass ``derived=False`` for a stored table.
     """
-    triples = stored(triples.select("s", "p", "o", "ord")) if derived else triples
-    level = of_roots(triples, roots).select(F.col("s").alias("root"), F.col("ord").alias("ord1"), F.array("s").alias("above"), "p", "o")
-    levels = []
-    if depth > 1:
-        paged = _paged(triples, ["s"], most)
-        # One number per large node, its count of pages.
-        pages = stored(paged.where(F.col("page") > 0).groupBy("s").agg(F.max("page").alias("_pages"))).withColumnRenamed("s", "_key")
-    for d in range(1, depth + 1):
-        way = [f"ord{i}" for i in range(1, d + 1)]
-        follow = F.coalesce(is_subnode("o", "root", boundary) & ~F.array_contains("above", F.col("o")), F.lit(False)) if d < depth else F.lit(False)
-        level = level.withColumn("_follow", follow)
-        levels.append(stored(level) if d < depth else level)
-        if d < depth:
-            level = _below(levels[-1].where("_follow"), paged, pages, way, f"ord{d + 1}")
+    if levels is None:
+        triples = stored(triples.select("s", "p", "o", "ord")) if derived else triples
+        levels = nested_levels(triples, roots, depth, boundary, most)
 
     docs = None
-    for d in range(depth, 0, -1):
+    for d in range(len(levels), 0, -1):
         way = [f"ord{i}" for i in range(1, d + 1)]
         value = [*(["root"] if d == 1 else []), *way, "p", _plain(boundary).alias("value"), F.lit(1).cast("bigint").alias("paths")]
         rows = levels[d - 1].where(~F.col("_follow")).select(*value)
@@ -364,7 +390,8 @@ def nested_documents(
     place = F.when(F.col("part") == "", F.lit("")).otherwise(F.concat(F.lit('"part":'), "part", F.lit(",")))
     body = F.concat(F.lit('{"@id":'), json_string("root"), F.lit(","), place, "_text", F.lit(',"status":"success"}'))
 
-    failed = failed_roots(triples, roots).select(
+    known = levels[0].select(F.col("root").alias("s"))  # a root has triples if the first level has some of it
+    failed = failed_roots(known, roots).select(
         F.col("uri").alias("root"), F.lit("").alias("part"), F.to_json(F.struct("uri", "status")).alias("doc")
     )
     return whole.select("root", "part", body.alias("doc")).unionByName(failed)

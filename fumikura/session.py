@@ -79,15 +79,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, compression: str | None = None) -> DataFrame:
+def stored(df: DataFrame, compression: str | None = None, by: str | None = None) -> DataFrame:
     """Write a frame that grows with the corpus to a table in the shared folder.
 
     Columnar files keep what is read again small: columns are pruned and
     filters pushed, and the planner knows the size.  ``compression`` is one of
     Parquet's, by default that of the session; ``zstd`` suits long texts.
+    ``by`` names a column of few values; one value is then read without the
+    rows of the others.
     """
     path = scratch_path(df.sparkSession, "stage")
-    df.write.parquet(path, compression=compression)
+    df.write.parquet(path, compression=compression, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -273,3 +273,20 @@ def test_groups_are_dealt_out_by_the_number_of_rows(spark, monkeypatch):
     groups = graph.grouped_objects(facts)
     assert groups.rdd.getNumPartitions() == 10
     assert sorted((r.s, r.objects) for r in groups.collect()) == sorted((f"s{i}", [f"o{i}"]) for i in range(20))
+
+
+@pytest.mark.parametrize("batches", [1, 4])
+def test_harvest_looks_nodes_up_once_for_all_batches(spark, rows, tmp_path, monkeypatch, batches):
+    """The triples are joined once, and not at all below roots that lead nowhere."""
+    path, paged, counted = str(tmp_path / "docs"), graph._paged, []
+    monkeypatch.setattr(graph, "_paged", lambda *args: counted.append(args) or paged(*args))
+    wanted = [f"http://r{i}" for i in range(12)] + ["http://r0", "http://x1", None]
+    facts = FACTS + [(f"http://r{i}", S + "name", f"n{i}") for i in range(10)] + [(f"http://r{i}", S + "part", f"http://r{i}#a") for i in range(5)]
+    facts += [(f"http://r{i}#a", S + "name", f"of {i}") for i in range(4)] + [(None, S + "name", "nobody"), ("http://r1", S + "part", None)]
+    whole = harvest_documents(triples(spark, facts), roots(spark, *wanted), path, batches=batches)
+    assert len(counted) == 1
+    plain = graph.nested_documents(triples(spark, facts), roots(spark, *sorted(set(filter(None, wanted)))))
+    assert rows(whole, "root", "part", "doc") == rows(plain, "root", "part", "doc")
+    counted.clear()
+    whole = harvest_documents(triples(spark, facts), roots(spark, *wanted, "http://none"), path, batches=batches)
+    assert not counted and whole.count() == len(set(filter(None, wanted))) + 1

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fumikura.operators import graph
 from fumikura.plans import harvest as harvesting
-from fumikura.session import scratch_path
+from fumikura.session import scratch_path, stored
 
 from . import base, joins
 from .base import HOME, ROOTS, TRIPLES, query
@@ -106,10 +106,10 @@ def _tree_sql() -> str:
 @query("h1_resumed", _tree_sql())
 def resumed(spark, sf):
     """A harvest of the buyers, then one of the whole list that goes on from it; no root is written twice."""
-    path, triples = scratch_path(spark, "harvest"), base.triples(spark, sf)
+    path, triples = scratch_path(spark, "harvest"), stored(base.triples(spark, sf))
     roots = base.root_list(spark, sf)
-    harvesting.harvest_documents(triples, roots.where(F.contains("uri", F.lit("/customer/"))), path)
-    return harvesting.harvest_documents(triples, roots, path, batches=1)
+    harvesting.harvest_documents(triples, roots.where(F.contains("uri", F.lit("/customer/"))), path, derived=False)
+    return harvesting.harvest_documents(triples, roots, path, batches=1, derived=False)
 
 
 @query("h1_tree", _tree_sql())
