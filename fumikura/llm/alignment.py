@@ -10,14 +10,21 @@ Tasks gather documents in blocks of a bounded number of links, number the id
 pairs of a block, and give every document as counts of these numbers, so that
 a pair is shuffled once per block and not once per link.  The corpus counts go
 back to the blocks the same way.
+
+Texts are cut at spaces before which both tokenizers end a token whatever
+stands around.  What a worker found for a part it remembers, so that words
+that texts repeat are encoded and aligned once; all parts of a text, joined,
+are the whole text.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator, Sequence
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +43,14 @@ LINKS = 4_000_000
 PIECE = 1 << 17
 #: Id pairs in one row of a block's list.
 _CHUNK = 1 << 16
-# Between two ASCII letters a space always begins a new token of both.
-_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+#: Parts, and code points of them, that a worker remembers; then it begins anew.
+REMEMBERED, REMEMBERED_SIZE = 300_000, 1 << 24
+#: Code points of the new parts that are encoded in one text.
+_TOGETHER = 1 << 11
+# A single space between two visible ASCII characters always begins a new token of both.
+_CUT = re.compile(r"(?<=[!-~]) (?=[!-~])")
+# A part that may stand next to others in one text.
+_PLAIN = re.compile(r"[!-~](?:.*[!-~])?", re.DOTALL)
 
 
 class Tokens:
@@ -73,8 +86,11 @@ class Pair:
         self.of_a = Tokens([bytes(letter[c] for c in w) if all(c in letter for c in w) else w.encode() for w in own])
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.of_b = Tokens([bytes([int(w[3:5], 16)]) if self.b.is_byte(i) else w.replace("▁", " ").encode() for i, w in enumerate(pieces)])
-        # A text may be cut before a space only if no piece goes on over one.
-        self.may_cut = not any("▁" in w.lstrip("▁") for w in pieces)
+        # A text may be cut before a space only if A splits there before it merges and no piece of B goes on over one.
+        kind = json.loads(self.a.to_str())
+        splits = kind["normalizer"] is None and (kind["pre_tokenizer"] or {}).get("type") == "ByteLevel" and kind["pre_tokenizer"].get("use_regex", True)
+        self.may_cut = splits and all(t["special"] for t in kind["added_tokens"]) and not any("▁" in w.lstrip("▁") for w in pieces)
+        self.parts = _Parts()
         self.n_b = len(pieces)
         self.bits = (n * len(pieces)).bit_length()
         width = len(str(max(n, len(pieces))))
@@ -119,12 +135,16 @@ def overlaps(start_a: np.ndarray, end_a: np.ndarray, start_b: np.ndarray, end_b:
     return count, a, b
 
 
-def align_pieces(pair: Pair, texts: list[str]) -> list[tuple | None]:
-    """Per piece (n_a, n_b, n_groups, link keys ``a * n_b + b``, spelled groups); None where the bytes differ."""
+def align_pieces(pair: Pair, texts: list[str], parts: list[list[str]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Per piece <n_a, n_b, n_groups>, -1 where the bytes differ, and number of links; all link keys ``a * n_b + b``; per piece its groups, spelled.
+
+    With the ``parts`` whose texts, joined by spaces, the pieces are, the same per part.
+    """
+    n = len(texts) if parts is None else sum(map(len, parts))
     ids_a, ids_b = pair.encoded(texts)
     data = [(" " + t).encode() for t in texts]
     size, n_a, n_b = (np.array([len(x) for x in xs], np.int64) for xs in (data, ids_a, ids_b))
-    flat_a, flat_b = (np.fromiter((i for x in xs for i in x), np.int64) for xs in (ids_a, ids_b))
+    flat_a, flat_b = (np.fromiter(chain.from_iterable(xs), np.int64, sum(map(len, xs))) for xs in (ids_a, ids_b))
 
     def summed(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(values)])
@@ -145,7 +165,7 @@ def align_pieces(pair: Pair, texts: list[str]) -> list[tuple | None]:
             break
         same[np.searchsorted(np.cumsum(size), wrong, "right")] = False
     if not len(kept):
-        return [None] * len(texts)
+        return np.full((3, n), -1, np.int64), np.zeros(n, np.int64), np.zeros(0, np.int64), [b""] * n
 
     end_a, end_b = np.cumsum(pair.of_a.size[flat_a]), np.cumsum(pair.of_b.size[flat_b])
     start_a, start_b = end_a - pair.of_a.size[flat_a], end_b - pair.of_b.size[flat_b]
@@ -166,15 +186,74 @@ def align_pieces(pair: Pair, texts: list[str]) -> list[tuple | None]:
     spelled = signs[np.arange(signs.shape[1]) <= length[:, None]].tobytes()
     spelled_end = np.cumsum(length + 1)
 
+    if parts is not None:  # a space and the part, whose bytes the tokens give
+        size = np.array([(len(p) if p.isascii() else len(p.encode())) + 1 if good else 0 for some, good in zip(parts, same.tolist()) for p in some], np.int64)
+        n_a, n_b = (np.diff(np.searchsorted(end, np.cumsum(size), "right"), prepend=0) for end in (end_a, end_b))
     ends_a, ends_b = np.cumsum(n_a), np.cumsum(n_b)
     link_end = np.concatenate([[0], np.cumsum(count)])[ends_a]
     text_end = np.concatenate([[0], spelled_end])[ends_a + ends_b]
     group_end = np.concatenate([[-1], group_a])[ends_a]
-    out: list[tuple | None] = [None] * len(texts)
-    for i in kept.tolist():
-        before = (link_end[i - 1], text_end[i - 1], group_end[i - 1]) if i else (0, 0, -1)
-        out[i] = (int(n_a[i]), int(n_b[i]), int(group_end[i] - before[2]), keys[before[0]:link_end[i]], spelled[before[1]:text_end[i] - 1])
-    return out
+    sums = np.array([n_a, n_b, np.diff(group_end, prepend=-1)])
+    sums[:, size == 0] = -1
+    begin = np.concatenate([[0], text_end[:-1]])
+    return sums, np.diff(link_end, prepend=0), keys, [spelled[x:max(x, y - 1)] for x, y in zip(begin.tolist(), text_end.tolist())]
+
+
+class _Parts(dict):
+    """Number of every part a worker remembers, and what was found for it."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+        self.size = self.n_links = 0
+        self.spelled: list[bytes] = []
+        # n_a, n_b, n_groups, -1 where the bytes differ; number of links, and where their keys begin.
+        self.found = np.zeros((5, 1 << 12), np.int64)
+        self.links = np.zeros(1 << 16, np.int64)
+
+    def __missing__(self, part: str) -> int:
+        self[part] = number = len(self)
+        self.new.append(part)
+        return number
+
+    def align(self, pair: Pair) -> None:
+        """Encodes the new parts, plain ones many in a text; where its bytes differ, each by itself."""
+        base, new, self.new = len(self.spelled), self.new, []
+        self.spelled += [b""] * len(new)
+        if len(self) > self.found.shape[1]:
+            self.found = np.hstack([self.found, np.zeros((5, max(len(new), self.found.shape[1])), np.int64)])
+        joined, alone, width = [], [], _TOGETHER
+        for i, part in enumerate(new):
+            if pair.may_cut and len(part) < _TOGETHER and _PLAIN.fullmatch(part):
+                if width >= _TOGETHER:
+                    joined.append([])
+                    width = 0
+                joined[-1].append(i)
+                width += len(part) + 1
+            else:
+                alone.append(i)
+        if joined:
+            texts = [[new[i] for i in some] for some in joined]
+            differ = self._take(base, list(chain.from_iterable(joined)), *align_pieces(pair, [" ".join(some) for some in texts], texts))
+            alone += differ
+        if alone:
+            self._take(base, alone, *align_pieces(pair, [new[i] for i in alone]))
+        self.size += sum(map(len, new))
+
+    def _take(self, base: int, which: list[int], sums: np.ndarray, counts: np.ndarray, keys: np.ndarray, spelled: list[bytes]) -> list[int]:
+        """Keeps what was found; gives those of the parts whose bytes differ."""
+        at = base + np.array(which, np.int64)
+        self.found[:3, at], self.found[3, at], self.found[4, at] = sums, counts, self.n_links + np.cumsum(counts) - counts
+        if self.n_links + len(keys) > len(self.links):
+            self.links = np.concatenate([self.links, np.zeros(max(len(keys), len(self.links)), np.int64)])
+        self.links[self.n_links:self.n_links + len(keys)] = keys
+        self.n_links += len(keys)
+        for i, text in zip(at.tolist(), spelled):
+            self.spelled[i] = text
+        return [which[i] for i in np.flatnonzero(sums[0] < 0)]
+
+    def full(self) -> bool:
+        return len(self) >= REMEMBERED or self.size >= REMEMBERED_SIZE
 
 
 class _Block:
@@ -199,12 +278,24 @@ class _Block:
     def encode(self) -> None:
         if not self.waiting:
             return
-        for (slot, _), found in zip(self.waiting, align_pieces(self.pair, [t for _, t in self.waiting])):
+        if self.pair.parts.full():
+            self.pair.parts = _Parts()
+        parts = self.pair.parts
+        split = _CUT.split if self.pair.may_cut else lambda text: [text]
+        numbers = [np.fromiter(map(parts.__getitem__, split(text)), np.int64) for _, text in self.waiting]
+        if parts.new:
+            parts.align(self.pair)
+        for (slot, _), here in zip(self.waiting, numbers):
             row = self.rows[slot]
-            if found is None:
+            found = parts.found[:, here]
+            if found[0].min() < 0:
                 row[5] = False
                 continue
-            n_a, n_b, n_groups, keys, spelled = found
+            n_a, n_b, n_groups = found[:3].sum(1).tolist()
+            count = found[3]
+            ends = np.cumsum(count)
+            keys = parts.links[np.arange(ends[-1]) + np.repeat(found[4] - ends + count, count)]
+            spelled = b";".join([parts.spelled[i] for i in here.tolist()])
             if row[2]:
                 spelled = b";" + spelled
             row[0], row[1], row[2], row[3] = row[0] + n_a, row[1] + n_b, row[2] + n_groups, row[3] + len(keys)

@@ -114,3 +114,37 @@ def test_edges(edge_docs, no_docs, spark, encoders):
     assert alignment.align(no_docs, A, B).count() == 0 and alignment.pair_counts(no_docs, A, B).count() == 0
     empty = alignment.align(edge_docs.where(F.col("text").isNull()), A, B, keep=("doc_id", "score", "_row"))
     assert [tuple(r) for r in empty.collect()] == [(1, "x", 4, 0, 0, 0, 0, 0, 0, "")]
+
+
+def test_spaces_at_which_texts_are_cut(encoders):
+    """Both tokenizers begin anew at a space between any two visible ASCII characters."""
+    signs = [chr(i) for i in range(0x21, 0x7F)]
+    for x in signs:
+        text = " ".join(f"e{x} {y}s" for y in signs)
+        parts = alignment._CUT.split(text)
+        assert " ".join(parts) == text and len(parts) == 2 * len(signs)
+        apart = [list(encoders(p)) for p in parts]
+        for side, tokens in enumerate(encoders(text)):
+            assert tokens == [t for found in apart for t in found[side]]
+
+
+@pytest.mark.parametrize("remembered", [300_000, 30])
+def test_words_are_encoded_once(docs, encoders, spark, monkeypatch, remembered):
+    """Words that texts repeat, some of which tokenizers do not give back, and which a worker forgets in between."""
+    monkeypatch.setattr(alignment, "REMEMBERED", remembered)
+    monkeypatch.setattr(alignment, "_TOGETHER", 60)
+    rng = random.Random(7)
+    words = [*(f"word{i}" for i in range(40)), "ﬁne", "①st", "don't", "l'été,", "été", "a b", "x  y", "<s>", "▁", "és", "…", "(see", "it's).", "12", "$5", "I"]
+    rows = [(i, " ".join(rng.choice(words[:40] if i % 3 else words) for _ in range(rng.randint(1, 60)))) for i in range(90)]
+    want, _ = brute(rows, encoders)
+    assert len({w[1] > 0 for w in want}) == 2
+    assert sorted(map(tuple, alignment.align(docs(rows), A, B).collect()), key=repr) == want
+
+    pair, seen = alignment.Pair(A, B), []
+    encoded = pair.encoded
+    monkeypatch.setattr(pair, "encoded", lambda texts: seen.extend(texts) or encoded(texts))
+    block = alignment._Block(pair, False)
+    for _ in range(50):
+        block.add("many plain words, again and again.")
+        block.encode()
+    assert len(seen) == 1 and [row[:2] for row in block.rows] == [block.rows[0][:2]] * 50
