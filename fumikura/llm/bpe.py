@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .bytewords import small_batches
-from .rows import bound_batches, lean, schema
+from .rows import TEXT_BATCH, asked, bound_batches, lean, schema, store
 
 #: Bytes, about, of the words a worker remembers with their tokens or counts; beyond it the memory starts anew.
 CACHE = 32 << 20
@@ -339,14 +339,15 @@ class Codec:
         return self.decode_bytes(np.asarray(ids, np.int64)).decode("utf-8", "replace")
 
 
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[str, Codec] = store()
 
 
 def codec(path: str) -> Codec:
     """Codec of a vocabulary file, made once per worker."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    made = asked(_CODECS)
+    if path not in made:
+        made[path] = Codec(path)
+    return made[path]
 
 
 def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), ids: bool = True) -> DataFrame:
@@ -357,7 +358,7 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
     * ``decoded_sha256`` is of the text that decoding the ids gives.
     * ``path`` must be readable on every executor; other columns are not read.
     """
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, TEXT_BATCH)
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,7 +389,7 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
 
 def decode_documents(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns with <text> from <ids>; null ids give null text."""
-    bound_batches(encoded.sparkSession)
+    bound_batches(encoded.sparkSession, TEXT_BATCH)
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

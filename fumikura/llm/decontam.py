@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.scale import lookup_join
 from ..session import stored
 from .bytewords import small_batches
-from .rows import bound_batches, counted_chars, lean, packed, schema, unpacked
+from .rows import TEXT_BATCH, asked, bound_batches, counted_chars, lean, packed, schema, store, unpacked
 
 WINDOW = 10
 #: Item words held by one automaton, which takes about a kilobyte a word; more items go through several, one after another.
@@ -208,7 +208,7 @@ def _matched(rows: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFr
     of that block alone; what a pass finds is written under the digest of the
     text, united over the blocks, and joined to the rows.
     """
-    bound_batches(rows.sparkSession)
+    bound_batches(rows.sparkSession, TEXT_BATCH)
     blocks = _blocks(benchmark)
     first, second = next(blocks), next(blocks, None)
     if second is None:
@@ -270,15 +270,16 @@ def _found(texts: pa.Array, automaton: Automaton) -> list[list]:
     return out
 
 
-_BUILT: dict[str, Automaton] = {}
+_BUILT: dict[str, Automaton] = store()
 
 
 def _built(name: str, window: int, block: list[tuple[str | None, list[bytes]]]) -> Automaton:
     """Automaton of a block, made once per worker; a worker holds one at a time."""
-    if name not in _BUILT:
-        _BUILT.clear()
-        _BUILT[name] = Automaton(block, window)
-    return _BUILT[name]
+    built = asked(_BUILT)
+    if name not in built:
+        built.clear()
+        built[name] = Automaton(block, window)
+    return built[name]
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

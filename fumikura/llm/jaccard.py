@@ -32,7 +32,7 @@ from ..operators.scale import lookup_join
 from ..session import stored
 from .bytewords import SPACES, document_words, shingles, small_batches
 from .components import components
-from .rows import bound_batches, lean, packed, row_key, schema, unpacked
+from .rows import TEXT_BATCH, bound_batches, lean, packed, row_key, schema, unpacked
 
 #: N-grams counted together by a task.
 BLOCK = 2_000_000
@@ -52,9 +52,13 @@ def _count_blocks(size: int):
     """
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        values, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = counts >= 2
-        return pa.RecordBatch.from_pydict({"h": values[often].view(np.int64), "n": counts[often].astype(np.int64)})
+        values = np.concatenate(held)
+        held.clear()
+        values.sort()
+        # Runs of equal values, by where they begin and end among the values that are like the one before them.
+        like = np.concatenate([[False], values[1:] == values[:-1], [False]])
+        first, last = np.flatnonzero(like[1:] > like[:-1]), np.flatnonzero(like[1:] < like[:-1])
+        return pa.RecordBatch.from_pydict({"h": values[first].view(np.int64), "n": last - first + 1})
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +85,7 @@ def frequencies(docs: DataFrame, size: int, most: int = SLOTS) -> np.ndarray:
     repeated n-grams up to ``most`` bytes; beyond it the least frequent are left out.  Where hashes
     meet, the larger count stands.  All this only moves n-grams in the order, and any order gives the same links.
     """
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, TEXT_BATCH)
     counted = docs.select("text").mapInArrow(_count_blocks(size), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     level = F.least(F.lit(255), F.floor(8 * F.log2("n"))).cast("int")
     rated = stored(counted.select("h", level.alias("level")))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.scale import lookup_join
 from .bytewords import small_batches, text_buffer
-from .rows import bound_batches, lean, packed, schema, unpacked
+from .rows import TEXT_BATCH, bound_batches, lean, packed, schema, unpacked
 
 ORDER = 3
 #: Labelled rows per language used for training (about; drawn by a hash).
@@ -45,7 +45,7 @@ def training_rows(labelled: DataFrame, per_language: int = SAMPLE_ROWS, key: str
     Rows are drawn by a hash of their key against the share that the language
     needs, so one frequent language costs no more than a rare one.
     """
-    bound_batches(labelled.sparkSession)
+    bound_batches(labelled.sparkSession, TEXT_BATCH)
     rows = labelled.select(key, "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = rows.groupBy("lang").agg(F.count("*").alias("_n"))
     place = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
@@ -53,6 +53,7 @@ def training_rows(labelled: DataFrame, per_language: int = SAMPLE_ROWS, key: str
     return drawn.select("lang", "text")
 
 
+@lean
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per batch and language, how often each run of ORDER + 1 bytes occurs.
 
@@ -200,7 +201,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     * Every input row gives one output row, repeated rows too; other columns are not read.
     """
     spark: SparkSession = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(spark, TEXT_BATCH)
     held = spark.sparkContext.broadcast(model)  # runs seen in a bounded sample
     kept = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
 

@@ -12,18 +12,50 @@ from pyspark.sql.types import DataType, StructType
 
 from ..operators.scale import BATCH_BYTES, bound_batches  # noqa: F401  used by all operators here
 
+#: Bytes of one Arrow batch of texts that a task takes 1,024 rows at a time; an executor holds several of each task's.
+TEXT_BATCH = 2 << 20
+
+_STORES: list[dict] = []
+_asked: set[int] = set()
+
+
+def store() -> dict:
+    """A place for what a worker makes once for many tasks; see :func:`asked`."""
+    _STORES.append({})
+    return _STORES[-1]
+
+
+def asked(kept: dict) -> dict:
+    """The store, marked as used by this task; others that the task has not asked for are emptied, so that they do not pile up."""
+    if id(kept) not in _asked:
+        _asked.add(id(kept))
+        _empty_others()
+    return kept
+
+
+def _empty_others() -> None:
+    for kept in _STORES:
+        if id(kept) not in _asked:
+            kept.clear()
+
+
+def _task_begins() -> None:
+    _asked.clear()
+
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
     """A function for mapInArrow that gives freed memory back to the system when its task ends.
 
-    Spark keeps Python workers for later tasks, which need other things.
+    Spark keeps Python workers for later tasks, which need other things; so stores go that the task did not ask for.
     """
 
     @wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _task_begins()
         try:
             yield from run(batches)
         finally:
+            _empty_others()
             pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library; others do without
             if trim is not None:

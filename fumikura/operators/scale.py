@@ -20,15 +20,15 @@ BATCH_BYTES = 8 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def bound_batches(spark: SparkSession) -> None:
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     """Keeps Arrow batches small, so that long texts do not fill a worker's memory.
 
     This is a setting of the session, read when a query runs; a smaller one stays.
     """
     number, unit = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)i?b?", spark.conf.get(_BATCH).strip().lower()).groups()
     now = int(number) << 10 * " kmgtp".index(unit or " ")
-    if not 0 < now <= BATCH_BYTES:
-        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    if not 0 < now <= most:
+        spark.conf.set(_BATCH, str(most))
 
 
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
